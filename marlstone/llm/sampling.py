@@ -1,0 +1,23 @@
+"""Bounded samples of labelled rows, for fitting."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def remainder(divisor: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo divisor; null ids count as empty text."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % divisor
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most about ``bound`` labelled rows, an even share by a hash of the id.
+
+    The labels kept are few by construction, so they are broadcast and the texts don't move.  Ids with contradicting labels take the larger one.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    total = known.count()
+    if total > bound:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * bound / total))
+    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")

@@ -24,6 +24,9 @@ _NGRAM = 0xD6E8FEB86659FD93
 #: Bytes that end a word: space and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words of letters: every ASCII byte but letters and digits.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -84,8 +87,8 @@ class NGrams:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """texts: a string array without nulls."""
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array without nulls, and where each text starts."""
     if pa.types.is_large_string(texts.type):
         kind = np.int64
     else:
@@ -93,11 +96,16 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def words_of(texts: pa.Array, lower: bool = False, ends: np.ndarray = SPACE) -> Words:
+    """texts: a string array without nulls; ends: the bytes that end a word."""
+    data, offsets = bytes_of(texts)
     n = len(data)
     if lower:
         data = _LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~ends[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.zeros(n, bool)
