@@ -1,7 +1,8 @@
-"""Bounded samples of labelled rows, for fitting."""
+"""Bounded samples of labelled rows, and the regression fitted on them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +22,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     if total > bound:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * bound / total))
     return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Newton's method with a ridge on all but the constant; y may be soft."""
+    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    keep[0] = 1e-3
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w

@@ -67,6 +67,11 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # per document, one more than documents
     hash: np.ndarray  # uint64 per word
+    sums: np.ndarray  # of the bytes' hash, for parts of words
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        _, down = _BYTE_POW.get(len(self.sums))
+        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -118,7 +123,7 @@ def words_of(texts: pa.Array, lower: bool = False, ends: np.ndarray = SPACE) ->
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, np.searchsorted(start, offsets), hashed)
+    return Words(data, start, end, np.searchsorted(start, offsets), hashed, sums)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

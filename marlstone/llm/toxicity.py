@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters.       One voter for each word of a seed lexicon and for each word that
-              the labelled sample shows to be toxic, and pattern voters for
-              capitals, exclamation marks, density and absence of hits.  A voter
+Voters.       One voter for each word of a seed lexicon, for each word or word
+              stem that the labelled sample shows to be toxic, and pattern voters
+              for capitals, exclamation marks, density and absence of hits.  A voter
               says toxic (1), clean (-1) or nothing (0).
 Label model.  A generative model of the votes: each voter has its own rates of
               saying toxic or clean in either class, estimated by expectation
@@ -31,48 +31,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.fitting import labelled_sample, logistic
 from marlstone.llm.runtime import documents, ship
-from marlstone.llm.sampling import labelled_sample
 from marlstone.llm.textcore import NOT_ALNUM, bytes_of, chunks, text_column, words_of
 
-FIT_ROWS = 20_000
-MINED_WORDS = 48
+FIT_ROWS = 10_000
+MINED_WORDS = 64
+#: Word beginnings that are tried as stems, in characters.
+STEMS = (4, 5, 6)
 #: Insults of everyday English; mined words add what a corpus has besides.
 SEED_LEXICON = (
     "idiot stupid moron dumb fool loser scum trash garbage pathetic worthless disgusting clown jerk creep freak ugly "
-    "liar coward vermin filth imbecile bastard crap damn hate kill die shut"
+    "liar coward vermin filth imbecile bastard"
 ).split()
 PATTERNS = ("capitals", "exclaiming", "several", "dense", "none")
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    return words_of(pa.array(words, pa.string()), lower=True, ends=NOT_ALNUM).hash if words else np.zeros(0, np.uint64)
+@dataclass
+class Lexicon:
+    """Entries that end in * match the beginning of a word. Hashes are sorted by length in bytes; length 0 stands for whole words."""
+
+    entries: list[str]
+
+    def __post_init__(self) -> None:
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        stems = [e[:-1] if e.endswith("*") else e for e in self.entries]
+        hashes = words_of(pa.array(stems, pa.string()), lower=True, ends=NOT_ALNUM).hash
+        kinds = np.array([len(x.encode()) if e.endswith("*") else 0 for e, x in zip(self.entries, stems, strict=True)])
+        for kind in sorted(set(kinds.tolist())):
+            column = np.flatnonzero(kinds == kind)
+            column = column[np.argsort(hashes[column])]
+            self.by_length[kind] = hashes[column], column
+
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How often each entry occurs in each text, and the number of words."""
+        n, width = len(texts), len(self.entries)
+        w = words_of(texts, lower=True, ends=NOT_ALNUM)
+        total = np.zeros(n * width)
+        for kind, (hashes, column) in self.by_length.items():
+            long = np.flatnonzero(w.end - w.start >= kind)
+            h = w.part_hash(w.start[long], w.start[long] + kind) if kind else w.hash
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == h)
+            doc = np.searchsorted(w.first, long[hit], side="right") - 1
+            total += np.bincount(doc * width + column[at[hit]], minlength=n * width)
+        return total.reshape(n, width), np.diff(w.first)
 
 
 @dataclass
 class ToxicityModel:
-    lexicon: list[str]
+    lexicon: Lexicon
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     accuracies: dict[str, tuple[float, float]] = field(default_factory=dict)
     correlated: list[tuple[str, str]] = field(default_factory=list)
     prior: float = 0.05
 
 
-def _evidence(chunk: pa.RecordBatch, hashes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hits of each lexicon word, and the counts that the patterns need."""
-    n, width = len(chunk), len(hashes)
-    w = words_of(text_column(chunk, "text"), lower=True, ends=NOT_ALNUM)
-    at = np.minimum(np.searchsorted(hashes, w.hash), max(width - 1, 0))
-    hit = np.flatnonzero(hashes[at] == w.hash) if width else np.zeros(0, int)
-    doc = np.searchsorted(w.first, hit, side="right") - 1
-    hits = np.bincount(doc * width + order[at[hit]], minlength=n * width).reshape(n, width).astype(float) if width else np.zeros((n, 0))
-    data, offsets = bytes_of(text_column(chunk, "text"))
+def _evidence(chunk: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of each entry, and the counts that the patterns need."""
+    texts = text_column(chunk, "text")
+    hits, words = lexicon.hits(texts)
+    data, offsets = bytes_of(texts)
 
     def count(mask: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]).astype(float)
 
     upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
-    return hits, np.stack([np.diff(w.first), upper / np.maximum(upper + lower, 1), count(data == 33)], axis=1).astype(float)
+    return hits, np.stack([words, upper / np.maximum(upper + lower, 1), count(data == 33)], axis=1).astype(float)
 
 
 def _votes(hits: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -118,53 +143,47 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     return q, rates, pairs
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Newton's method with a ridge on all but the constant; y may be soft."""
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    keep[0] = 1e-3
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def _lexicon_arrays(lexicon: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = _hash(lexicon)
-    order = np.argsort(hashes)
-    return hashes[order], order
+def mine(sample: DataFrame) -> list[str]:
+    """Words and stems that labelled documents show to be toxic, those of many documents first. At most MINED_WORDS go to the driver's model."""
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = sample.select("label", F.array_distinct(F.split(plain, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")).alias("words"))
+    stems = [F.expr(f"transform(filter(words, w -> length(w) > {k}), w -> concat(left(w, {k}), '*'))") for k in STEMS]
+    entry = words.select("label", F.explode(F.array_distinct(F.concat(F.filter("words", lambda w: F.length(w) >= 3), *stems))).alias("entry"))
+    counts = entry.groupBy("entry").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    # A toxic word is seen in several toxic documents, and hardly ever in clean ones.
+    likely = counts.filter((F.col("bad") >= 4) & (F.col("bad") >= 0.95 * F.col("n"))).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(20 * MINED_WORDS)
+    found: list[str] = []
+    least = None
+    for r in likely.collect():
+        # Copies of a few toxic documents also repeat harmless words; those stay far behind the words of many documents.
+        least = least or 0.1 * r["bad"]
+        stem = r["entry"].rstrip("*")
+        if r["bad"] >= least and not any(stem.startswith(x.rstrip("*")) for x in found) and not any(x.startswith(stem) for x in SEED_LEXICON):
+            found.append(r["entry"])
+    return found[:MINED_WORDS]
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_ROWS, label: str = "toxic") -> ToxicityModel:
     """Fits from documents (doc_id, text) and labels (doc_id, label); only labels for which ``allowed`` holds are read."""
     ship(docs.sparkSession)
     sample = labelled_sample(documents(docs), labels, label, allowed, bound).filter("text IS NOT NULL")
-    word = sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter(F.length("word") >= 3)
-    counts = word.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    # A toxic word is seen often, and hardly ever in clean documents.
-    mined = counts.filter((F.col("bad") >= 5) & (F.col("bad") >= 0.9 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MINED_WORDS)
-    found = [(r.word, r.bad) for r in mined.collect()]
-    # Copies of a few toxic documents also repeat harmless words; those stay far behind the words that many toxic documents have.
-    lexicon = list(dict.fromkeys([*SEED_LEXICON, *(w for w, bad in found if bad >= 0.2 * found[0][1])]))
-    hashes, order = _lexicon_arrays(lexicon)
-    names = [*lexicon, *PATTERNS]
+    lexicon = Lexicon(list(dict.fromkeys([*SEED_LEXICON, *mine(sample)])))
+    names = [*lexicon.entries, *PATTERNS]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                hits, more = _evidence(chunk, hashes, order)
+                hits, more = _evidence(chunk, lexicon)
                 rows = np.concatenate([hits, more], axis=1)
                 yield pa.RecordBatch.from_arrays([chunk.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "rows"])
 
     rows = sample.mapInArrow(gather, "label int, rows array<double>").toPandas()
     if not len(rows):
-        rates = np.full(len(_features(np.zeros((1, len(lexicon))), np.zeros((1, 3)))[0]), 0.0)
-        rates[0], rates[1 : 1 + len(lexicon)] = -4, 6
+        rates = np.full(len(_features(np.zeros((1, len(names) - len(PATTERNS))), np.zeros((1, 3)))[0]), 0.0)
+        rates[0], rates[1 : 1 + len(lexicon.entries)] = -4, 6
         return ToxicityModel(lexicon, rates)
     y, all_rows = rows["label"].to_numpy(float), np.stack(rows["rows"].to_numpy())
-    hits, more = all_rows[:, : len(lexicon)], all_rows[:, len(lexicon) :]
+    hits, more = all_rows[:, : len(lexicon.entries)], all_rows[:, len(lexicon.entries) :]
     prior = float(np.clip(y.mean(), 0.01, 0.99))
     posterior, rates, pairs = label_model(_votes(hits, more), y, prior)
     weights = logistic(_features(hits, more), posterior)
@@ -175,13 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_RO
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document."""
     ship(df.sparkSession)
-    hashes, order = _lexicon_arrays(model.lexicon)
-    weights = model.weights
+    lexicon, weights = model.lexicon, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                x = _features(*_evidence(chunk, hashes, order)) @ weights
+                x = _features(*_evidence(chunk, lexicon)) @ weights
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "score"])
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
