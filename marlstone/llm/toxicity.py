@@ -203,3 +203,18 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "score"])
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(df: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text scores under the threshold, as they are."""
+    ship(df.sparkSession)
+    lexicon, weights = model.lexicon, model.weights
+    limit = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch, text_col):
+                only = pa.RecordBatch.from_arrays([chunk.column(text_col)], names=["text"])
+                yield chunk.filter(pa.array(_features(*_evidence(only, lexicon)) @ weights < limit))
+
+    return df.mapInArrow(run, df.schema)
