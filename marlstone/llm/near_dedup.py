@@ -43,7 +43,7 @@ VALUES, CHUNK = 64, 4
 #: Most values that may differ: some chunk then has one error at most.
 DISTANCE = 2 * (VALUES // CHUNK) - 1
 #: Classes under one key that are joined pairwise, and shingles of a block of a group.
-SMALL, BLOCK_SHINGLES = 24, 2_000_000
+SMALL, BLOCK_SHINGLES = 24, 250_000
 _U = np.uint64
 _rng = np.random.default_rng(20240301)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
