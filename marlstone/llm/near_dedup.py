@@ -117,31 +117,40 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def links_of(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected at the similarity: a search that leaves out pairs already connected."""
+    """Links that connect what is connected at the similarity: a search that leaves out pairs already connected.
+
+    Sets are ordered by size, and a set is compared only with those whose size allows the similarity.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     open_ = np.ones(len(sets), bool)
-    out, queue = [], []
-    live = np.ones(len(flat), bool)
+    active = np.arange(len(sets))  # sets still laid out in flat, by size
+    flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    out, queue, seed = [], [], 0
     while True:
         if not queue:
-            rest = np.flatnonzero(open_)
-            if len(rest) < 2:
+            while seed < len(sets) and not open_[seed]:
+                seed += 1
+            if seed == len(sets):
                 return out
-            queue.append(int(rest[0]))
-            open_[rest[0]] = False
+            queue.append(seed)
+            open_[seed] = False
         u = queue.pop()
-        live = open_[owner]
-        if live.mean() < 0.5:
-            flat, owner = flat[live], owner[live]
-        elif not live.all():
-            flat, owner = flat[live], owner[live]
-        if not len(flat):
-            return out
-        mine = sets[u]
-        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        common = np.bincount(owner[mine[at] == flat], minlength=len(sets))
-        found = np.flatnonzero(open_ & (100 * common >= percent * (sizes + sizes[u] - common)))
+        if 2 * open_[active].sum() < len(active):
+            keep = open_[active]
+            flat = flat[np.repeat(keep, sizes[active])]
+            active = active[keep]
+            ends = np.concatenate([[0], np.cumsum(sizes[active])])
+        fits = sizes[active]
+        lo, hi = np.searchsorted(100 * fits, percent * sizes[u]), np.searchsorted(percent * fits, 100 * sizes[u], side="right")
+        if not open_[active[lo:hi]].any():
+            continue
+        near, mine = flat[ends[lo] : ends[hi]], sets[u]
+        at = np.minimum(np.searchsorted(mine, near), len(mine) - 1)
+        hits = np.concatenate([[0], np.cumsum(mine[at] == near)])
+        common = hits[ends[lo + 1 : hi + 1] - ends[lo]] - hits[ends[lo:hi] - ends[lo]]
+        found = active[lo:hi][open_[active[lo:hi]] & (100 * common >= percent * (fits[lo:hi] + sizes[u] - common))]
         for v in found.tolist():
             out.append((int(ids[u]), int(ids[v])))
         open_[found] = False

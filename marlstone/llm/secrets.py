@@ -92,8 +92,13 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         completes = completes | ((F.col("kind") == i) & F.col("o_kind").isin(js))
     apart = F.greatest(F.col("start") - F.col("o_end"), F.col("o_start") - F.col("end"))
     same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("print") == F.col("o_print")) & (F.col("cell") == F.col("o_cell"))
-    # A part and the text it overlaps are no two parts.
-    return weak.join(other, same & completes & (apart >= 0) & (apart <= scope), "left_semi").drop("cell").distinct()
+    # A part and the text it overlaps are no two parts, and text that is reported alone isn't reported again.
+    linked = weak.join(other, same & completes & (apart >= 0) & (apart <= scope), "left_semi").drop("cell").distinct()
+    covered = weak.join(other.filter(F.col("o_kind").isin(*BASE)), same & (apart < 0), "left_semi").select(
+        F.col("doc_id").alias("c_doc"), F.col("print").alias("c_print"), F.col("kind").alias("c_kind"), F.col("start").alias("c_start")
+    )
+    itself = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("print") == F.col("c_print")) & (F.col("kind") == F.col("c_kind")) & (F.col("start") == F.col("c_start"))
+    return linked.join(covered, itself, "left_anti")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
