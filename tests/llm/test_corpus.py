@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity
+from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity, warc
 from marlstone.llm.fitting import remainder
 from pyspark.sql import functions as F
 
@@ -196,3 +196,15 @@ def test_empty_tables(spark):
 def test_digest_of_kept_text_is_of_utf8(spark):
     out = substring_dedup.remove_repeats(frame(spark, [(1, "é  b")])).select(F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).first()
     assert out.h == hashlib.sha256("é b".encode()).hexdigest()
+
+
+def test_warc_derivatives(spark):
+    html = "<p>a &amp;lt; b</p><!-- x --><script>no()</script>\n<b>é</b>"
+    pages = spark.createDataFrame([(1, "u", html, 0), (2, None, None, 0)], "page_id long, url string, html string, content int")
+    rows = {(r.page_id, r.warc_type): r for r in warc.derivatives(pages).collect()}
+    assert len(rows) == 4
+    text, facts = rows[1, "conversion"], rows[1, "metadata"]
+    assert text.content == "a &lt; b é" and text.refers_to == facts.refers_to and text.record_id != facts.record_id
+    assert text.payload == "sha1:" + hashlib.sha1(html.encode()).hexdigest()
+    assert f"Content-Length: {len(text.content.encode())}\r\n" in text.header and f"WARC-Refers-To: {text.refers_to}\r\n" in text.header
+    assert rows[2, "conversion"].content == "" and warc.derivatives(pages.limit(0)).count() == 0
