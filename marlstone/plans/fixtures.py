@@ -54,6 +54,30 @@ SELECT concat(n_name, CASE WHEN n_nationkey % 4 = 0 THEN ' ' WHEN n_nationkey %
 SELECT concat('b_', CAST(year(fin_month) AS VARCHAR(4))) AS batch_id, fin_month, period_from, company_id, metric_id, scenario, ccy,
        CAST(CASE WHEN month(fin_month) = 3 THEN amount + 1 ELSE amount END AS DECIMAL(18,2)) AS amount
 FROM fact_finance WHERE year(fin_month) IN (1997, 1998)""",
+    "load_log": """
+SELECT concat('b_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_month) AS VARCHAR(2))) AS batch_id, concat('spec_', CAST(month(fin_month) % 3 AS VARCHAR(2))) AS spec_id,
+       CASE WHEN month(fin_month) % 2=0 THEN 'out' ELSE 'in' END AS direction, concat('Sheet-', CAST(year(fin_month) AS VARCHAR(4)), '.xlsx') AS origin, fin_month AS imported_at, CAST(count(*) AS BIGINT) AS n_rows
+FROM fx_month GROUP BY fin_month""",
+    "fact_line": """
+SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS fin_month, concat('c_', CAST(c.c_nationkey AS VARCHAR(10))) AS company_id, c.c_mktsegment AS business_line,
+       CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(12,2))*(1-CAST(l.l_discount AS DECIMAL(4,2)))) AS DECIMAL(18,2)) AS amount
+FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey JOIN customer c ON o.o_custkey=c.c_custkey GROUP BY 1,2,3""",
+    "sheet_row": """
+SELECT concat('g_', CAST(year(fin_month) AS VARCHAR(4))) AS file_hash, CAST(1+row_number() OVER (PARTITION BY year(fin_month) ORDER BY fin_month, company_id, metric_id, scenario, ccy) AS INT) AS row_no,
+       company_id, metric_id, fin_month, amount, ytd FROM fx_windows""",
+    "sheet_cell": """
+SELECT file_hash, 'sheet1' AS sheet, 1 AS row_no, col_no, 'text' AS value_kind, raw_value, CAST(NULL AS VARCHAR(30)) AS formula FROM (SELECT DISTINCT file_hash FROM sheet_row) f
+CROSS JOIN (SELECT 1 AS col_no, 'unit' AS raw_value UNION ALL SELECT 2, 'period' UNION ALL SELECT 3, 'metric' UNION ALL SELECT 4, 'this month' UNION ALL SELECT 5, 'to date' UNION ALL SELECT 6, 'ratio') h
+UNION ALL SELECT file_hash, 'sheet1', row_no, 1, 'text', CASE WHEN row_no % 90=0 THEN ' ' ELSE company_id END, CAST(NULL AS VARCHAR(30)) FROM sheet_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 2, CASE WHEN row_no % 60=0 THEN 'number' ELSE 'text' END,
+       CASE WHEN row_no % 60=0 THEN '46174' ELSE concat(CAST(year(fin_month) AS VARCHAR(4)), '/', CAST(month(fin_month) AS VARCHAR(2))) END, CAST(NULL AS VARCHAR(30)) FROM sheet_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 3, 'text', metric_id, CAST(NULL AS VARCHAR(30)) FROM sheet_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 4, 'number', CAST(amount AS VARCHAR(30)), CASE WHEN row_no % 35=0 THEN concat('=SUM(D2:D', CAST(row_no AS VARCHAR(10)), ')') END FROM sheet_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 5, 'number', CAST(CAST(ytd AS DECIMAL(18,2)) AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM sheet_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 6, 'number', '1', CAST(NULL AS VARCHAR(30)) FROM sheet_row WHERE row_no % 2=0""",
+    "month_sheet": """
+SELECT concat('h_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_month) AS VARCHAR(2))) AS file_hash, 'sheet1' AS sheet, row_no, col_no, raw_value FROM raw_cell JOIN
+(SELECT file_hash AS of_file, row_no AS of_row, fin_month FROM grid) g ON file_hash=of_file AND row_no=of_row""",
 }
 
 
