@@ -82,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+# Texts with A to Z made small, and the words of a benchmark item or a document, as DuckDB reads them.
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 ORACLES = {
     "op1_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -94,6 +97,45 @@ kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS kept FROM word
 gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+""",
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS p, b.doc_id AS q FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT p, q FROM links UNION SELECT r.p, l.q FROM reach r JOIN links l ON r.q = l.p),
+least AS (SELECT p, min(q) AS q FROM reach GROUP BY p)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(coalesce(q, doc_id), doc_id) AS component_id, least(coalesce(q, doc_id), doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least ON p = doc_id
+""",
+    "op7_warc_derivatives": """
+WITH s AS (SELECT page_id, CAST(url AS VARCHAR) AS target_uri, coalesce(html, '') AS body FROM pages),
+p AS (SELECT *, 'sha1:' || sha1(body) AS payload, md5(concat_ws(chr(10), 'response', CAST(page_id AS VARCHAR), target_uri, 'sha1:' || sha1(body))) AS h FROM s),
+r AS (SELECT *, '<urn:uuid:' || concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) || '>' AS refers_to FROM p),
+texts AS (SELECT *, regexp_replace(regexp_replace(body, '<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS plain FROM r),
+c AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS mime, 'content-length: ' || strlen(body) || chr(13) || chr(10) || 'payload-digest: ' || payload || chr(13) || chr(10) AS content FROM texts
+UNION ALL SELECT *, 'conversion', 'text/plain', trim(regexp_replace(replace(replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) FROM texts),
+b AS (SELECT *, 'sha1:' || sha1(content) AS block_digest FROM c),
+i AS (SELECT *, md5(concat_ws(chr(10), warc_type, refers_to, block_digest)) AS g FROM b),
+n AS (SELECT *, '<urn:uuid:' || concat_ws('-', g[1:8], g[9:12], g[13:16], g[17:20], g[21:32]) || '>' AS record_id FROM i)
+SELECT page_id, warc_type, record_id, refers_to, target_uri, payload, block_digest, concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
+'WARC-Target-URI: ' || coalesce(target_uri, ''), 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || mime, 'Content-Length: ' || strlen(content), '', '') AS header, content FROM n
+""",
+    "op8_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_SMALL}, '{_WORD}') AS w FROM benchmark),
+wins AS (SELECT item_id, least(len(w), 13) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS seq FROM items WHERE len(w) > 0),
+starts AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM wins)),
+found AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS seq FROM starts) JOIN wins USING (k, seq)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
+ids AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS x FROM found GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items, sha256(coalesce(x, '')) AS items_sha256,
+coalesce(hits.n > 0 AND 20 * hits.n >= len(w), FALSE) AS contaminated FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id
+""",
+    "op10_nearest_vectors": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """,
 }
 
