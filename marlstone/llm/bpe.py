@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from marlstone.llm.runtime import documents, ship
 from marlstone.llm.textcore import chunks
 
-MEMO_ENTRIES, STATE_ENTRIES = 400_000, 100_000
+MEMO_ENTRIES, STATE_ENTRIES = 200_000, 50_000
 #: New ways out of a state before they are made into edges, and the longest rest that is read without.
 COLD_VISITS, COLD_BYTES = 24, 256
 
@@ -234,19 +235,15 @@ class Utf8Stream:
         return rest
 
 
-class Codec:
-    def __init__(self, path: str, pattern: str):
-        ranks = load_ranks(path)
-        self.pieces = regex.compile(pattern).findall
-        self.memo = _Memo(Transducer(ranks))
+class Decoder:
+    """Ids to text; needs the tokens alone."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         self.tokens = np.empty(max(ranks.values()) + 1, object)
         self.tokens[:] = b""
         for t, i in ranks.items():
             self.tokens[i] = t
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
-
     def decode(self, ids: bytes, step: int = 1 << 14) -> str:
         stream, out, every = Utf8Stream(), [], np.frombuffer(ids, "<u4")
         for i in range(0, len(every), step):
@@ -254,20 +251,31 @@ class Codec:
         return "".join(out) + stream.end()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+class Encoder:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.pieces = regex.compile(pattern).findall
+        self.memo = _Memo(Transducer(ranks))
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+
+
+@cache
+def encoder(path: str, pattern: str) -> Encoder:
+    """One per Python worker."""
+    return Encoder(load_ranks(path), pattern)
 
 
-def codec(path: str, pattern: str) -> Codec:
+@cache
+def decoder(path: str) -> Decoder:
     """One per Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return Decoder(load_ranks(path))
 
 
 def _mapped(columns: list[str], kinds: list[pa.DataType], rows) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch, batch.schema.names[1], 1 << 22):
+            for chunk in chunks(batch, batch.schema.names[1]):
                 made = list(zip(*(rows(x.as_py()) for x in chunk.column(1)), strict=True))
                 yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=["doc_id", *columns])
 
@@ -279,19 +287,30 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     ship(df.sparkSession)
 
     def rows(text: str | None) -> tuple[int, bytes]:
-        ids = codec(path, pattern).encode(text or "")
+        ids = encoder(path, pattern).encode(text or "")
         return len(ids) // 4, ids
 
     return documents(df, id_col, text_col).mapInArrow(_mapped(["n_tokens", "ids"], [pa.int64(), pa.binary()], rows), "doc_id long, n_tokens long, ids binary")
 
 
-def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, n_tokens, ids and text."""
     ship(df.sparkSession)
 
     def rows(ids: bytes | None) -> tuple[int, bytes, str]:
         ids = ids or b""
-        return len(ids) // 4, ids, codec(path, pattern).decode(ids)
+        return len(ids) // 4, ids, decoder(path).decode(ids)
 
     named = df.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{ids_col}` AS ids")
     return named.mapInArrow(_mapped(["n_tokens", "ids", "text"], [pa.int64(), pa.binary(), pa.string()], rows), "doc_id long, n_tokens long, ids binary, text string")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and the text that these ids decode to: encode and decode in one pass, so in one Python worker a task."""
+    ship(df.sparkSession)
+
+    def rows(text: str | None) -> tuple[int, bytes, str]:
+        ids = encoder(path, pattern).encode(text or "")
+        return len(ids) // 4, ids, decoder(path).decode(ids)
+
+    return documents(df, id_col, text_col).mapInArrow(_mapped(["n_tokens", "ids", "text"], [pa.int64(), pa.binary(), pa.string()], rows), "doc_id long, n_tokens long, ids binary, text string")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: dict[str, bool] = {}
+#: Bytes of an Arrow batch on its way to a Python worker: long documents make a batch of many rows large.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that tasks can import it."""
+    """Sends this package to the executors once per application, so that tasks can import it, and bounds Arrow batches where the session doesn't."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if _shipped.get(sc.applicationId):
         return
     target = Path(tempfile.mkdtemp(prefix="marlstone-code-")) / f"{_PACKAGE.name}.zip"

@@ -127,7 +127,8 @@ def test_bpe(spark, texts):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     rows = [*texts, (90, "aaaa" * 400 + " 漢字😀é\x1c\x85 \n\n  it's 1234"), (91, " " * 500)]
-    got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, rows), path, pattern), path, pattern).collect()}
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, rows), path, pattern), path).collect()}
+    assert got == {r.doc_id: r for r in bpe.round_trip(frame(spark, rows), path, pattern).collect()}
     for i, t in rows:
         assert np.frombuffer(got[i].ids, "<u4").tolist() == known.encode_ordinary(t or "")
         assert got[i].text == (t or "")
