@@ -44,7 +44,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text they decode to."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    decoded = bpe.round_trip(docs, path, pattern)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
