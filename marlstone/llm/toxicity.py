@@ -12,8 +12,8 @@ Label model.  A generative model of the votes: each voter has its own rates of
 Classifier.   A logistic regression on the voters' evidence, trained on the
               posterior labels, scores every document.
 
-The fit takes at most FIT_ROWS labelled rows (a documented bound); everything is
-scored.
+The fit takes at most about FIT_ROWS labelled rows (a documented bound), each
+text among them once, as toxic if any copy is; everything is scored.
 
 Defined results: null, empty and blank texts have no evidence and get the score
 of a text without hits; repeated rows and null ids give a row each; without any
@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import labelled_sample, logistic
-from marlstone.llm.runtime import documents, ship
+from marlstone.llm.runtime import documents, ship, stash
 from marlstone.llm.textcore import NOT_ALNUM, bytes_of, chunks, text_column, words_of
 
 FIT_ROWS = 10_000
-MINED_WORDS = 64
+#: A mined entry is in so many distinct toxic texts at least, and so much of the texts that have it is toxic.
+SUPPORT, PURITY = 4, 0.95
 #: Word beginnings that are tried as stems, in characters.
 STEMS = (4, 5, 6)
 #: Insults of everyday English; mined words add what a corpus has besides.
@@ -144,29 +145,32 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """Words and stems that labelled documents show to be toxic, those of many documents first. At most MINED_WORDS go to the driver's model."""
+    """Words and stems that distinct texts show to be toxic, those of many texts first; as many as pass, which the bound on the sample limits.
+
+    An entry needs SUPPORT toxic texts whatever the most frequent one has, so that the words of a rare language count, and PURITY.
+    """
     plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = sample.select("label", F.array_distinct(F.split(plain, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")).alias("words"))
     stems = [F.expr(f"transform(filter(words, w -> length(w) > {k}), w -> concat(left(w, {k}), '*'))") for k in STEMS]
     entry = words.select("label", F.explode(F.array_distinct(F.concat(F.filter("words", lambda w: F.length(w) >= 3), *stems))).alias("entry"))
     counts = entry.groupBy("entry").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    # A toxic word is seen in several toxic documents, and hardly ever in clean ones.
-    likely = counts.filter((F.col("bad") >= 4) & (F.col("bad") >= 0.95 * F.col("n"))).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(20 * MINED_WORDS)
-    found: list[str] = []
-    least = None
+    # A toxic word is seen in several toxic texts, and hardly ever in clean ones.
+    likely = counts.filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n"))).orderBy(F.desc("bad"), F.length("entry"), "entry")
+    found: dict[str, None] = {}
     for r in likely.collect():
-        # Copies of a few toxic documents also repeat harmless words; those stay far behind the words of many documents.
-        least = least or 0.1 * r["bad"]
-        stem = r["entry"].rstrip("*")
-        if r["bad"] >= least and not any(stem.startswith(x.rstrip("*")) for x in found) and not any(x.startswith(stem) for x in SEED_LEXICON):
-            found.append(r["entry"])
-    return found[:MINED_WORDS]
+        # What a stem found before matches anyway goes; a whole word matches nothing but itself.
+        entry, stem = r["entry"], r["entry"].rstrip("*")
+        known = entry in SEED_LEXICON or entry.endswith("*") and any(x.startswith(stem) for x in SEED_LEXICON)
+        if not known and not any(stem[:k] + "*" in found for k in STEMS if k <= len(stem)):
+            found[entry] = None
+    return list(found)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_ROWS, label: str = "toxic") -> ToxicityModel:
     """Fits from documents (doc_id, text) and labels (doc_id, label); only labels for which ``allowed`` holds are read."""
     ship(docs.sparkSession)
     sample = labelled_sample(documents(docs), labels, label, allowed, bound).filter("text IS NOT NULL")
+    sample = stash(sample.groupBy("text").agg(F.max("label").alias("label")), "labelled")
     lexicon = Lexicon(list(dict.fromkeys([*SEED_LEXICON, *mine(sample)])))
     names = [*lexicon.entries, *PATTERNS]
 

@@ -183,6 +183,21 @@ def test_held_out_accuracy(labelled, op, label, threshold):
     assert all(0 <= r.score <= 1 for r in op.score(docs.filter("doc_id >= 990"), model).collect())
 
 
+def test_toxic_words_of_a_rare_language(spark):
+    r = random.Random(5)
+    fill = lambda lang: [f"{lang}{r.randrange(300)}" for _ in range(40)]
+    rows = [(["common"] if i % 3 == 0 else []) + fill("mot") for i in range(240)] + [(["raro"] if i % 3 == 0 else []) + fill("voz") for i in range(18)]
+    rows += [[f"{chr(97 + i // 26)}{chr(97 + i % 26)}tail", *fill("mot")] for i in range(80) for _ in range(4)]  # many words of little support
+    rows += [["common", "copied", "mot1"]] * 200
+    data = [(i, " ".join(w), int(w[0] in ("common", "raro") or w[0].endswith("tail"))) for i, w in enumerate(rows)]
+    docs, labels = frame(spark, [x[:2] for x in data]), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    found = set(model.lexicon.entries)
+    assert {"raro", "comm*"} <= found and not any(e.startswith("copi") for e in found) and sum(e[2:4] == "ta" for e in found) == 80
+    unseen = [(1, "raro voz1 voz2 voz3"), (2, "voz1 voz2 voz3 voz4"), (3, "aatail mot1 mot2 mot3")]
+    assert [x.score >= 0.7 for x in toxicity.score(frame(spark, unseen), model).orderBy("doc_id").collect()] == [True, False, True]
+
+
 def test_empty_tables(spark):
     none, items = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert substring_dedup.remove_repeats(none).count() == 0
