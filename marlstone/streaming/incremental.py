@@ -6,22 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+FILE = "_marlstone_file"
+
+
+def _digests(batch: DataFrame, columns: list[str]) -> DataFrame:
+    """file and file_hash of each input file: its row count and sums of row hashes, so that a file of any size is hashed where it is read.
+
+    The order of rows within a file doesn't count; how often each occurs does.
+    """
+    row = F.sha2(F.to_json(F.struct(*columns)), 256)
+    part = lambda at: F.sum(F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = F.concat_ws(" ", F.count("*").cast("string"), *map(part, (1, 16, 31, 46)))
+    return batch.select(FILE, row.alias("row")).groupBy(FILE).agg(F.sha2(sums, 256).alias("file_hash"))
+
 
 def incremental_landing(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> DataFrame:
-    """Drains new Parquet files of a folder into target, keyed by content, and returns what has landed.
+    """Drains new Parquet files of a folder into target, keyed by content, and returns what has landed, with each row's file_hash.
 
-    A file seen again, or the same rows under another name, adds nothing: each
-    micro-batch is matched against what landed before by a row fingerprint.
+    A file seen again, under whatever name, adds nothing. A new file lands with
+    every row, also rows that repeat within it or are in other files.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withColumn("fingerprint", F.sha2(F.to_json(F.struct(*schema.fieldNames())), 256))
+    columns = schema.fieldNames()
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_path").alias(FILE))
 
     def land(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        new = batch.dropDuplicates(["fingerprint"])
+        new = _digests(batch, columns).groupBy("file_hash").agg(F.min(FILE).alias(FILE))
         hadoop = session._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(session.read.parquet(target).select("fingerprint"), "fingerprint", "left_anti")
-        new.write.mode("append").parquet(target)
+            new = new.join(session.read.parquet(target).select("file_hash").distinct(), "file_hash", "left_anti")
+        # One row a file, as in the stream's own log.
+        batch.join(F.broadcast(new), FILE).select(*columns, "file_hash").write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)

@@ -138,6 +138,26 @@ def test_a_file_lands_once(spark, tmp_path):
     assert incremental_landing(spark, source, df.schema, target, mark).count() == 2
 
 
+def test_equal_rows_of_new_files_all_land(spark, tmp_path):
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "i int, t string"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    landed = lambda: sorted(((r.i, r.t) for r in incremental_landing(spark, source, spark.createDataFrame([], schema).schema, target, mark).collect()), key=str)
+    arrive((1, "a"), (1, "a"), (2, None))
+    arrive((1, "a"), (3, "c"))
+    arrive((1, "a"), (3, "c"))  # the same file in the same batch
+    first = [(1, "a")] * 3 + [(3, "c")]
+    assert [x for x in landed() if x[0] != 2] == first
+    arrive((1, "a"), (1, "a"), (2, None))  # and in a later one
+    arrive((1, "a"))
+    arrive((1, "a"), (2, None))
+    rows = landed()
+    assert rows.count((1, "a")) == 5 and rows.count((2, None)) == 2 and len(rows) == 8
+
+
 def test_derived_metrics_can_not_be_filtered_by_metric(micro):
     with pytest.raises(Refused):
         measure_query(micro, [Measure("m_margin")], ("metric_id",), {"ccy": "CNY"}, measures.GROSS)
