@@ -68,6 +68,12 @@ def _sets(chunk: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
 
 
+def _sums(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two sums of hashes of each set: with its size they tell sets apart."""
+    sums = [np.concatenate([[_U(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mix(h), mix(h + _U(0x5851F42D4C957F2D)))]
+    return [(s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums]
+
+
 def _signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     full = np.diff(starts) > 0
     out = np.zeros((len(full), VALUES), np.uint64)
@@ -82,8 +88,7 @@ def _profile(words: int):
         for batch in batches:
             for chunk in chunks(batch, "text"):
                 h, starts = _sets(chunk, words)
-                sums = [np.concatenate([[_U(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mix(h), mix(h + _U(0x5851F42D4C957F2D)))]
-                one, two = ((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
+                one, two = _sums(h, starts)
                 signature = pa.array([x.tobytes() for x in _signatures(h, starts)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [chunk.column("doc_id"), pa.array(np.diff(starts)), pa.array(one), pa.array(two), signature], names=["doc_id", "n_shingles", "one", "two", "signature"]
@@ -106,8 +111,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if v != q:
                             packed = packed << _U(16) | s[:, c + v]
                     keys.append(mix(packed))
-            rep = np.asarray(part.column("rep"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(rep, VALUES))], names=["key", "rep"])
+            set_id = np.asarray(part.column("set_id"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(set_id, VALUES))], names=["key", "set_id"])
 
 
 @F.pandas_udf(BooleanType())
@@ -163,7 +168,11 @@ def _send_sets(words: int):
             for chunk in chunks(batch, "text"):
                 h, starts = _sets(chunk, words)
                 raw = [h[a:z].tobytes() for a, z in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in ("component", "tile", "doc_id")), pa.array(raw, pa.binary())], names=["component", "tile", "doc_id", "members"])
+                names = ["component", "tile", "set_id", "members"]
+                out = pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names[:3]), pa.array(raw, pa.binary())], names=names)
+                # A doc_id may have several texts; only the one that makes the set is sent for it.
+                same = [np.asarray(chunk.column(c)) == x for c, x in zip(("n_shingles", "one", "two"), (np.diff(starts), *_sums(h, starts)), strict=True)]
+                yield out.filter(pa.array(np.logical_and.reduce(same)))
 
     return run
 
@@ -186,11 +195,11 @@ def _confirm(percent: int):
 
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for component, tile, doc, members in zip(*(batch.column(c).to_pylist() for c in ("component", "tile", "doc_id", "members")), strict=True):
+            for component, tile, set_id, members in zip(*(batch.column(c).to_pylist() for c in ("component", "tile", "set_id", "members")), strict=True):
                 if (component, tile) != key:
                     links += solve(held)
                     key, held = (component, tile), []
-                held.append((doc, members))
+                held.append((set_id, members))
             yield out(links)
         yield out(solve(held))
 
@@ -203,28 +212,43 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     docs = documents(df, id_col, text_col)
     profile = stash(docs.mapInArrow(_profile(words), "doc_id long, n_shingles long, one long, two long, signature binary"), "profiles")
     same = ["n_shingles", "one", "two"]
-    classes = stash(profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
+    # Several classes may have the same smallest doc_id, so each gets an id of its own, which the stash holds fast.
+    classes = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
+    classes = stash(classes.withColumn("set_id", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
-    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
+    keys = classes.select("set_id", "signature").mapInArrow(_keys, "key long, set_id long")
+    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most")
     shared = stash(keys.join(busy.drop("most"), "key"), "shared")
-    few = shared.filter(F.col("n") <= SMALL).select("key", "rep")
-    pairs = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "key").filter("a < b").select("a", "b").distinct()
-    signature = lambda c: classes.groupBy(F.col("rep").alias(c)).agg(F.min("signature").alias(f"{c}_signature"))
+    few = shared.filter(F.col("n") <= SMALL).select("key", "set_id")
+    pairs = few.withColumnRenamed("set_id", "a").join(few.withColumnRenamed("set_id", "b"), "key").filter("a < b").select("a", "b").distinct()
+    signature = lambda c: classes.select(F.col("set_id").alias(c), F.col("signature").alias(f"{c}_signature"))
     near = pairs.join(signature("a"), "a").join(signature("b"), "b").filter(_near("a_signature", "b_signature")).select("a", "b")
-    star = shared.filter((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    star = shared.filter((F.col("n") > SMALL) & (F.col("set_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("set_id").alias("b"))
     groups = stash(components(near.unionByName(star)), "groups")
 
-    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("n")).join(groups, "node")
+    sizes = classes.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n")).join(groups, "node")
     total = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = groups.join(total, "component").withColumn("block", block).withColumn("other", other)
-    placed = placed.filter("blocks = 1 OR block <> other").select(F.col("node").alias("doc_id"), "component", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"))
-    sent = docs.filter("doc_id IS NOT NULL").join(placed, "doc_id").select("component", "tile", "doc_id", "text").mapInArrow(_send_sets(words), "component long, tile int, doc_id long, members binary")
-    confirmed = sent.repartition("component", "tile").sortWithinPartitions("component", "tile", "doc_id").mapInArrow(_confirm(percent), "a long, b long")
-    final = components(confirmed)
-
-    member = profile.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    result = member.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    placed = placed.filter("blocks = 1 OR block <> other").select(F.col("node").alias("set_id"), "component", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"))
+    placed = placed.join(classes.select("set_id", F.col("rep").alias("doc_id"), *same), "set_id")
+    sent = docs.filter("doc_id IS NOT NULL").join(placed, "doc_id").select("component", "tile", "set_id", *same, "text").mapInArrow(_send_sets(words), "component long, tile int, set_id long, members binary")
+    confirmed = sent.repartition("component", "tile").sortWithinPartitions("component", "tile", "set_id").mapInArrow(_confirm(percent), "a long, b long")
+
+    # A doc_id with several sets, also an empty one, is one document: its sets are linked.
+    kind = F.struct(*same)
+    several = profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(kind).alias("least"), F.max(kind).alias("most")).filter("least <> most").select("doc_id")
+    several = stash(several, "several")
+    sets = profile.join(several, "doc_id").select("doc_id", *same).distinct().join(classes.select(*same, "set_id"), same).select("doc_id", "set_id")
+    pooled = sets.join(sets.groupBy("doc_id").agg(F.min("set_id").alias("a")), "doc_id").select("a", F.col("set_id").alias("b"))
+    final = stash(components(confirmed.unionByName(pooled)).withColumnRenamed("node", "set_id"), "final")
+
+    linked = classes.select("set_id", "rep").join(final, "set_id")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = final.join(least, "component").select("set_id", "least")
+    found = classes.select(*same, "set_id", "rep").join(linked, "set_id", "left").select(*same, F.coalesce("least", "rep").alias("component"))
+    member = profile.select("doc_id", *same).join(found, same, "left").select("doc_id", "n_shingles", "component")
+    whole = member.join(several, "doc_id").groupBy("doc_id").agg(F.min("component").alias("whole"))
+    result = member.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("whole", "component", "doc_id").alias("component_id"))
     return result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

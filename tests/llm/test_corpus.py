@@ -183,6 +183,18 @@ def test_held_out_accuracy(labelled, op, label, threshold):
     assert all(0 <= r.score <= 1 for r in op.score(docs.filter("doc_id >= 990"), model).collect())
 
 
+def test_a_repeated_id_pools_the_links_of_its_texts(spark):
+    r = random.Random(11)
+    one, two, apart = ([f"{c}{r.randrange(10**6)}" for _ in range(200)] for c in "xyz")
+    edit = lambda w: " ".join([*w[:100], "edit", *w[101:]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, ""), (7, edit(one)), (8, edit(two)), (9, " ".join(apart)), (None, edit(one))]
+    found = {(x.doc_id, x.component_id, x.kept) for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (None, None, True)}
+    # The set that a link goes through belongs to an id which is not the smallest.
+    rows = [(6, " ".join(one)), (6, " ".join(two)), (2, edit(two)), (3, " ".join(one))]
+    assert {(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {(2, 2), (3, 2), (6, 2)}
+
+
 def test_toxic_words_of_a_rare_language(spark):
     r = random.Random(5)
     fill = lambda lang: [f"{lang}{r.randrange(300)}" for _ in range(40)]
