@@ -1,22 +1,29 @@
 """Byte-level BPE as a lazily determinised transducer, and its streaming decoder.
 
-The merge ranks compile into two small tables: how each token was last merged,
-and which byte strings can still grow into a token.  From these the transducer
-makes its states where texts come often enough.  A state is the last emitted
-token and the bytes read since; reading a byte leads to one next state and emits
-the tokens that no continuation can change.  The rare rest of a short piece is
-read without making states: the last token of each prefix, then back over them.  A token boundary is final once every
-place where a token may still begin reaches back over it, so at most the length
-of the longest token is held back.  States and whole pieces are kept in bounded
-tables; a full table is dropped and made anew, which changes no result.
-
-Correctness rests on two facts about merges by rank: the encoding of a prefix
-that ends at a token boundary is a prefix of the encoding, and a sequence of
-tokens is an encoding exactly if each neighbouring pair is.
+Encoder.  The merges compile into a trie of the tokens and the way each token was
+last merged.  Reading a piece byte by byte, the encoding of what was read so far
+is known, and so is every place where a later token may still begin: the places
+from which the bytes lead to an inner node of the trie.  A state of the
+transducer is the set of these places, each with its node and the tokens before
+it that are not final yet.  What all places agree on no continuation can change:
+it is emitted on the edge, so at most the length of the longest token is held
+back.  States and edges are made when a text first needs them and kept in bounded
+tables; full tables are dropped and filled anew, which changes no result.  Every
+piece that isn't itself a token is read through the states to its last byte.
+
+Decoder.  An automaton reads bytes one at a time: its states are how many bytes a
+character still needs and which range the next one is in, made from the rules of
+UTF-8.  What a token does to a state (text that comes out, the state after) is
+put together from its bytes when first needed and kept in a bounded table.
+
+Correctness of the encoder rests on two facts about merges by rank: the encoding
+of a prefix that ends at a token boundary is a prefix of the encoding, and a
+sequence of tokens is an encoding exactly if each neighbouring pair is.
 
 Defined results: a null text encodes as an empty one; texts of any length stream
-through in pieces; repeated rows and null ids give a row each; an empty table
-gives an empty result; other columns are ignored.
+through in pieces; repeated rows and null ids give a row each; bytes that are no
+UTF-8 decode to a replacement character for each maximal invalid part; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +40,8 @@ from pyspark.sql import DataFrame
 from marlstone.llm.runtime import documents, ship
 from marlstone.llm.textcore import chunks
 
-MEMO_ENTRIES, STATE_ENTRIES = 400_000, 100_000
-#: New ways out of a state before they are made into edges, and the longest rest that is read without.
-COLD_VISITS, COLD_BYTES = 24, 256
+#: Bounds of the tables of a worker: pieces met before, edges, pairs of tokens, what tokens do to a state of the decoder.
+MEMO_ENTRIES, EDGE_ENTRIES, PAIR_ENTRIES, JOIN_ENTRIES = 400_000, 700_000, 800_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,14 +60,10 @@ def _merge(raw: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
-class _State:
-    __slots__ = ("after", "lasts", "prev", "tail", "to", "visits")
-
-    def __init__(self, prev: int, tail: bytes, lasts: tuple[int, ...]):
-        self.prev, self.tail, self.lasts = prev, tail, lasts
-        self.to: dict[int, tuple[_State, bytes]] = {}
-        self.after: bytes | None = None
-        self.visits = 0
+#: What a state keeps: the last final token, where it still matters, and the open places: (node, tokens before it that are not final).
+_Key = tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]
+_NO_TOKEN, _ANY_TOKEN = -1, -2
+_START: _Key = (_NO_TOKEN, ((0, ()),))
 
 
 class Transducer:
@@ -69,35 +71,59 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.code = {i: int(i).to_bytes(4, "little") for i in ranks.values()}
-        self.size = {i: len(t) for t, i in ranks.items()}
         self.split: dict[int, tuple[int, int]] = {}
-        self.made: dict[bytes, int] = {}
+        self.child: dict[int, int] = {}  # node and byte in one number, to a node
+        self.token, self.inner = [-1], [True]  # of each node
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) == 1:
-                self.made[token] = i
-            elif len(parts := _merge(token, ranks, i)) == 2:
+            if len(token) > 1:
+                parts = _merge(token, ranks, i)
+                if len(parts) != 2:  # no merge makes it
+                    continue
                 self.split[i] = (ranks[parts[0]], ranks[parts[1]])
-                self.made[token] = i
+            self.token[self._node(token)] = i
         self.pairs = {v: k for k, v in self.split.items()}
-        self.grows = {t[:k] for t in self.made for k in range(1, len(t))}
-        lengths: dict[bytes, set[int]] = {}
-        for t in self.made:
-            if len(t) > 3:
-                lengths.setdefault(t[-4:], set()).add(len(t))
-        self.lengths = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in lengths.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple[int, bytes], _State] = {}
-        self.start = _State(-1, b"", ())
+        self.fits: dict[int, bool] = {}
+        self._clear()
+
+    def _node(self, token: bytes) -> int:
+        at = 0
+        for byte in token:
+            to = self.child.get(at << 8 | byte)
+            if to is None:
+                to = self.child[at << 8 | byte] = len(self.token)
+                self.token.append(-1)
+                self.inner.append(False)
+                self.inner[at] = True
+            at = to
+        return at
+
+    def _clear(self) -> None:
+        self.edges: dict[int, tuple[int, bytes]] = {}  # state and byte in one number, to a state and what is emitted
+        self.ids: dict[_Key, int] = {}
+        self.states: list[_Key] = []
+        self.rest: list[bytes] = []  # what each state emits at the end of a piece
+        self._state(_START)
+
+    def _state(self, key: _Key) -> int:
+        i = self.ids.get(key)
+        if i is None:
+            i = self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.rest.append(self._written(key[1][-1][1]))
+        return i
+
+    def _written(self, tokens: tuple[int, ...]) -> bytes:
+        return b"".join(map(self.code.__getitem__, tokens))
 
     def follows(self, left: int, right: int) -> bool:
         """Whether [left, right] is an encoding: no merge across the border comes before the merges beside it."""
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 4 * STATE_ENTRIES:
+            if len(self.fits) >= PAIR_ENTRIES:
                 self.fits.clear()
-            known = self.fits[left, right] = self._follows(left, right)
+            known = self.fits[pair] = self._follows(left, right)
         return known
 
     def _follows(self, left: int, right: int) -> bool:
@@ -116,122 +142,124 @@ class Transducer:
             else:
                 end, right = right + 1, b[0]
 
-    def _last(self, tail: bytes, n: int, lasts: list[int] | tuple[int, ...], prev: int) -> int:
-        """The last token of the encoding of tail[:n]; there is just one."""
-        made = self.made.get
-        near = n - 1 - self.size[lasts[n - 2]] if n > 1 else 0  # often the token before grows by a byte
-        t = made(tail[near:n])
-        if t is not None:
-            left = lasts[near - 1] if near else prev
-            if left < 0 or self.follows(left, t):
-                return t
-        for size in self.lengths.get(tail[n - 4 : n] if n > 3 else b"", (3, 2, 1)):
-            p = n - size
-            if p >= 0 and (t := made(tail[p:n])) is not None:
-                left = lasts[p - 1] if p else prev
-                if left < 0 or self.follows(left, t):
-                    return t
-        raise ValueError("the ranks have no token for a byte")
-
-    def _step(self, s: _State, byte: int) -> tuple[_State, bytes]:
-        tail = s.tail + bytes((byte,))
-        n = len(tail)
-        lasts = (*s.lasts, self._last(tail, n, s.lasts, s.prev))
-        # Where a later token may begin: here, or where the rest may still grow into a token.
-        common: set[int] | None = None
-        for j in range(max(0, n - self.longest + 1), n + 1):
-            if j == n or tail[j:] in self.grows:
-                chain, k = {j}, j
-                while k > 0:
-                    k -= self.size[lasts[k - 1]]
-                    chain.add(k)
-                common = chain if common is None else common & chain
-                if common == {0}:
-                    break
-        final = max(common or {0})
-        out = self._back(lasts, final)
-        prev = lasts[final - 1] if final else s.prev
-        key = (prev, tail[final:])
-        to = self.states.get(key)
-        if to is None:
-            if len(self.states) > STATE_ENTRIES:
-                self.states.clear()
-                self.start = _State(-1, b"", ())
-            to = self.states[key] = _State(prev, tail[final:], lasts[final:])
-        return to, out
-
-    def _back(self, lasts: list[int] | tuple[int, ...], k: int) -> bytes:
-        out = []
-        while k > 0:
-            t = lasts[k - 1]
-            out.append(self.code[t])
-            k -= self.size[t]
-        return b"".join(reversed(out))
+    def _edge(self, state: int, byte: int) -> tuple[int, bytes]:
+        """Where a byte leads to from a state, and what it emits."""
+        prev, places = self.states[state]
+        made, still = None, []
+        for node, held in places:
+            to = self.child.get(node << 8 | byte)
+            if to is None:
+                continue
+            if made is None and (token := self.token[to]) >= 0:  # just one token ends here in an encoding
+                left = held[-1] if held else prev
+                if left < 0 or self.follows(left, token):
+                    made = (*held, token)
+            if self.inner[to]:
+                still.append((to, held))
+        if made is None:
+            raise ValueError("the ranks have no token for a byte")
+        still.append((0, made))
+        first = still[0][1]  # the earliest place holds the fewest tokens
+        final = len(first)
+        for _, held in still:
+            while held[:final] != first[:final]:
+                final -= 1
+        emitted = b""
+        if final:
+            prev, emitted = first[final - 1], self._written(first[:final])
+            still = [(node, held[final:]) for node, held in still]
+        key = (prev if not still[0][1] else _ANY_TOKEN, tuple(still))  # behind a held token the final one no longer matters
+        if len(self.edges) >= EDGE_ENTRIES:
+            self._clear()
+            return self._state(key), emitted
+        edge = self.edges[state << 8 | byte] = self._state(key), emitted
+        return edge
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a piece as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return self.code[whole]
-        s, out = self.start, []
-        for i, byte in enumerate(raw):
-            edge = s.to.get(byte)
+        state, out, known = 0, [], self.edges.get
+        for byte in raw:
+            edge = known(state << 8 | byte)
             if edge is None:
-                s.visits += 1
-                if s.visits < COLD_VISITS and len(raw) - i <= COLD_BYTES:
-                    tail, lasts = s.tail + raw[i:], list(s.lasts)
-                    for n in range(len(lasts) + 1, len(tail) + 1):
-                        lasts.append(self._last(tail, n, lasts, s.prev))
-                    out.append(self._back(lasts, len(lasts)))
-                    return b"".join(out)
-                edge = s.to[byte] = self._step(s, byte)
-            s, emitted = edge
+                edge = self._edge(state, byte)
+                known = self.edges.get
+            state, emitted = edge
             if emitted:
                 out.append(emitted)
-        if s.after is None:
-            s.after = self._back(s.lasts, len(s.lasts))
-        out.append(s.after)
+        out.append(self.rest[state])
         return b"".join(out)
 
 
 class _Memo(dict):
-    """Piece to ids; filled by the transducer."""
+    """Piece to ids; filled by the transducer. Of the pieces met before the last change of generation those come back that are met again."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
+        if len(self) >= MEMO_ENTRIES // 2:
+            self.before = dict(self)
             self.clear()
-        ids = self.transducer.encode(piece.encode())
         if len(piece) < 64:
             self[piece] = ids
         return ids
 
 
+def _utf8_steps() -> list[list[int]]:
+    """steps[state][byte]: the next state, or -1. State 0 is between characters, 1 to 3 need so many more bytes.
+
+    The others follow a lead byte whose next byte is in a smaller range: no overlong form, surrogate or number over 10FFFF.
+    """
+    ranges = [
+        [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)],
+        [(0x80, 0xBF, 0)], [(0x80, 0xBF, 1)], [(0x80, 0xBF, 2)],
+        [(0xA0, 0xBF, 1)], [(0x80, 0x9F, 1)], [(0x90, 0xBF, 2)], [(0x80, 0x8F, 2)],
+    ]
+    steps = [[-1] * 256 for _ in ranges]
+    for state, parts in enumerate(ranges):
+        for a, z, to in parts:
+            steps[state][a : z + 1] = [to] * (z - a + 1)
+    return steps
+
+
 class Utf8Stream:
     """Turns bytes into text as they come; a character that is cut off waits for its rest."""
 
-    def __init__(self):
-        self.held = b""
+    STEPS, REPLACEMENT = _utf8_steps(), "�"
+
+    def __init__(self, state: int = 0, held: bytes = b""):
+        self.state, self.held = state, held
 
     def feed(self, raw: bytes) -> str:
-        raw = self.held + raw
-        cut = len(raw)
-        for back in range(1, min(3, len(raw)) + 1):
-            lead = raw[-back]
-            if lead >= 0xC0:
-                need = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                if need > back:
-                    cut = len(raw) - back
-                break
-            if lead < 0x80:
-                break
-        self.held = raw[cut:]
-        return raw[:cut].decode("utf-8", "replace")
+        state, held, out = self.state, bytearray(self.held), []
+        for byte in raw:
+            to = self.STEPS[state][byte]
+            if to < 0 and state:  # the character breaks off, and the byte begins anew
+                out.append(self.REPLACEMENT)
+                held.clear()
+                to = self.STEPS[0][byte]
+            if to < 0:
+                out.append(self.REPLACEMENT)
+                to = 0
+            else:
+                held.append(byte)
+                if to == 0:
+                    out.append(held.decode())
+                    held.clear()
+            state = to
+        self.state, self.held = state, bytes(held)
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+        rest = self.REPLACEMENT if self.held else ""
+        self.state, self.held = 0, b""
         return rest
 
 
@@ -239,16 +267,46 @@ class Decoder:
     """Ids to text; needs the tokens alone."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = np.empty(max(ranks.values()) + 1, object)
-        self.tokens[:] = b""
-        for t, i in ranks.items():
-            self.tokens[i] = t
+        n = max(ranks.values()) + 1
+        self.raw = [b""] * n
+        for token, i in ranks.items():
+            self.raw[i] = token
+        self.text, self.whole = np.empty(n, object), np.zeros(n, bool)  # tokens that lead from between characters to there
+        for i, token in enumerate(self.raw):
+            stream = Utf8Stream()
+            self.text[i] = stream.feed(token)
+            self.whole[i] = not stream.held
+        self.joins: dict[tuple[bytes, int], tuple[str, int, bytes]] = {}
+
+    def _join(self, state: int, held: bytes, token: int) -> tuple[str, int, bytes]:
+        """What a token does in the middle of a character; the bytes held fix the state."""
+        known = self.joins.get((held, token))
+        if known is None:
+            if len(self.joins) >= JOIN_ENTRIES:
+                self.joins.clear()
+            stream = Utf8Stream(state, held)
+            known = self.joins[held, token] = stream.feed(self.raw[token]), stream.state, stream.held
+        return known
 
     def decode(self, ids: bytes, step: int = 1 << 14) -> str:
-        stream, out, every = Utf8Stream(), [], np.frombuffer(ids, "<u4")
-        for i in range(0, len(every), step):
-            out.append(stream.feed(b"".join(self.tokens[every[i : i + step]].tolist())))
-        return "".join(out) + stream.end()
+        every, out, state, held = np.frombuffer(ids, "<u4"), [], 0, b""
+        for a in range(0, len(every), step):
+            part = every[a : a + step]
+            cut = np.flatnonzero(~self.whole[part]).tolist()  # only these may leave a character open
+            at = 0
+            for c in [*cut, len(part)]:
+                while held and at < min(c + 1, len(part)):
+                    text, state, held = self._join(state, held, int(part[at]))
+                    out.append(text)
+                    at += 1
+                if at < c:
+                    out.extend(self.text[part[at:c]].tolist())
+                    at = c
+                if at == c and c < len(part) and not held:
+                    text, state, held = self._join(0, b"", int(part[c]))
+                    out.append(text)
+                    at += 1
+        return "".join(out) + Utf8Stream(state, held).end()
 
 
 class Encoder:

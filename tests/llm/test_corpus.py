@@ -127,6 +127,8 @@ def test_bpe(spark, texts):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     rows = [*texts, (90, "aaaa" * 400 + " 漢字😀é\x1c\x85 \n\n  it's 1234"), (91, " " * 500)]
+    again = bpe.encode(frame(spark, [(5, "twice"), (5, "twice"), (None, "no id"), (None, None)]), path, pattern).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in again) == [("5", len(known.encode_ordinary("twice")))] * 2 + [("None", 0), ("None", len(known.encode_ordinary("no id")))]
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, rows), path, pattern), path).collect()}
     assert got == {r.doc_id: r for r in bpe.round_trip(frame(spark, rows), path, pattern).collect()}
     for i, t in rows:
@@ -134,9 +136,58 @@ def test_bpe(spark, texts):
         assert got[i].text == (t or "")
 
 
-def test_utf8_stream():
-    raw, s = "aé漢😀".encode(), bpe.Utf8Stream()
-    assert "".join(s.feed(raw[i : i + 1]) for i in range(len(raw))) + s.end() == "aé漢😀"
+def test_every_piece_is_read_through_the_states():
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = bpe.load_ranks(path)
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(2)
+    part = ["le", "aux", "çan", "è", "straße", "ing", "str", "zu", "漢", "😀", "1", "ñ"]
+    pieces = [" " + "".join(r.choice(part) for _ in range(r.randint(1, 9))) for _ in range(3000)] + ["a" * 3000, "xyz" * 900]
+
+    class Counted(dict):
+        reads = 0
+
+        def get(self, key):
+            self.reads += 1
+            return super().get(key)
+
+    own = bpe.Transducer(ranks)
+    own.edges = Counted(own.edges)
+    for piece in pieces:
+        raw, before = piece.encode(), own.edges.reads
+        assert np.frombuffer(own.encode(raw), "<u4").tolist() == known._encode_single_piece(raw)
+        assert own.edges.reads - before == (0 if raw in ranks else len(raw))
+    longest = max(map(len, ranks))
+    assert all(len(held) <= longest for _, places in own.states for _, held in places)
+
+
+def test_full_tables_change_no_result(monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = bpe.load_ranks(path)
+    text = " ".join(f"wörd{i}tail{i * 7}" for i in range(400)) + "q" * 700
+    want = bpe.Encoder(ranks, pattern).encode(text)
+    for name, n in (("EDGE_ENTRIES", 40), ("PAIR_ENTRIES", 30), ("MEMO_ENTRIES", 6), ("JOIN_ENTRIES", 2)):
+        monkeypatch.setattr(bpe, name, n)
+    small = bpe.Encoder(ranks, pattern)
+    assert small.encode(text) == want and len(small.memo.transducer.edges) <= 40 and len(small.memo) <= 6
+    assert bpe.Decoder(ranks).decode(want) == text
+
+
+def test_utf8_states_against_the_library():
+    r = random.Random(1)
+    some = [0x41, 0xC3, 0xA9, 0xE6, 0xBC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xE0, 0xF4, 0x90, 0xFF, 0xC0]
+    for raw in ["aé漢😀".encode(), *(bytes(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(5000))]:
+        s = bpe.Utf8Stream()
+        assert "".join(s.feed(raw[i : i + 1]) for i in range(len(raw))) + s.end() == raw.decode("utf-8", "replace")
+
+
+def test_decoder_joins_characters_across_tokens():
+    ranks, r = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), random.Random(4)
+    decoder = bpe.Decoder(ranks)
+    for _ in range(1500):
+        ids = np.array([r.randrange(256 if r.random() < 0.7 else 50256) for _ in range(r.randint(0, 30))], "<u4")
+        raw = b"".join(decoder.raw[i] for i in ids)
+        assert decoder.decode(ids.tobytes(), step=r.choice([1, 3, 100])) == raw.decode("utf-8", "replace")
 
 
 def test_neighbours(spark):
