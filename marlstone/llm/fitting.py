@@ -13,15 +13,16 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
-    """doc_id, text and label (0 or 1) of at most about ``bound`` labelled rows, an even share by a hash of the id.
+    """doc_id, text and label (0 or 1) of at most about ``bound`` labelled documents, an even share by a hash of the id.
 
-    The labels kept are few by construction, so they are broadcast and the texts don't move.  Ids with contradicting labels take the larger one.
+    The labels kept are few by construction, so they are broadcast and the texts don't move.  Ids with contradicting labels
+    take the larger one, and of rows that repeat an id the smallest text stands for it: a row for each id, however often it repeats.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     total = known.count()
     if total > bound:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * bound / total))
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:

@@ -8,9 +8,9 @@ backward passes give each line's probability of being good; the mean of these,
 weighted by length, is the document's raw quality, and a logistic curve fitted
 on the same labels maps it to a probability.
 
-The fit takes at most FIT_DOCS labelled documents and, of each, a block of at
-most FIT_LINES lines from its middle (documented bounds); scoring reads every
-line of every text.
+The fit takes whole labelled documents, at most about FIT_DOCS of them and only as
+many as have FIT_LINES lines together, chosen by a hash of the id (documented
+bounds, both parameters of ``fit``); scoring reads every line of every text.
 
 Defined results: null, empty and blank texts have no lines and get the share of
 good documents among the labels; repeated rows and null ids give a row each;
@@ -26,12 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import labelled_sample, logistic
-from marlstone.llm.runtime import documents, ship
+from marlstone.llm.runtime import documents, ship, stash
 from marlstone.llm.textcore import SPACE, bytes_of, chunks, text_column, words_of
 
-FIT_DOCS, FIT_LINES, ROUNDS = 4000, 48, 150
+FIT_DOCS, FIT_LINES, ROUNDS = 4000, 150_000, 150
 _SETS = {
     "letter": [*range(65, 91), *range(97, 123), *range(128, 256)], "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58),
     "stop": b".,;:?", "mark": b"!", "symbol": b"#$%&*@^~<>{}[]=_\\/+`", "bar": b"|", "space": np.flatnonzero(SPACE),
@@ -156,18 +157,31 @@ def _curve(raw: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(p)), np.log(p / (1 - p)) / 4, p], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_DOCS, label: str = "quality") -> QualityModel:
+def _within(sample: DataFrame, lines: int) -> DataFrame:
+    """The documents of a bounded sample, by a hash of the id, that have so many lines together."""
+    place = F.xxhash64("doc_id")
+    held, last = 0, None
+    breaks = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")) + 1
+    for r in sample.select(place.alias("place"), breaks.alias("n")).orderBy("place").collect():  # a row for each document of the sample
+        held += r["n"]
+        if held > lines:
+            break
+        last = r["place"]
+    return sample.filter(place <= last) if last is not None else sample.limit(0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_DOCS, label: str = "quality", lines: int = FIT_LINES) -> QualityModel:
     """Fits from documents (doc_id, text) and labels (doc_id, label); only labels for which ``allowed`` holds are read."""
     ship(docs.sparkSession)
-    sample = labelled_sample(documents(docs), labels, label, allowed, bound)
+    sample = _within(stash(labelled_sample(documents(docs), labels, label, allowed, bound), "labelled"), lines)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
                 own, size, starts = _lines(chunk)
                 rows = np.concatenate([_with_neighbours(own, starts), size[:, None]], axis=1)
-                middle = [rows[a + max(0, z - a - FIT_LINES) // 2 :][: min(z - a, FIT_LINES)].ravel() for a, z in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("label"), pa.array(middle, pa.list_(pa.float64()))], names=["doc_id", "label", "rows"])
+                parts = [rows[a:z].ravel() for a, z in zip(starts, starts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("label"), pa.array(parts, pa.list_(pa.float64()))], names=["doc_id", "label", "rows"])
 
     got = sample.mapInArrow(gather, "doc_id long, label int, rows array<double>").toPandas().sort_values("doc_id")
     own, _, starts = _lines(pa.RecordBatch.from_arrays([pa.array(["x"])], names=["text"]))

@@ -1,24 +1,28 @@
 """Toxicity by weak supervision.
 
-Voters.       One voter for each word of a seed lexicon, for each word or word
-              stem that the labelled sample shows to be toxic, and pattern voters
-              for capitals, exclamation marks, density and absence of hits.  A voter
-              says toxic (1), clean (-1) or nothing (0).
-Label model.  A generative model of the votes: each voter has its own rates of
-              saying toxic or clean in either class, estimated by expectation
-              maximisation from the votes alone after a start from the sample's
-              labels.  Correlations left between voters given the class shrink
-              their weight, so that near copies don't count as independent.
+Voters.       Nothing toxic is listed here: words, beginnings of words and pairs of
+              neighbouring words vote if the labelled sample shows, by a significance
+              test against the share of toxic texts, that texts with so many of them
+              are toxic.  Pattern voters look at capitals, exclamation, repetition,
+              symbols, word length and how densely the lexicon hits, each above a cut
+              that the sample sets.  A voter fires (1) or not (0); which class a
+              firing speaks for is learned.
+Label model.  A generative model of the votes: each voter has its own rate of
+              firing in either class, and the label of a sample row is one more,
+              noisy vote.  Expectation maximisation estimates rates and posteriors;
+              in each round the correlation left between voters given the class is
+              estimated anew and shrinks their weight, so that near copies don't count
+              as independent.
 Classifier.   A logistic regression on the voters' evidence, trained on the
               posterior labels, scores every document.
 
-The fit takes at most about FIT_ROWS labelled rows (a documented bound), each
-text among them once, as toxic if any copy is; everything is scored.
+The fit takes at most FIT_ROWS labelled rows (a documented bound), each text among
+them once, as toxic if any copy is; everything is scored.
 
 Defined results: null, empty and blank texts have no evidence and get the score
 of a text without hits; repeated rows and null ids give a row each; without any
-labelled row the seed lexicon alone votes with fixed rates; an empty table gives
-an empty result; other columns are ignored.
+labelled row nothing is known and every score is the prior PRIOR; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,53 +32,62 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import labelled_sample, logistic
 from marlstone.llm.runtime import documents, ship, stash
-from marlstone.llm.textcore import NOT_ALNUM, bytes_of, chunks, text_column, words_of
+from marlstone.llm.textcore import NOT_ALNUM, SPACE, NGrams, bytes_of, chunks, text_column, words_of
 
-FIT_ROWS = 10_000
-#: A mined entry is in so many distinct toxic texts at least, and so much of the texts that have it is toxic.
-SUPPORT, PURITY = 4, 0.95
-#: Word beginnings that are tried as stems, in characters.
-STEMS = (4, 5, 6)
-#: Insults of everyday English; mined words add what a corpus has besides.
-SEED_LEXICON = (
-    "idiot stupid moron dumb fool loser scum trash garbage pathetic worthless disgusting clown jerk creep freak ugly "
-    "liar coward vermin filth imbecile bastard"
-).split()
-PATTERNS = ("capitals", "exclaiming", "several", "dense", "none")
+FIT_ROWS, PRIOR = 10_000, 0.05
+#: A lexicon entry: so many toxic texts at least, so much of its texts toxic, and a G statistic that chance reaches about once among all candidates, and this at least.
+SUPPORT, PURITY, SURE = 4, 0.5, 12.0
+#: Beginnings of words that are tried, in characters, and how many occurrences an entry may need.
+STEMS, TIMES = (3, 4, 5, 6, 7, 8), (1, 2, 3)
+PATTERNS = ("capitals", "exclaiming", "repeating", "symbols", "long words", "kinds", "dense")
+#: How sure a label of the sample is as a vote.
+LABEL_ODDS = float(np.log(0.98 / 0.02))
 
 
 @dataclass
 class Lexicon:
-    """Entries that end in * match the beginning of a word. Hashes are sorted by length in bytes; length 0 stands for whole words."""
+    """Entries: a word, a beginning that ends in *, or two neighbouring words; times: how often a text must have each for it to fire.
+
+    Hashes are sorted by kind: the length in bytes of a beginning, 0 for whole words, -1 for pairs.
+    """
 
     entries: list[str]
+    times: list[int]
 
     def __post_init__(self) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        stems = [e[:-1] if e.endswith("*") else e for e in self.entries]
-        hashes = words_of(pa.array(stems, pa.string()), lower=True, ends=NOT_ALNUM).hash
-        kinds = np.array([len(x.encode()) if e.endswith("*") else 0 for e, x in zip(self.entries, stems, strict=True)])
+        self.by_kind: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        plain = [e.removesuffix("*") for e in self.entries]
+        w = words_of(pa.array(plain, pa.string()), lower=True, ends=NOT_ALNUM)
+        pair = NGrams(w.hash)
+        hashes = np.array([pair.hash(np.array([a]), np.array([z]))[0] if z - a > 1 else w.hash[a] for a, z in zip(w.first, w.first[1:], strict=False)], np.uint64)
+        kinds = np.array([-1 if " " in e else len(p.encode()) if e.endswith("*") else 0 for e, p in zip(self.entries, plain, strict=True)])
         for kind in sorted(set(kinds.tolist())):
             column = np.flatnonzero(kinds == kind)
             column = column[np.argsort(hashes[column])]
-            self.by_length[kind] = hashes[column], column
+            self.by_kind[kind] = hashes[column], column
 
     def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How often each entry occurs in each text, and the number of words."""
         n, width = len(texts), len(self.entries)
         w = words_of(texts, lower=True, ends=NOT_ALNUM)
         total = np.zeros(n * width)
-        for kind, (hashes, column) in self.by_length.items():
-            long = np.flatnonzero(w.end - w.start >= kind)
-            h = w.part_hash(w.start[long], w.start[long] + kind) if kind else w.hash
+        for kind, (hashes, column) in self.by_kind.items():
+            if kind > 0:
+                place = np.flatnonzero(w.end - w.start >= kind)
+                h = w.part_hash(w.start[place], w.start[place] + kind)
+            elif kind == 0:
+                place, h = np.arange(len(w.hash)), w.hash
+            else:
+                place = np.flatnonzero(np.diff(w.doc_of_word()) == 0)
+                h = w.ngrams().hash(place, place + 2)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = np.flatnonzero(hashes[at] == h)
-            doc = np.searchsorted(w.first, long[hit], side="right") - 1
+            doc = np.searchsorted(w.first, place[hit], side="right") - 1
             total += np.bincount(doc * width + column[at[hit]], minlength=n * width)
         return total.reshape(n, width), np.diff(w.first)
 
@@ -83,87 +96,122 @@ class Lexicon:
 class ToxicityModel:
     lexicon: Lexicon
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    accuracies: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: Rate of firing in toxic and in clean texts, of each voter.
+    rates: dict[str, tuple[float, float]] = field(default_factory=dict)
     correlated: list[tuple[str, str]] = field(default_factory=list)
-    prior: float = 0.05
+    prior: float = PRIOR
 
 
 def _evidence(chunk: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Hits of each entry, and the counts that the patterns need."""
+    """Hits of each entry, and the value of each pattern."""
     texts = text_column(chunk, "text")
     hits, words = lexicon.hits(texts)
     data, offsets = bytes_of(texts)
+    some = np.maximum(words, 1)
 
     def count(mask: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]).astype(float)
 
-    upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
-    return hits, np.stack([words, upper / np.maximum(upper + lower, 1), count(data == 33)], axis=1).astype(float)
-
-
-def _votes(hits: np.ndarray, more: np.ndarray) -> np.ndarray:
-    words, capitals, exclaims = more[:, 0], more[:, 1], more[:, 2]
-    total, kinds = hits.sum(1), (hits > 0).sum(1)
-    dense = total / np.maximum(words, 1)
-    patterns = np.stack([
-        np.where(capitals > 0.6, -1, 0), np.where(exclaims > 0.2 * np.maximum(words, 1), -1, 0),
-        np.where(kinds >= 2, 1, np.where(kinds == 0, -1, 0)), np.where(dense > 0.004, 1, 0), np.where(total == 0, -1, 0),
-    ], axis=1)
-    return np.concatenate([(hits > 0).astype(int), patterns], axis=1)
-
-
-def _features(hits: np.ndarray, more: np.ndarray) -> np.ndarray:
-    words = np.maximum(more[:, :1], 1)
-    total = hits.sum(1, keepdims=True)
+    upper, lower, space = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122)), count(SPACE[data])
+    other = count(NOT_ALNUM[data]) - space
+    w = words_of(texts, lower=True, ends=NOT_ALNUM)
+    doc = w.doc_of_word()
+    again = np.zeros(len(doc), bool)
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
+    total = hits.sum(axis=1)
+    values = [
+        upper / np.maximum(upper + lower, 1), count(data == 33) / some, np.bincount(doc, again, len(words)) / some, other / some, (upper + lower) / some,
+        (hits > 0).sum(axis=1).astype(float), total / (some + 20.0),
+    ]
+    return hits, np.stack(values, axis=1)
+
+
+def _features(hits: np.ndarray, patterns: np.ndarray, times: np.ndarray) -> np.ndarray:
+    total = hits.sum(axis=1, keepdims=True)
+    fired = hits >= times
     return np.concatenate([
-        np.ones((len(hits), 1)), np.minimum(hits, 1), np.log1p(total), np.minimum((hits > 0).sum(1, keepdims=True), 6) / 2,
-        np.minimum(100 * total / words, 5), (total == 0).astype(float), more[:, 1:2], np.minimum(more[:, 2:3] / words, 1),
+        np.ones((len(hits), 1)), fired, np.minimum(np.log1p(total), 3), np.minimum(fired.sum(axis=1, keepdims=True), 6) / 2, (total == 0).astype(float),
+        np.log(np.minimum(patterns[:, -1:], 0.2) + 1e-3), np.minimum(patterns[:, :-2], 3), np.minimum(patterns[:, -2:-1], 6) / 2,
     ], axis=1)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Posterior of each row, rates[class, voter, vote + 1], and pairs of voters that stay correlated given the class."""
-    hot = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
-    q = np.clip(start, 0.02, 0.98)
-    share, pairs = np.ones(votes.shape[1]), []
-    for r in range(rounds):
-        weight = np.stack([1 - q, q])
-        rates = np.einsum("cn,nvk->cvk", weight, hot) + 0.5
-        rates /= rates.sum(2, keepdims=True)
-        if r == 2 and len(votes) > 20:  # what the class doesn't explain
-            spread = votes - (weight.T @ (rates[:, :, 2] - rates[:, :, 0]))
-            sd = spread.std(0)
-            live = sd > 1e-6
-            c = np.abs((spread / np.maximum(sd, 1e-6)).T @ (spread / np.maximum(sd, 1e-6))) / len(votes)
-            c = np.where((c > 0.3) & live[:, None] & live[None, :], c, 0)
-            np.fill_diagonal(c, 1)
-            share = 1 / c.sum(1)
-            pairs = [(int(i), int(j)) for i, j in np.argwhere(np.triu(c, 1) > 0)]
-        odds = np.log(prior / (1 - prior)) + np.einsum("nvk,vk->n", hot, share[:, None] * (np.log(rates[1]) - np.log(rates[0])))
+def g_statistic(bad: np.ndarray, n: np.ndarray, all_bad: float, total: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of the table (toxic or not, with the voter or without) against independence."""
+    cells = [(bad, n * (all_bad / total)), (n - bad, n * (1 - all_bad / total)), (all_bad - bad, (total - n) * (all_bad / total)), (total - n - all_bad + bad, (total - n) * (1 - all_bad / total))]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * sum(np.where(seen > 0, seen * np.log(seen / want), 0.0) for seen, want in cells)
+
+
+def cuts(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of each column the cut among its quantiles above which labels differ most from those below."""
+    out = np.zeros(values.shape[1])
+    for k in range(values.shape[1]):
+        tried = np.unique(np.quantile(values[:, k], np.linspace(0.02, 0.99, 40), method="higher"))
+        above = values[:, k, None] >= tried
+        out[k] = tried[int(np.argmax(g_statistic((above * labels[:, None]).sum(0), above.sum(0).astype(float), labels.sum(), len(labels))))]
+    return out
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Posterior of each row, rates[class, voter] of firing, the weight of each voter, and pairs of voters correlated given the class."""
+    fires = votes.astype(float)
+    anchor = np.log(prior / (1 - prior)) + np.where(labels > 0.5, LABEL_ODDS, -LABEL_ODDS)
+    q, pairs = np.where(labels > 0.5, 0.98, 0.02), []
+    for _ in range(rounds):
+        rates = np.stack([(w @ fires + 0.5) / (w.sum() + 1) for w in (1 - q, q)])
+        left = fires - np.stack([1 - q, q], axis=1) @ rates  # what the class doesn't explain
+        sd = left.std(axis=0)
+        live = sd > 1e-6
+        c = np.abs(left.T @ left) / len(votes) / np.maximum(np.outer(sd, sd), 1e-12)
+        c = np.where((c > 0.3) & live[:, None] & live[None, :], c, 0)
+        np.fill_diagonal(c, 1)
+        share = 1 / c.sum(axis=1)
+        pairs = [(int(i), int(j)) for i, j in np.argwhere(np.triu(c, 1) > 0)]
+        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        odds = anchor + fires @ (share * on) + (1 - fires) @ (share * off)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, rates, pairs
+    return q, rates, share, pairs
 
 
-def mine(sample: DataFrame) -> list[str]:
-    """Words and stems that distinct texts show to be toxic, those of many texts first; as many as pass, which the bound on the sample limits.
+def mine(sample: DataFrame) -> tuple[list[str], list[int]]:
+    """Entries and the times they need. sample: distinct texts with a label, a bounded table.
 
-    An entry needs SUPPORT toxic texts whatever the most frequent one has, so that the words of a rare language count, and PURITY.
+    Each candidate is tested against the share of toxic texts, so the words of a rare language count as those of a frequent one.
+    Of entries that contain one another the more significant one stays.
     """
     plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = sample.select("label", F.array_distinct(F.split(plain, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")).alias("words"))
-    stems = [F.expr(f"transform(filter(words, w -> length(w) > {k}), w -> concat(left(w, {k}), '*'))") for k in STEMS]
-    entry = words.select("label", F.explode(F.array_distinct(F.concat(F.filter("words", lambda w: F.length(w) >= 3), *stems))).alias("entry"))
-    counts = entry.groupBy("entry").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    # A toxic word is seen in several toxic texts, and hardly ever in clean ones.
-    likely = counts.filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n"))).orderBy(F.desc("bad"), F.length("entry"), "entry")
-    found: dict[str, None] = {}
-    for r in likely.collect():
-        # What a stem found before matches anyway goes; a whole word matches nothing but itself.
-        entry, stem = r["entry"], r["entry"].rstrip("*")
-        known = entry in SEED_LEXICON or entry.endswith("*") and any(x.startswith(stem) for x in SEED_LEXICON)
-        if not known and not any(stem[:k] + "*" in found for k in STEMS if k <= len(stem)):
-            found[entry] = None
-    return list(found)
+    words = sample.select("label", F.monotonically_increasing_id().alias("id"), F.filter(F.split(plain, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", -1), lambda w: w != "").alias("words"))
+    total = words.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
+    if not total["bad"]:
+        return [], []
+    one = [F.when(F.length("word") >= k, F.concat(F.left("word", F.lit(k)), F.lit("*"))) for k in STEMS]
+    pair = F.when(F.col("next") != "", F.concat_ws(" ", "word", "next"))
+    placed = words.select("label", "id", F.explode(F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))).alias("next"))).alias("x")).select("label", "id", "x.*")
+    entry = placed.select("label", "id", F.explode(F.array_compact(F.array(F.when(F.length("word") >= 3, F.col("word")), pair, *one))).alias("entry"))
+    texts = entry.groupBy("id", "entry").agg(F.first("label").alias("label"), F.count("*").alias("times"))
+    counts = texts.groupBy("entry").agg(*[f for k in TIMES for f in (F.sum(F.when(F.col("times") >= k, F.col("label")).otherwise(0)).alias(f"bad{k}"), F.count_if(F.col("times") >= k).alias(f"n{k}"))])
+    # One row for each times; the significance of these few is computed on the driver.
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("times"), F.col(f"bad{k}").alias("bad"), F.col(f"n{k}").alias("n")) for k in TIMES]))
+    tried = Observation()
+    counts = counts.observe(tried, F.count_if(F.col("n1") >= SUPPORT).alias("n"))
+    likely = counts.select("entry", level.alias("x")).select("entry", "x.*").filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n")))
+    rows = likely.toPandas()
+    rows["g"] = g_statistic(rows["bad"].to_numpy(float), rows["n"].to_numpy(float), float(total["bad"]), float(total["n"])) if len(rows) else 0.0
+    rows = rows[rows["g"] >= max(SURE, 2 * np.log(max(tried.get["n"], 1)))].assign(g=rows["g"].round(6), size=rows["entry"].str.len())
+    rows = rows.sort_values(["g", "size", "entry", "times"], ascending=[False, False, True, True])  # of equally good ones the longest, which says most
+    found: dict[str, int] = {}
+    for name, times in zip(rows["entry"], rows["times"], strict=True):
+        if not any(_same(name, other) for other in found):
+            found[name] = int(times)
+    return list(found), list(found.values())
+
+
+def _same(a: str, b: str) -> bool:
+    """Whether one entry's words are among the other's."""
+    if " " in a or " " in b:
+        return any(_same(x, y) for x in a.split() for y in b.split()) if a != b else True
+    x, y = a.rstrip("*"), b.rstrip("*")
+    return x == y or (a.endswith("*") and y.startswith(x)) or (b.endswith("*") and x.startswith(y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_ROWS, label: str = "toxic") -> ToxicityModel:
@@ -171,40 +219,46 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_RO
     ship(docs.sparkSession)
     sample = labelled_sample(documents(docs), labels, label, allowed, bound).filter("text IS NOT NULL")
     sample = stash(sample.groupBy("text").agg(F.max("label").alias("label")), "labelled")
-    lexicon = Lexicon(list(dict.fromkeys([*SEED_LEXICON, *mine(sample)])))
+    lexicon = Lexicon(*mine(sample))
     names = [*lexicon.entries, *PATTERNS]
+    times = np.array(lexicon.times, float)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                hits, more = _evidence(chunk, lexicon)
-                rows = np.concatenate([hits, more], axis=1)
+                rows = np.concatenate(_evidence(chunk, lexicon), axis=1)
                 yield pa.RecordBatch.from_arrays([chunk.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "rows"])
 
-    rows = sample.mapInArrow(gather, "label int, rows array<double>").toPandas()
+    rows = sample.mapInArrow(gather, "label int, rows array<double>").toPandas()  # a row for each text of the bounded sample
     if not len(rows):
-        rates = np.full(len(_features(np.zeros((1, len(names) - len(PATTERNS))), np.zeros((1, 3)))[0]), 0.0)
-        rates[0], rates[1 : 1 + len(lexicon.entries)] = -4, 6
-        return ToxicityModel(lexicon, rates)
-    y, all_rows = rows["label"].to_numpy(float), np.stack(rows["rows"].to_numpy())
-    hits, more = all_rows[:, : len(lexicon.entries)], all_rows[:, len(lexicon.entries) :]
+        weights = np.zeros(_features(np.zeros((1, len(times))), np.zeros((1, len(PATTERNS))), times).shape[1])
+        weights[0] = np.log(PRIOR / (1 - PRIOR))
+        return ToxicityModel(lexicon, weights)
+    y, values = rows["label"].to_numpy(float), np.stack(rows["rows"].to_numpy())
+    order = np.lexsort([*values.T, y])  # the order rows came in doesn't count
+    y, values = y[order], values[order]
+    hits, patterns = values[:, : len(times)], values[:, len(times) :]
     prior = float(np.clip(y.mean(), 0.01, 0.99))
-    posterior, rates, pairs = label_model(_votes(hits, more), y, prior)
-    weights = logistic(_features(hits, more), posterior)
-    accuracies = {n: (float(rates[1, i, 2]), float(rates[0, i, 2])) for i, n in enumerate(names)}
-    return ToxicityModel(lexicon, weights, accuracies, [(names[i], names[j]) for i, j in pairs], prior)
+    votes = np.concatenate([hits >= times, patterns >= cuts(patterns, y)], axis=1)
+    posterior, rates, _, pairs = label_model(votes, y, prior)
+    weights = logistic(_features(hits, patterns, times), posterior)
+    return ToxicityModel(lexicon, weights, {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)}, [(names[i], names[j]) for i, j in pairs], prior)
+
+
+def _scores(model: ToxicityModel):
+    times = np.array(model.lexicon.times, float)
+    return lambda chunk: _features(*_evidence(chunk, model.lexicon), times) @ model.weights
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document."""
     ship(df.sparkSession)
-    lexicon, weights = model.lexicon, model.weights
+    scores = _scores(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                x = _features(*_evidence(chunk, lexicon)) @ weights
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(scores(chunk), -30, 30))))], names=["doc_id", "score"])
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -212,13 +266,12 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 def keep_clean(df: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of df whose text scores under the threshold, as they are."""
     ship(df.sparkSession)
-    lexicon, weights = model.lexicon, model.weights
-    limit = float(np.log(threshold / (1 - threshold)))
+    scores, limit = _scores(model), float(np.log(threshold / (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, text_col):
                 only = pa.RecordBatch.from_arrays([chunk.column(text_col)], names=["text"])
-                yield chunk.filter(pa.array(_features(*_evidence(only, lexicon)) @ weights < limit))
+                yield chunk.filter(pa.array(scores(only) < limit))
 
     return df.mapInArrow(run, df.schema)

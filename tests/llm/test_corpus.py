@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, blanks, copies, clashing columns and long texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 
 from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity, warc
-from marlstone.llm.fitting import remainder
+from marlstone.llm.fitting import labelled_sample, remainder
 from pyspark.sql import functions as F
 
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -247,20 +248,108 @@ def test_a_repeated_id_pools_the_links_of_its_texts(spark):
 
 
 def test_toxic_words_of_a_rare_language(spark):
+    # Entries are tested against the share of toxic texts, so the clean ones are most of the table, as in any corpus.
     r = random.Random(5)
     fill = lambda lang: [f"{lang}{r.randrange(300)}" for _ in range(40)]
     rows = [(["common"] if i % 3 == 0 else []) + fill("mot") for i in range(240)] + [(["raro"] if i % 3 == 0 else []) + fill("voz") for i in range(18)]
     rows += [[f"{chr(97 + i // 26)}{chr(97 + i % 26)}tail", *fill("mot")] for i in range(80) for _ in range(4)]  # many words of little support
+    rows += [fill(lang) for lang in ("mot", "voz") for _ in range(1400)]
     rows += [["common", "copied", "mot1"]] * 200
     data = [(i, " ".join(w), int(w[0] in ("common", "raro") or w[0].endswith("tail"))) for i, w in enumerate(rows)]
     docs, labels = frame(spark, [x[:2] for x in data]), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, F.lit(True))
     found = set(model.lexicon.entries)
-    assert {"raro", "comm*"} <= found and not any(e.startswith("copi") for e in found) and sum(e[2:4] == "ta" for e in found) == 80
+    assert {"raro", "common"} <= {e.rstrip("*") for e in found}
+    assert not any(e.startswith("copi") for e in found) and sum("tai" in e for e in found) >= 76
     unseen = [(1, "raro voz1 voz2 voz3"), (2, "voz1 voz2 voz3 voz4"), (3, "aatail mot1 mot2 mot3")]
     assert [x.score >= 0.7 for x in toxicity.score(frame(spark, unseen), model).orderBy("doc_id").collect()] == [True, False, True]
 
 
+def test_an_entry_may_need_several_occurrences(spark):
+    r = random.Random(6)
+    fill = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
+    rows = [(" ".join([*fill(60), *r.sample(["scharflich", "scharfung", "scharfkeit", "scharfer"], 3), *fill(20)]), 1) for _ in range(60)]
+    rows += [(" ".join([*fill(60), *(["scharfum"] if i % 4 == 0 else []), *fill(20)]), 0) for i in range(800)]
+    docs = frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"), F.lit(True))
+    assert dict(zip(model.lexicon.entries, model.lexicon.times, strict=True)).get("scharf*", 0) > 1
+    got = {x.doc_id: x.score >= 0.7 for x in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == bool(y) for i, (_, y) in enumerate(rows)) >= 0.99 * len(rows)
+
+
+def test_label_model_by_enumeration():
+    r = np.random.default_rng(9)
+    truth = r.random(900) < 0.3
+    rates = [(0.9, 0.1), (0.7, 0.2), (0.3, 0.5), (0.5, 0.5)]  # the third speaks for clean, the last for nothing
+    votes = np.stack([r.random(900) < np.where(truth, a, b) for a, b in rates], axis=1)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a copy of the first
+    labels = np.where(r.random(900) < 0.05, ~truth, truth).astype(float)
+    q, got, share, pairs = toxicity.label_model(votes, labels, 0.3, rounds=40)
+    assert pairs == [(0, 4)] and np.allclose(share[[0, 4]], 0.5, atol=0.02) and np.allclose(share[1:4], 1)
+    for row in range(0, 900, 37):  # Bayes' rule, class by class and voter by voter
+        joint = [1 - 0.3, 0.3]
+        for c in (0, 1):
+            joint[c] *= 0.98 if labels[row] == c else 0.02
+            for v in range(5):
+                joint[c] *= (got[c, v] if votes[row, v] else 1 - got[c, v]) ** share[v]
+        assert abs(q[row] - joint[1] / sum(joint)) < 1e-6
+    for c, weight in ((0, 1 - q), (1, q)):  # rates are the posterior-weighted shares of firing
+        for v in range(5):
+            assert abs(got[c, v] - (sum(weight[votes[:, v]]) + 0.5) / (sum(weight) + 1)) < 1e-4
+    assert got[1, 0] > got[0, 0] and got[1, 2] < got[0, 2]
+
+
+def test_marginals_by_enumeration():
+    r = np.random.default_rng(3)
+    lengths = [1, 4, 0, 3, 6]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    emit, trans = r.normal(size=starts[-1]) * 2, r.normal(size=(2, 2))
+    good, pairs = quality.marginals(emit, starts, trans)
+    seen = np.zeros((2, 2))
+    for a, z in zip(starts, starts[1:], strict=False):
+        if a == z:
+            continue
+        total, own, two = 0.0, np.zeros(z - a), np.zeros((2, 2))
+        for labels in itertools.product((0, 1), repeat=int(z - a)):
+            w = np.exp(sum(emit[a + i] * y for i, y in enumerate(labels)) + sum(trans[x, y] for x, y in itertools.pairwise(labels)))
+            total += w
+            own += w * np.array(labels)
+            for x, y in itertools.pairwise(labels):
+                two[x, y] += w
+        assert np.allclose(good[a:z], own / total)
+        seen += two / total
+    assert np.allclose(pairs, seen)
+
+
+def test_fitting_samples_are_bounded_by_documents(spark):
+    docs = frame(spark, [(1, "b"), (1, "a"), *[(2, "x")] * 3000, (3, None), (None, "n")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, str(r.text), r.label) for r in got) == [(1, "a", 1), (2, "x", 0), (3, "None", 1)]
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    few = labelled_sample(frame(spark, [(i, "t") for i in range(4000)]), many, "toxic", F.lit(True), 200).count()
+    assert 120 < few < 280
+    whole = frame(spark, [(i, "line\n" * 99 + "end") for i in range(50)])
+    assert quality._within(whole, 1000).count() == 10 and quality._within(whole, 50).count() == 0
+
+
+@pytest.mark.parametrize("op, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_of_odd_rows(labelled, op, label):
+    docs, labels = labelled
+    model = op.fit(docs, labels, F.lit(True))
+    spark = docs.sparkSession
+    long = "idiot wort1 zurgela. " * 60_000
+    rows = [(5, "twice same"), (5, "twice same"), (None, "no id"), (6, None), (7, ""), (8, " \n "), (9, long)]
+    odd = spark.createDataFrame([(i, t, 9.0, "y", [1]) for i, t in rows], "doc_id long, text string, score double, label string, rows array<int>")
+    got = op.score(odd, model).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows) and all(0 <= r.score <= 1 for r in got)
+    same = {r.score for r in got if r.doc_id == 5}
+    blank = {round(r.score, 12) for r in got if r.doc_id in (6, 7, 8)}
+    assert len(same) == 1 and len(blank) == 1
+    none = op.fit(docs, labels.filter("doc_id < 0"), F.lit(True))
+    assert len({r.score for r in op.score(odd, none).collect()}) == 1
+
+
 def test_empty_tables(spark):
     none, items = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert substring_dedup.remove_repeats(none).count() == 0
