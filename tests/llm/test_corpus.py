@@ -39,18 +39,62 @@ def texts():
     return rows
 
 
-def test_substring_dedup(spark, texts):
+def repeats(rows):
+    """For each row (id, text): words, and which of them a window of 13 words covers that starts in a document with a smaller id."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    tokens = {i: word.findall(t or "") for i, t in texts}
+    tokens = [(i, word.findall(t or "")) for i, t in rows]
     first = {}
-    for i, w in sorted(tokens.items()):
-        for a in range(len(w) - 12):
-            first.setdefault(tuple(w[a : a + 13]), i)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
-    for i, w in tokens.items():
-        gone = {p for a in range(len(w) - 12) if first[tuple(w[a : a + 13])] < i for p in range(a, a + 13)}
-        assert got[i] == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
-    assert got[5][1] == 60
+    for i, w in tokens:
+        for a in range(len(w) - 12) if i is not None else ():
+            first[tuple(w[a : a + 13])] = min(i, first.get(tuple(w[a : a + 13]), i))
+    out = []
+    for i, w in tokens:
+        gone = {p for a in range(len(w) - 12) if i is not None and first[tuple(w[a : a + 13])] < i for p in range(a, a + 13)}
+        out.append((str(i), len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return sorted(out)
+
+
+def removed(spark, rows):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+
+
+def test_substring_dedup(spark, texts):
+    got = removed(spark, texts)
+    assert got == repeats(texts) and dict((i, n) for i, _, n, _ in got)["5"] == 60
+
+
+def test_repeats_of_repeated_and_missing_ids(spark):
+    r = random.Random(8)
+    make = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    p, own = make(40), make(40)
+    rows = [(1, p), (5, p), (5, own), (5, own), (None, p), (None, p), (7, p + " " + own)]
+    got = removed(spark, rows)
+    assert got == repeats(rows)
+    assert [x[2] for x in got if x[0] == "5"] == [0, 0, 40] and [x[2] for x in got if x[0] == "None"] == [0, 0]
+
+
+def test_a_phrase_in_many_contexts(spark):
+    # Five words that many documents hold between different ones: their rows can't all meet under the phrase.
+    r = random.Random(12)
+    make = lambda n: [f"c{r.randrange(10**6)}" for _ in range(n)]
+    phrases = [make(6) for _ in range(8)]
+    rows = [(i, " ".join([*make(12), *phrases[i % 8], *make(12), *phrases[(i + 1) % 8], *make(9)])) for i in range(600)]
+    rows += [(1000 + i, " ".join([*rows[i][1].split()[4:33], *make(5)])) for i in range(0, 600, 7)]
+    assert removed(spark, rows) == repeats(rows)
+
+
+def test_rows_of_a_hot_anchor_are_dealt_out():
+    n = 500
+    a, b = np.full(n, 7, np.uint64), np.arange(n, dtype=np.uint64) // np.uint64(2)
+    doc, place = np.arange(n, dtype=np.int64), np.arange(n, dtype=np.int64) * 256 + 1
+    out = substring_dedup._resolve(a, b, doc, np.zeros(n, np.int32), place, True).to_pydict()
+    meets = [k for k in range(n) if out["state"][k] == substring_dedup.MEETS]
+    assert len(meets) <= 4 and {out["anchor"][k] for k in meets} == {7} and len({out["run"][k] for k in meets}) > 1
+    assert out["state"].count(substring_dedup.REPEAT) == n // 2 and len(set(out["anchor"])) > n - 5
+    # One run, or one document, is never opened by its number alone.
+    alone = substring_dedup._resolve(a, np.zeros(n, np.uint64), doc, np.zeros(n, np.int32), place, True).to_pydict()
+    own = substring_dedup._resolve(a, b, np.zeros(n, np.int64), np.zeros(n, np.int32), place, True).to_pydict()
+    assert substring_dedup.OPEN not in alone["state"] + own["state"]
 
 
 @pytest.mark.parametrize("words", [2, 5])
