@@ -1,12 +1,15 @@
 """Nearest neighbours by a block matrix join.
 
 Vectors and queries are dealt to blocks by a hash of their id; each pair of a
-query block and a vector tile is one task's work.  In a tile the unit vectors
-are quantised to int8 and multiplied as a matrix.  The quantisation error of each
+query block and a vector tile is one task's work.  Blocks are as large as SIDE_BYTES
+of vectors allow, so tiles are near-square and each side is copied as seldom as
+the memory of a task lets it be.  In a tile the unit vectors are quantised to int8 and multiplied as a matrix.  The quantisation error of each
 vector is known, so every product has a bound: a pair survives unless its upper
 bound is below the k-th best lower bound of its query.  Survivors are computed
 again from the original vectors in double precision, and a heap keeps the k best
 of the tile; the heaps of all tiles of a query are merged by a ranked top k.
+Vectors are first brought to a common magnitude by a power of two, which changes
+no bit of a cosine and keeps squares of very large or small components finite.
 
 No pair that belongs to the result can be lost, so recall is 1.
 
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.runtime import ship, stash
 
-BLOCK, LEAST_TILES = 4096, 12
+#: Bytes of vectors on either side of a tile, and tiles that a small table is cut into all the same.
+SIDE_BYTES, LEAST_TILES = 32 << 20, 12
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -53,9 +57,9 @@ def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unit(raw: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Vectors, norms, int8 codes, their scale, and the length of the quantisation error of the unit vector."""
     x = np.frombuffer(b"".join(raw.to_pylist())).reshape(len(raw), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     norm = np.sqrt((x * x).sum(axis=1))
-    unit = x / np.abs(x).max(axis=1, keepdims=True)
-    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    unit = x / norm[:, None]
     scale = np.abs(unit).max(axis=1) / 127
     code = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(axis=1)) + 1e-9
@@ -103,7 +107,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
         return stash(kept.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.octet_length("vec")), name)
 
     found, asked = sound(vectors, "vectors"), sound(queries, "queries")
-    tiles, blocks = max(LEAST_TILES, math.ceil(found.count() / BLOCK)), max(1, math.ceil(asked.count() / BLOCK))
+    size = lambda df: df.agg(F.sum("dim")).first()[0] or 0
+    tiles, blocks = max(LEAST_TILES, math.ceil(size(found) / SIDE_BYTES)), max(1, math.ceil(size(asked) / SIDE_BYTES))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("block", part(blocks)).withColumn("tile", every(tiles))

@@ -6,25 +6,29 @@ share of the rows (counts at most one apart).  What overflows a full shard goes
 on clockwise to the next point whose shard has room, so all rows find a place
 and only overflowing keys leave their home.
 
-The rows are counted per cell (an arc and a salt) with partial aggregation; the
-counts, at most shards * nodes * SALT numbers whatever the input, are poured
-along the ring on the driver; each cell's pouring is a list of rank ranges with
-their shard and first slot.  Rows get their rank within the cell by a window,
-and look the range up.  A single hot key is spread over the cells of its arc by
-the salt, which hashes the tie columns.
+The rows are counted per arc with partial aggregation; an arc of many rows is cut
+into cells of about CELL_ROWS, so that a key which holds a third of all rows fills
+many cells and no task.  Cells are counted too, and the counts (at most one for
+each arc and each CELL_ROWS rows) are poured along the ring on the driver; each
+cell's pouring is a list of rank ranges with their shard and first slot.  Rows get
+their rank within the cell by a window, and look the range up.
 
 Defined results: equal rows are interchangeable and get different slots; null
 keys hash to a place like any other; an empty table gives an empty result;
-columns other than the result's own are kept, and those of the same names
-(shard, slot) are replaced.
+columns other than the result's own are kept, whatever their names, and those of
+the same names (shard, slot) are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NODES, SALT = 64, 8
+from marlstone.llm.runtime import stash
+
+NODES, CELL_ROWS = 64, 500_000
 
 
 def _ring(spark, shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -34,30 +38,30 @@ def _ring(spark, shards: int, nodes: int) -> list[tuple[int, int]]:
 
 
 def pour(counts: dict[tuple[int, int], int], owners: list[int], shards: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Ranges (arc, salt, first rank, end rank, shard, first slot). owners: the shard of each arc."""
+    """Ranges (arc, cell, first rank, end rank, shard, first slot). counts: rows of each (arc, cell); owners: the shard of each arc."""
     total = sum(counts.values())
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     filled = [0] * shards
     out: list[tuple[int, int, int, int, int, int]] = []
     waiting: list[tuple[int, int, int, int]] = []  # ranges that overflowed, oldest first
 
-    def place(arc: int, salt: int, a: int, z: int, shard: int) -> int:
+    def place(arc: int, cell: int, a: int, z: int, shard: int) -> int:
         n = min(z - a, quota[shard] - filled[shard])
         if n > 0:
-            out.append((arc, salt, a, a + n, shard, filled[shard]))
+            out.append((arc, cell, a, a + n, shard, filled[shard]))
             filled[shard] += n
         return a + max(n, 0)
 
     # Keys take their home first; then each overflow goes on clockwise from its home.
-    for (arc, salt), n in sorted(counts.items()):
-        a = place(arc, salt, 0, n, owners[arc])
+    for (arc, cell), n in sorted(counts.items()):
+        a = place(arc, cell, 0, n, owners[arc])
         if a < n:
-            waiting.append((arc, salt, a, n))
-    for arc, salt, a, z in waiting:
+            waiting.append((arc, cell, a, n))
+    for arc, cell, a, z in waiting:
         at = arc
         while a < z:
             at = (at + 1) % len(owners)
-            a = place(arc, salt, a, z, owners[at])
+            a = place(arc, cell, a, z, owners[at])
     return out
 
 
@@ -65,26 +69,36 @@ def assign(df: DataFrame, key: str, ties: list[str], shards: int, nodes: int = N
     """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     spark = df.sparkSession
     ring = _ring(spark, shards, nodes)
-    # The arc of a key ends at the first point after its hash. The top bits of the hash lead to the few arcs that reach into that cell.
-    cells = 12
-    top = F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(1 << 63))), 64 - cells)
+    # The arc of a key ends at the first point after its hash. The top bits of the hash lead to the few arcs that reach into that part of the ring.
+    bits, place = 12, F.col("own.place")
+    top = F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
     spans = []
     edges = [-(1 << 63), *(at for at, _ in ring), (1 << 63) - 1]
     for i in range(len(ring) + 1):
         lo, hi = edges[i], edges[i + 1]
-        for cell in range((lo + (1 << 63)) >> (64 - cells), ((hi + (1 << 63)) >> (64 - cells)) + 1):
-            spans.append((cell, lo, hi, i % len(ring), i == len(ring)))
-    arcs = F.broadcast(spark.createDataFrame(spans, "cell int, lo long, hi long, arc int, last boolean"))
-    base = df.drop("shard", "slot").withColumn("place", F.xxhash64(F.lit("key"), F.col(key).cast("string"))).withColumn("cell", top.cast("int"))
-    homed = base.join(arcs, "cell").filter("place >= lo AND (place < hi OR last)").withColumn("salt", F.pmod(F.xxhash64(key, *ties), F.lit(SALT)).cast("int")).drop("cell", "lo", "hi", "last")
-    counts = {(r["arc"], r["salt"]): r["n"] for r in homed.groupBy("arc", "salt").agg(F.count("*").alias("n")).collect()}
+        for part in range((lo + (1 << 63)) >> (64 - bits), ((hi + (1 << 63)) >> (64 - bits)) + 1):
+            spans.append((part, lo, hi, i % len(ring), i == len(ring)))
+    arcs = F.broadcast(spark.createDataFrame(spans, "part int, lo long, hi long, arc int, last boolean"))
+    # What the caller's columns are called doesn't matter: they travel in one column, and the keys in another.
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate([key, *ties])]
+    base = df.select(F.struct(*kept).alias("row"), F.struct(F.xxhash64(F.lit("key"), F.col(key).cast("string")).alias("place"), *keys).alias("own"))
+    within = (top == F.col("part")) & (place >= F.col("lo")) & ((place < F.col("hi")) | F.col("last"))
+    homed = base.join(arcs, within).select("row", "own", "arc")
+    many = {r["arc"]: math.ceil(r["n"] / CELL_ROWS) for r in homed.groupBy("arc").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()}
+    if many:  # equal rows differ in nothing but their place in the table, so that is written down once and read by both passes below
+        cells = F.broadcast(spark.createDataFrame(list(many.items()), "arc int, cells int"))
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("cells", F.lit(1))).cast("int")
+        homed = stash(homed.join(cells, "arc", "left").withColumn("cell", dealt).drop("cells"), "homed")
+    else:
+        homed = homed.withColumn("cell", F.lit(0))
+    counts = {(r["arc"], r["cell"]): r["n"] for r in homed.groupBy("arc", "cell").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return df.drop("shard", "slot").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).limit(0)
-    ranges = pour(counts, [s for _, s in ring], shards)
+        return df.select(*kept, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
     by_cell: dict[tuple[int, int], list] = {}
-    for arc, salt, a, z, shard, slot in ranges:
-        by_cell.setdefault((arc, salt), []).append((a, z, shard, slot))
-    lookup = F.broadcast(spark.createDataFrame([(arc, salt, v) for (arc, salt), v in by_cell.items()], "arc int, salt int, ranges array<struct<a:long,z:long,shard:int,slot:long>>"))
-    rank = F.row_number().over(Window.partitionBy("arc", "salt").orderBy("place", key, *ties)) - 1
-    found = homed.withColumn("rank", rank.cast("long")).join(lookup, ["arc", "salt"]).withColumn("hit", F.filter("ranges", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") < r["z"]))[0])
-    return found.withColumn("shard", F.col("hit.shard")).withColumn("slot", F.col("hit.slot") + F.col("rank") - F.col("hit.a")).drop("arc", "salt", "place", "rank", "ranges", "hit")
+    for arc, cell, a, z, shard, slot in pour(counts, [s for _, s in ring], shards):
+        by_cell.setdefault((arc, cell), []).append((a, z, shard, slot))
+    lookup = F.broadcast(spark.createDataFrame([(arc, cell, v) for (arc, cell), v in by_cell.items()], "arc int, cell int, ranges array<struct<a:long,z:long,shard:int,slot:long>>"))
+    rank = (F.row_number().over(Window.partitionBy("arc", "cell").orderBy("own")) - 1).cast("long")
+    found = homed.withColumn("rank", rank).join(lookup, ["arc", "cell"]).withColumn("hit", F.filter("ranges", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") < r["z"]))[0])
+    return found.select("row.*", F.col("hit.shard").alias("shard"), (F.col("hit.slot") + F.col("rank") - F.col("hit.a")).alias("slot"))

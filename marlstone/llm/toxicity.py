@@ -184,12 +184,14 @@ def mine(sample: DataFrame) -> tuple[list[str], list[int]]:
     total = words.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not total["bad"]:
         return [], []
-    one = [F.when(F.length("word") >= k, F.concat(F.left("word", F.lit(k)), F.lit("*"))) for k in STEMS]
-    pair = F.when(F.col("next") != "", F.concat_ws(" ", "word", "next"))
-    placed = words.select("label", "id", F.explode(F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))).alias("next"))).alias("x")).select("label", "id", "x.*")
-    entry = placed.select("label", "id", F.explode(F.array_compact(F.array(F.when(F.length("word") >= 3, F.col("word")), pair, *one))).alias("entry"))
-    texts = entry.groupBy("id", "entry").agg(F.first("label").alias("label"), F.count("*").alias("times"))
-    counts = texts.groupBy("entry").agg(*[f for k in TIMES for f in (F.sum(F.when(F.col("times") >= k, F.col("label")).otherwise(0)).alias(f"bad{k}"), F.count_if(F.col("times") >= k).alias(f"n{k}"))])
+    beginnings = [F.expr(f"transform(filter(words, w -> char_length(w) >= {k}), w -> concat(left(w, {k}), '*'))") for k in STEMS]
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    entries = words.select("label", F.array_sort(F.concat(F.filter("words", lambda w: F.length(w) >= 3), pairs, *beginnings)).alias("entries"))
+    # In order, the k-th occurrence in a text is one whose k-1 predecessors are equal and the one before differs; from the last one counted on nothing is said.
+    back = lambda i, k: F.coalesce(F.get("entries", i - k), F.lit(""))
+    nth = lambda x, i: F.when(back(i, 1) != x, 1).when(back(i, 2) != x, 2).when(back(i, 3) != x, 3)
+    texts = entries.select("label", F.explode(F.filter(F.transform("entries", lambda x, i: F.struct(x.alias("entry"), nth(x, i).alias("times"))), lambda x: x["times"].isNotNull())).alias("x")).select("label", "x.*")
+    counts = texts.groupBy("entry").agg(*[f for k in TIMES for f in (F.sum(F.when(F.col("times") == k, F.col("label")).otherwise(0)).alias(f"bad{k}"), F.count_if(F.col("times") == k).alias(f"n{k}"))])
     # One row for each times; the significance of these few is computed on the driver.
     level = F.explode(F.array(*[F.struct(F.lit(k).alias("times"), F.col(f"bad{k}").alias("bad"), F.col(f"n{k}").alias("n")) for k in TIMES]))
     tried = Observation()

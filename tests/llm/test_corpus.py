@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity, warc
+from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, queries, secrets, sharding, substring_dedup, toxicity, warc
 from marlstone.llm.fitting import labelled_sample, remainder
 from pyspark.sql import functions as F
 
@@ -168,6 +168,47 @@ def test_sharding(spark, texts):
     assert sharding.assign(df.limit(0), "doc_id", ["size"], 7).count() == 0
 
 
+def test_sharding_query_against_brute_force(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, r.choice(["é", "a b", "x" * 50, None, ""]) if i % 3 else "hot", "en") for i in range(700)] + [(9, "hot", "en")] * 300 + [(None, "n", "en")] * 40
+    spark.createDataFrame(rows, "doc_id long, text string, rank string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_sharding(spark, str(tmp_path)).collect()
+    want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted((str(x.doc_id), x.size, x.text_crc32) for x in got) == want
+    slots = [sorted(x.slot for x in got if x.shard == s) for s in range(40)]
+    assert all(v == list(range(len(v))) for v in slots) and {len(v) for v in slots} <= {len(rows) // 40, len(rows) // 40 + 1}
+    assert {(x.law, x.grown_shard) for x in got} == {("rows", None)}
+
+
+def test_sharding_follows_the_ring_and_moves_little(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"))
+    ring = sharding._ring(spark, 10, 64)
+    place = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit("key"), F.col("doc_id").cast("string")).alias("h")).collect()}
+    arc = {i: next((k for k, (at, _) in enumerate(ring) if h < at), 0) for i, h in place.items()}
+    home = {i: ring[k][1] for i, k in arc.items()}
+    got = {r.doc_id: r.shard for r in sharding.assign(df, "doc_id", [], 10).collect()}
+    over = {s: max(0, sum(h == s for h in home.values()) - 600) for s in range(10)}
+    # Only what overflows a shard leaves home, and what has its home in a shard with room never does.
+    assert all(got[i] == h for i, h in home.items() if not over[h]) and sum(over.values()) > 0
+    assert sum(got[i] != h for i, h in home.items()) == sum(over.values())
+    # One more shard takes its share from all and little else moves; by remainder ten in eleven rows would.
+    more = {r.doc_id: r.shard for r in sharding.assign(df, "doc_id", [], 11).collect()}
+    assert sum(more[i] != s for i, s in got.items()) < 0.4 * len(got)
+
+
+def test_a_hot_key_fills_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    names = ["rank", "place", "cell", "salt", "hit", "lo", "hi", "arc", "ranges", "last", "own", "row", "part", "k0", "shard", "slot"]
+    rows = [(7 if i % 2 else i, *[f"{n}{i}" for n in names]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} string" for n in names))
+    out = sharding.assign(df, "doc_id", ["rank"], 7)
+    assert out.columns == ["doc_id", *names[:-2], "shard", "slot"]
+    got = out.collect()
+    assert sorted((x.doc_id, x.rank, x.last, x.row) for x in got) == sorted((x[0], x[1], x[1 + names.index("last")], x[1 + names.index("row")]) for x in rows)
+    slots = [sorted(x.slot for x in got if x.shard == s) for s in range(7)]
+    assert all(v == list(range(len(v))) for v in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
 def test_bpe(spark, texts):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
@@ -251,6 +292,19 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 300, 50))
 
 
+def test_neighbours_of_extreme_repeated_and_missing_vectors(spark):
+    big, small = [1e200, 2e200, 0.0], [1e-200, 2e-200, 1e-210]
+    rows = [(0, big), (50, [1.0, 2.0, 0.0]), (1, small), (2, [-1e300, 5e-324, 0.0]), (3, [3.0, 0.0, 1.0]), (3, [3.0, 0.0, 1.0]), (3, [9.0, 9.0, 9.0]), (None, [1.0, 2.0, 0.0]), (4, [float("inf"), 0.0, 1.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df.filter("vec_id % 50 = 0"), df, 5).orderBy("query_id", "rank").collect()
+    order = {q: [r.vec_id for r in got if r.query_id == q] for q in (0, 50)}
+    assert sorted(order[0][:2]) == [1, 50] and sorted(order[50][:2]) == [0, 1]  # parallel but for the last bit
+    assert order[0][2:] == order[50][2:] == [3, 2] and [r.rank for r in got] == [1, 2, 3, 4] * 2
+    assert all(np.isfinite(r.score) for r in got)
+    assert abs(next(r.score for r in got if (r.query_id, r.vec_id) == (0, 2)) + 1 / np.sqrt(5)) < 1e-12
+    assert neighbours.nearest(df.limit(0), df.limit(0), 5).count() == 0 and neighbours.nearest(df.limit(0), df, 5).count() == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     r = random.Random(3)
