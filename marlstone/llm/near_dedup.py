@@ -97,6 +97,12 @@ def _profile(words: int):
     return run
 
 
+def profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, two sums of the set's hashes and signature of each row of documents (doc_id, text)."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_profile(words), "doc_id long, n_shingles long, one long, two long, signature binary")
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One key for each chunk and value left out of it."""
     for batch in batches:
@@ -210,7 +216,7 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept of each document."""
     ship(df.sparkSession)
     docs = documents(df, id_col, text_col)
-    profile = stash(docs.mapInArrow(_profile(words), "doc_id long, n_shingles long, one long, two long, signature binary"), "profiles")
+    profile = stash(profiles(docs, words), "profiles")
     same = ["n_shingles", "one", "two"]
     # Several classes may have the same smallest doc_id, so each gets an id of its own, which the stash holds fast.
     classes = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))

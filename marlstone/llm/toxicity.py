@@ -16,8 +16,10 @@ Label model.  A generative model of the votes: each voter has its own rate of
 Classifier.   A logistic regression on the voters' evidence, trained on the
               posterior labels, scores every document.
 
-The fit takes at most FIT_ROWS labelled rows (a documented bound), each text among
-them once, as toxic if any copy is; everything is scored.
+The fit takes at most FIT_ROWS labelled rows (a documented bound).  Equal texts among
+them count once, as toxic if any copy is, and so do near copies, by MinHash
+signatures of the sample: a text that was copied often would else vouch for each of
+its words.  Everything is scored.
 
 Defined results: null, empty and blank texts have no evidence and get the score
 of a text without hits; repeated rows and null ids give a row each; without any
@@ -36,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import labelled_sample, logistic
+from marlstone.llm.near_dedup import profiles
 from marlstone.llm.runtime import documents, ship, stash
 from marlstone.llm.textcore import NOT_ALNUM, SPACE, NGrams, bytes_of, chunks, text_column, words_of
 
@@ -45,6 +48,8 @@ SUPPORT, PURITY, SURE = 4, 0.5, 12.0
 #: Beginnings of words that are tried, in characters, and how many occurrences an entry may need.
 STEMS, TIMES = (3, 4, 5, 6, 7, 8), (1, 2, 3)
 PATTERNS = ("capitals", "exclaiming", "repeating", "symbols", "long words", "kinds", "dense")
+#: Words of a shingle, and values of 64 that signatures of near copies differ in at most (a similarity of about 0.7).
+SHINGLE, NEAR = 5, 20
 #: How sure a label of the sample is as a vote.
 LABEL_ODDS = float(np.log(0.98 / 0.02))
 
@@ -208,6 +213,16 @@ def mine(sample: DataFrame) -> tuple[list[str], list[int]]:
     return list(found), list(found.values())
 
 
+def first_of_copies(signatures: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """Which rows differ from every kept row before them in more than ``near`` values."""
+    keep, kept, n = np.zeros(len(signatures), bool), np.empty_like(signatures), 0
+    for i, s in enumerate(signatures):
+        if not n or (kept[:n] != s).sum(axis=1).min() > near:
+            kept[n], keep[i] = s, True
+            n += 1
+    return keep
+
+
 def _same(a: str, b: str) -> bool:
     """Whether one entry's words are among the other's."""
     if " " in a or " " in b:
@@ -220,7 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_RO
     """Fits from documents (doc_id, text) and labels (doc_id, label); only labels for which ``allowed`` holds are read."""
     ship(docs.sparkSession)
     sample = labelled_sample(documents(docs), labels, label, allowed, bound).filter("text IS NOT NULL")
-    sample = stash(sample.groupBy("text").agg(F.max("label").alias("label")), "labelled")
+    sample = stash(sample.groupBy("text").agg(F.max("label").alias("label")).withColumn("doc_id", F.xxhash64("text")), "labelled")
+    known = profiles(sample.select("doc_id", "text"), SHINGLE).select("doc_id", "signature").orderBy("doc_id").toPandas()  # of the bounded sample
+    if len(known):
+        only = known["doc_id"][first_of_copies(np.stack([np.frombuffer(x, np.uint16) for x in known["signature"]]))]
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(only.to_frame())), "doc_id", "left_semi")
     lexicon = Lexicon(*mine(sample))
     names = [*lexicon.entries, *PATTERNS]
     times = np.array(lexicon.times, float)
