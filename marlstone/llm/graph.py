@@ -27,12 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
             labels = joined
         else:
             onward = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            labels = stash(labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
         of = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         edges = stash(edges.join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root").select(*pair("a_root", "b_root")).distinct(), "edges")
         turn += 1
         if edges.isEmpty():
             break
-    labels = stash(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", F.least("component", "node").alias("component"))

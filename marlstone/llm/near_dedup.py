@@ -7,15 +7,19 @@ Index.      The signature is split into 16 chunks of 4 values.  If two signature
             out: 64 keys a document find every pair under the threshold.  Two
             sets at similarity 0.8 differ in more than 31 of 64 values with a
             probability below one in a million.
-Join.       Equal sets are one class.  Keys are counted with partial
-            aggregation; a key of few classes joins them pairwise and keeps
-            pairs under the signature distance; a key of many links each class
-            to its first, one edge a class.  Either way no candidate is lost.
-Confirm.    Components of candidate edges are groups within which all links lie.
-            Each class's full set travels once to its group (a large group is
-            cut into pairs of blocks of bounded size), and a search confirms
-            links by exact intersections, skipping pairs that are already
-            connected.  Confirmed links make the final components.
+Join.       Equal sets are one class.  The classes under a key form a group; groups
+            of the same classes count once.  In a group, pairs under the signature
+            distance are links, of which a search keeps enough to connect what is
+            connected, so no group's pairs are all emitted and no link is lost.
+Confirm.    Components of these links are groups again, within which all links of
+            full sets lie.  Each class's set travels to its group, and the same
+            search confirms links by exact intersections.  Confirmed links make the
+            final components.
+
+A group over BLOCK is dealt out.  Each member meets PIVOTS members of its group,
+dealt to cells beside them; members that hang together through pivots need not meet
+one another again, and only the rest meets everybody, in tiles of two blocks.  A
+group of near copies thus costs a copy of each member, whatever its size.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat a
@@ -26,14 +30,15 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from marlstone.llm.graph import components
 from marlstone.llm.runtime import documents, ship, stash
@@ -42,8 +47,8 @@ from marlstone.llm.textcore import chunks, mix, text_column, words_of
 VALUES, CHUNK = 64, 4
 #: Most values that may differ: some chunk then has one error at most.
 DISTANCE = 2 * (VALUES // CHUNK) - 1
-#: Classes under one key that are joined pairwise, and shingles of a block of a group.
-SMALL, BLOCK_SHINGLES = 24, 250_000
+#: What a group may hold before it is dealt out (classes under a key, shingles of a component), and the members that all others meet then.
+BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 1024, 100_000, 8
 _U = np.uint64
 _rng = np.random.default_rng(20240301)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
@@ -121,12 +126,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(set_id, VALUES))], names=["key", "set_id"])
 
 
-@F.pandas_udf(BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1) <= DISTANCE)
-
-
 def links_of(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what is connected at the similarity: a search that leaves out pairs already connected.
 
@@ -168,53 +167,188 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
         queue.extend(found.tolist())
 
 
-def _send_sets(words: int):
+def near_of(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what is connected by pairs of signatures that differ in DISTANCE values at most."""
+    if len(ids) == 2:
+        return [(int(ids[0]), int(ids[1]))] if (signatures[0] != signatures[1]).sum() <= DISTANCE else []
+    out, open_ = [], np.ones(len(ids), bool)
+    for seed in range(len(ids)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        queue = [seed]
+        while queue:
+            u = queue.pop()
+            left = np.flatnonzero(open_)
+            if not len(left):
+                return out
+            found = left[(signatures[left] != signatures[u]).sum(axis=1) <= DISTANCE]
+            out.extend((int(ids[u]), int(ids[v])) for v in found.tolist())
+            open_[found] = False
+            queue.extend(found.tolist())
+    return out
+
+
+@dataclass(frozen=True)
+class _Signatures:
+    """Bodies are signatures; near ones differ in DISTANCE values at most."""
+
+    def forest(self, ids: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+        return near_of(np.array(ids), np.frombuffer(b"".join(bodies), np.uint16).reshape(len(ids), -1))
+
+    def near(self, pivot: bytes, bodies: list[bytes]) -> np.ndarray:
+        every = np.frombuffer(b"".join(bodies), np.uint16).reshape(len(bodies), -1)
+        return (every != np.frombuffer(pivot, np.uint16)).sum(axis=1) <= DISTANCE
+
+
+@dataclass(frozen=True)
+class _Sets:
+    """Bodies are sorted sets of shingle hashes; linked ones have the similarity."""
+
+    percent: int
+
+    def forest(self, ids: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+        return links_of(np.array(ids), [np.frombuffer(x, np.uint64) for x in bodies], self.percent)
+
+    def near(self, pivot: bytes, bodies: list[bytes]) -> np.ndarray:
+        mine, sizes = np.frombuffer(pivot, np.uint64), np.array([len(x) // 8 for x in bodies])
+        every = np.frombuffer(b"".join(bodies), np.uint64)
+        hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+        common = np.bincount(np.repeat(np.arange(len(bodies)), sizes), hit, len(bodies))
+        return 100 * common >= self.percent * (sizes + len(mine) - common)
+
+
+def _solved(solver):
+    """Reads rows ordered by tile; holds one tile at a time, and yields links that connect it."""
+    keys = ["group", "left", "right"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, bodies = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            return solver.forest(ids, bodies) if len(ids) > 1 else []
+
         for batch in batches:
-            for chunk in chunks(batch, "text"):
-                h, starts = _sets(chunk, words)
-                raw = [h[a:z].tobytes() for a, z in zip(starts, starts[1:], strict=False)]
-                names = ["component", "tile", "set_id", "members"]
-                out = pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names[:3]), pa.array(raw, pa.binary())], names=names)
-                # A doc_id may have several texts; only the one that makes the set is sent for it.
-                same = [np.asarray(chunk.column(c)) == x for c, x in zip(("n_shingles", "one", "two"), (np.diff(starts), *_sums(h, starts)), strict=True)]
-                yield out.filter(pa.array(np.logical_and.reduce(same)))
+            found: list[tuple[int, int]] = []
+            for *at, node, body in zip(*(batch.column(c).to_pylist() for c in (*keys, "node", "body")), strict=True):
+                if at != key:
+                    found += links()
+                    key, ids, bodies = at, [], []
+                ids.append(node)
+                bodies.append(body)
+            yield _edges(found)
+        yield _edges(links())
 
     return run
 
 
-def _confirm(percent: int):
-    """Reads rows ordered by group and tile; holds one tile at a time."""
+def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
 
-    def solve(rows: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        rows = [(i, s) for i, s in rows if s]
-        if len(rows) < 2:
-            return []
-        return links_of(np.array([i for i, _ in rows]), [np.frombuffer(s, np.uint64) for _, s in rows], percent)
+def _met(solver):
+    """Reads rows ordered by cell, its pivots first, and yields for each member the pivots it is linked with, as bits; holds only pivots."""
+    names = ["group", "node", "mask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        names = ["a", "b"]
+        key, pivots = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("group", "cell", "pivot", "node", "body")]
+            n, at, out = len(batch), 0, []
+            while at < n:
+                if (columns[0][at], columns[1][at]) != key:
+                    key, pivots = (columns[0][at], columns[1][at]), {}
+                if columns[2][at] is not None:
+                    pivots[columns[2][at]] = columns[4][at]
+                    at += 1
+                    continue
+                z = at
+                while z < n and z - at < 512 and (columns[0][z], columns[1][z]) == key:
+                    z += 1
+                mask = np.zeros(z - at, np.int64)
+                for i, body in pivots.items():
+                    mask |= solver.near(body, columns[4][at:z]).astype(np.int64) << i
+                out.append((columns[0][at:z], columns[3][at:z], mask.tolist()))
+                at = z
+            yield pa.RecordBatch.from_arrays([pa.array([x for part in out for x in part[i]], pa.int64()) for i in range(3)], names=names)
 
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=names)
+    return run
+
+
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pivots, as bits, that hang together through most members. A group has at most 2**PIVOTS masks."""
+    for batch in batches:
+        best = []
+        for masks in batch.column("masks").to_pylist():
+            parts: list[tuple[int, int]] = []
+            for x in masks:
+                mask, n = x["mask"], x["n"]
+                joined = [p for p in parts if p[0] & mask]
+                parts = [p for p in parts if not p[0] & mask] + [(reduce(or_, (p[0] for p in joined), mask), n + sum(p[1] for p in joined))]
+            best.append(max(parts, key=lambda p: (p[1], p[0]))[0])
+        yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(best, pa.int64())], names=["group", "best"])
+
+
+def spanning(members: DataFrame, with_body: Callable[[DataFrame], DataFrame], solver) -> DataFrame:
+    """Links (a, b) that connect what is connected in each group. members: group, blocks (of the size a task may hold) and node, a thin
+    table; with_body adds body to rows of it.
+
+    A group of one block is one tile. Of a larger one, each member meets the group's pivots; those that hang together through pivots
+    are done with one another, and the rest meets them, and itself, in tiles of two blocks.
+    """
+    shape, tile = "a long, b long", ["group", "left", "right"]
+    deal = lambda df: df.select(*tile, "node", "body").repartition(*tile).sortWithinPartitions(*tile, "node").mapInArrow(_solved(solver), shape)
+    none = F.lit(0)
+    members = stash(members, "members")
+    small = deal(with_body(members.filter("blocks = 1")).withColumns({"left": none, "right": none}))
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return small
+    large = stash(with_body(large), "large")
+    order = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
+    chosen = large.select("group", "node").withColumn("pivot", F.row_number().over(order) - 1).filter(F.col("pivot") < PIVOTS)
+    chosen = stash(chosen, "pivots")
+    own = large.withColumn("cell", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("group", "cell", F.lit(None).cast("int").alias("pivot"), "node", "body")
+    told = large.join(chosen, ["group", "node"]).withColumn("cell", F.explode(F.sequence(none, F.col("blocks").cast("int") - 1))).select("group", "cell", "pivot", "node", "body")
+    meeting = own.unionByName(told).repartition("group", "cell").sortWithinPartitions("group", "cell", F.asc_nulls_last("pivot"), "node")
+    met = stash(meeting.mapInArrow(_met(solver), "group long, node long, mask long"), "met")
+    masks = met.filter("mask > 0").groupBy("group", "mask").agg(F.count("*").alias("n")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("mask", "n"))).alias("masks"))
+    best = masks.mapInArrow(_largest, "group long, best long")
+    bits = F.explode(F.expr(f"filter(sequence(0, {PIVOTS - 1}), i -> (shiftright(mask, i) & 1) = 1)"))
+    to_pivots = met.filter("mask > 0").withColumn("pivot", bits).join(chosen.withColumnRenamed("node", "a"), ["group", "pivot"]).select("a", F.col("node").alias("b")).filter("a <> b")
+
+    linked = met.join(best, "group", "left").select("group", "node", (F.col("mask").bitwiseAND(F.coalesce("best", F.lit(0).cast("long"))) != 0).alias("done"))
+    rest = linked.filter("NOT done").groupBy("group").agg(F.count("*").alias("n_rest"))
+    sized = large.groupBy("group").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).join(rest, "group")
+    share = lambda n: F.greatest(F.ceil(2 * F.col("blocks") * n / F.col("n")), F.lit(1)).cast("int")
+    sized = sized.select("group", share(F.col("n_rest")).alias("r"), share(F.col("n") - F.col("n_rest")).alias("m"))
+    placed = linked.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("done"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    tiles = F.expr(
+        "CASE WHEN done THEN transform(sequence(0, r - 1), i -> named_struct('left', i, 'right', block)) "
+        "ELSE concat(transform(sequence(0, m - 1), j -> named_struct('left', block, 'right', j)), "
+        "transform(filter(sequence(0, r - 1), i -> i <> block), i -> named_struct('left', least(i, block), 'right', -1 - greatest(i, block)))) END"
+    )
+    crossed = placed.withColumn("t", F.explode(tiles)).select("group", "node", "t.left", "t.right").join(large.select("group", "node", "body"), ["group", "node"])
+    return small.unionByName(to_pivots).unionByName(deal(crossed))
 
+
+def _send_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            for component, tile, set_id, members in zip(*(batch.column(c).to_pylist() for c in ("component", "tile", "set_id", "members")), strict=True):
-                if (component, tile) != key:
-                    links += solve(held)
-                    key, held = (component, tile), []
-                held.append((set_id, members))
-            yield out(links)
-        yield out(solve(held))
+            for chunk in chunks(batch, "text"):
+                h, starts = _sets(chunk, words)
+                raw = [h[a:z].tobytes() for a, z in zip(starts, starts[1:], strict=False)]
+                names = ["group", "blocks", "node", "body"]
+                out = pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names[:3]), pa.array(raw, pa.binary())], names=names)
+                # A doc_id may have several texts; only the one that makes the set is sent for it.
+                same = [np.asarray(chunk.column(c)) == x for c, x in zip(("n_shingles", "one", "two"), (np.diff(starts), *_sums(h, starts)), strict=True)]
+                yield out.filter(pa.array(np.logical_and.reduce(same)))
 
     return run
 
 
 def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept of each document."""
-    ship(df.sparkSession)
     docs = documents(df, id_col, text_col)
     profile = stash(profiles(docs, words), "profiles")
     same = ["n_shingles", "one", "two"]
@@ -223,24 +357,23 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     classes = stash(classes.withColumn("set_id", F.monotonically_increasing_id()), "classes")
 
     keys = classes.select("set_id", "signature").mapInArrow(_keys, "key long, set_id long")
-    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most")
-    shared = stash(keys.join(busy.drop("most"), "key"), "shared")
-    few = shared.filter(F.col("n") <= SMALL).select("key", "set_id")
-    pairs = few.withColumnRenamed("set_id", "a").join(few.withColumnRenamed("set_id", "b"), "key").filter("a < b").select("a", "b").distinct()
-    signature = lambda c: classes.select(F.col("set_id").alias(c), F.col("signature").alias(f"{c}_signature"))
-    near = pairs.join(signature("a"), "a").join(signature("b"), "b").filter(_near("a_signature", "b_signature")).select("a", "b")
-    star = shared.filter((F.col("n") > SMALL) & (F.col("set_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("set_id").alias("b"))
-    groups = stash(components(near.unionByName(star)), "groups")
-
-    sizes = classes.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n")).join(groups, "node")
-    total = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = groups.join(total, "component").withColumn("block", block).withColumn("other", other)
-    placed = placed.filter("blocks = 1 OR block <> other").select(F.col("node").alias("set_id"), "component", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"))
-    placed = placed.join(classes.select("set_id", F.col("rep").alias("doc_id"), *same), "set_id")
-    sent = docs.filter("doc_id IS NOT NULL").join(placed, "doc_id").select("component", "tile", "set_id", *same, "text").mapInArrow(_send_sets(words), "component long, tile int, set_id long, members binary")
-    confirmed = sent.repartition("component", "tile").sortWithinPartitions("component", "tile", "set_id").mapInArrow(_confirm(percent), "a long, b long")
+    busy = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.bit_xor(F.xxhash64("set_id")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("also")
+    ).filter("least < most")
+    # Keys over the same classes are one group, under the least of them.
+    groups = busy.groupBy("n", "least", "most", "all", "also").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK_CLASSES).alias("blocks"))
+    members = keys.join(groups, "key").select(F.col("key").alias("group"), "blocks", F.col("set_id").alias("node"))
+    signatures = classes.select(F.col("set_id").alias("node"), F.col("signature").alias("body"))
+    near = spanning(members, lambda df: df.join(signatures, "node"), _Signatures())
+    parts = stash(components(near), "groups")
+
+    sizes = classes.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n")).join(parts, "node")
+    total = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    placed = parts.join(total, "component").select("node", F.col("component").alias("group"), "blocks")
+    owner = classes.select(F.col("set_id").alias("node"), F.col("rep").alias("doc_id"), *same)
+    known, shape = docs.filter("doc_id IS NOT NULL"), "group long, blocks long, node long, body binary"
+    send = lambda df: known.join(df.join(owner, "node"), "doc_id").select("group", "blocks", "node", *same, "text").mapInArrow(_send_sets(words), shape)
+    confirmed = spanning(placed, send, _Sets(percent))
 
     # A doc_id with several sets, also an empty one, is one document: its sets are linked.
     kind = F.struct(*same)

@@ -117,11 +117,35 @@ def test_near_duplicates(spark, texts, words):
     assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
 
 
-def test_links_in_blocks_lose_nothing(spark, texts, monkeypatch):
-    whole = near_dedup.near_duplicates(frame(spark, texts)).collect()
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 40)
-    monkeypatch.setattr(near_dedup, "SMALL", 2)
-    assert sorted(near_dedup.near_duplicates(frame(spark, texts)).collect()) == sorted(whole)
+def test_groups_that_are_dealt_out_lose_nothing(spark, texts, monkeypatch):
+    r = random.Random(21)
+    base = [f"b{r.randrange(10**6)}" for _ in range(60)]
+    copies = [(200 + i, " ".join(w if r.random() > 0.03 else f"e{r.randrange(99)}" for w in base)) for i in range(90)]
+    chain = [(400 + i, " ".join(f"k{i * 4 + k}" for k in range(80))) for i in range(30)]  # each is like its neighbours alone
+    rows = [*texts, *copies, *chain, (200, copies[0][1]), (None, copies[1][1])]
+    whole = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    for shingles, classes, pivots in ((40, 2, 8), (300, 4, 1)):
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", classes)
+        monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+        assert sorted(near_dedup.near_duplicates(frame(spark, rows)).collect(), key=str) == sorted(whole, key=str)
+    assert len({x.component_id for x in whole if x.doc_id and x.doc_id >= 400}) == 1
+
+
+def test_links_of_signatures_and_sets_connect_what_is_connected():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 16, (6, near_dedup.VALUES), dtype=np.uint16)
+    rows = np.stack([np.where(r.random(near_dedup.VALUES) < r.choice([0.1, 0.3, 0.45]), r.integers(0, 1 << 16, near_dedup.VALUES, dtype=np.uint16), base[i % 6]) for i in range(80)])
+
+    def classes(n, links):
+        of = list(range(n))
+        for a, b in links:
+            of = [of[b] if x == of[a] else x for x in of]
+        return [[of.index(x) for x in of], len(links)]
+
+    every = [(a, b) for a in range(80) for b in range(a) if (rows[a] != rows[b]).sum() <= near_dedup.DISTANCE]
+    got = near_dedup.near_of(np.arange(80), rows)
+    assert classes(80, got)[0] == classes(80, every)[0] and len(got) < 80 and set(map(frozenset, got)) <= set(map(frozenset, every))
 
 
 def test_decontamination(spark, texts):
