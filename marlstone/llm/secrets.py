@@ -12,10 +12,9 @@ All of it is DataFrame functions.  Positions come from the lengths of the text
 between matches, summed by a window, so a text with many matches costs no more
 per match than one with few.
 
-Defined results: a null text is read as empty and has no spans; rows that repeat
-both doc_id and text give one row, rows that repeat only doc_id one each; null
-ids are a group of their own by text; an empty table gives an empty result; other
-columns are ignored.
+Defined results: a null text is read as empty and has no spans; repeated rows and
+null ids give a row each; an empty table gives an empty result; other columns are
+ignored, and kept by redact whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +47,7 @@ KINDS = (
     Kind("blob", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 20, ("access", "id")),
     Kind("endpoint", r"""(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|ftp)://[^\s"'<>]+""", 0, 10, ("assign", "hex", "access")),
 )
+_TEXT = ["doc_id", "print", "copies"]
 BASE = tuple(i for i, k in enumerate(KINDS) if not k.completed_by)
 
 
@@ -65,18 +65,20 @@ def _found(i: int, kind: Kind) -> Column:
 
 
 def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (of the text), kind, start and end of each match that is long enough, and a row with null kind for each document."""
+    """doc_id, print (of the text), copies (rows that repeat both), kind, start and end of each match that is long enough, and a row with null kind for each document."""
     docs = documents(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Each kind's matches are ranked by their place in their own list.
     lists = docs.select("doc_id", F.xxhash64("text").alias("print"), *[_found(i, k).alias(f"k{i}") for i, k in enumerate(KINDS)])
     ranked = [F.transform(f"k{i}", lambda x, at: F.struct(x["kind"].alias("kind"), at.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["ok"].alias("ok"))) for i in range(len(KINDS))]
     rows = lists.select("doc_id", "print", F.explode_outer(F.concat(*ranked)).alias("x")).select("doc_id", "print", "x.*")
-    rows = stash(rows, "matches").distinct()
+    # What rows that repeat both doc_id and text hold is counted once, with how many they are.
+    rows = stash(rows, "matches").groupBy("doc_id", "print", "kind", "at", "gap", "size", "ok").agg(F.count("*").cast("int").alias("copies"))
     order = Window.partitionBy("doc_id", "print", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(order)
     placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     marker = (F.col("kind").isNull() | (F.col("at") == 0)) & ~F.coalesce("ok", F.lit(False))
-    return placed.filter("ok").select("doc_id", "print", "kind", "start", "end").unionByName(placed.filter(marker).select("doc_id", "print", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+    place = (("kind", "int"), ("start", "long"), ("end", "long"))
+    return placed.filter("ok").select(*_TEXT, *[c for c, _ in place]).unionByName(placed.filter(marker).select(*_TEXT, *[F.lit(None).cast(t).alias(c) for c, t in place]))
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -101,13 +103,18 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return linked.join(covered, itself, "left_anti")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id, print and spans (start, kind, end; in code points, end exclusive; sorted) of each document."""
+def _spans(df: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
+    """doc_id, print, copies and spans of each text."""
     found = stash(parts(df, id_col, text_col), "parts")
     base = found.filter(F.col("kind").isNull() | F.col("kind").isin(*BASE))
-    every = base.unionByName(link(found, scope)).unionByName(found.select("doc_id", "print", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("start", "long"), ("end", "long"))]).distinct())
+    every = base.unionByName(link(found, scope)).unionByName(found.select(*_TEXT, *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("start", "long"), ("end", "long"))]).distinct())
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))
-    return every.groupBy("doc_id", "print").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return every.groupBy(*_TEXT).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """doc_id, print and spans (start, kind, end; in code points, end exclusive; sorted) of each document."""
+    return _spans(df, id_col, text_col, scope).withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
 
 
 def written(spans: Column) -> Column:
@@ -116,14 +123,16 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """df with every span of its text replaced by a mark; overlapping spans become one mark. Rows without spans stay as they are."""
-    spans = scan(df, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
-    text = F.col(text_col)
-    joined = df.join(spans, (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_print")) & F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
+    spans = _spans(df, id_col, text_col, scope).filter(F.size("spans") > 0).select("doc_id", "print", "spans")
+    row = df.select(F.struct(*df.columns).alias("row"))  # whatever the columns are called, they can't clash
+    text = F.col("row")[text_col].cast("string")
+    same = (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("print")) & F.col("row")[id_col].cast("long").eqNullSafe(F.col("doc_id"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.when(
         x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))
     ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), done).otherwise(text)).select(*df.columns)
+    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    clean = F.when(F.col("spans").isNotNull(), done).otherwise(F.col("row")[text_col])
+    return row.join(spans, same, "left").select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

@@ -148,17 +148,16 @@ def test_links_of_signatures_and_sets_connect_what_is_connected():
     assert classes(80, got)[0] == classes(80, every)[0] and len(got) < 80 and set(map(frozenset, got)) <= set(map(frozenset, every))
 
 
-def test_decontamination(spark, texts):
-    items = [(1, texts[4][1][:200]), (2, "One"), (3, None), (4, "..."), (5, texts[4][1][:200]), (6, "w1 w2")]
+def contaminated(rows, items, window=13):
+    """For each row (id, text): n_words, n_hit, the items whose windows occur, and whether it counts as contaminated."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
     for i, t in items:
         w = word.findall((t or "").translate(SMALL))
-        for a in range(max(1, len(w) - 12) if w else 0):
-            windows.setdefault(tuple(w[a : a + 13]), set()).add(i)
-    table = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
-    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r.item_ids), r.contaminated) for r in decontamination.contamination(frame(spark, texts), table).collect()}
-    for i, t in texts:
+        for a in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[a : a + window]), set()).add(i)
+    out = []
+    for i, t in rows:
         w = word.findall((t or "").translate(SMALL))
         hit, found = set(), set()
         for n in {len(k) for k in windows}:
@@ -166,13 +165,71 @@ def test_decontamination(spark, texts):
                 if (k := tuple(w[a : a + n])) in windows:
                     hit |= set(range(a, a + n))
                     found |= windows[k]
-        assert got[i] == (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
+        out.append((str(i), len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 3])
+def test_decontamination(spark, texts, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST", broadcast)
+    items = [(1, texts[4][1][:200]), (2, "One"), (3, None), (4, "..."), (5, texts[4][1][:200]), (6, "w1 w2"), (7, "W3 w4 w5")]
+    rows = [*texts, (4, texts[4][1]), (4, texts[4][1]), (4, "one"), (None, "a one b"), (None, "a one b"), (None, None)]
+    table = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
+    df = frame(spark, rows)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(r.item_ids), r.contaminated) for r in decontamination.contamination(df, table).collect())
+    want = contaminated(rows, items)
+    assert got == want
+    clean = sorted(str(i) for i, *_, bad in want if not bad)
+    odd = df.withColumnsRenamed({"anchor": "_doc", "runs": "_print", "kind": "row"})
+    kept = decontamination.decontaminate(odd, table)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == clean
+
+
+def linked_spans(text):
+    """The spans of one text, by looking at every pair of matches."""
+    found = []
+    for kind, pattern, group, least, partners in [(k.name, k.pattern, k.group, k.least, k.completed_by) for k in secrets.KINDS]:
+        found += [(m.start(), kind, m.end(), partners) for m in re.finditer(pattern, text or "", re.ASCII) if len(m.group(group)) >= least]
+    base = [x for x in found if not x[3]]
+    out = list(base)
+    for a, kind, z, partners in found:
+        near = any(k in partners and 0 <= max(a - end, start - z) <= secrets.SCOPE for start, k, end, _ in found)
+        if partners and near and not any(start < z and a < end for start, _, end, _ in base):
+            out.append((a, kind, z, partners))
+    order = [k.name for k in secrets.KINDS]
+    return ",".join(f"{k}:{a}:{z}" for a, k, z, _ in sorted(out, key=lambda x: (x[0], order.index(x[1]), x[2])))
+
+
+def test_linked_secrets_against_every_pair(spark):
+    r = random.Random(17)
+    part = [
+        "client_id=abc{n}", "login: user{n}", "Zm9vYmFyYmF6cXV4MTIz{n}", "AKIA" + "Q7" * 8, "password = hunter2secret{n}", "https://db{n}.example.com/x", "redis://cache{n}:6379", "0f" * 16 + "{n}",
+        "token=short", "é😀", "user_id: \"{n}abc\"", "plain words here", "postgresql://h{n}/db", "x" * 25,
+    ]
+    rows = []
+    for i in range(400):
+        glue = [" " * r.choice([1, 2, 30]), " " + "lorem " * r.choice([1, 20, 34, 40]), "\n"]
+        rows.append((i, "".join(r.choice(part).format(n=r.randint(1, 99)) + r.choice(glue) for _ in range(r.randint(0, 9)))))
+    edge = [f"client_id=abc{' ' * gap}Zm9vYmFyYmF6cXV4MTIzNDU2" for gap in range(196, 205)]
+    rows += [(1000 + i, t) for i, t in enumerate(edge)] + [(2000, "client_id=abc Zm9vYmFyYmF6cXV4MTIzNDU2 " * 4000), (7, rows[7][1]), (7, "AKIA" + "Z" * 16), (None, edge[0]), (None, edge[0]), (2001, None)]
+    got = sorted((str(x.doc_id), x.spans) for x in secrets.scan(frame(spark, rows)).withColumn("spans", secrets.written(F.col("spans"))).collect())
+    assert got == sorted((str(i), linked_spans(t)) for i, t in rows)
+    assert any("blob" in s for _, s in got) and any("endpoint" in s for _, s in got) and any("id:" in s for _, s in got)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "password: hunter2secret x", "d", "p", "s", "r"), (1, "password: hunter2secret x", "e", "p", "s", "r"), (2, None, "d", "p", "s", "r"), (None, "AKIA" + "Q" * 16, "d", "p", "s", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _print string, _spans string, row string")
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text), r._doc) for r in out.collect()) == [("1", "[SECRET] x", "d"), ("1", "[SECRET] x", "e"), ("2", "None", "d"), ("None", "[SECRET]", "d")]
 
 
 def test_secrets(spark):
     key, far = "AKIA" + "Q7" * 8, "x " * 300
     rows = [(0, None), (1, f"é password: hunter2secret and {key} 😀 " + "0f" * 16), (2, "token=short"), (3, f"client_id=abc123 {far} Zm9vYmFyYmF6cXV4MTIzNDU2"), (4, "client_id=abc123 Zm9vYmFyYmF6cXV4MTIzNDU2"), (4, "client_id=abc123 Zm9vYmFyYmF6cXV4MTIzNDU2"), (None, key)]
     df = frame(spark, rows)
+    assert secrets.scan(df).count() == len(rows)
     got = {(r.doc_id, r.spans): r for r in secrets.scan(df).withColumn("spans", secrets.written(F.col("spans"))).collect()}
     assert {k for k in got} == {
         (0, ""), (1, "assign:2:25,access:30:50,hex:53:85"), (2, ""), (3, ""), (4, "id:0:16,blob:17:41"), (None, "access:0:20")
