@@ -85,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Texts with A to Z made small, and the words of a benchmark item or a document, as DuckDB reads them.
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_REF = warc.REFERENCE.replace("\\", "\\\\")
+_NAMES = "MAP {" + ", ".join(f"'{name}': " + (f"chr({ord(char)})") for name, char in warc.ENTITIES.items()) + "}"
 ORACLES = {
     "op1_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -108,18 +110,24 @@ least AS (SELECT p, min(q) AS q FROM reach GROUP BY p)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(coalesce(q, doc_id), doc_id) AS component_id, least(coalesce(q, doc_id), doc_id) = doc_id AS kept
 FROM sets LEFT JOIN least ON p = doc_id
 """,
-    "op7_warc_derivatives": """
+    "op7_warc_derivatives": f"""
 WITH s AS (SELECT page_id, CAST(url AS VARCHAR) AS target_uri, coalesce(html, '') AS body FROM pages),
 p AS (SELECT *, 'sha1:' || sha1(body) AS payload, md5(concat_ws(chr(10), 'response', CAST(page_id AS VARCHAR), target_uri, 'sha1:' || sha1(body))) AS h FROM s),
 r AS (SELECT *, '<urn:uuid:' || concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) || '>' AS refers_to FROM p),
-texts AS (SELECT *, regexp_replace(regexp_replace(body, '<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS plain FROM r),
-c AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS mime, 'content-length: ' || strlen(body) || chr(13) || chr(10) || 'payload-digest: ' || payload || chr(13) || chr(10) AS content FROM texts
-UNION ALL SELECT *, 'conversion', 'text/plain', trim(regexp_replace(replace(replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) FROM texts),
+texts AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(body, '<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \\t\\r\\n]+', ' ', 'g')) AS plain FROM r),
+refs AS (SELECT *, regexp_split_to_array(plain, '{_REF}') AS pieces, regexp_extract_all(plain, '{_REF}', 1) AS names FROM texts),
+codes AS (SELECT *, list_transform(names, lambda n: CASE WHEN n LIKE '#x%' OR n LIKE '#X%' THEN CAST(concat('0x', n[3:]) AS BIGINT) WHEN n LIKE '#%' THEN CAST(n[2:] AS BIGINT) END) AS numbers FROM refs),
+chars AS (SELECT *, list_transform(list_zip(names, numbers), lambda x: CASE WHEN x[2] = 160 THEN ' ' WHEN x[2] BETWEEN 1 AND 1114111 AND x[2] NOT BETWEEN 55296 AND 57343 THEN chr(CAST(x[2] AS INTEGER))
+WHEN x[2] IS NOT NULL THEN chr(65533) ELSE coalesce({_NAMES}[x[1]], concat('&', x[1], ';')) END) AS made FROM codes),
+plains AS (SELECT *, array_to_string(list_transform(list_zip(pieces, made), lambda x: concat(x[1], coalesce(x[2], ''))), '') AS solved FROM chars),
+c AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS mime, 'content-length: ' || strlen(body) || chr(13) || chr(10) || 'payload-digest: ' || payload || chr(13) || chr(10) AS content FROM plains
+UNION ALL SELECT *, 'conversion', 'text/plain', trim(regexp_replace(solved, '[ \\t\\r\\n]+', ' ', 'g')) FROM plains),
 b AS (SELECT *, 'sha1:' || sha1(content) AS block_digest FROM c),
 i AS (SELECT *, md5(concat_ws(chr(10), warc_type, refers_to, block_digest)) AS g FROM b),
 n AS (SELECT *, '<urn:uuid:' || concat_ws('-', g[1:8], g[9:12], g[13:16], g[17:20], g[21:32]) || '>' AS record_id FROM i)
-SELECT page_id, warc_type, record_id, refers_to, target_uri, payload, block_digest, concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
-'WARC-Target-URI: ' || coalesce(target_uri, ''), 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || mime, 'Content-Length: ' || strlen(content), '', '') AS header, content FROM n
+SELECT page_id, warc_type, record_id, refers_to, target_uri, payload, block_digest, concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id,
+'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Refers-To: ' || refers_to, 'WARC-Target-URI: ' || regexp_replace(target_uri, '[\\x00-\\x1F\\x7F]+', '', 'g'), 'WARC-Block-Digest: ' || block_digest,
+'WARC-Payload-Digest: ' || payload, 'Content-Type: ' || mime, 'Content-Length: ' || strlen(content), '', '') AS header, content FROM n
 """,
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD}') AS w FROM documents),

@@ -554,4 +554,34 @@ def test_warc_derivatives(spark):
     assert text.content == "a &lt; b é" and text.refers_to == facts.refers_to and text.record_id != facts.record_id
     assert text.payload == "sha1:" + hashlib.sha1(html.encode()).hexdigest()
     assert f"Content-Length: {len(text.content.encode())}\r\n" in text.header and f"WARC-Refers-To: {text.refers_to}\r\n" in text.header
-    assert rows[2, "conversion"].content == "" and warc.derivatives(pages.limit(0)).count() == 0
+    assert f"WARC-Payload-Digest: {text.payload}\r\n" in text.header and "WARC-Date: 1970-01-01T00:00:00Z\r\n" in text.header
+    assert rows[2, "conversion"].content == "" and "WARC-Target-URI" not in rows[2, "conversion"].header
+    assert warc.derivatives(pages.limit(0)).count() == 0
+
+
+def test_warc_derivatives_preserve_what_the_source_has(spark):
+    rows = [(1, "http://x/\r\nWARC-Type: evil", "b", "<urn:uuid:1>", "2024-05-01T10:00:00Z", {"Server": "s\r\nx", "Content-Type": "text/html"}), (1, "u", "b", "<urn:uuid:2>", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, rid string, at string, headers map<string,string>")
+    got = {(r.refers_to, r.warc_type): r for r in warc.derivatives(pages, record_id_col="rid", date_col="at", headers_col="headers").collect()}
+    one = got["<urn:uuid:1>", "metadata"]
+    assert "source-header: Content-Type: text/html\r\nsource-header: Server: sx\r\n" in one.content
+    assert "WARC-Date: 2024-05-01T10:00:00Z\r\n" in one.header and "\r\nWARC-Type: evil" not in one.header and one.target_uri == rows[0][1]
+    assert len({r.record_id for r in got.values()}) == 4
+    lines = pages.select("page_id", "url", "html", F.lit("HTTP/1.1 200 OK\r\nServer: s\r\n\r\n").alias("h"), F.lit("2024-05-01 10:00:00").cast("timestamp").alias("at"))
+    text = warc.derivatives(lines, headers_col="h", date_col="at").filter("warc_type = 'metadata'").first()
+    assert text.content.endswith("source-header: Server: s\r\n") and "WARC-Date: 2024-05-01T10:00:00Z" in text.header
+
+
+def test_character_references_are_resolved_once(spark):
+    cases = ["&#65;&#x42;&#X43;", "&amp;#65;", "&eacute;&Eacute;&nbsp;x", "&unknown; &amp &", "&#0;&#xD800;&#x110000;", "&#128512;", "&apos;&lt;b&gt;", "plain", "a&euro;b&frac12;"]
+    want = ["ABC", "&#65;", "éÉ x", "&unknown; &amp &", "\ufffd" * 3, "😀", "'<b>", "plain", "a€b½"]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").select("i", warc.resolved(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == want
+
+
+def test_repeated_and_very_long_pages(spark):
+    long = "<p>" + "word &amp; " * 200_000 + "</p>"
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (None, "u", "y"), (3, "v", long)], "page_id long, url string, html string")
+    rows = warc.derivatives(pages).collect()
+    assert len(rows) == 8 and len({r.record_id for r in rows}) == 6
+    assert next(r.content for r in rows if r.page_id == 3 and r.warc_type == "conversion") == ("word & " * 200_000).strip()
