@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import stash
+from marlstone.llm.runtime import mark, release, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     constant fraction of the edges at most, so rounds grow with the logarithm of
     the input and never with a path's length.  Nothing is collected.
     """
+    spark, began = edges.sparkSession, mark()
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     edges = stash(edges.filter("a <> b").select(*pair("a", "b")).distinct(), "edges")
     labels, turn = None, 0
@@ -31,7 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         of = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         edges = stash(edges.join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root").select(*pair("a_root", "b_root")).distinct(), "edges")
         turn += 1
+        release(spark, began, labels, edges)
         if edges.isEmpty():
             break
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(least, "root").select("node", F.least("component", "node").alias("component"))
+    out = stash(labels.join(least, "root").select("node", F.least("component", "node").alias("component")), "components")
+    release(spark, began, out)
+    return out

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.graph import components
-from marlstone.llm.runtime import documents, ship, stash
+from marlstone.llm.runtime import documents, mark, release, ship, stash
 from marlstone.llm.textcore import chunks, mix, text_column, words_of
 
 VALUES, CHUNK = 64, 4
@@ -356,6 +356,7 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     classes = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     classes = stash(classes.withColumn("set_id", F.monotonically_increasing_id()), "classes")
 
+    spark, joined = df.sparkSession, mark()
     keys = classes.select("set_id", "signature").mapInArrow(_keys, "key long, set_id long")
     busy = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.bit_xor(F.xxhash64("set_id")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("also")
@@ -365,7 +366,8 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     members = keys.join(groups, "key").select(F.col("key").alias("group"), "blocks", F.col("set_id").alias("node"))
     signatures = classes.select(F.col("set_id").alias("node"), F.col("signature").alias("body"))
     near = spanning(members, lambda df: df.join(signatures, "node"), _Signatures())
-    parts = stash(components(near), "groups")
+    parts = components(near)
+    release(spark, joined, parts)
 
     sizes = classes.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n")).join(parts, "node")
     total = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
@@ -381,7 +383,9 @@ def near_duplicates(df: DataFrame, words: int = 2, percent: int = 80, id_col: st
     several = stash(several, "several")
     sets = profile.join(several, "doc_id").select("doc_id", *same).distinct().join(classes.select(*same, "set_id"), same).select("doc_id", "set_id")
     pooled = sets.join(sets.groupBy("doc_id").agg(F.min("set_id").alias("a")), "doc_id").select("a", F.col("set_id").alias("b"))
-    final = stash(components(confirmed.unionByName(pooled)).withColumnRenamed("node", "set_id"), "final")
+    final = components(confirmed.unionByName(pooled))
+    release(spark, joined, final, several)
+    final = final.withColumnRenamed("node", "set_id")
 
     linked = classes.select("set_id", "rep").join(final, "set_id")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))

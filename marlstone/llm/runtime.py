@@ -36,27 +36,54 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches; a temporary one only where none is set, as in tests."""
+    """The folder that every executor reaches, from spark.checkpoint.dir; where it is unset, as in tests, a temporary one, but only if there is one machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="marlstone-shared-")
         sc.setCheckpointDir(configured)
     return configured
 
 
+#: Paths of what is stashed and not yet released, oldest first.
+_stashed: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again.
 
-    The files outlive lost executors and go when the application ends.
+    The files outlive lost executors and go when they are released, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    _stashed.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def mark() -> int:
+    """A point in time, for release."""
+    return len(_stashed)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes what was stashed since a mark, but for ``keep``. Only for stashes whose consumers have been written."""
+    kept = {getattr(df, "stash_path", None) for df in keep}
+    for path in [p for p in _stashed[since:] if p not in kept]:
+        where, files = _file_system(spark, path)
+        files.delete(where, True)
+        _stashed.remove(path)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
