@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontamination, near_dedup, secrets, toxicity
 from marlstone.llm.fitting import remainder
-from marlstone.llm.runtime import stash, table
+from marlstone.llm.runtime import mark, release, stash, table
 
 TOXIC_FROM = 0.7
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        release(spark, began, docs)  # what went before is not read again
     return STAGES[-1][1](spark, docs, sf_dir)

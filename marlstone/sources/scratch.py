@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A path, not yet made, in the cluster's checkpoint folder; where that is unset, as in tests, in a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
+    """A path, not yet made, in the cluster's checkpoint folder; where that is unset, as in tests, in a temporary one, but only if there is one machine."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="marlstone-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
