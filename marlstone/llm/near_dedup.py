@@ -17,9 +17,10 @@ Confirm.    Components of these links are groups again, within which all links o
             final components.
 
 A group over BLOCK is dealt out.  Each member meets PIVOTS members of its group,
-dealt to cells beside them; members that hang together through pivots need not meet
-one another again, and only the rest meets everybody, in tiles of two blocks.  A
-group of near copies thus costs a copy of each member, whatever its size.
+copies of which are in every cell; members that hang together with the most central
+pivot need not meet one another again, and only the rest meets everybody, in tiles
+of two blocks.  A group of near copies thus costs a copy of each member, whatever
+its size.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat a
@@ -32,8 +33,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ VALUES, CHUNK = 64, 4
 #: Most values that may differ: some chunk then has one error at most.
 DISTANCE = 2 * (VALUES // CHUNK) - 1
 #: What a group may hold before it is dealt out (classes under a key, shingles of a component), and the members that all others meet then.
-BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 1024, 100_000, 8
+BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 256, 50_000, 8
 _U = np.uint64
 _rng = np.random.default_rng(20240301)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
@@ -246,51 +245,51 @@ def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _hung(masks: np.ndarray, pivot: int) -> int:
+    """The pivots, as bits, that hang together with one, through members that are linked with several."""
+    reached, before = 1 << pivot, 0
+    while reached != before:
+        before = reached
+        reached |= int(np.bitwise_or.reduce(masks[(masks & before) != 0], initial=0))
+    return reached
+
+
 def _met(solver):
-    """Reads rows ordered by cell, its pivots first, and yields for each member the pivots it is linked with, as bits; holds only pivots."""
-    names = ["group", "node", "mask"]
+    """Reads rows ordered by cell, its pivots first, and yields for each member the pivot that stands for those it hangs together with, if
+    the central one is among them: that which is linked with most others. Each cell has all pivots, so all agree on it. Holds one cell."""
+    names = ["group", "node", "hub"]
+
+    def settled(group: int, pivots: list[tuple[int, bytes]], nodes: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        mask, every, near = np.zeros(len(nodes), np.int64), [body for _, body in pivots], []
+        for i, pivot in enumerate(every):
+            mask |= solver.near(pivot, bodies).astype(np.int64) << i
+            near.append(solver.near(pivot, every).sum())
+        central = int(np.argmax(near))
+        done = (mask & _hung(mask, central)) != 0
+        hub = pa.array(np.full(len(nodes), pivots[central][0]), pa.int64(), mask=~done)
+        return pa.RecordBatch.from_arrays([pa.array([group] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), hub], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivots = None, {}
+        key, pivots, nodes, bodies = None, [], [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("group", "cell", "pivot", "node", "body")]
-            n, at, out = len(batch), 0, []
-            while at < n:
-                if (columns[0][at], columns[1][at]) != key:
-                    key, pivots = (columns[0][at], columns[1][at]), {}
-                if columns[2][at] is not None:
-                    pivots[columns[2][at]] = columns[4][at]
-                    at += 1
-                    continue
-                z = at
-                while z < n and z - at < 512 and (columns[0][z], columns[1][z]) == key:
-                    z += 1
-                mask = np.zeros(z - at, np.int64)
-                for i, body in pivots.items():
-                    mask |= solver.near(body, columns[4][at:z]).astype(np.int64) << i
-                out.append((columns[0][at:z], columns[3][at:z], mask.tolist()))
-                at = z
-            yield pa.RecordBatch.from_arrays([pa.array([x for part in out for x in part[i]], pa.int64()) for i in range(3)], names=names)
+            for group, cell, pivot, node, body in zip(*(batch.column(c).to_pylist() for c in ("group", "cell", "pivot", "node", "body")), strict=True):
+                if (group, cell) != key:
+                    if nodes:
+                        yield settled(key[0], pivots, nodes, bodies)
+                    key, pivots, nodes, bodies = (group, cell), [], [], []
+                if pivot is not None:
+                    pivots.append((node, body))
+                else:
+                    nodes.append(node)
+                    bodies.append(body)
+        if nodes:
+            yield settled(key[0], pivots, nodes, bodies)
 
     return run
 
 
-def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pivots, as bits, that hang together through most members. A group has at most 2**PIVOTS masks."""
-    for batch in batches:
-        best = []
-        for masks in batch.column("masks").to_pylist():
-            parts: list[tuple[int, int]] = []
-            for x in masks:
-                mask, n = x["mask"], x["n"]
-                joined = [p for p in parts if p[0] & mask]
-                parts = [p for p in parts if not p[0] & mask] + [(reduce(or_, (p[0] for p in joined), mask), n + sum(p[1] for p in joined))]
-            best.append(max(parts, key=lambda p: (p[1], p[0]))[0])
-        yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(best, pa.int64())], names=["group", "best"])
-
-
 def spanning(members: DataFrame, with_body: Callable[[DataFrame], DataFrame], solver) -> DataFrame:
-    """Links (a, b) that connect what is connected in each group. members: group, blocks (of the size a task may hold) and node, a thin
+    """Pairs (a, b) that connect what links connect in each group, and nothing else. members: group, blocks (of the size a task may hold) and node, a thin
     table; with_body adds body to rows of it.
 
     A group of one block is one tile. Of a larger one, each member meets the group's pivots; those that hang together through pivots
@@ -311,25 +310,22 @@ def spanning(members: DataFrame, with_body: Callable[[DataFrame], DataFrame], so
     own = large.withColumn("cell", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("group", "cell", F.lit(None).cast("int").alias("pivot"), "node", "body")
     told = large.join(chosen, ["group", "node"]).withColumn("cell", F.explode(F.sequence(none, F.col("blocks").cast("int") - 1))).select("group", "cell", "pivot", "node", "body")
     meeting = own.unionByName(told).repartition("group", "cell").sortWithinPartitions("group", "cell", F.asc_nulls_last("pivot"), "node")
-    met = stash(meeting.mapInArrow(_met(solver), "group long, node long, mask long"), "met")
-    masks = met.filter("mask > 0").groupBy("group", "mask").agg(F.count("*").alias("n")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("mask", "n"))).alias("masks"))
-    best = masks.mapInArrow(_largest, "group long, best long")
-    bits = F.explode(F.expr(f"filter(sequence(0, {PIVOTS - 1}), i -> (shiftright(mask, i) & 1) = 1)"))
-    to_pivots = met.filter("mask > 0").withColumn("pivot", bits).join(chosen.withColumnRenamed("node", "a"), ["group", "pivot"]).select("a", F.col("node").alias("b")).filter("a <> b")
-
-    linked = met.join(best, "group", "left").select("group", "node", (F.col("mask").bitwiseAND(F.coalesce("best", F.lit(0).cast("long"))) != 0).alias("done"))
-    rest = linked.filter("NOT done").groupBy("group").agg(F.count("*").alias("n_rest"))
-    sized = large.groupBy("group").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).join(rest, "group")
+    met = stash(meeting.mapInArrow(_met(solver), "group long, node long, hub long"), "met").withColumn("done", F.col("hub").isNotNull())
+    hung = met.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    # Groups with a rest, and how many blocks it and the others make.
+    rest = met.groupBy("group").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("n_rest")).filter("n_rest > 0")
+    sized = rest.join(large.groupBy("group").agg(F.max("blocks").alias("blocks")), "group")
     share = lambda n: F.greatest(F.ceil(2 * F.col("blocks") * n / F.col("n")), F.lit(1)).cast("int")
     sized = sized.select("group", share(F.col("n_rest")).alias("r"), share(F.col("n") - F.col("n_rest")).alias("m"))
-    placed = linked.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("done"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    placed = met.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("done"), F.col("m")).otherwise(F.col("r"))).cast("int"))
     tiles = F.expr(
         "CASE WHEN done THEN transform(sequence(0, r - 1), i -> named_struct('left', i, 'right', block)) "
         "ELSE concat(transform(sequence(0, m - 1), j -> named_struct('left', block, 'right', j)), "
         "transform(filter(sequence(0, r - 1), i -> i <> block), i -> named_struct('left', least(i, block), 'right', -1 - greatest(i, block)))) END"
     )
     crossed = placed.withColumn("t", F.explode(tiles)).select("group", "node", "t.left", "t.right").join(large.select("group", "node", "body"), ["group", "node"])
-    return small.unionByName(to_pivots).unionByName(deal(crossed))
+    return small.unionByName(hung).unionByName(deal(crossed))
 
 
 def _send_sets(words: int):
