@@ -49,5 +49,17 @@ class Metric:
     unit: str = "money"
 
 
+@dataclass(frozen=True)
+class Fact:
+    """A declared fact table: the dimensions its rows have, the calibers it is stored under, and the column that tells the window's start."""
+
+    name: str
+    dimensions: tuple[str, ...]
+    calibers: tuple[str, ...] = ()
+    window: str | None = None
+
+
 DIMENSIONS = ("company_id", "metric_id", "scenario", "ccy", "month", "year")
 DEFAULTS = {"scenario": "actual"}
+FINANCE = Fact("fact_finance", DIMENSIONS, tuple(CALIBERS), "period_from")
+FACTS = {FINANCE.name: FINANCE}

@@ -29,11 +29,11 @@ def first_versions(current: DataFrame, history: DataFrame, start: str, columns:
 def apply_changes(history: DataFrame, changes: DataFrame, columns: list[str], effective: str) -> DataFrame:
     """Closes the open version of changed members at a date and opens a new one; unchanged members keep theirs."""
     day = F.lit(effective).cast("date")
-    new = changes.select("id", *[F.col(c).alias(f"new_{c}") for c in columns])
+    new = changes.select("id", F.lit(True).alias("named"), *[F.col(c).alias(f"new_{c}") for c in columns])
     same = F.lit(True)
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"new_{c}"))
-    marked = history.join(new, "id", "left").withColumn("changed", F.col("is_current") & F.coalesce(~same & F.lit(True), F.lit(False)) & F.col(f"new_{columns[0]}").isNotNull())
+    marked = history.join(new, "id", "left").withColumn("changed", F.col("is_current") & ~same & F.coalesce("named", F.lit(False)))
     if not marked.filter(F.col("changed") & (F.col("valid_from") >= day)).isEmpty():
         raise Refused("EFFECTIVE_DATE_TOO_EARLY", effective)
     row = lambda *v: F.struct(*[x.alias(n) for n, x in zip(("valid_from", "valid_to", "is_current", *columns), v, strict=True)])

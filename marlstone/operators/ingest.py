@@ -62,7 +62,9 @@ def unpivoted(cells: DataFrame, labels: dict[str, int], values: list[int], keep_
 
 
 def drop_rows(rows: DataFrame, column: str, exact: list[str], prefix: str) -> DataFrame:
-    return rows.filter(~F.col(column).isin(exact) & ~F.col(column).startswith(prefix))
+    """Rows without those whose label is one of ``exact`` or begins with ``prefix``; a row without a label stays."""
+    out = F.col(column).isin(exact) | F.col(column).startswith(prefix)
+    return rows.filter(~F.coalesce(out, F.lit(False)))
 
 
 def ignore_rectangles(cells: DataFrame, rectangles: DataFrame) -> DataFrame:
@@ -97,9 +99,11 @@ def period_profile(rows: DataFrame) -> DataFrame:
 
 
 def masked(cells: DataFrame, max_row: int, max_col: int) -> DataFrame:
-    """Texts as they are, other kinds as a marker: the structure without the numbers."""
+    """Texts as they are, other kinds as a marker: the structure without the numbers. truncated: the sheet has cells beyond the rectangle."""
     shown = F.when(F.col("value_kind") == "text", F.col("raw_value")).otherwise(F.concat(F.lit("<"), "value_kind", F.lit(">")))
-    return cells.filter((F.col("row_no") <= max_row) & (F.col("col_no") <= max_col)).withColumn("shown", shown)
+    within = (F.col("row_no") <= max_row) & (F.col("col_no") <= max_col)
+    beyond = cells.groupBy(*SHEET).agg((F.count_if(~within) > 0).alias("truncated"))
+    return cells.filter(within).withColumn("shown", shown).join(beyond, SHEET)
 
 
 def leak_scan(df: DataFrame, texts: Column, limit: int = 10_000) -> DataFrame:
@@ -112,7 +116,7 @@ def header_runs(cells: DataFrame, known: DataFrame) -> DataFrame:
     """The longest horizontal run of known labels of each sheet; the topmost wins ties."""
     from pyspark.sql import Window
 
-    hits = cells.filter("value_kind = 'text'").join(F.broadcast(known), cells["raw_value"] == known["label"], "left_semi")
+    hits = cells.filter("value_kind = 'text'").join(known, cells["raw_value"] == known["label"], "left_semi")
     island = F.col("col_no") - F.row_number().over(Window.partitionBy(*ROW).orderBy("col_no"))
     runs = hits.withColumn("island", island).groupBy(*ROW, "island").agg(F.count("*").alias("width"), F.min("col_no").alias("first_col"))
     best = F.max_by(F.struct("row_no", "first_col", "width"), F.struct("width", -F.col("row_no"), -F.col("first_col")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,39 @@ def collisions(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upserted(stored: DataFrame, batch: DataFrame, on_conflict: str = "replace") -> DataFrame:
-    """Stored rows not in the batch, and the batch. With reject any shared coordinate refuses the load."""
+    """Stored rows not in the batch, and the batch. With reject any shared coordinate refuses the load.
+
+    Months that the batch doesn't touch pass through as they are; only the others meet the batch.
+    """
+    if on_conflict == "reject" and not collisions(batch, stored).isEmpty():
+        raise Refused("CONFLICT_WITH_EXISTING")
+    columns, months = [*COORDINATE, "amount"], F.broadcast(batch.select("fin_month").distinct())  # as many rows as there are months
+    elsewhere = stored.join(months, "fin_month", "left_anti").select(*columns)
+    return elsewhere.unionByName(_months_with(stored, batch))
+
+
+def _months_with(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """What the batch's months hold after it: their stored rows at other coordinates, and the batch."""
+    columns, months = [*COORDINATE, "amount"], F.broadcast(batch.select("fin_month").distinct())
+    near = stored.join(months, "fin_month", "left_semi")
+    return near.join(batch.select(*COORDINATE), COORDINATE, "left_anti").select(*columns).unionByName(batch.select(*columns))
+
+
+def upsert_into(path: str, batch: DataFrame, on_conflict: str = "replace") -> None:
+    """Replaces the batch's months of a fact table stored by month; other months are neither read nor written.
+
+    What is to be written is worked out in full before the first partition is replaced, so a batch that fails has changed nothing.
+    """
+    spark = batch.sparkSession
+    stored = spark.read.parquet(path)
     if on_conflict == "reject" and not collisions(batch, stored).isEmpty():
         raise Refused("CONFLICT_WITH_EXISTING")
-    kept = stored.join(batch.select(*COORDINATE), COORDINATE, "left_anti")
-    return kept.select(*COORDINATE, "amount").unionByName(batch.select(*COORDINATE, "amount"))
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    _months_with(stored, batch).write.parquet(aside)
+    ready = spark.read.parquet(aside)
+    ready.hint("rebalance", "fin_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fin_month").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def reconciled(stored: DataFrame, expected: DataFrame) -> DataFrame:
@@ -76,11 +106,10 @@ def missing_periods(batch: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def archive(batch: DataFrame, path: str) -> int:
-    """Writes a batch as Parquet under its id, and checks the count that can be read back."""
-    batch.write.mode("append").partitionBy("batch_id").parquet(path)
+    """Writes a batch as Parquet under its id, and checks the count that can be read back. Archived again, a batch replaces itself."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     expected = batch.groupBy("batch_id").agg(F.count("*").alias("n_expected"))
-    ids = [r.batch_id for r in expected.select("batch_id").collect()]  # a load has a handful of batches
-    back = batch.sparkSession.read.parquet(path).filter(F.col("batch_id").isin(ids))
+    back = batch.sparkSession.read.schema(batch.schema).parquet(path).join(expected.select("batch_id"), "batch_id", "left_semi")
     if not reconciled(back, expected).isEmpty():
         raise Refused("ARCHIVE_INCOMPLETE", path)
     return back.count()
@@ -89,6 +118,7 @@ def archive(batch: DataFrame, path: str) -> int:
 def compacted(spark: SparkSession, path: str, target: str, file_mb: int = 128) -> DataFrame:
     """Rewrites an archive into few files under a new path; returns the per-batch counts that differ, empty if the old path may go."""
     source = spark.read.parquet(path)
-    source.repartition(F.col("batch_id")).write.partitionBy("batch_id").option("maxRecordsPerFile", file_mb * 40_000).parquet(target)
+    # Rebalancing joins small partitions of a batch and splits large ones, by the sizes seen at run time.
+    source.hint("rebalance", "batch_id").write.partitionBy("batch_id").option("maxRecordsPerFile", file_mb * 40_000).parquet(target)
     count = lambda p, c: spark.read.parquet(p).groupBy("batch_id").agg(F.count("*").alias(c))
     return count(path, "n_before").join(count(target, "n_after"), "batch_id", "full").filter("NOT (n_before <=> n_after)")

@@ -29,16 +29,22 @@ def unmatched(names: DataFrame, known: DataFrame) -> DataFrame:
 def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     """Suggestions (raw, id, score) for unresolved names: an equal stem alone, or else containment and small edits of names with the same first letter.
 
-    Stems meet in an equi join. Names can only contain one another or be near if
-    they share a two-letter piece, so the rest meets on those pieces and not as
-    all pairs.
+    Everything meets in equi joins. Stems meet stems. A name that contains another has it among its substrings, of
+    which only those as long as some name on the other side are made. Near names have the same first letter, and
+    lengths of which one is six tenths of the other at least.
     """
     left = raw.select("raw").distinct().withColumn("n", normalize_name(F.col("raw"))).withColumn("stem", company_stem(F.col("raw"))).filter("n <> ''")
     right = masters.select("id", normalize_name(F.col("name")).alias("en"), company_stem(F.col("name")).alias("stem")).filter("en <> ''")
     by_stem = left.join(right, "stem").select("raw", "id", F.lit(0.9).alias("score"))
     rest = left.join(by_stem.select("raw").distinct(), "raw", "left_anti")
-    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))))
-    met = rest.withColumn("piece", pieces("n")).join(right.withColumn("piece", pieces("en")), "piece").select("raw", "n", "id", "en").distinct()
+    pair = ["raw", "n", "id", "en"]
+    within = _with_substrings(rest, "n", right, "en").join(right, F.col("piece") == F.col("en")).select(*pair)
+    around = _with_substrings(right, "en", rest, "n").join(rest, F.col("piece") == F.col("n")).select(*pair)
+    size = F.length("n")
+    lengths = F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int")))
+    first = lambda c: F.left(c, F.lit(1))
+    near = rest.withColumns({"size": lengths, "first": first("n")}).join(right.withColumns({"size": F.length("en"), "first": first("en")}), ["first", "size"]).select(*pair)
+    met = within.unionByName(around).unionByName(near).distinct()
     longest = F.greatest(F.length("n"), F.length("en"))
     ratio = 1 - F.levenshtein("n", "en") / longest
     contained = F.contains(F.col("en"), F.col("n")) | F.contains(F.col("n"), F.col("en"))
@@ -48,14 +54,28 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     return every.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def _with_substrings(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
+    """df with piece: each substring of a name that is as long as some name of the other side. There are no more lengths than letters in a name."""
+    sizes = sorted(r[0] for r in other.select(F.length(other_column)).distinct().collect())
+    starts = lambda k: F.when(F.length(column) >= k, F.transform(F.sequence(F.lit(1), F.length(column) - k + 1), lambda i: F.substring(F.col(column), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.flatten(F.array(*[starts(k) for k in sizes])) if sizes else F.array().cast("array<string>")
+    return df.withColumn("piece", F.explode(F.array_distinct(pieces)))
+
+
 def apply_decisions(resolved: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (raw, action merge or create, target) win over the exact match; what has neither is pending."""
-    made = resolved.join(F.broadcast(decisions), "raw", "left")
+    made = resolved.join(decisions, "raw", "left")
     final = F.when(F.col("action") == "merge", F.col("target")).when(F.col("action") == "create", F.concat(F.lit("new_"), "norm")).otherwise(F.col("id"))
     status = F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("id").isNotNull(), "matched").otherwise("pending")
     return made.select("raw", final.alias("final_id"), status.alias("status"))
 
 
+def search(catalog: DataFrame, keyword: str) -> DataFrame:
+    """Rows (kind, id, name, aliases) whose name or one of whose aliases holds the keyword, in any case."""
+    held = lambda c: F.contains(F.lower(c), F.lit(keyword.lower()))
+    return catalog.filter(F.coalesce(held(F.col("name")), F.lit(False)) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.coalesce(held(a), F.lit(False))))
+
+
 def alias_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """The latest target of each (kind, normalized), and the one before it."""
     w = Window.partitionBy("kind", "normalized").orderBy("registered_at", "target")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import band, in_window
-from marlstone.model import CALIBERS, DEFAULTS, DIMENSIONS, Metric, Refused
+from marlstone.model import CALIBERS, DEFAULTS, DIMENSIONS, FACTS, FINANCE, Fact, Metric, Refused
 
 MONEY = "decimal(18,2)"
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}
@@ -18,7 +18,7 @@ LIMITS = {"human": 5000, "agent": 200}
 @dataclass(frozen=True)
 class Measure:
     metric: str
-    caliber: str = "month"
+    caliber: str | None = "month"
     agg: str = "sum"
     name: str = "value"
 
@@ -32,7 +32,32 @@ def _dimension(name: str, years: int) -> Column:
     return F.col(name)
 
 
-def _check(measures: list[Measure], group_by: tuple[str, ...], filters: dict, metrics: dict[str, Metric]) -> int:
+def declared_fact(name: str | None, declared: dict[str, Fact] | None) -> Fact:
+    """The declaration of a fact table; without a name that of the usual one."""
+    known = declared or {}
+    if name and name not in known:
+        raise Refused("FACT_UNKNOWN", name)
+    if (name or FINANCE.name) not in known:
+        raise Refused("FACT_NOT_DECLARED", name or FINANCE.name)
+    return known[name or FINANCE.name]
+
+
+def _caliber_fits(m: Measure, fact: Fact) -> None:
+    if not m.metric:
+        raise Refused("BAD_MEASURE", "a measure needs a metric")
+    if not fact.calibers and m.caliber:
+        raise Refused("PERIOD_TYPE_NOT_ON_FACT", fact.name)
+    if fact.calibers and not m.caliber:
+        raise Refused("BAD_MEASURE", f"{m.metric} needs a caliber")
+    if m.caliber and (m.caliber not in fact.calibers or m.caliber not in CALIBERS):
+        raise Refused("UNKNOWN_PERIOD_TYPE", m.caliber)
+    if m.caliber and CALIBERS[m.caliber].kind == "calculator":
+        raise Refused("CALIBER_IS_CALCULATOR", m.caliber)
+    if m.caliber and not fact.window:
+        raise Refused("CALIBER_UNRESOLVABLE", m.caliber)
+
+
+def _check(measures: list[Measure], group_by: tuple[str, ...], filters: dict, metrics: dict[str, Metric], fact: Fact, to_ccy: str | None) -> int:
     if not measures:
         raise Refused("EMPTY_MEASURES")
     for name, values in filters.items():
@@ -42,23 +67,24 @@ def _check(measures: list[Measure], group_by: tuple[str, ...], filters: dict, me
             raise Refused("EMPTY_FILTER", name)
     if bad := [g for g in group_by if g not in DIMENSIONS]:
         raise Refused("PERIOD_TYPE_NOT_GROUPABLE" if bad[0] == "period_type" else "UNKNOWN_DIMENSION", bad[0])
+    if missing := [n for n in (*group_by, *filters) if n not in fact.dimensions]:
+        raise Refused("DIM_NOT_ON_FACT", missing[0])
+    if to_ccy is not None and "ccy" not in fact.dimensions:
+        raise Refused("CCY_NOT_ON_FACT", fact.name)
     for m in measures:
         if m.agg not in AGGREGATES:
             raise Refused("BAD_AGG", m.agg)
-        if m.caliber not in CALIBERS:
-            raise Refused("UNKNOWN_PERIOD_TYPE", m.caliber)
-        if CALIBERS[m.caliber].kind == "calculator":
-            raise Refused("CALIBER_IS_CALCULATOR", m.caliber)
+        _caliber_fits(m, fact)
         derived = metrics.get(m.metric, Metric(m.metric)).formula is not None
         if derived and ("metric_id" in group_by or "metric_id" in filters):
             raise Refused("DERIVED_METRIC_FILTER", m.metric)
         if derived and m.agg != "sum":
             raise Refused("BAD_AGG", "a derived metric is summed before its formula")
-    years = {CALIBERS[m.caliber].years for m in measures}
+    years = {CALIBERS[m.caliber].years if m.caliber else 0 for m in measures}
     if len(years) > 1:
         raise Refused("CALIBER_SHIFT_CONFLICT")
     one_month = "month" in group_by or (isinstance(filters.get("month"), str)) or (isinstance(filters.get("month"), (list, tuple)) and len(filters["month"]) == 1)
-    if any(CALIBERS[m.caliber].cumulative for m in measures) and not one_month:
+    if any(m.caliber and CALIBERS[m.caliber].cumulative for m in measures) and not one_month:
         raise Refused("CUMULATIVE_TIME_UNPINNED")
     return years.pop()
 
@@ -66,19 +92,22 @@ def _check(measures: list[Measure], group_by: tuple[str, ...], filters: dict, me
 def measure_query(
     facts: DataFrame, measures: list[Measure], group_by: tuple[str, ...] = (), filters: dict | None = None, metrics: dict[str, Metric] | None = None,
     rates: DataFrame | None = None, to_ccy: str | None = None, audience: str = "human", limit: int | None = None, support: bool = False, over: tuple[str, ...] = (),
+    fact: str | None = None, declared: dict[str, Fact] | None = FACTS,
 ) -> DataFrame:
-    """Group keys and one column a measure.
+    """Group keys and one column a measure, of the rows ``facts`` of a declared fact table. With a limit, or for agents, a column truncated
+    tells whether groups were left out.
 
     over: dimensions that may be summed across although they have a default or
     need one member. With rates and to_ccy amounts are converted at their own
     month before aggregation; one missing or doubtful rate refuses the query.
     """
     metrics, filters = metrics or {}, {**(filters or {})}
-    years = _check(measures, group_by, filters, metrics)
+    table = declared_fact(fact, declared)
+    years = _check(measures, group_by, filters, metrics, table, to_ccy)
     for name, member in DEFAULTS.items():
-        if name not in group_by and name not in over:
+        if name in table.dimensions and name not in group_by and name not in over:
             filters.setdefault(name, member)
-    if "ccy" not in group_by and "ccy" not in over and to_ccy is None and not isinstance(filters.get("ccy"), str):
+    if "ccy" in table.dimensions and "ccy" not in group_by and "ccy" not in over and to_ccy is None and not isinstance(filters.get("ccy"), str):
         raise Refused("DIM_MIXED_AGGREGATION", "ccy")
     df = facts
     for name, values in filters.items():
@@ -98,7 +127,8 @@ def measure_query(
     aggs: list[Column] = []
     for m in measures:
         for metric in _inputs(m.metric, metrics):
-            value = F.when((F.col("metric_id") == metric) & in_window(CALIBERS[m.caliber]), amount)
+            window = in_window(CALIBERS[m.caliber]) if m.caliber else F.lit(True)
+            value = F.when((F.col("metric_id") == metric) & window, amount)
             aggs.append(AGGREGATES[m.agg](value).alias(f"_{m.name}_{metric}"))
             aggs.append(F.count(value).alias(f"_{m.name}_{metric}_n"))
     keys = [_dimension(g, years) for g in group_by]
@@ -113,7 +143,10 @@ def measure_query(
         out = guarded(out, [m.name for m in measures])
     cap = min(limit or LIMITS[audience], LIMITS[audience])
     if group_by and (limit is not None or audience == "agent"):
-        out = out.orderBy(*group_by).limit(cap)
+        # One group more than is shown tells whether there are more; the window sees no more than those.
+        place = F.row_number().over(Window.orderBy(*group_by))
+        out = out.orderBy(*group_by).limit(cap + 1).withColumns({"place": place, "truncated": F.count("*").over(Window.partitionBy()) > cap})
+        out = out.filter(F.col("place") <= cap).drop("place")
     return out if support else out.drop(*[f"{m.name}_support" for m in measures])
 
 
@@ -147,10 +180,12 @@ def converted(facts: DataFrame, rates: DataFrame, to_ccy: str) -> DataFrame:
     good = rate_quality(rates)
     source = good.select(F.col("rate_month").alias("fin_month"), "ccy", F.col("rate").alias("from_rate"), F.col("sound").alias("from_sound"))
     target = good.filter(F.col("ccy") == to_ccy).select(F.col("rate_month").alias("fin_month"), F.col("rate").alias("to_rate"), F.col("sound").alias("to_sound"))
-    joined = facts.join(source, ["fin_month", "ccy"], "left").join(target, "fin_month", "left")
-    sound = F.coalesce(F.col("from_sound") & F.col("to_sound"), F.lit(False))
-    if not joined.filter(~sound & F.col("amount").isNotNull()).isEmpty():
+    rates_of = source.join(target, "fin_month", "left")  # a row for each month and currency
+    # What a rate is needed for is few pairs, so the check reads two columns and joins nothing large.
+    needed = facts.filter("amount IS NOT NULL").select("fin_month", "ccy").distinct().join(rates_of, ["fin_month", "ccy"], "left")
+    if not needed.filter(~F.coalesce(F.col("from_sound") & F.col("to_sound"), F.lit(False))).isEmpty():
         raise Refused("FX_RATE_MISSING", to_ccy)
+    joined = facts.join(rates_of, ["fin_month", "ccy"], "left")
     ratio = F.round((F.col("from_rate").cast("double") / F.col("to_rate").cast("double")).cast("decimal(20,10)"), 8)
     return joined.withColumn("converted", F.round(F.col("amount") * ratio, 6).cast("decimal(28,6)"))
 
@@ -180,6 +215,19 @@ def legs(current: DataFrame, before: DataFrame, keys: list[str], strict: bool =
     return joined.withColumn("yoy", F.round(F.try_divide(cur - prev, F.nullif(prev, F.lit(0.0))).cast("decimal(28,10)"), 6).cast("double"))
 
 
+def aggregated(facts: DataFrame, grain: tuple[str, ...], fact: Fact = FINANCE, period: str = "fin_month") -> DataFrame:
+    """A stored aggregate of a fact table over a grain. Periods, scenarios, currencies and windows can't be summed away."""
+    lost = [c for c in (period, *(d for d in ("scenario", "ccy") if d in fact.dimensions), *([fact.window] if fact.window else [])) if c not in grain]
+    if lost:
+        raise Refused("MODEL_AGG_NONADDABLE", ", ".join(lost))
+    return facts.groupBy(*grain).agg(F.sum("amount").cast(MONEY).alias("amount"))
+
+
+def not_conserved(shares: DataFrame, member: str) -> DataFrame:
+    """Members whose weights don't add up to one, with what they add up to."""
+    return shares.groupBy(member).agg(F.sum("weight").cast("decimal(10,4)").alias("total")).filter("total <> 1")
+
+
 def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 

@@ -48,14 +48,18 @@ def metric_claims(declared: DataFrame, owners: DataFrame) -> DataFrame:
 
 def refused_inputs(rows: DataFrame, definitions: DataFrame, fact: str) -> DataFrame:
     """Metrics whose source amounts a load refuses: derived ones and those of another fact table. definitions (metric_id, fact, derived) are declared."""
-    joined = rows.groupBy("metric_id").agg(F.count("*").alias("n")).join(F.broadcast(definitions), "metric_id", "left")
+    joined = rows.groupBy("metric_id").agg(F.count("*").alias("n")).join(definitions, "metric_id", "left")
     reason = F.when(F.col("derived").isNull(), "METRIC_NOT_DECLARED").when(F.col("derived"), "METRIC_IS_DERIVED").when(F.col("fact") != fact, "METRIC_OF_OTHER_FACT")
     return joined.withColumn("reason", reason).filter("reason IS NOT NULL").select("metric_id", "n", "reason")
 
 
 def declared_rows(names: DataFrame, prefix: str) -> DataFrame:
-    """Declared members; their id depends on the name alone."""
-    return names.select(entity_id(F.col("name"), prefix).alias("id"), "name").distinct()
+    """Declared members; their id depends on the name alone. Different names of one id are refused: what refers to it would be ambiguous."""
+    rows = names.select(entity_id(F.col("name"), prefix).alias("id"), "name").distinct()
+    shared = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("name").alias("one"), F.max("name").alias("other")).filter("n > 1").limit(1).collect()
+    if shared:
+        raise Refused("ENTITY_ID_SHARED", f"{shared[0].one}, {shared[0].other}")
+    return rows
 
 
 def bridge_ids(rows: DataFrame, members: DataFrame, column: str = "name") -> DataFrame:

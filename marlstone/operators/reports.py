@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,56 @@ from marlstone.model import CALIBERS, Metric, Refused
 MONEY = "decimal(18,2)"
 
 
+@dataclass(frozen=True)
+class Block:
+    """What a report block declares: the dimensions of its axes with their members, what is held fixed, one metric for all values, and
+    the columns that its expressions name."""
+
+    rows: str
+    cols: str
+    col_order: tuple[str, ...] = ()
+    filters: dict[str, object] = field(default_factory=dict)
+    metric: str | None = None
+    caliber: str | None = None
+    expr_refs: tuple[str, ...] = ()
+
+
+def lint(block: Block) -> list[tuple[str, str]]:
+    """(code, detail) of all that keeps a block from one well-defined answer."""
+    found = []
+    if block.metric is not None and (not block.metric.strip() or block.rows != "company_id" or block.cols != "caliber" or "metric_id" in block.filters):
+        found.append(("VALUE_BINDING_BAD", "one metric for all values needs companies by calibers"))
+    if block.rows == "caliber":
+        found.append(("CALIBER_AXIS_COLS_ONLY", "a caliber is no column of a row"))
+    one = block.filters.get("metric_id")
+    if "metric_id" not in (block.rows, block.cols) and not block.metric and not (isinstance(one, str) and one):
+        found.append(("UNCONSTRAINED_DIM", "metric"))
+    if "caliber" not in (block.rows, block.cols) and not block.caliber:
+        found.append(("UNCONSTRAINED_DIM", "caliber"))
+    if unknown := [r for r in block.expr_refs if r not in block.col_order]:
+        found.append(("EXPR_REFS", ", ".join(unknown)))
+    return found
+
+
+def accepted(block: Block) -> Block:
+    """The block, if nothing is found against it."""
+    if found := lint(block):
+        raise Refused(*found[0])
+    return block
+
+
+def _stored_month(caliber: str, month: str) -> Column:
+    return F.add_months(F.lit(f"{month}-01").cast("date"), 12 * CALIBERS[caliber].years)
+
+
 def pinned(caliber: str, month: str) -> Column:
     """The window of a caliber at a report month; the caliber's own shift moves the pin, column by column."""
-    c = CALIBERS[caliber]
-    return in_window(c) & (F.col("fin_month") == F.add_months(F.lit(f"{month}-01").cast("date"), 12 * c.years))
+    return in_window(CALIBERS[caliber]) & (F.col("fin_month") == _stored_month(caliber, month))
+
+
+def months_of(calibers: list[str], month: str) -> Column:
+    """The stored months that a report of these calibers reads: other partitions are not touched."""
+    return F.col("fin_month").isin([_stored_month(c, month) for c in calibers])
 
 
 def ordered(result: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -28,7 +76,7 @@ def ordered(result: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def by_caliber(facts: DataFrame, row: str, order: list[str], calibers: list[str], month: str, **pins: str) -> DataFrame:
     """Rows of one dimension, a column for each caliber. pins: dimensions held at one member."""
-    df = facts.filter(F.col(row).isin(order))
+    df = facts.filter(F.col(row).isin(order) & months_of(calibers, month))
     for name, member in pins.items():
         df = df.filter(F.col(name) == member)
     out = df.groupBy(row).agg(*[F.sum(F.when(pinned(c, month), F.col("amount"))).cast(MONEY).alias(c) for c in calibers])

@@ -38,7 +38,7 @@ def degenerate(columns: list[str], constants: dict[str, str]) -> Column:
 
 def pick_rule(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Rows with rule_id: the one for the row's metric, else the block's default. rules (metric_id, rule_id) are declared, so they are few."""
-    return rows.join(F.broadcast(rules), "metric_id", "left").withColumn("rule_id", F.coalesce("rule_id", F.lit(default)))
+    return rows.join(rules, "metric_id", "left").withColumn("rule_id", F.coalesce("rule_id", F.lit(default)))
 
 
 def first_rows(rows: DataFrame, keys: list[str], first: int = 8) -> DataFrame:
@@ -75,6 +75,6 @@ def axis_match(labels: DataFrame, keys: list[str], registries: list[tuple[str, D
     """The first registry (name, ids) that knows every label of a set, else null."""
     known = labels
     for name, ids in registries:
-        known = known.join(F.broadcast(ids.select(F.col("id").alias("label"), F.lit(True).alias(f"in_{name}")).distinct()), "label", "left")
+        known = known.join(ids.select(F.col("id").alias("label"), F.lit(True).alias(f"in_{name}")).distinct(), "label", "left")
     whole = known.groupBy(*keys).agg(*[F.bool_and(F.col(f"in_{n}").isNotNull()).alias(f"in_{n}") for n, _ in registries])
     return whole.select(*keys, F.coalesce(*[F.when(F.col(f"in_{n}"), F.lit(n)) for n, _ in registries]).alias("dimension"))

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("region", "nation", "customer", "orders", "lineitem")
+from marlstone.sources import scratch
+
+BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+#: Views that are written once for each folder of tables, by a column, and read from there: the others build on them.
+STORED = {"fx_month": "fin_month", "fact_finance": "fin_month", "raw_cell": "file_hash", "sheet_cell": "file_hash"}
+_paths: dict[tuple[str, str], dict[str, tuple[str, list[str]]]] = {}
 VIEWS = {
     "fx_month": """
 SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS fin_month, concat('c_', CAST(n.n_nationkey AS VARCHAR(10))) AS company_id, m.metric_id,
@@ -47,9 +52,11 @@ SELECT file_hash, sheet, row_no, 1 AS col_no, 'text' AS value_kind, company_id A
 UNION ALL SELECT file_hash, sheet, row_no, 2, 'text', concat(CAST(year(fin_month) AS VARCHAR(4)), '/', CAST(month(fin_month) AS VARCHAR(2))) FROM grid
 UNION ALL SELECT file_hash, sheet, row_no, 3, 'text', metric_id FROM grid
 UNION ALL SELECT file_hash, sheet, row_no, 4, CASE WHEN row_no % 70=0 THEN 'text' ELSE 'number' END, CAST(amount AS VARCHAR(30)) FROM grid WHERE row_no % 50<>0""",
+    "master": """
+SELECT concat('s_', CAST(s_suppkey AS VARCHAR(20))) AS id, s_name AS name FROM supplier""",
     "source_names": """
-SELECT concat(n_name, CASE WHEN n_nationkey % 4 = 0 THEN ' ' WHEN n_nationkey % 4 = 1 THEN ' (X)' WHEN n_nationkey % 4 = 2 THEN '' ELSE 'S' END) AS raw,
-       CAST(n_nationkey + 1 AS BIGINT) AS weight FROM nation""",
+SELECT concat(s_name, CASE WHEN s_suppkey % 4 = 0 THEN ' ' WHEN s_suppkey % 4 = 1 THEN ' (X)' WHEN s_suppkey % 4 = 2 THEN '' ELSE 'S' END) AS raw,
+       CAST(s_suppkey % 25 + 1 AS BIGINT) AS weight FROM supplier""",
     "batch": """
 SELECT concat('b_', CAST(year(fin_month) AS VARCHAR(4))) AS batch_id, fin_month, period_from, company_id, metric_id, scenario, ccy,
        CAST(CASE WHEN month(fin_month) = 3 THEN amount + 1 ELSE amount END AS DECIMAL(18,2)) AS amount
@@ -81,23 +88,41 @@ SELECT concat('h_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_mon
 }
 
 
-def with_views(sql: str) -> str:
-    """The statement under the definitions of all views that it or they use."""
+def _needed(sql: str, stop: tuple[str, ...] = ()) -> list[str]:
+    """The views that a statement and those views use, in order; what is under ``stop`` isn't looked into."""
     need: list[str] = []
 
     def visit(text: str) -> None:
         for name, body in VIEWS.items():
             if name in text and name not in need:
-                visit(body.replace(name, ""))
+                if name not in stop:
+                    visit(body.replace(name, ""))
                 if name not in need:
                     need.append(name)
 
     visit(sql)
-    order = [n for n in VIEWS if n in need]
+    return [n for n in VIEWS if n in need]
+
+
+def with_views(sql: str, known: tuple[str, ...] = ()) -> str:
+    """The statement under the definitions of all views that it or they use, but for those that are known as tables."""
+    order = [n for n in _needed(sql, known) if n not in known]
     return ("WITH " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in order) + " " if order else "") + sql
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in BASE:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(with_views(f"SELECT * FROM {name}"))
+    made = _paths.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    known: tuple[str, ...] = ()
+    for stored in [n for n in _needed(f"SELECT * FROM {name}") if n in STORED]:  # what one builds on comes before it
+        if stored not in made:
+            rows, path = spark.sql(with_views(f"SELECT * FROM {stored}", known)), scratch.folder(spark, stored)
+            # Rebalancing deals a large partition to several tasks and joins small ones, by the sizes seen at run time.
+            rows.hint("rebalance", STORED[stored]).write.partitionBy(STORED[stored]).parquet(path)
+            scratch.until_exit(spark, path)
+            made[stored] = path, rows.columns
+        path, columns = made[stored]
+        spark.read.parquet(path).select(*columns).createOrReplaceTempView(stored)
+        known = (*known, stored)
+    return spark.sql(with_views(f"SELECT * FROM {name}", known))

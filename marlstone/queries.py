@@ -90,7 +90,7 @@ def dim_filter(s, d):
 
 @query(f"SELECT c.group_name, CAST(SUM(f.amount) AS {M}) AS value FROM fact_finance f JOIN dim_company c ON f.company_id=c.id WHERE f.scenario='actual' AND f.metric_id='m_revenue' AND f.period_from=f.fin_month AND c.level=2 GROUP BY 1")
 def star_join(s, d):
-    dim = F.broadcast(view(s, d, "dim_company").filter("level = 2").select(F.col("id").alias("company_id"), "group_name"))
+    dim = view(s, d, "dim_company").filter("level = 2").select(F.col("id").alias("company_id"), "group_name")
     own = facts(s, d).filter(F.col("metric_id") == "m_revenue").filter(ACTUAL).filter(exprs.in_window(CALIBERS["month"]))
     return own.join(dim, "company_id").groupBy("group_name").agg(F.sum("amount").cast(measures.MONEY).alias("value"))
 
@@ -98,7 +98,7 @@ def star_join(s, d):
 @query(f"SELECT f.company_id, CAST(SUM(f.amount) AS {M}) AS value FROM fact_finance f JOIN dim_company c ON f.company_id=c.id WHERE f.scenario='actual' AND f.metric_id='m_revenue' AND f.period_from=f.fin_month AND c.group_name IN ('ASIA','EUROPE') GROUP BY 1")
 def attr_filter(s, d):
     chosen = view(s, d, "dim_company").filter(F.col("group_name").isin("ASIA", "EUROPE")).select(F.col("id").alias("company_id"))
-    return measure_query(facts(s, d).join(F.broadcast(chosen), "company_id", "left_semi"), [Measure("m_revenue")], ("company_id",), over=("ccy",))
+    return measure_query(facts(s, d).join(chosen, "company_id", "left_semi"), [Measure("m_revenue")], ("company_id",), over=("ccy",))
 
 
 @query(f"SELECT company_id, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE scenario='budget' AND metric_id='m_revenue' GROUP BY 1")
@@ -106,7 +106,7 @@ def scenario_selector(s, d):
     return measure_query(facts(s, d), [Measure("m_revenue")], ("company_id",), {"scenario": "budget"}, over=("ccy",))
 
 
-@query("SELECT company_id, month, value FROM (" + f"SELECT company_id, {YM} AS month, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' GROUP BY 1, 2) ORDER BY company_id, month LIMIT 50")
+@query("SELECT company_id, month, value, count(*) OVER () > 50 AS truncated FROM (" + f"SELECT company_id, {YM} AS month, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' GROUP BY 1, 2) ORDER BY company_id, month LIMIT 50")
 def result_limit(s, d):
     return measure_query(facts(s, d), [Measure("m_revenue")], ("company_id", "month"), over=("ccy",), limit=50)
 
@@ -161,18 +161,26 @@ def leg_join(s, d):
 @query("SELECT bl_id, b.company_id, strftime(fin_month,'%Y-%m') AS month, CAST(SUM(amount*weight) AS DECIMAL(28,6)) AS value FROM fact_finance f JOIN map_org_bl b ON f.company_id=b.company_id WHERE scenario='actual' AND metric_id='m_revenue' AND period_from=fin_month GROUP BY 1,2,3")
 def bridge_allocate(s, d):
     own = facts(s, d).filter(ACTUAL).filter("metric_id = 'm_revenue'").filter(exprs.in_window(CALIBERS["month"]))
-    joined = own.join(F.broadcast(view(s, d, "map_org_bl")), "company_id")
+    joined = own.join(view(s, d, "map_org_bl"), "company_id")
     return joined.groupBy("bl_id", "company_id", F.date_format("fin_month", "yyyy-MM").alias("month")).agg(F.sum(F.col("amount") * F.col("weight")).cast("decimal(28,6)").alias("value"))
 
 
-@query("SELECT company_id, CAST(SUM(weight) AS DECIMAL(10,4)) AS total FROM map_org_bl GROUP BY 1 HAVING SUM(weight) <> 1")
+_CENTS = "CAST(floor(l_quantity * 100 / CAST(t.total AS DOUBLE)) / 100 AS DECIMAL(5,4))"
+_SHARES = "(SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS total FROM lineitem GROUP BY 1)"
+
+
+@query(f"SELECT l_orderkey AS member, CAST(SUM({_CENTS}) AS DECIMAL(10,4)) AS total FROM lineitem JOIN {_SHARES} t USING (l_orderkey) GROUP BY 1 HAVING SUM({_CENTS}) <> 1")
 def allocation_conserved(s, d):
-    return view(s, d, "map_org_bl").groupBy("company_id").agg(F.sum("weight").cast("decimal(10,4)").alias("total")).filter("total <> 1")
+    # Shares of an order's lines, cut to cents: many don't add up.
+    lines = base(s, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("q"))
+    total = lines.groupBy("l_orderkey").agg(F.sum(F.col("q").cast("decimal(12,2)")).cast("decimal(18,2)").alias("total"))
+    weight = (F.floor(F.col("q") * 100 / F.col("total").cast("double")).cast("double") / 100).cast("decimal(5,4)")
+    return measures.not_conserved(lines.join(total, "l_orderkey").select(F.col("l_orderkey").alias("member"), weight.alias("weight")), "member")
 
 
 @query(f"SELECT fin_month, period_from, metric_id, scenario, ccy, CAST(SUM(amount) AS {M}) AS amount FROM fact_finance GROUP BY 1,2,3,4,5")
 def agg_rebuild(s, d):
-    return facts(s, d).groupBy("fin_month", "period_from", "metric_id", "scenario", "ccy").agg(F.sum("amount").cast(measures.MONEY).alias("amount"))
+    return measures.aggregated(facts(s, d), ("fin_month", "period_from", "metric_id", "scenario", "ccy"))
 
 
 @query("SELECT count(*) = count(DISTINCT (fin_month, period_from, company_id, metric_id, scenario, ccy)) AS noop FROM fact_finance")
@@ -283,9 +291,20 @@ def band(s, d):
     return own.groupBy("company_id").agg(F.sum("amount").alias("v")).select("company_id", exprs.band(F.col("v")).alias("value"))
 
 
-@query("SELECT id, name FROM dim_company WHERE lower(name) LIKE '%an%' OR lower(group_name) LIKE '%an%'")
+@query(
+    "SELECT 'company' AS kind, id, name FROM dim_company WHERE lower(name) LIKE '%er%' OR lower(group_name) LIKE '%er%' "
+    "UNION ALL SELECT 'master', 's_' || s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%er%' OR lower(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'Vendor ' || s_suppkey END, '')) LIKE '%er%' "
+    "UNION ALL SELECT * FROM (VALUES ('metric', 'm_revenue', 'Revenue'), ('metric', 'm_cost', 'Cost')) m(kind, id, name) WHERE lower(name) LIKE '%er%' OR id = 'm_cost'"
+)
 def keyword_filter(s, d):
-    return view(s, d, "dim_company").filter(F.contains(F.lower("name"), F.lit("an")) | F.contains(F.lower("group_name"), F.lit("an"))).select("id", "name")
+    """A keyword over companies, masters and their aliases, and metrics and theirs."""
+    companies = view(s, d, "dim_company").select(F.lit("company").alias("kind"), "id", "name", F.array("group_name").alias("aliases"))
+    suppliers = base(s, d, "supplier").select(
+        F.lit("master").alias("kind"), F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),
+        F.array(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Vendor "), F.col("s_suppkey").cast("string")))).alias("aliases"),
+    )
+    metrics = s.createDataFrame([("metric", "m_revenue", "Revenue", ["sales"]), ("metric", "m_cost", "Cost", ["expenses", "Other"])], companies.schema)
+    return masters.search(companies.unionByName(suppliers).unionByName(metrics), "ER").select("kind", "id", "name")
 
 
 @query(f"SELECT * FROM (SELECT company_id, fin_month, amount FROM {_MONTHLY}) ORDER BY fin_month, company_id LIMIT 10 OFFSET 20")
@@ -299,10 +318,15 @@ def landing_summary(s, d):
     return ingest.landing_summary(view(s, d, "raw_cell"))
 
 
-@query("SELECT 'f_nation' AS file_hash, 'nation' AS sheet, CAST(n_nationkey AS BIGINT) AS row_no, CAST(u.k AS INTEGER) AS col_no, CASE WHEN u.k = 2 THEN 'text' ELSE 'number' END AS value_kind, CASE u.k WHEN 1 THEN CAST(n_nationkey AS VARCHAR) WHEN 2 THEN n_name ELSE CAST(n_regionkey AS VARCHAR) END AS raw_value FROM nation CROSS JOIN (VALUES (1),(2),(3)) u(k)")
+@query("""
+WITH l AS (SELECT o_orderkey % 200 AS file, o_orderkey, o_custkey, o_orderstatus, concat_ws(chr(9), CAST(o_custkey AS VARCHAR), o_orderstatus) AS line FROM orders),
+f AS (SELECT file, sha256(string_agg(line, chr(10) ORDER BY o_orderkey)) AS file_hash FROM l GROUP BY 1),
+k AS (SELECT file_hash, min(file) AS file FROM f GROUP BY 1)
+SELECT k.file_hash, 'orders' AS sheet, CAST(o_orderkey AS BIGINT) AS row_no, CAST(u.k AS INTEGER) AS col_no, CASE u.k WHEN 1 THEN 'number' ELSE 'text' END AS value_kind,
+CASE u.k WHEN 1 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS raw_value FROM l JOIN k USING (file) CROSS JOIN (VALUES (1),(2)) u(k)""")
 def land_cells(s, d):
-    t = base(s, d, "nation")
-    return landing.land_cells(t.withColumn("row", F.col("n_nationkey")), "f_nation", "nation", "row")
+    files = base(s, d, "orders").select((F.col("o_orderkey") % 200).alias("file"), "o_orderkey", "o_custkey", "o_orderstatus")
+    return landing.landed_sheets(files, "file", "o_orderkey", "orders")
 
 
 @query("SELECT file_hash, CAST(count(*) AS BIGINT) AS n FROM raw_cell WHERE file_hash NOT IN ('f_1996','f_1997') GROUP BY 1")
@@ -417,9 +441,12 @@ def looks_empty(s, d):
     return stats.select("file_hash", (F.col("total") == F.col("empty")).alias("looks_empty"))
 
 
-@query("SELECT file_hash, row_no, col_no, CASE WHEN value_kind='text' THEN raw_value ELSE '<' || value_kind || '>' END AS shown FROM raw_cell WHERE row_no<=40 AND col_no<=4")
+@query(
+    "SELECT file_hash, row_no, col_no, CASE WHEN value_kind='text' THEN raw_value ELSE '<' || value_kind || '>' END AS shown, truncated FROM raw_cell "
+    "JOIN (SELECT file_hash, sheet, max(row_no)>40 OR max(col_no)>4 AS truncated FROM raw_cell GROUP BY 1,2) USING (file_hash, sheet) WHERE row_no<=40 AND col_no<=4"
+)
 def masked_view(s, d):
-    return ingest.masked(view(s, d, "raw_cell"), 40, 4).select("file_hash", "row_no", "col_no", "shown")
+    return ingest.masked(view(s, d, "raw_cell"), 40, 4).select("file_hash", "row_no", "col_no", "shown", "truncated")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 10000")
@@ -442,22 +469,26 @@ def normalize_name(s, d):
     return view(s, d, "source_names").select("raw", exprs.normalize_name(F.col("raw")).alias("norm"))
 
 
-@query("SELECT n_name, lower(replace(n_name, '_', '')) AS stem FROM nation")
+@query("SELECT c_custkey, lower(c_name) AS stem FROM customer")
 def company_stem(s, d):
-    return base(s, d, "nation").select("n_name", exprs.company_stem(F.concat("n_name", F.lit("有限公司"))).alias("stem"))
+    return base(s, d, "customer").select("c_custkey", exprs.company_stem(F.concat("c_name", F.lit("有限公司"))).alias("stem"))
+
+
+def entity_sql(column: str, prefix: str) -> str:
+    codes = f"list_transform(string_split({column}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"'{prefix}' || left(lower(to_base(list_reduce({codes}, lambda a, b: (a * 31 + b) % 4294967296, CAST(0 AS BIGINT)), 36)), 8)"
 
 
-@query()
+@query(f"SELECT c_custkey, {entity_sql('c_name', 'c_')} AS entity_id FROM customer")
 def entity_id(s, d):
-    return view(s, d, "dim_company").select("name", exprs.entity_id(F.col("name"), "c_").alias("entity_id"))
+    return base(s, d, "customer").select("c_custkey", exprs.entity_id(F.col("c_name"), "c_").alias("entity_id"))
 
 
-_RES = f"(SELECT s.raw, s.weight, {_NORM.replace('raw', 's.raw')} AS norm, c.id FROM source_names s LEFT JOIN (SELECT lower(replace(name,'_','')) AS n, min(id) AS id FROM dim_company WHERE level=2 GROUP BY 1) c ON c.n = {_NORM.replace('raw', 's.raw')})"
+_RES = f"(SELECT s.raw, s.weight, {_NORM.replace('raw', 's.raw')} AS norm, c.id FROM source_names s LEFT JOIN (SELECT lower(name) AS n, min(id) AS id FROM master GROUP BY 1) c ON c.n = {_NORM.replace('raw', 's.raw')})"
 
 
 def _resolved(s, d):
-    companies = view(s, d, "dim_company").filter("level = 2")
-    return masters.resolve_exact(view(s, d, "source_names"), masters.known_names(companies))
+    return masters.resolve_exact(view(s, d, "source_names"), masters.known_names(view(s, d, "master")))
 
 
 @query(f"SELECT raw, norm, id FROM {_RES}")
@@ -467,27 +498,31 @@ def resolve_exact(s, d):
 
 @query(f"SELECT raw, CAST(SUM(weight) AS BIGINT) AS n_rows FROM {_RES} WHERE id IS NULL GROUP BY 1")
 def unmatched_names(s, d):
-    return masters.unmatched(view(s, d, "source_names"), masters.known_names(view(s, d, "dim_company").filter("level = 2")))
+    return masters.unmatched(view(s, d, "source_names"), masters.known_names(view(s, d, "master")))
 
 
-@query(f"SELECT raw, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, id) AS rank FROM (SELECT r.raw, c.id, CASE WHEN contains(c.en, r.norm) OR contains(r.norm, c.en) THEN 0.75::DOUBLE WHEN left(r.norm,1)=left(c.en,1) AND 1 - levenshtein(r.norm,c.en)::DOUBLE/greatest(length(r.norm),length(c.en)) >= 0.6 THEN CAST(round(CAST((1 - levenshtein(r.norm,c.en)::DOUBLE/greatest(length(r.norm),length(c.en)))*0.7 AS DECIMAL(12,8)),6) AS DOUBLE) END AS score FROM {_RES} r CROSS JOIN (SELECT id, lower(replace(name,'_','')) AS en FROM dim_company WHERE level=2) c WHERE r.id IS NULL) WHERE score IS NOT NULL) WHERE rank<=3")
+@query(f"SELECT raw, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, id) AS rank FROM (SELECT r.raw, c.id, CASE WHEN contains(c.en, r.norm) OR contains(r.norm, c.en) THEN 0.75::DOUBLE WHEN left(r.norm,1)=left(c.en,1) AND 1 - levenshtein(r.norm,c.en)::DOUBLE/greatest(length(r.norm),length(c.en)) >= 0.6 THEN CAST(round(CAST((1 - levenshtein(r.norm,c.en)::DOUBLE/greatest(length(r.norm),length(c.en)))*0.7 AS DECIMAL(12,8)),6) AS DOUBLE) END AS score FROM {_RES} r CROSS JOIN (SELECT id, lower(name) AS en FROM master) c WHERE r.id IS NULL) WHERE score IS NOT NULL) WHERE rank<=3")
 def match_candidates(s, d):
-    companies = view(s, d, "dim_company").filter("level = 2")
-    return masters.candidates(_resolved(s, d).filter("id IS NULL").select("raw"), companies)
+    return masters.candidates(_resolved(s, d).filter("id IS NULL").select("raw"), view(s, d, "master"))
 
 
-@query(f"SELECT raw, CASE WHEN raw='NATION_3S' THEN 'c_6' ELSE id END AS final_id, CASE WHEN raw='NATION_3S' THEN 'merge' WHEN id IS NOT NULL THEN 'matched' ELSE 'pending' END AS status FROM {_RES}")
+@query(f"SELECT raw, CAST(count(*) AS BIGINT) AS n, arg_min(id, rank) AS best FROM ({ORACLES['match_candidates']}) GROUP BY 1")
+def top3_candidates(s, d):
+    return match_candidates(s, d).groupBy("raw").agg(F.count("*").alias("n"), F.min_by("id", "rank").alias("best"))
+
+
+@query(f"SELECT raw, CASE WHEN raw='Supplier#000000003S' THEN 's_6' ELSE id END AS final_id, CASE WHEN raw='Supplier#000000003S' THEN 'merge' WHEN id IS NOT NULL THEN 'matched' ELSE 'pending' END AS status FROM {_RES}")
 def apply_decisions(s, d):
-    decisions = s.createDataFrame([("NATION_3S", "merge", "c_6")], "raw string, action string, target string")
+    decisions = s.createDataFrame([("Supplier#000000003S", "merge", "s_6")], "raw string, action string, target string")
     return masters.apply_decisions(_resolved(s, d), decisions)
 
 
-@query("SELECT 'company' AS kind, lower(replace(n_name,'_','')) AS normalized, 'r_' || n_regionkey AS target, CAST(2 AS INTEGER) AS registered_at, 'c_' || n_nationkey AS previous FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'company', lower(replace(n_name,'_','')), 'c_' || n_nationkey, 1, NULL FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT 'company' AS kind, lower(s_name) AS normalized, 'n_' || s_nationkey AS target, CAST(2 AS INTEGER) AS registered_at, 's_' || s_suppkey AS previous FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'company', lower(s_name), 's_' || s_suppkey, 1, NULL FROM supplier WHERE s_suppkey % 2 = 1")
 def alias_upsert(s, d):
-    n = base(s, d, "nation")
-    row = lambda df, t, at: df.select(F.lit("company").alias("kind"), exprs.normalize_name(F.col("n_name")).alias("normalized"), t.alias("target"), F.lit(at).alias("registered_at"))
-    old = row(n, F.concat(F.lit("c_"), F.col("n_nationkey").cast("string")), 1)
-    new = row(n.filter("n_nationkey % 2 = 0"), F.concat(F.lit("r_"), F.col("n_regionkey").cast("string")), 2)
+    n = base(s, d, "supplier")
+    row = lambda df, t, at: df.select(F.lit("company").alias("kind"), exprs.normalize_name(F.col("s_name")).alias("normalized"), t.alias("target"), F.lit(at).alias("registered_at"))
+    old = row(n, F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")), 1)
+    new = row(n.filter("s_suppkey % 2 = 0"), F.concat(F.lit("n_"), F.col("s_nationkey").cast("string")), 2)
     return masters.alias_upsert(old, new)
 
 
@@ -550,7 +585,7 @@ def period_upsert(s, d):
 # Versions and profiles.
 @query("SELECT f.fin_month, f.period_from, f.company_id, f.metric_id, f.scenario, f.ccy, f.amount, h.group_name FROM fact_finance f JOIN dim_company_hist h ON f.company_id=h.id AND f.fin_month>=h.valid_from AND (h.valid_to IS NULL OR f.fin_month<h.valid_to)")
 def dim_as_of_join(s, d):
-    return history.as_of_join(facts(s, d), F.broadcast(view(s, d, "dim_company_hist")), "company_id", "fin_month", ["group_name"])
+    return history.as_of_join(facts(s, d), view(s, d, "dim_company_hist"), "company_id", "fin_month", ["group_name"])
 
 
 @query("SELECT id, valid_from, valid_to, is_current, name, group_name FROM dim_company_hist WHERE valid_from<=DATE '1997-12-31' AND (valid_to IS NULL OR DATE '1997-12-31'<valid_to)")
@@ -584,9 +619,13 @@ def scd2_problems(s, d):
     return history.problems(view(s, d, "dim_company"), view(s, d, "dim_company_hist"), ["name", "group_name"])
 
 
-@query("SELECT 'nation' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, sha256('n_name,n_nationkey,n_regionkey') AS columns_sha256 FROM nation UNION ALL SELECT 'region', CAST(count(*) AS BIGINT), sha256('r_name,r_regionkey') FROM region")
+_PROFILED = ("customer", "events", "lineitem", "orders", "part", "supplier")
+_NAMES_OF = "(SELECT sha256(string_agg(column_name, ',' ORDER BY column_name)) FROM information_schema.columns WHERE table_name='{0}')"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, {_NAMES_OF.format(t)} AS columns_sha256 FROM {t}" for t in _PROFILED))
 def table_profile(s, d):
-    return landing.table_profile({n: base(s, d, n) for n in ("nation", "region")})
+    return landing.table_profile({n: base(s, d, n) for n in _PROFILED})
 
 
 def queries() -> dict[str, Query]:

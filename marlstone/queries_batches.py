@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import exprs
 from marlstone.model import CALIBERS
-from marlstone.operators import ingest, loading, masters, registry, sheets
+from marlstone.operators import admission, ingest, loading, registry, sheets
 from marlstone.plans.fixtures import view
-from marlstone.queries import ORACLES, base, facts, query
-from marlstone.queries import alias_upsert as aliases_of_nations
+from marlstone.queries import ORACLES, base, entity_sql, facts, query
+from marlstone.queries import alias_upsert as registered_aliases
 from marlstone.queries import apply_decisions as decided_names
 from marlstone.queries import match_candidates as suggestions
 from marlstone.queries import unmatched_names as unmatched
@@ -124,6 +124,23 @@ def axis_match(s, d):
     return sheets.axis_match(labels, ["file_hash", "col_no"], [("caliber", ids(CALIBERS)), ("metric", ids(["m_revenue", "m_cost"])), ("company", view(s, d, "dim_company").select("id"))])
 
 
+_KEPT = f"(SELECT * FROM {_ROWS} WHERE company NOT IN ('c_1'))"
+
+
+@query(
+    "SELECT file_hash, 'HEADER_UNMAPPED' AS code, CAST(count(*) AS BIGINT) AS n, CAST(1 AS INTEGER) AS first_row FROM sheet_cell WHERE row_no=1 AND col_no=6 GROUP BY 1 "
+    f"UNION ALL SELECT file_hash, 'ROWKEY_DUPLICATE_IN_FILE', CAST(count(*) AS BIGINT), CAST(min(r) AS INTEGER) FROM (SELECT file_hash, company, period, metric, min(row_no) AS r FROM {_KEPT} WHERE company<>'' GROUP BY 1,2,3,4 HAVING count(*)>1) GROUP BY 1 "
+    f"UNION ALL SELECT file_hash, 'COMPUTED_ROW_NOT_DROPPED', CAST(count(*) AS BIGINT), CAST(min(row_no) AS INTEGER) FROM {_KEPT} WHERE row_no % 35=0 GROUP BY 1 "
+    f"UNION ALL SELECT file_hash, 'ROWKEY_EMPTY_IN_FILE', CAST(count(*) AS BIGINT), CAST(min(row_no) AS INTEGER) FROM {_KEPT} WHERE company='' GROUP BY 1 "
+    f"UNION ALL SELECT file_hash, 'PERIOD_CELL_NOT_TEXT', CAST(count(*) AS BIGINT), CAST(min(row_no) AS INTEGER) FROM {_KEPT} WHERE kind<>'text' GROUP BY 1 "
+    f"UNION ALL SELECT file_hash, 'METRIC_INPUT_INVALID', CAST(count(*) AS BIGINT), CAST(min(row_no) AS INTEGER) FROM {_KEPT} WHERE metric='m_cost' GROUP BY 1"
+)
+def admission_findings(s, d):
+    spec = admission.SheetSpec(LABELS, (4, 5, 6), {5: "ytd"}, HEADERS, drop=("c_1",))
+    definitions = s.createDataFrame([("m_revenue", "fact_finance", False), ("m_cost", "fact_finance", True)], "metric_id string, fact string, derived boolean")
+    return admission.findings(view(s, d, "sheet_cell"), spec, definitions)
+
+
 # Masters and declarations.
 @query(f"SELECT u.raw, u.n_rows, c.candidates FROM ({ORACLES['unmatched_names']}) u LEFT JOIN (SELECT raw, string_agg(id, ',' ORDER BY rank) AS candidates FROM ({ORACLES['match_candidates']}) m GROUP BY 1) c ON c.raw=u.raw")
 def unresolved_report(s, d):
@@ -142,9 +159,9 @@ def load_outcome(s, d):
     return registry.load_outcome(decided_names(s, d), view(s, d, "source_names"))
 
 
-@query(f"SELECT a.kind, a.normalized AS alias, a.target, c.name AS target_name FROM ({ORACLES['alias_upsert']}) a LEFT JOIN dim_company c ON c.id=a.target")
+@query(f"SELECT a.kind, a.normalized AS alias, a.target, c.name AS target_name FROM ({ORACLES['alias_upsert']}) a LEFT JOIN master c ON c.id=a.target")
 def alias_list(s, d):
-    return registry.alias_list(aliases_of_nations(s, d), view(s, d, "dim_company"))
+    return registry.alias_list(registered_aliases(s, d), view(s, d, "master"))
 
 
 @query("SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, CASE count(DISTINCT id) WHEN 0 THEN 'new_' || lower(name) WHEN 1 THEN min(id) END AS id, CASE count(DISTINCT id) WHEN 0 THEN 'new' WHEN 1 THEN 'kept' ELSE 'conflict' END AS state FROM (SELECT a.s_name AS name, CASE WHEN o.s_suppkey % 3 <> 0 THEN 'm_' || o.s_suppkey END AS id FROM supplier a JOIN supplier o ON o.s_suppkey=a.s_suppkey OR (a.s_suppkey % 5=0 AND o.s_suppkey=a.s_suppkey+1)) GROUP BY 1")
@@ -163,19 +180,19 @@ def metric_input_check(s, d):
     return registry.refused_inputs(facts(s, d), definitions, "fact_finance")
 
 
-@query()
+@query(f"SELECT DISTINCT {entity_sql('c_name', 'cu_')} AS id, c_name AS name FROM customer")
 def declared_rows(s, d):
     return registry.declared_rows(base(s, d, "customer").select(F.col("c_name").alias("name")), "cu_")
 
 
-@query("SELECT s.raw, s.weight, c.id FROM source_names s LEFT JOIN (SELECT name, min(id) AS id FROM dim_company GROUP BY 1) c ON c.name=s.raw")
+@query("SELECT s.raw, s.weight, c.id FROM source_names s LEFT JOIN (SELECT name, min(id) AS id FROM master GROUP BY 1) c ON c.name=s.raw")
 def name_to_id_join(s, d):
-    return registry.bridge_ids(view(s, d, "source_names"), view(s, d, "dim_company"), "raw").select("raw", "weight", "id")
+    return registry.bridge_ids(view(s, d, "source_names"), view(s, d, "master"), "raw").select("raw", "weight", "id")
 
 
-@query("SELECT raw FROM source_names EXCEPT SELECT name FROM dim_company")
+@query("SELECT raw FROM source_names EXCEPT SELECT name FROM master")
 def name_difference(s, d):
-    return view(s, d, "source_names").select("raw").subtract(view(s, d, "dim_company").select("name"))
+    return view(s, d, "source_names").select("raw").subtract(view(s, d, "master").select("name"))
 
 
 @query("SELECT c_name AS member, c_mktsegment AS business_line, CAST(count(*) AS BIGINT) AS n FROM customer JOIN orders ON o_custkey=c_custkey GROUP BY 1,2")
@@ -246,7 +263,7 @@ def csv_export(s, d):
     return s.read.schema(rows.schema).option("header", True).csv(path)
 
 
-@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT * FROM events) GROUP BY 1")
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def incremental_landing(s, d):
     files, events = scratch.folder(s, "incoming"), base(s, d, "events")
     for _ in range(2):  # the same files come twice
@@ -255,10 +272,16 @@ def incremental_landing(s, d):
     return landed.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "SELECT 'l_comment' AS column, 'string' AS declared, NULL AS found, 'missing' AS state, CAST(0 AS BIGINT) AS n_lost "
+    "UNION ALL SELECT 'l_quantity', 'int', 'double', 'type changed', CAST(count(*) FILTER (CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) <> l_quantity) AS BIGINT) FROM lineitem "
+    "UNION ALL SELECT 'l_extendedprice', 'int', 'double', 'type changed', CAST(count(*) FILTER (trunc(l_extendedprice) <> l_extendedprice) AS BIGINT) FROM lineitem "
+    "UNION ALL SELECT 'l_tax', NULL, 'double', 'extra', CAST(count(l_tax) AS BIGINT) FROM lineitem"
+)
 def schema_drift(s, d):
     found = base(s, d, "lineitem")
-    return landing.schema_drift(found, found.drop("l_tax").withColumn("l_quantity", F.col("l_quantity").cast("decimal(12,2)")).withColumn("l_comment", F.lit("")).schema)
+    declared = found.drop("l_tax").withColumns({"l_quantity": F.lit(1), "l_extendedprice": F.lit(1), "l_comment": F.lit("")})
+    return landing.schema_drift(found, declared.schema)
 
 
 @query("SELECT id, strftime(valid_from, '%Y-%m-%d') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to, group_name FROM dim_company_hist")

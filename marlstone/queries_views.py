@@ -21,7 +21,7 @@ def default_members(s, d):
 
 def _pinned(s, d, by):
     sums = [F.sum(F.when(reports.pinned(c, MONTH), F.col("amount"))).cast(measures.MONEY).alias(c) for c in _PIN]
-    return facts(s, d).groupBy(*by).agg(*sums)
+    return facts(s, d).groupBy(*by).agg(*sums)  # members without a value in these months are shown too, so every month is read
 
 
 @query(f"SELECT scenario, metric_id, {_SUMS} FROM fact_finance GROUP BY 1,2")
@@ -56,7 +56,7 @@ def finite_cells(s, d):
     return base(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("cells"), F.count(measures.finite(ratio)).alias("shown"))
 
 
-@query(f"SELECT ccy, CASE WHEN v>=1e8 THEN format('{{:.1f}}', v/1e8) || '亿' WHEN v>=1e4 THEN format('{{:.1f}}', v/1e4) || '万' WHEN v>=1e3 THEN format('{{:.1f}}', v/1e3) || '千' ELSE format('{{:.0f}}', v) END AS value FROM (SELECT ccy, CAST(SUM(amount) AS DOUBLE) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY 1)")
+@query(f"SELECT ccy, CASE WHEN v>=1e8 THEN format('{{:.1f}}', v/1e8) || '亿' WHEN v>=1e4 THEN format('{{:.1f}}', v/1e4) || '万' WHEN v>=1e3 THEN format('{{:.1f}}', v/1e3) || '千' ELSE format('{{:.0f}}', v) END AS value, FALSE AS truncated FROM (SELECT ccy, CAST(SUM(amount) AS DOUBLE) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY 1)")
 def min_support_guard(s, d):
     return measure_query(facts(s, d), [Measure("m_revenue")], ("ccy",), audience="agent")
 

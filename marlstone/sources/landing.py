@@ -13,12 +13,16 @@ def _kind(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "bool" if isinstance(t, T.BooleanType) else "date" if isinstance(t, (T.DateType, T.TimestampType)) else "text"
 
 
-def land_cells(df: DataFrame, file_hash: str, sheet: str, row_no: str) -> DataFrame:
-    """Cells (file_hash, sheet, row_no, col_no, value_kind, raw_value) of a table's other columns, in their order; nulls have no cell."""
-    columns = [f for f in df.schema if f.name != row_no]
+def land_cells(df: DataFrame, file_hash: str | None, sheet: str, row_no: str) -> DataFrame:
+    """Cells (file_hash, sheet, row_no, col_no, value_kind, raw_value) of a table's other columns, in their order; nulls have no cell.
+
+    file_hash: the digest of the file that the table is; None if the table has a column of that name.
+    """
+    columns = [f for f in df.schema if f.name not in (row_no, "file_hash")]
     cell = [F.struct(F.lit(i + 1).alias("col_no"), F.lit(_kind(f.dataType)).alias("value_kind"), F.col(f.name).cast("string").alias("raw_value")) for i, f in enumerate(columns)]
-    rows = df.select(F.col(row_no).cast("long").alias("row_no"), F.explode(F.array(*cell)).alias("c"))
-    return rows.select(F.lit(file_hash).alias("file_hash"), F.lit(sheet).alias("sheet"), "row_no", "c.*").filter("raw_value IS NOT NULL")
+    digest = F.col("file_hash") if file_hash is None else F.lit(file_hash)
+    rows = df.select(digest.alias("file_hash"), F.col(row_no).cast("long").alias("row_no"), F.explode(F.array(*cell)).alias("c"))
+    return rows.withColumn("sheet", F.lit(sheet)).select("file_hash", "sheet", "row_no", "c.*").filter("raw_value IS NOT NULL")
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
@@ -28,7 +32,29 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def schema_drift(df: DataFrame, declared: T.StructType) -> DataFrame:
-    """Columns (column, declared, found, state) that are missing, extra or of another type."""
-    want, have = {f.name: f.dataType.simpleString() for f in declared}, {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = [(n, want.get(n), have.get(n), "missing" if n not in have else "extra" if n not in want else "type changed") for n in sorted({*want, *have}) if want.get(n) != have.get(n)]
-    return df.sparkSession.createDataFrame(rows, "column string, declared string, found string, state string")
+    """Columns (column, declared, found, state) that are missing, extra or of another type, and n_lost: values that the declared columns don't keep."""
+    want, have = {f.name: f.dataType for f in declared}, {f.name: f.dataType for f in df.schema}
+    rows, lost = [], []
+    for n in sorted({*want, *have}):
+        if n not in want or n not in have or want[n] != have[n]:
+            rows.append((n, want[n].simpleString() if n in want else None, have[n].simpleString() if n in have else None, "missing" if n not in have else "extra" if n not in want else "type changed"))
+            kept = F.col(n).try_cast(want[n]).try_cast(have[n]).eqNullSafe(F.col(n)) if n in want and n in have else F.lit(n not in have)
+            lost.append(F.count_if(~kept & (F.col(n).isNotNull() if n in have else F.lit(False))).alias(f"lost{len(lost)}"))
+    shape = "column string, declared string, found string, state string, n_lost long"
+    if not rows:
+        return df.sparkSession.createDataFrame([], shape)
+    values = [F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("column", "declared", "found", "state"), row, strict=True)], F.col(f"lost{i}").alias("n_lost")) for i, row in enumerate(rows)]
+    return df.agg(*lost).select(F.inline(F.array(*values)))
+
+
+def landed_sheets(df: DataFrame, file_col: str, row_col: str, sheet: str) -> DataFrame:
+    """Cells of many files, each known by the digest of its content: its rows as lines, in order. Files of equal content are one.
+
+    A sheet is bounded by the scan limits, so the lines of one are gathered; files are many and meet by their name.
+    """
+    columns = [c for c in df.columns if c not in (file_col, row_col)]
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_col).cast("long").alias("row"), line.alias("line")))), lambda x: x["line"]), "\n")
+    files = df.groupBy(file_col).agg(F.sha2(text, 256).alias("file_hash"))
+    first = files.groupBy("file_hash").agg(F.min(file_col).alias(file_col))
+    return land_cells(df.join(first, file_col).drop(file_col), None, sheet, row_col)

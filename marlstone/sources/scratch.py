@@ -17,3 +17,9 @@ def folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="marlstone-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-FILE = "_marlstone_file"
+FILE, BATCH = "_marlstone_file", "_marlstone_batch"
 
 
 def _digests(batch: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,19 +26,23 @@ def incremental_landing(spark: SparkSession, source: str, schema: StructType, ta
     """Drains new Parquet files of a folder into target, keyed by content, and returns what has landed, with each row's file_hash.
 
     A file seen again, under whatever name, adds nothing. A new file lands with
-    every row, also rows that repeat within it or are in other files.
+    every row, also rows that repeat within it or are in other files.  A batch is a
+    partition of the target, named by the stream and its number, so one that is
+    tried again after a failure replaces what it had written.
     """
     columns = schema.fieldNames()
     stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_path").alias(FILE))
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def land(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
+    def land(batch: DataFrame, number: int) -> None:
+        session, name = batch.sparkSession, f"{own}-{number}"
         new = _digests(batch, columns).groupBy("file_hash").agg(F.min(FILE).alias(FILE))
         hadoop = session._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(session.read.parquet(target).select("file_hash").distinct(), "file_hash", "left_anti")
-        # One row a file, as in the stream's own log.
-        batch.join(F.broadcast(new), FILE).select(*columns, "file_hash").write.mode("append").parquet(target)
+            before = session.read.parquet(target).filter(F.col(BATCH) != name)
+            new = new.join(before.select("file_hash").distinct(), "file_hash", "left_anti")
+        landed = batch.join(new, FILE).select(*columns, "file_hash", F.lit(name).alias(BATCH))
+        landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(target)
 
     stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).select(*columns, "file_hash")
