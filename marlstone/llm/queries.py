@@ -143,5 +143,38 @@ coalesce(hits.n > 0 AND 20 * hits.n >= len(w), FALSE) AS contaminated FROM d LEF
 }
 
 
+# Secrets as SQL: matches of each kind from the pieces between them, then pairs of matches of a document.
+_CLASS = "[A-Za-z0-9+/_=-]"
+#: RE2 has no look-around: a run of the class is longest as it is, and that it holds a digit and a letter is asked afterwards.
+_PLAIN = {k.name: (f"{_CLASS}{{20,}}" if k.name == "blob" else k.pattern.replace("\\x20", " ")) for k in secrets.KINDS}
+
+
+def _matches(at: int, kind: secrets.Kind) -> str:
+    pattern = _PLAIN[kind.name].replace("'", "''")
+    also = " AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')" if kind.name == "blob" else ""
+    return f"""
+SELECT doc_id, {at} AS kind, z - length(match) AS a, z FROM (
+  SELECT doc_id, match, value, sum(length(piece) + length(match)) OVER (PARTITION BY doc_id ORDER BY n) AS z FROM (
+    SELECT doc_id, unnest(pieces[1:len(matches)]) AS piece, unnest(matches) AS match, unnest(found) AS value, unnest(range(len(matches))) AS n FROM (
+      SELECT doc_id, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}') AS matches, regexp_extract_all(text, '{pattern}', {kind.group}) AS found FROM d)))
+WHERE length(value) >= {kind.least}{also}"""
+
+
+_COMPLETES = " OR ".join(f"(w.kind = {i} AND o.kind IN ({', '.join(str(j) for j, x in enumerate(secrets.KINDS) if x.name in k.completed_by)}))" for i, k in enumerate(secrets.KINDS) if k.completed_by)
+_BASE_KINDS = ", ".join(map(str, secrets.BASE))
+_SHOWN = "CASE kind " + " ".join(f"WHEN {i} THEN '{k.name}'" for i, k in enumerate(secrets.KINDS)) + " END || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT)"
+ORACLES["op2_secret_linking"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS MATERIALIZED ({" UNION ALL ".join(_matches(i, k) for i, k in enumerate(secrets.KINDS))}),
+spans AS (SELECT * FROM parts WHERE kind IN ({_BASE_KINDS})
+UNION ALL SELECT * FROM parts w WHERE EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND greatest(w.a - o.z, o.a - w.z) BETWEEN 0 AND {secrets.SCOPE} AND ({_COMPLETES}))
+AND NOT EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND o.kind IN ({_BASE_KINDS}) AND greatest(w.a - o.z, o.a - w.z) < 0)),
+shown AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+string_agg(CASE WHEN kind IN ({_BASE_KINDS}) THEN {_SHOWN} END, ',' ORDER BY a, kind, z) AS base, string_agg({_SHOWN}, ',' ORDER BY a, kind, z) AS every FROM spans GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN shown USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
