@@ -54,11 +54,16 @@ def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(raw, pa.binary())], names=["vec_id", "vec"])
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, from the first component to the last, so that any engine which adds in order gets the same bits."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
 def _unit(raw: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Vectors, norms, int8 codes, their scale, and the length of the quantisation error of the unit vector."""
     x = np.frombuffer(b"".join(raw.to_pylist())).reshape(len(raw), -1)
     x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
-    norm = np.sqrt((x * x).sum(axis=1))
+    norm = np.sqrt(_summed(x * x))
     unit = x / norm[:, None]
     scale = np.abs(unit).max(axis=1) / 127
     code = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -86,7 +91,7 @@ def _tile(k: int):
             n = min(k, len(cid))
             least = np.partition(low, len(cid) - n, axis=1)[:, len(cid) - n]
             i, j = np.nonzero((near + slack >= least[:, None]) & (near > -np.inf))
-            exact = np.concatenate([(q[a + i[s : s + 65536]] * c[j[s : s + 65536]]).sum(axis=1) for s in range(0, max(len(i), 1), 65536)])
+            exact = np.concatenate([_summed(q[a + i[s : s + 16384]] * c[j[s : s + 16384]]) for s in range(0, max(len(i), 1), 16384)])
             exact = exact / (q_norm[a + i] * c_norm[j])
             ends = np.searchsorted(i, np.arange(z - a + 1))
             for row in range(z - a):

@@ -176,5 +176,15 @@ sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d L
 """
 
 
+_DOT = "list_reduce(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]), lambda s, x: s + x)"
+ORACLES["op10_nearest_vectors"] = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+v AS (SELECT vec_id, x, sqrt({_DOT.format("x", "x")}) AS norm FROM e WHERE len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT.format("q.x", "c.x")} / (q.norm * c.norm) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
