@@ -20,7 +20,11 @@ from marlstone.streaming.incremental import incremental_landing as drain
 
 HEADERS = {"this month": "month", "to date": "since"}
 LABELS = {"company": 1, "period": 2, "metric": 3}
-_ROWS = "(SELECT file_hash, row_no, max(CASE WHEN col_no=1 THEN trim(raw_value) END) AS company, max(CASE WHEN col_no=2 THEN raw_value END) AS period, max(CASE WHEN col_no=2 THEN value_kind END) AS kind, max(CASE WHEN col_no=3 THEN raw_value END) AS metric FROM sheet_cell WHERE row_no > 1 GROUP BY 1,2)"
+_ROWS = (
+    "(SELECT file_hash, row_no, max(CASE WHEN col_no=1 THEN trim(raw_value) END) AS company, max(CASE WHEN col_no=2 THEN "
+    "raw_value END) AS period, max(CASE WHEN col_no=2 THEN value_kind END) AS kind, max(CASE WHEN col_no=3 THEN raw_value "
+    "END) AS metric FROM sheet_cell WHERE row_no > 1 GROUP BY 1,2)"
+)
 _PERIOD = "make_date(TRY_CAST(regexp_extract(period, '^(\\d{4})/(\\d{1,2})$', 1) AS INTEGER), TRY_CAST(regexp_extract(period, '^(\\d{4})/(\\d{1,2})$', 2) AS INTEGER), 1)"
 
 
@@ -43,7 +47,10 @@ def _calibers(s, d):
     return sheets.column_calibers(headers, {5: "ytd"}, HEADERS).select("file_hash", "col_no", F.col("raw_value").alias("header"), "caliber")
 
 
-@query("SELECT file_hash, CAST(col_no AS INTEGER) AS col_no, raw_value AS header, CASE WHEN col_no=5 THEN 'ytd' WHEN raw_value='this month' THEN 'month' END AS caliber FROM sheet_cell WHERE row_no=1 AND col_no BETWEEN 4 AND 6")
+@query(
+    "SELECT file_hash, CAST(col_no AS INTEGER) AS col_no, raw_value AS header, CASE WHEN col_no=5 THEN 'ytd' WHEN raw_value='this "
+    "month' THEN 'month' END AS caliber FROM sheet_cell WHERE row_no=1 AND col_no BETWEEN 4 AND 6"
+)
 def column_caliber(s, d):
     return _calibers(s, d)
 
@@ -80,7 +87,10 @@ def _transformed(s, d):
 _RULE = "CASE WHEN metric_id='m_cost' THEN 'negate' ELSE 'to_10k' END"
 
 
-@query(f"SELECT fin_month, company_id, scenario, ccy, metric_id, {_RULE} AS rule_id, CAST(CASE WHEN metric_id='m_cost' THEN -amount ELSE round(amount*CAST(0.0001 AS DECIMAL(5,4)),2) END AS DECIMAL(18,2)) AS value FROM fx_month")
+@query(
+    f"SELECT fin_month, company_id, scenario, ccy, metric_id, {_RULE} AS rule_id, CAST(CASE WHEN metric_id='m_cost' THEN "
+    f"-amount ELSE round(amount*CAST(0.0001 AS DECIMAL(5,4)),2) END AS DECIMAL(18,2)) AS value FROM fx_month"
+)
 def pick_transform(s, d):
     return _transformed(s, d).select("fin_month", "company_id", "scenario", "ccy", "metric_id", "rule_id", "value")
 
@@ -90,13 +100,19 @@ def transform_counts(s, d):
     return _transformed(s, d).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT file_hash, 'company' AS dimension, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(row_no))[1:8], ',') AS first_rows FROM {_ROWS} WHERE company='' GROUP BY 1,2")
+@query(
+    f"SELECT file_hash, 'company' AS dimension, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(row_no))[1:8], "
+    f"',') AS first_rows FROM {_ROWS} WHERE company='' GROUP BY 1,2"
+)
 def empty_key_rows(s, d):
     long = _rows(s, d).unpivot(["file_hash", "row_no"], list(LABELS), "dimension", "label")
     return sheets.first_rows(long.filter("coalesce(trim(label), '') = ''"), ["file_hash", "dimension"])
 
 
-@query("SELECT file_hash, row_no FROM sheet_cell WHERE formula IS NOT NULL AND (file_hash, row_no) NOT IN (SELECT (file_hash, row_no) FROM sheet_cell WHERE col_no=1 AND raw_value='c_1')")
+@query(
+    "SELECT file_hash, row_no FROM sheet_cell WHERE formula IS NOT NULL AND (file_hash, row_no) NOT IN (SELECT (file_hash, "
+    "row_no) FROM sheet_cell WHERE col_no=1 AND raw_value='c_1')"
+)
 def computed_rows(s, d):
     cells = _body(s, d)
     return sheets.computed_rows(cells, cells.filter("col_no = 1 AND raw_value = 'c_1'")).select("file_hash", "row_no")
@@ -107,17 +123,27 @@ def non_text_period_cells(s, d):
     return _body(s, d).filter("col_no = 2 AND value_kind <> 'text' AND raw_value <> ''").select("file_hash", "row_no", "value_kind")
 
 
-@query("SELECT file_hash, 'column' AS axis, CAST(col_no AS INTEGER) AS position, raw_value AS label, FALSE AS computed FROM sheet_cell WHERE row_no=1 AND col_no>=4 UNION ALL SELECT file_hash, 'row', row_no, company, row_no % 35=0 FROM " + _ROWS + " WHERE row_no < 90")
+@query((
+    "SELECT file_hash, 'column' AS axis, CAST(col_no AS INTEGER) AS position, raw_value AS label, FALSE AS computed FROM "
+    "sheet_cell WHERE row_no=1 AND col_no>=4 UNION ALL SELECT file_hash, 'row', row_no, company, row_no % 35=0 FROM "
+) + _ROWS + " WHERE row_no < 90")
 def region_labels(s, d):
     return sheets.region_labels(view(s, d, "sheet_cell"), 2, 4).drop("sheet")
 
 
-@query("SELECT DISTINCT file_hash, CAST(2 AS INTEGER) AS col_no, make_date(CAST(split_part(raw_value,'/',1) AS INTEGER), CAST(split_part(raw_value,'/',2) AS INTEGER), 1) AS fin_month FROM month_sheet WHERE col_no=2")
+@query(
+    "SELECT DISTINCT file_hash, CAST(2 AS INTEGER) AS col_no, make_date(CAST(split_part(raw_value,'/',1) AS INTEGER), CAST(split_part(raw_value,'/',2) "
+    "AS INTEGER), 1) AS fin_month FROM month_sheet WHERE col_no=2"
+)
 def period_hint(s, d):
     return sheets.period_hint(view(s, d, "month_sheet"), 4).drop("sheet")
 
 
-@query("SELECT file_hash, CAST(col_no AS INTEGER) AS col_no, CASE WHEN bool_and(raw_value IN ('m_revenue','m_cost')) THEN 'metric' WHEN bool_and(c.id IS NOT NULL) THEN 'company' END AS dimension FROM month_sheet LEFT JOIN dim_company c ON c.id=raw_value GROUP BY 1,2")
+@query(
+    "SELECT file_hash, CAST(col_no AS INTEGER) AS col_no, CASE WHEN bool_and(raw_value IN ('m_revenue','m_cost')) THEN 'metric' "
+    "WHEN bool_and(c.id IS NOT NULL) THEN 'company' END AS dimension FROM month_sheet LEFT JOIN dim_company c ON c.id=raw_value "
+    "GROUP BY 1,2"
+)
 def axis_match(s, d):
     ids = lambda names: s.createDataFrame([(n,) for n in names], "id string")
     labels = view(s, d, "month_sheet").select("file_hash", "col_no", F.col("raw_value").alias("label"))
@@ -142,19 +168,28 @@ def admission_findings(s, d):
 
 
 # Masters and declarations.
-@query(f"SELECT u.raw, u.n_rows, c.candidates FROM ({ORACLES['unmatched_names']}) u LEFT JOIN (SELECT raw, string_agg(id, ',' ORDER BY rank) AS candidates FROM ({ORACLES['match_candidates']}) m GROUP BY 1) c ON c.raw=u.raw")
+@query(
+    f"SELECT u.raw, u.n_rows, c.candidates FROM ({ORACLES['unmatched_names']}) u LEFT JOIN (SELECT raw, string_agg(id, ',' "
+    f"ORDER BY rank) AS candidates FROM ({ORACLES['match_candidates']}) m GROUP BY 1) c ON c.raw=u.raw"
+)
 def unresolved_report(s, d):
     return registry.unresolved_report(unmatched(s, d), suggestions(s, d)).select("raw", "n_rows", "candidates")
 
 
-@query("SELECT 'company' AS kind, lower(regexp_replace(name,'[ _]+','','g')) AS norm, min(id) AS id FROM dim_company GROUP BY 1,2 UNION ALL SELECT * FROM (VALUES ('metric','revenue','m_revenue'),('metric','sales','m_revenue'),('metric','cost','m_opex'))")
+@query(
+    "SELECT 'company' AS kind, lower(regexp_replace(name,'[ _]+','','g')) AS norm, min(id) AS id FROM dim_company GROUP "
+    "BY 1,2 UNION ALL SELECT * FROM (VALUES ('metric','revenue','m_revenue'),('metric','sales','m_revenue'),('metric','cost','m_opex'))"
+)
 def master_snapshot(s, d):
     metrics = s.createDataFrame([("m_revenue", "Revenue"), ("m_cost", "Cost")], "id string, name string")
     aliases = s.createDataFrame([("Sales", "m_revenue"), ("Cost", "m_opex")], "alias string, target string")
     return registry.snapshot({"company": (view(s, d, "dim_company"), None), "metric": (metrics, aliases)})
 
 
-@query(f"SELECT a.status, CAST(count(*) AS BIGINT) AS n_names, CAST(SUM(n.weight) AS BIGINT) AS n_rows FROM ({ORACLES['apply_decisions']}) a JOIN source_names n ON n.raw=a.raw GROUP BY 1")
+@query(
+    f"SELECT a.status, CAST(count(*) AS BIGINT) AS n_names, CAST(SUM(n.weight) AS BIGINT) AS n_rows FROM ({ORACLES['apply_decisions']}) "
+    f"a JOIN source_names n ON n.raw=a.raw GROUP BY 1"
+)
 def load_outcome(s, d):
     return registry.load_outcome(decided_names(s, d), view(s, d, "source_names"))
 
@@ -164,7 +199,12 @@ def alias_list(s, d):
     return registry.alias_list(registered_aliases(s, d), view(s, d, "master"))
 
 
-@query("SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, CASE count(DISTINCT id) WHEN 0 THEN 'new_' || lower(name) WHEN 1 THEN min(id) END AS id, CASE count(DISTINCT id) WHEN 0 THEN 'new' WHEN 1 THEN 'kept' ELSE 'conflict' END AS state FROM (SELECT a.s_name AS name, CASE WHEN o.s_suppkey % 3 <> 0 THEN 'm_' || o.s_suppkey END AS id FROM supplier a JOIN supplier o ON o.s_suppkey=a.s_suppkey OR (a.s_suppkey % 5=0 AND o.s_suppkey=a.s_suppkey+1)) GROUP BY 1")
+@query(
+    "SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, CASE count(DISTINCT id) WHEN 0 THEN 'new_' || lower(name) "
+    "WHEN 1 THEN min(id) END AS id, CASE count(DISTINCT id) WHEN 0 THEN 'new' WHEN 1 THEN 'kept' ELSE 'conflict' END AS "
+    "state FROM (SELECT a.s_name AS name, CASE WHEN o.s_suppkey % 3 <> 0 THEN 'm_' || o.s_suppkey END AS id FROM supplier "
+    "a JOIN supplier o ON o.s_suppkey=a.s_suppkey OR (a.s_suppkey % 5=0 AND o.s_suppkey=a.s_suppkey+1)) GROUP BY 1"
+)
 def metric_sync(s, d):
     every = base(s, d, "supplier").select("s_suppkey", "s_name")
     after = every.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("alias"))
@@ -254,7 +294,10 @@ def compact_archive(s, d):
     return _per_batch(s.read.parquet(new))
 
 
-@query("SELECT company_id, fin_month, CASE WHEN count(*)=1 THEN max(amount) END AS value, CASE WHEN count(*)>1 THEN 'conflict' ELSE 'value' END AS status FROM fx_month WHERE metric_id='m_revenue' GROUP BY 1,2")
+@query(
+    "SELECT company_id, fin_month, CASE WHEN count(*)=1 THEN max(amount) END AS value, CASE WHEN count(*)>1 THEN 'conflict' "
+    "ELSE 'value' END AS status FROM fx_month WHERE metric_id='m_revenue' GROUP BY 1,2"
+)
 def csv_export(s, d):
     from marlstone.queries import coordinate_lookup
 

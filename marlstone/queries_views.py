@@ -14,7 +14,10 @@ from marlstone.queries import _MONTHLY, _ORDER, _PIN, _SUMS, ACTUAL, IS, MONTH,
 _RATIO = "CAST(round(CAST({} AS DECIMAL(28,10)),6) AS DOUBLE)"
 
 
-@query(f"SELECT strftime(fin_month,'%Y-%m') AS month, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE scenario='actual' AND ccy='CNY' AND metric_id='m_revenue' GROUP BY 1")
+@query(
+    f"SELECT strftime(fin_month,'%Y-%m') AS month, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM "
+    f"fact_finance WHERE scenario='actual' AND ccy='CNY' AND metric_id='m_revenue' GROUP BY 1"
+)
 def default_members(s, d):
     return measure_query(facts(s, d), [Measure("m_revenue")], ("month",), {"ccy": "CNY"})
 
@@ -35,12 +38,20 @@ def period_dim_pin(s, d):
     return view(s, d, "fact_line").join(F.broadcast(periods), "fin_month").groupBy("business_line").agg(F.sum("amount").cast(measures.MONEY).alias("value"))
 
 
-@query(f"SELECT company_id, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} AND metric_id='m_cost' AND company_id IN ('c_3','c_1','c_99','c_2','c_7') GROUP BY 1")
+@query(
+    f"SELECT company_id, CAST(SUM(CASE WHEN {IS['month']} THEN amount END) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} "
+    f"AND metric_id='m_cost' AND company_id IN ('c_3','c_1','c_99','c_2','c_7') GROUP BY 1"
+)
 def axis_members(s, d):
     return measure_query(facts(s, d), [Measure("m_cost")], ("company_id",), {"company_id": _ORDER}, over=("ccy",))
 
 
-@query(f"SELECT CAST(row_ord AS INTEGER) AS row_ord, o.company_id, t.actual, t.budget FROM (VALUES (0,'c_3'),(1,'c_1'),(2,'c_99'),(3,'c_2'),(4,'c_7')) o(row_ord, company_id) LEFT JOIN (SELECT company_id, CAST(SUM(CASE WHEN scenario='actual' THEN amount END) AS {M}) AS actual, CAST(SUM(CASE WHEN scenario='budget' THEN amount END) AS {M}) AS budget FROM fact_finance WHERE metric_id='m_cost' AND {_PIN['ytd']} GROUP BY 1) t ON t.company_id=o.company_id")
+@query(
+    f"SELECT CAST(row_ord AS INTEGER) AS row_ord, o.company_id, t.actual, t.budget FROM (VALUES (0,'c_3'),(1,'c_1'),(2,'c_99'),(3,'c_2'),(4,'c_7')) "
+    f"o(row_ord, company_id) LEFT JOIN (SELECT company_id, CAST(SUM(CASE WHEN scenario='actual' THEN amount END) AS {M}) "
+    f"AS actual, CAST(SUM(CASE WHEN scenario='budget' THEN amount END) AS {M}) AS budget FROM fact_finance WHERE metric_id='m_cost' "
+    f"AND {_PIN['ytd']} GROUP BY 1) t ON t.company_id=o.company_id"
+)
 def matrix_order(s, d):
     return reports.ordered(reports.pivot(facts(s, d), "company_id", "scenario", ["actual", "budget"], "ytd", MONTH, metric_id="m_cost"), "company_id", _ORDER)
 
@@ -56,12 +67,20 @@ def finite_cells(s, d):
     return base(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("cells"), F.count(measures.finite(ratio)).alias("shown"))
 
 
-@query(f"SELECT ccy, CASE WHEN v>=1e8 THEN format('{{:.1f}}', v/1e8) || '亿' WHEN v>=1e4 THEN format('{{:.1f}}', v/1e4) || '万' WHEN v>=1e3 THEN format('{{:.1f}}', v/1e3) || '千' ELSE format('{{:.0f}}', v) END AS value, FALSE AS truncated FROM (SELECT ccy, CAST(SUM(amount) AS DOUBLE) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY 1)")
+@query(
+    f"SELECT ccy, CASE WHEN v>=1e8 THEN format('{{:.1f}}', v/1e8) || '亿' WHEN v>=1e4 THEN format('{{:.1f}}', v/1e4) || '万' "
+    f"WHEN v>=1e3 THEN format('{{:.1f}}', v/1e3) || '千' ELSE format('{{:.0f}}', v) END AS value, FALSE AS truncated FROM "
+    f"(SELECT ccy, CAST(SUM(amount) AS DOUBLE) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} "
+    f"GROUP BY 1)"
+)
 def min_support_guard(s, d):
     return measure_query(facts(s, d), [Measure("m_revenue")], ("ccy",), audience="agent")
 
 
-@query(f"SELECT coalesce(company_id, 'total') AS company_id, CAST(SUM(amount) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY ROLLUP(company_id)")
+@query(
+    f"SELECT coalesce(company_id, 'total') AS company_id, CAST(SUM(amount) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} "
+    f"AND metric_id='m_revenue' AND {IS['month']} GROUP BY ROLLUP(company_id)"
+)
 def company_total_vs_children(s, d):
     own = facts(s, d).filter(ACTUAL).filter("metric_id = 'm_revenue'").filter(exprs.in_window(CALIBERS["month"]))
     return own.rollup("company_id").agg(F.sum("amount").cast(measures.MONEY).alias("value")).withColumn("company_id", F.coalesce("company_id", F.lit("total")))
@@ -70,7 +89,10 @@ def company_total_vs_children(s, d):
 _BASES = f"(SELECT metric_id, {_SUMS} FROM fact_finance WHERE {ACTUAL} GROUP BY 1)"
 
 
-@query(f"SELECT metric_id, month, ytd, prior_ytd FROM {_BASES} UNION ALL SELECT 'm_profit', CAST(r.month-c.month AS {M}), CAST(r.ytd-c.ytd AS {M}), CAST(r.prior_ytd-c.prior_ytd AS {M}) FROM {_BASES} r, {_BASES} c WHERE r.metric_id='m_revenue' AND c.metric_id='m_cost'")
+@query(
+    f"SELECT metric_id, month, ytd, prior_ytd FROM {_BASES} UNION ALL SELECT 'm_profit', CAST(r.month-c.month AS {M}), CAST(r.ytd-c.ytd "
+    f"AS {M}), CAST(r.prior_ytd-c.prior_ytd AS {M}) FROM {_BASES} r, {_BASES} c WHERE r.metric_id='m_revenue' AND c.metric_id='m_cost'"
+)
 def derived_rows_union(s, d):
     pick = lambda metric, c: F.sum(F.when((F.col("metric_id") == metric) & reports.pinned(c, MONTH), F.col("amount"))).alias(f"{metric}_{c}")
     one = facts(s, d).filter(ACTUAL).agg(*[pick(m, c) for m in ("m_revenue", "m_cost") for c in _PIN])
@@ -79,21 +101,30 @@ def derived_rows_union(s, d):
     return one.select(F.inline(F.array(*rows)))
 
 
-@query(f"SELECT company_id, {_RATIO.format('(CAST(ytd AS DOUBLE)-CAST(prior_ytd AS DOUBLE))/nullif(CAST(prior_ytd AS DOUBLE),0)')} AS growth FROM (SELECT company_id, {_SUMS} FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' GROUP BY 1)")
+@query(
+    f"SELECT company_id, {_RATIO.format('(CAST(ytd AS DOUBLE)-CAST(prior_ytd AS DOUBLE))/nullif(CAST(prior_ytd AS DOUBLE),0)')} "
+    f"AS growth FROM (SELECT company_id, {_SUMS} FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' GROUP BY 1)"
+)
 def report_expr(s, d):
     rows = _pinned(s, d, ["company_id", "scenario", "metric_id"]).filter(ACTUAL).filter("metric_id = 'm_revenue'")
     now, before = F.col("ytd").cast("double"), F.col("prior_ytd").cast("double")
     return rows.select("company_id", F.round(F.try_divide(now - before, F.nullif(before, F.lit(0.0))).cast("decimal(28,10)"), 6).cast("double").alias("growth"))
 
 
-@query(f"SELECT coalesce(nullif(concat_ws(' / ', company_id, ccy), ''), 'total') AS label, CAST(SUM(amount) AS {M}) AS value FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY ROLLUP(company_id, ccy)")
+@query(
+    f"SELECT coalesce(nullif(concat_ws(' / ', company_id, ccy), ''), 'total') AS label, CAST(SUM(amount) AS {M}) AS value "
+    f"FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY ROLLUP(company_id, ccy)"
+)
 def metrics_to_chart(s, d):
     own = facts(s, d).filter(ACTUAL).filter("metric_id = 'm_revenue'").filter(exprs.in_window(CALIBERS["month"]))
     sums = own.rollup("company_id", "ccy").agg(F.sum("amount").cast(measures.MONEY).alias("value"))
     return sums.select(F.coalesce(F.nullif(F.concat_ws(" / ", "company_id", "ccy"), F.lit("")), F.lit("total")).alias("label"), "value")
 
 
-@query(f"SELECT CAST(n AS INTEGER) AS months_ago, m.company_id, m.amount FROM (SELECT unnest(range(0, 13)) AS n) JOIN {_MONTHLY} m ON m.fin_month = CAST(DATE '{MONTH}-01' - to_months(CAST(n AS INTEGER)) AS DATE)")
+@query(
+    f"SELECT CAST(n AS INTEGER) AS months_ago, m.company_id, m.amount FROM (SELECT unnest(range(0, 13)) AS n) JOIN {_MONTHLY} "
+    f"m ON m.fin_month = CAST(DATE '{MONTH}-01' - to_months(CAST(n AS INTEGER)) AS DATE)"
+)
 def relative_period(s, d):
     day = F.lit(f"{MONTH}-17").cast("date")
     periods = s.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(12))).alias("months_ago")).withColumn("fin_month", F.add_months(F.trunc(day, "MM"), -F.col("months_ago")))
