@@ -139,14 +139,14 @@ def measure_query(
         ns = [F.col(f"_{m.name}_{i}_n") for i in _inputs(m.metric, metrics)]
         columns.append((F.least(*ns) if len(ns) > 1 else ns[0]).alias(f"{m.name}_support"))
     out = out.select(*group_by, *columns)
-    if audience == "agent":
-        out = guarded(out, [m.name for m in measures])
     cap = min(limit or LIMITS[audience], LIMITS[audience])
     if group_by and (limit is not None or audience == "agent"):
-        # One group more than is shown tells whether there are more; the window sees no more than those.
-        place = F.row_number().over(Window.orderBy(*group_by))
-        out = out.orderBy(*group_by).limit(cap + 1).withColumns({"place": place, "truncated": F.count("*").over(Window.partitionBy()) > cap})
-        out = out.filter(F.col("place") <= cap).drop("place")
+        out = out.orderBy(*group_by).limit(cap + 1)  # one group more than is shown tells whether there are more
+    if audience == "agent":
+        out = guarded(out, [m.name for m in measures], cap)
+    elif group_by and limit is not None:
+        place = F.row_number().over(Window.orderBy(*group_by))  # over no more than those
+        out = out.withColumns({"place": place, "truncated": F.count("*").over(Window.partitionBy()) > cap}).filter(F.col("place") <= cap).drop("place")
     return out if support else out.drop(*[f"{m.name}_support" for m in measures])
 
 
@@ -190,14 +190,13 @@ def converted(facts: DataFrame, rates: DataFrame, to_ccy: str) -> DataFrame:
     return joined.withColumn("converted", F.round(F.col("amount") * ratio, 6).cast("decimal(28,6)"))
 
 
-def guarded(out: DataFrame, names: list[str], least: int = 3) -> DataFrame:
-    """Bands instead of values; refuses cells with too few supporting rows."""
-    thin = F.lit(False)
-    for n in names:
-        thin = thin | (F.col(n).isNotNull() & (F.col(f"{n}_support") < least))
-    if not out.filter(thin).isEmpty():
+def guarded(out: DataFrame, names: list[str], cap: int, least: int = 3) -> DataFrame:
+    """Bands instead of values, and truncated; refuses cells with too few supporting rows. The result is run once: it has cap + 1 rows at most."""
+    rows = out.limit(cap + 1).collect()
+    if any(r[n] is not None and r[f"{n}_support"] < least for r in rows for n in names):
         raise Refused("TOO_FINE_GRAINED")
-    return out.withColumns({n: band(F.col(n)) for n in names})
+    shown = out.sparkSession.createDataFrame(rows[:cap], out.schema)
+    return shown.withColumns({n: band(F.col(n)) for n in names} | {"truncated": F.lit(len(rows) > cap)})
 
 
 def year_over_year(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), **options) -> DataFrame:
