@@ -306,6 +306,18 @@ def csv_export(s, d):
     return s.read.schema(rows.schema).option("header", True).csv(path)
 
 
+@query(
+    "SELECT CAST(u.k AS INTEGER) AS col_no, CASE u.k WHEN 1 THEN 'number' ELSE 'text' END AS value_kind, CASE u.k WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN c_name "
+    "ELSE c_mktsegment || ', \"' || c_nationkey || '\"' END AS raw_value FROM customer CROSS JOIN (VALUES (1),(2),(3)) u(k)"
+)
+def land_files(s, d):
+    path, quote = scratch.folder(s, "sheets"), F.lit('"')
+    third = F.concat("c_mktsegment", F.lit(", "), quote, F.col("c_nationkey").cast("string"), quote)
+    base(s, d, "customer").repartition(8, "c_custkey").select("c_custkey", "c_name", third.alias("segment")).write.option("escape", '"').csv(path)
+    scratch.until_exit(s, path)
+    return landing.land_files(s, path).select("col_no", "value_kind", "raw_value")
+
+
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def incremental_landing(s, d):
     files, events = scratch.folder(s, "incoming"), base(s, d, "events")

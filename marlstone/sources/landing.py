@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,25 @@ def land_cells(df: DataFrame, file_hash: str | None, sheet: str, row_no: str) ->
     return rows.withColumn("sheet", F.lit(sheet)).select("file_hash", "sheet", "row_no", "c.*").filter("raw_value IS NOT NULL")
 
 
+_FIELD = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
+
+
+def land_files(spark: SparkSession, path: str, sheet: str = "sheet1") -> DataFrame:
+    """Cells (file_hash, sheet, row_no, col_no, value_kind, raw_value, formula) of comma-separated text files, each known by the SHA-256 of its bytes.
+
+    A file seen twice, under whatever name, is one. A worksheet is bounded by the scan limits, so a file is a row here; files are dealt to tasks.
+    Empty cells are absent and texts are not trimmed. A field that begins with an equals sign is a formula.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("text")).dropDuplicates(["file_hash"])
+    lines = files.select("file_hash", F.posexplode(F.split("text", "\r?\n", -1)).alias("row", "line"))
+    fields = lines.select("file_hash", "row", F.posexplode(F.regexp_extract_all("line", F.lit(_FIELD), F.lit(1))).alias("col", "field"))
+    quoted = F.col("field").startswith('"') & (F.length("field") > 1)
+    value = F.when(quoted, F.replace(F.substr("field", F.lit(2), F.length("field") - 2), F.lit('""'), F.lit('"'))).otherwise(F.col("field"))
+    kind = F.when(~quoted & F.col("field").rlike(r"^-?\d+(\.\d+)?$"), "number").otherwise("text")
+    cells = fields.select("file_hash", F.lit(sheet).alias("sheet"), (F.col("row") + 1).cast("long").alias("row_no"), (F.col("col") + 1).alias("col_no"), kind.alias("value_kind"), value.alias("raw_value"))
+    return cells.filter("raw_value <> ''").withColumn("formula", F.when(F.col("raw_value").startswith("="), F.col("raw_value")))
+
+
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count and a fingerprint of the column set of each table."""
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows", F.sha2(F.lit(",".join(sorted(df.columns))), 256).alias("columns_sha256")) for n, df in sorted(tables.items())]

@@ -1,5 +1,6 @@
 """Suggestions against every pair, and rows that earlier versions lost."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -88,3 +89,14 @@ def test_drift_counts_values_that_do_not_fit(spark):
 def test_search_reads_aliases(spark):
     catalog = spark.createDataFrame([("m", "1", "Revenue", ["Sales", None]), ("m", "2", None, None), ("m", "3", "Cost", [])], "kind string, id string, name string, aliases array<string>")
     assert [r.id for r in masters.search(catalog, "SALE").collect()] == ["1"]
+
+
+def test_files_land_by_their_bytes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"a, ""b""",\n,12.5,=A1+1\n', encoding="utf8")
+    (tmp_path / "copy.csv").write_bytes((tmp_path / "a.csv").read_bytes())
+    (tmp_path / "empty.csv").write_text("")
+    cells = landing.land_files(spark, str(tmp_path)).collect()
+    assert {(c.row_no, c.col_no, c.value_kind, c.raw_value, c.formula) for c in cells} == {
+        (1, 1, "text", "x", None), (1, 2, "text", 'a, "b"', None), (2, 2, "number", "12.5", None), (2, 3, "text", "=A1+1", "=A1+1")
+    }
+    assert {c.file_hash for c in cells} == {hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()} and len(cells) == 4
