@@ -27,39 +27,42 @@ class SheetSpec:
     period_is_date: bool = False
 
 
-def _parts(cells: DataFrame, spec: SheetSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Body cells, rows with their labels, and those rows that are not dropped."""
-    body = cells.filter(F.col("row_no") > spec.header_row)
-    rows = ingest.label_columns(body, spec.labels)
-    return body, rows, ingest.drop_rows(rows, "company", list(spec.drop), spec.drop_prefix)
+def _kept(cells: DataFrame, spec: SheetSpec) -> DataFrame:
+    """Rows that are not dropped, with their labels and what the findings ask of them: one pass over the cells."""
+    value, kind = F.col("col_no").isin(list(spec.values)), F.col("value_kind")
+    rows = cells.filter(F.col("row_no") > spec.header_row).groupBy(*ingest.ROW).agg(
+        *[F.max(F.when(F.col("col_no") == c, F.trim("raw_value"))).alias(n) for n, c in spec.labels.items()],
+        F.max(F.when(F.col("col_no") == spec.labels["period"], kind)).alias("period_kind"),
+        F.count_if(value & (kind == "number")).alias("amounts"), F.count_if(value & (kind != "number")).alias("odd"), F.count_if(F.col("formula").isNotNull()).alias("formulas"),
+    )
+    return ingest.drop_rows(rows, "company", list(spec.drop), spec.drop_prefix)
 
 
 def findings(cells: DataFrame, spec: SheetSpec, definitions: DataFrame | None = None, fact: str = "fact_finance") -> DataFrame:
     """file_hash, code, n and first_row of all that speaks against each file. definitions (metric_id, fact, derived) are declared."""
-    body, rows, kept = _parts(cells, spec)
-    of = lambda df, code, place="row_no": df.groupBy("file_hash").agg(F.lit(code).alias("code"), F.count("*").alias("n"), F.min(place).cast("int").alias("first_row"))
-    heads = cells.filter((F.col("row_no") == spec.header_row) & F.col("col_no").isin(list(spec.values)))
-    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    keys = list(spec.labels)
-    same = ingest.duplicate_keys(kept.filter(~reduce(lambda a, b: a | b, map(empty, keys))), ["file_hash", *keys])
-    mine = body.join(kept.select(*ingest.ROW), ingest.ROW, "left_semi")
-    periods = mine.filter(F.col("col_no") == spec.labels["period"]).filter(~empty("raw_value"))
+    kept, keys = _kept(cells, spec), list(spec.labels)
+    of = lambda df, code: df.groupBy("file_hash").agg(F.lit(code).alias("code"), F.count("*").alias("n"), F.min("row_no").cast("int").alias("first_row"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    bare = reduce(lambda a, b: a | b, map(empty, keys))
     wanted = "number" if spec.period_is_date else "text"
-    read = typed_period(F.col("value_kind"), F.col("raw_value"), spec.period_is_date)
-    texts = periods.filter(F.col("value_kind") == wanted)
-    values = mine.filter(F.col("col_no").isin(list(spec.values)))
-    amounts = values.filter("value_kind = 'number'").select(*ingest.ROW).distinct()
-    whole = kept.join(texts.filter(read.isNotNull()).select(*ingest.ROW), ingest.ROW, "left_semi").filter(~empty("company") & ~empty("metric")).join(amounts, ingest.ROW, "left_semi")
-    bare = cells.select("file_hash").distinct().join(whole.select("file_hash").distinct(), "file_hash", "left_anti")
+    is_wanted = F.coalesce(F.col("period_kind") == wanted, F.lit(False))
+    read = typed_period(F.col("period_kind"), F.col("period"), spec.period_is_date)
+    counted = {
+        "COMPUTED_ROW_NOT_DROPPED": F.when(F.col("formulas") > 0, 1), "MEASURE_NON_NUMERIC": F.when(F.col("odd") > 0, F.col("odd")), "ROWKEY_EMPTY_IN_FILE": F.when(bare, 1),
+        "PERIOD_CELL_NOT_TEXT": F.when(~empty("period") & ~is_wanted, 1), "PERIOD_UNPARSEABLE": F.when(~empty("period") & is_wanted & read.isNull(), 1),
+    }
+    writable = ~empty("company") & ~empty("metric") & is_wanted & read.isNotNull() & (F.col("amounts") > 0)
+    by_file = kept.groupBy("file_hash").agg(*[x for c, n in counted.items() for x in (F.sum(n).alias(c), F.min(F.when(n.isNotNull(), F.col("row_no"))).alias(f"{c}_at"))], F.count_if(writable).alias("writable"))
+    files = cells.select("file_hash").distinct().join(by_file, "file_hash", "left")
+    said = [F.struct(F.lit(c).alias("code"), F.col(c).cast("long").alias("n"), F.col(f"{c}_at").cast("int").alias("first_row")) for c in counted]
+    none = F.when(F.coalesce("writable", F.lit(0)) == 0, F.lit(1).cast("long"))
+    said.append(F.struct(F.lit("NO_WRITABLE_ROWS").alias("code"), none.alias("n"), F.lit(None).cast("int").alias("first_row")))
+    heads = cells.filter((F.col("row_no") == spec.header_row) & F.col("col_no").isin(list(spec.values)))
+    same = ingest.duplicate_keys(kept.filter(~bare), ["file_hash", *keys])
     found = [
+        files.select("file_hash", F.inline(F.array(*said))).filter("n IS NOT NULL"),
         of(sheets.column_calibers(heads, spec.calibers, spec.headers).filter("caliber IS NULL"), "HEADER_UNMAPPED"),
         of(same.withColumnRenamed("first_row", "row_no"), "ROWKEY_DUPLICATE_IN_FILE"),
-        of(kept.join(sheets.computed_rows(body, body.limit(0)), ingest.ROW, "left_semi"), "COMPUTED_ROW_NOT_DROPPED"),
-        of(values.filter("value_kind <> 'number'"), "MEASURE_NON_NUMERIC"),
-        of(kept.filter(reduce(lambda a, b: a | b, map(empty, keys))), "ROWKEY_EMPTY_IN_FILE"),
-        of(periods.filter(F.col("value_kind") != wanted), "PERIOD_CELL_NOT_TEXT"),
-        of(texts.filter(read.isNull()), "PERIOD_UNPARSEABLE"),
-        of(bare.withColumn("row_no", F.lit(None).cast("int")), "NO_WRITABLE_ROWS"),
     ]
     if definitions is not None:
         named = kept.select("file_hash", "row_no", F.col("metric").alias("metric_id"))
@@ -73,10 +76,10 @@ def admitted(cells: DataFrame, spec: SheetSpec, definitions: DataFrame | None =
     worst = findings(cells, spec, definitions, fact).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # a row for each code
     if worst:
         raise Refused(worst[0]["code"], ", ".join(f"{r['code']} {r['n']}" for r in worst))
-    body, _, kept = _parts(cells, spec)
+    kept = _kept(cells, spec).select(*ingest.ROW, *spec.labels)
     heads = cells.filter((F.col("row_no") == spec.header_row) & F.col("col_no").isin(list(spec.values)))
     calibers = sheets.column_calibers(heads, spec.calibers, spec.headers).select(*ingest.SHEET, "col_no", "caliber")
-    amounts = body.filter(F.col("col_no").isin(list(spec.values)) & (F.col("value_kind") == "number"))
+    amounts = cells.filter((F.col("row_no") > spec.header_row) & F.col("col_no").isin(list(spec.values)) & (F.col("value_kind") == "number"))
     amounts = amounts.select(*ingest.ROW, "col_no", F.col("raw_value").try_cast("decimal(18,2)").alias("amount")).join(calibers, [*ingest.SHEET, "col_no"])
     month = typed_period(F.lit("number"), F.col("period"), True) if spec.period_is_date else parse_period(F.col("period"))
     return kept.join(amounts, ingest.ROW).select("file_hash", "row_no", "company", "metric", month.alias("fin_month"), "caliber", "amount")

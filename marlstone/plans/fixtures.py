@@ -10,6 +10,8 @@ BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 #: Views that are written once for each folder of tables, by a column, and read from there: the others build on them.
 STORED = {"fx_month": "fin_month", "fact_finance": "fin_month", "raw_cell": "file_hash", "sheet_cell": "file_hash"}
 _paths: dict[tuple[str, str], dict[str, tuple[str, list[str]]]] = {}
+#: Tables of a session, so that a folder is listed and a footer read once.
+_frames: dict[tuple[str, str], DataFrame] = {}
 VIEWS = {
     "fx_month": """
 SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS fin_month, concat('c_', CAST(n.n_nationkey AS VARCHAR(10))) AS company_id, m.metric_id,
@@ -110,9 +112,16 @@ def with_views(sql: str, known: tuple[str, ...] = ()) -> str:
     return ("WITH " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in order) + " " if order else "") + sql
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    key = (spark._jsparkSession.sessionUUID(), path)
+    if key not in _frames:
+        _frames[key] = spark.read.parquet(path)
+    return _frames[key]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in BASE:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     made = _paths.setdefault((spark.sparkContext.applicationId, sf_dir), {})
     known: tuple[str, ...] = ()
     for stored in [n for n in _needed(f"SELECT * FROM {name}") if n in STORED]:  # what one builds on comes before it
@@ -123,6 +132,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             scratch.until_exit(spark, path)
             made[stored] = path, rows.columns
         path, columns = made[stored]
-        spark.read.parquet(path).select(*columns).createOrReplaceTempView(stored)
+        _table(spark, path).select(*columns).createOrReplaceTempView(stored)
         known = (*known, stored)
     return spark.sql(with_views(f"SELECT * FROM {name}", known))
