@@ -38,10 +38,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from marlstone.llm.runtime import documents, ship
-from marlstone.llm.textcore import chunks
+from marlstone.llm.textcore import chunks, idle
 
 #: Bounds of the tables of a worker: pieces met before, edges, pairs of tokens, what tokens do to a state of the decoder.
-MEMO_ENTRIES, EDGE_ENTRIES, PAIR_ENTRIES, JOIN_ENTRIES = 400_000, 700_000, 800_000, 200_000
+MEMO_ENTRIES, EDGE_ENTRIES, PAIR_ENTRIES, JOIN_ENTRIES = 300_000, 600_000, 500_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -320,7 +320,8 @@ class Encoder:
 
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker, until another operator's tasks run there."""
+    idle.append(encoder.cache_clear)
     return Encoder(load_ranks(path), pattern)
 
 

@@ -7,7 +7,8 @@ object is made per word.  Null texts have no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: What a Python worker, which outlives a stage, keeps for tasks of another kind: called and forgotten when words are next looked at.
+idle: list[Callable[[], None]] = []
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -106,6 +109,10 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: pa.Array, lower: bool = False, ends: np.ndarray = SPACE) -> Words:
     """texts: a string array without nulls; ends: the bytes that end a word."""
+    if idle:
+        while idle:
+            idle.pop()()
+        gc.collect()
     data, offsets = bytes_of(texts)
     n = len(data)
     if lower:
