@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontamination, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity, warc
+from marlstone.llm import alignment, bpe, decontamination, mixing, near_dedup, neighbours, quality, resampling, secrets, sharding, substring_dedup, toxicity, warc
 from marlstone.llm.fitting import remainder
 from marlstone.llm.runtime import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizers that op12 aligns.
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,20 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ALIGNED)
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least=20, highest=1, buckets=10_000, seed="2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
@@ -186,5 +202,40 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+ORACLES["op11_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+l AS (SELECT coalesce(min_by((budget - before) / free, cap / weight) FILTER (weight * ((budget - before) / free) <= cap), 1e300) AS level FROM f),
+t AS (SELECT source, source_size, CASE WHEN weight * level > cap THEN cap ELSE weight * level END AS target FROM w, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM t),
+r AS (SELECT d.*, source_size, target, whole, CAST(floor(target) AS BIGINT) - whole * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + least(size, greatest(0, rest - (upto - size))) AS BIGINT) AS taken FROM r
+"""
+_BUCKET = "(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) % 10000"
+ORACLES["op13_importance_resampling"] = f"""
+WITH RECURSIVE bits AS (SELECT range AS b, range AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY b) AS steps FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD}') AS w FROM documents),
+x AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1),
+y AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_SMALL}, '{_WORD}')) AS word FROM benchmark) GROUP BY 1),
+words AS (SELECT word, list_transform(range(1, length(hex(word)) // 2 + 1), lambda i: CAST('0x' || substr(hex(word), 2 * i - 1, 2) AS BIGINT)) AS bytes FROM (SELECT word FROM x UNION SELECT word FROM y)),
+bucket AS MATERIALIZED (SELECT word, {_BUCKET} AS k FROM words, steps),
+s AS (SELECT k, sum(n) AS n FROM x JOIN bucket USING (word) GROUP BY 1), t AS (SELECT k, sum(n) AS n FROM y JOIN bucket USING (word) GROUP BY 1),
+total AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t),
+gain AS (SELECT range AS k, CAST(floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (total.s + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * (total.t + 10000)))) AS BIGINT) AS gain
+FROM range(10000) LEFT JOIN s ON s.k = range LEFT JOIN t ON t.k = range, total),
+of AS (SELECT doc_id, len(w) AS n, w, row_number() OVER () AS i FROM d),
+sums AS (SELECT i, sum(gain) AS gains FROM (SELECT i, unnest(w) AS word FROM of) JOIN bucket USING (word) JOIN gain USING (k) GROUP BY 1),
+scored AS (SELECT doc_id, n, CAST(CASE WHEN n > 0 THEN floor(gains / n) ELSE 0 END AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM of LEFT JOIN sums USING (i)),
+noisy AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST, n) AS place, (SELECT count(*) FROM noisy WHERE n >= 20) * 10 // 100 AS drawn FROM noisy)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN n >= 20 AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
