@@ -305,8 +305,9 @@ def spanning(members: DataFrame, with_body: Callable[[DataFrame], DataFrame], so
         return small
     large = stash(with_body(large), "large")
     order = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
-    chosen = large.select("group", "node").withColumn("pivot", F.row_number().over(order) - 1).filter(F.col("pivot") < PIVOTS)
-    chosen = stash(chosen, "pivots")
+    # A limit on the rank itself is applied by every task before rows move, so no task gets a group's nodes.
+    first = large.select("group", "node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
+    chosen = stash(first.select("group", "node", (F.col("rank") - 1).alias("pivot")), "pivots")
     own = large.withColumn("cell", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("group", "cell", F.lit(None).cast("int").alias("pivot"), "node", "body")
     told = large.join(chosen, ["group", "node"]).withColumn("cell", F.explode(F.sequence(none, F.col("blocks").cast("int") - 1))).select("group", "cell", "pivot", "node", "body")
     meeting = own.unionByName(told).repartition("group", "cell").sortWithinPartitions("group", "cell", F.asc_nulls_last("pivot"), "node")
