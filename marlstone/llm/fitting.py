@@ -25,6 +25,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
+def linear(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights, each row added up by itself and in the order of its columns: a row's sum doesn't depend on the rows it came with."""
+    total = np.zeros(len(x))
+    for column, weight in enumerate(weights):
+        total += x[:, column] * weight
+    return total
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Newton's method with a ridge on all but the constant; y may be soft."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)

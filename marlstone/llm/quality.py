@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.fitting import labelled_sample, logistic
+from marlstone.llm.fitting import labelled_sample, linear, logistic
 from marlstone.llm.runtime import documents, ship, stash
 from marlstone.llm.textcore import SPACE, bytes_of, chunks, text_column, words_of
 
@@ -146,10 +146,9 @@ def _fit_field(x: np.ndarray, y: np.ndarray, starts: np.ndarray, rounds: int) ->
 
 def _raw(good: np.ndarray, size: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Mean over lines, weighted by length; NaN without lines."""
-    sums = np.concatenate([[0], np.cumsum(good * size)])
-    weight = np.concatenate([[0], np.cumsum(size)])
-    with np.errstate(invalid="ignore"):
-        return (sums[starts[1:]] - sums[starts[:-1]]) / (weight[starts[1:]] - weight[starts[:-1]])
+    doc, n = np.repeat(np.arange(len(starts) - 1), np.diff(starts)), len(starts) - 1
+    with np.errstate(invalid="ignore"):  # each document's lines are added up by themselves, in their order
+        return np.bincount(doc, good * size, n) / np.bincount(doc, size, n)
 
 
 def _curve(raw: np.ndarray) -> np.ndarray:
@@ -158,16 +157,14 @@ def _curve(raw: np.ndarray) -> np.ndarray:
 
 
 def _within(sample: DataFrame, lines: int) -> DataFrame:
-    """The documents of a bounded sample, by a hash of the id, that have so many lines together."""
-    place = F.xxhash64("doc_id")
-    held, last = 0, None
+    """Documents of a bounded sample that have so many lines together, taken in the order of a hash of the id. One that doesn't fit any more is passed over."""
     breaks = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")) + 1
-    for r in sample.select(place.alias("place"), breaks.alias("n")).orderBy("place").collect():  # a row for each document of the sample
-        held += r["n"]
-        if held > lines:
-            break
-        last = r["place"]
-    return sample.filter(place <= last) if last is not None else sample.limit(0)
+    left, fitting = lines, []
+    for r in sample.select("doc_id", breaks.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # a row for each document of the sample
+        if r["n"] <= left:
+            left -= r["n"]
+            fitting.append((r["doc_id"],))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(fitting, "doc_id long")), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_DOCS, label: str = "quality", lines: int = FIT_LINES) -> QualityModel:
@@ -211,9 +208,9 @@ def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col:
             for chunk in chunks(batch, "text", 1 << 22):
                 own, size, starts = _lines(chunk)
                 x = (_with_neighbours(own, starts) - model.mean) / model.scale
-                good, _ = marginals(x @ model.weights[1:] + model.weights[0], starts, model.transitions)
+                good, _ = marginals(linear(x, model.weights[1:]) + model.weights[0], starts, model.transitions)
                 raw = _raw(good, size, starts)
-                p = 1 / (1 + np.exp(-np.clip(_curve(np.nan_to_num(raw, nan=0.5)) @ model.curve, -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(linear(_curve(np.nan_to_num(raw, nan=0.5)), model.curve), -30, 30)))
                 p = np.where(np.isnan(raw), model.base, p)
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(p), pa.array(raw, mask=np.isnan(raw))], names=["doc_id", "score", "raw"])
 

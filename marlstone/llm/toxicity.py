@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marlstone.llm.fitting import labelled_sample, logistic
+from marlstone.llm.fitting import labelled_sample, linear, logistic
 from marlstone.llm.near_dedup import profiles
 from marlstone.llm.runtime import documents, ship, stash
 from marlstone.llm.textcore import NOT_ALNUM, SPACE, NGrams, bytes_of, chunks, text_column, words_of
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_RO
 
 def _scores(model: ToxicityModel):
     times = np.array(model.lexicon.times, float)
-    return lambda chunk: _features(*_evidence(chunk, model.lexicon), times) @ model.weights
+    return lambda chunk: linear(_features(*_evidence(chunk, model.lexicon), times), model.weights)
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
