@@ -25,9 +25,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest doc_id stays: five-word shingles, similarity of 0.8 or more."""
+    """Of linked documents the one with the smallest doc_id stays: five-word shingles, similarity of 0.8 or more.
+
+    Rows of one doc_id are one document: of those that stay, the row with the smallest text does. Rows without a doc_id all stay.
+    """
     gone = near_dedup.near_duplicates(docs, words=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = docs.join(several, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select("doc_id", F.struct(*docs.columns).alias("row"))
+    one = repeated.groupBy("doc_id").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row")).select("row.*")
+    return docs.join(gone.unionByName(several), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,9 @@ def without_copies(rows):
             least[i] = least[j] = min(least[i], least[j])
         if before == least:
             break
-    return [(i, t) for i, t in rows if least.get(i, i) == i]
+    kept = [(i, t) for i, t in rows if least.get(i, i) == i]
+    smallest = {i: min(t or "" for j, t in kept if j == i) for i, _ in kept if i is not None}
+    return [x for x in kept if x[0] is None] + [(i, next(t for j, t in kept if j == i and (t or "") == smallest[i])) for i in smallest]
 
 
 def redacted(text):
@@ -120,6 +122,22 @@ def test_stages_and_run(spark, tables):
     assert result(corpus_pipeline.run(spark, top)) == sorted(tokens)
 
 
+def test_one_row_of_each_document_stays(spark):
+    rows = [(1, "b b"), (1, "a a"), (1, "a a"), (None, "a a"), (None, "a a"), (2, None), (2, None), (3, "x y z")]
+    docs = spark.createDataFrame([(i, t, 0, "c") for i, t in rows], "doc_id long, text string, n int, row string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert listed(got) == sorted([(1, "a a"), (None, "a a"), (None, "a a"), (2, None), (3, "x y z")], key=str) and got.columns == docs.columns
+
+
+def test_stages_without_labels_or_benchmark(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{tables[0]}/{name}.parquet")
+        (df if name == "documents" else df.filter(F.lit(False))).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    assert corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_stages_of_an_empty_table(spark, tables):
     top = tables[0]
     none = spark.read.parquet(f"{top}/documents.parquet").filter(F.lit(False))
