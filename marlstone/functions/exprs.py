@@ -73,10 +73,20 @@ def unit_factor(source: str, target: str) -> Decimal:
 
 
 def unit_convert(value: Column, source: str, target: str, scale: int = 2, negate: bool = False) -> tuple[Column, Column]:
-    """The converted decimal, rounded half up, and whether rounding changed it."""
-    exact = value.cast("decimal(28,10)") * F.lit(-unit_factor(source, target) if negate else unit_factor(source, target))
+    """The converted decimal, rounded half up, and whether rounding changed it; null where the value is no number or doesn't fit."""
+    exact = value.try_cast("decimal(28,10)") * F.lit(-unit_factor(source, target) if negate else unit_factor(source, target))
     rounded = F.round(exact, scale)
-    return rounded.cast(f"decimal(18,{scale})"), exact != rounded
+    return rounded.try_cast(f"decimal(18,{scale})"), exact != rounded
+
+
+def unit_checked(value: Column, source: str, target: str, rounding: str = "half_up", scale: int = 2, negate: bool = False) -> tuple[Column, Column]:
+    """The converted decimal, null where it is refused, and why: not a number, too large, or, with the rounding ``reject``, digits that would be lost."""
+    if rounding not in ("half_up", "reject"):
+        raise Refused("TRANSFORM_VALUE_INVALID", f"rounding {rounding}")
+    amount, changed = unit_convert(value, source, target, scale, negate)
+    why = F.when(value.isNull(), None).when(value.try_cast("double").isNull(), "not a number").when(amount.isNull(), "does not fit")
+    why = why.when(changed, "would be rounded") if rounding == "reject" else why
+    return F.when(why.isNull(), amount), why
 
 
 def window_start(caliber: Caliber, month: Column) -> Column:

@@ -29,6 +29,8 @@ def first_versions(current: DataFrame, history: DataFrame, start: str, columns:
 def apply_changes(history: DataFrame, changes: DataFrame, columns: list[str], effective: str) -> DataFrame:
     """Closes the open version of changed members at a date and opens a new one; unchanged members keep theirs."""
     day = F.lit(effective).cast("date")
+    if several := changes.groupBy("id").count().filter("count > 1").limit(1).collect():
+        raise Refused("SEVERAL_CHANGES", str(several[0]["id"]))  # which of them would be the version of that day can't be told
     new = changes.select("id", F.lit(True).alias("named"), *[F.col(c).alias(f"new_{c}") for c in columns])
     same = F.lit(True)
     for c in columns:

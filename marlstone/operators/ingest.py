@@ -99,8 +99,9 @@ def period_profile(rows: DataFrame) -> DataFrame:
 
 
 def masked(cells: DataFrame, max_row: int, max_col: int) -> DataFrame:
-    """Texts as they are, other kinds as a marker: the structure without the numbers. truncated: the sheet has cells beyond the rectangle."""
-    shown = F.when(F.col("value_kind") == "text", F.col("raw_value")).otherwise(F.concat(F.lit("<"), "value_kind", F.lit(">")))
+    """Texts as they are, formulas and other kinds as a marker: the structure without the numbers. truncated: the sheet has cells beyond the rectangle."""
+    formula = F.col("formula").isNotNull() if "formula" in cells.columns else F.lit(False)
+    shown = F.when(formula, F.lit("<formula>")).when(F.col("value_kind") == "text", F.col("raw_value")).otherwise(F.concat(F.lit("<"), "value_kind", F.lit(">")))
     within = (F.col("row_no") <= max_row) & (F.col("col_no") <= max_col)
     beyond = cells.groupBy(*SHEET).agg((F.count_if(~within) > 0).alias("truncated"))
     return cells.filter(within).withColumn("shown", shown).join(beyond, SHEET)

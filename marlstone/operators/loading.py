@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import window_start
@@ -37,30 +38,35 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("amount").alias("amount"), (F.min(pair) != F.max(pair)).alias("conflict"), F.count("*").alias("n"))
 
 
+def _at(keys: list[str] = COORDINATE) -> Column:
+    """The condition that rows aliased b and s have one coordinate; a null is a value like any other."""
+    return reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+
+
 def collisions(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Coordinates of the batch that are stored already. The batch's months restrict the scan of the stored facts by partition."""
     months = batch.select("fin_month").distinct()
     near = stored.join(F.broadcast(months), "fin_month", "left_semi")
-    return batch.join(near.select(*COORDINATE).distinct(), COORDINATE, "left_semi")
+    return batch.alias("b").join(near.select(*COORDINATE).distinct().alias("s"), _at(), "left_semi")
 
 
-def upserted(stored: DataFrame, batch: DataFrame, on_conflict: str = "replace") -> DataFrame:
-    """Stored rows not in the batch, and the batch. With reject any shared coordinate refuses the load.
+def upserted(stored: DataFrame, batch: DataFrame, on_conflict: str = "replace", more: tuple[str, ...] = ()) -> DataFrame:
+    """Stored rows not in the batch, and the batch. With reject any shared coordinate refuses the load. more: columns beside coordinates and amount.
 
     Months that the batch doesn't touch pass through as they are; only the others meet the batch.
     """
     if on_conflict == "reject" and not collisions(batch, stored).isEmpty():
         raise Refused("CONFLICT_WITH_EXISTING")
-    columns, months = [*COORDINATE, "amount"], F.broadcast(batch.select("fin_month").distinct())  # as many rows as there are months
+    columns, months = [*COORDINATE, "amount", *more], F.broadcast(batch.select("fin_month").distinct())  # as many rows as there are months
     elsewhere = stored.join(months, "fin_month", "left_anti").select(*columns)
-    return elsewhere.unionByName(_months_with(stored, batch))
+    return elsewhere.unionByName(months_with(stored, batch, more))
 
 
-def _months_with(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def months_with(stored: DataFrame, batch: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """What the batch's months hold after it: their stored rows at other coordinates, and the batch."""
-    columns, months = [*COORDINATE, "amount"], F.broadcast(batch.select("fin_month").distinct())
+    columns, months = [*COORDINATE, "amount", *more], F.broadcast(batch.select("fin_month").distinct())
     near = stored.join(months, "fin_month", "left_semi")
-    return near.join(batch.select(*COORDINATE), COORDINATE, "left_anti").select(*columns).unionByName(batch.select(*columns))
+    return near.alias("s").join(batch.select(*COORDINATE).alias("b"), _at(), "left_anti").select(*columns).unionByName(batch.select(*columns))
 
 
 def upsert_into(path: str, batch: DataFrame, on_conflict: str = "replace") -> None:
@@ -73,7 +79,7 @@ def upsert_into(path: str, batch: DataFrame, on_conflict: str = "replace") -> No
     if on_conflict == "reject" and not collisions(batch, stored).isEmpty():
         raise Refused("CONFLICT_WITH_EXISTING")
     aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    _months_with(stored, batch).write.parquet(aside)
+    months_with(stored, batch).write.parquet(aside)
     ready = spark.read.parquet(aside)
     ready.hint("rebalance", "fin_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fin_month").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(aside)
@@ -93,12 +99,14 @@ def staged(rows: DataFrame, degenerate: list[str]) -> DataFrame:
 
 
 def replay_diff(again: DataFrame, stored: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Cells that are missing, extra, or differ in a field; values are not shown."""
-    a, b = again.select(*keys, *[F.col(f).alias(f"a_{f}") for f in fields], F.lit(True).alias("in_a")), stored.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields], F.lit(True).alias("in_b"))
-    joined = a.join(b, keys, "full")
+    """Cells that are missing (expanded again, but not stored), extra (stored only), or differ in a field; values are not shown. Null keys are keys."""
+    side = lambda df, s: df.select(*[F.col(k).alias(f"{s}k_{k}") for k in keys], *[F.col(f).alias(f"{s}_{f}") for f in fields], F.lit(True).alias(f"in_{s}"))
+    same = reduce(lambda x, y: x & y, [F.col(f"ak_{k}").eqNullSafe(F.col(f"bk_{k}")) for k in keys])
+    joined = side(again, "a").join(side(stored, "b"), same, "full")
     differ = F.filter(F.array(*[F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    kinds = F.when(F.col("in_b").isNull(), F.array(F.lit("extra"))).when(F.col("in_a").isNull(), F.array(F.lit("missing"))).otherwise(differ)
-    return joined.select(*keys, F.explode(kinds).alias("what"))
+    kinds = F.when(F.col("in_b").isNull(), F.array(F.lit("missing"))).when(F.col("in_a").isNull(), F.array(F.lit("extra"))).otherwise(differ)
+    key = lambda k: F.when(F.col("in_a"), F.col(f"ak_{k}")).otherwise(F.col(f"bk_{k}")).alias(k)
+    return joined.select(*[key(k) for k in keys], F.explode(kinds).alias("what"))
 
 
 def missing_periods(batch: DataFrame, periods: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import company_stem, normalize_name
+from marlstone.sources import scratch
 
 
 def known_names(masters: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -27,33 +28,88 @@ def unmatched(names: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
-    """Suggestions (raw, id, score) for unresolved names: an equal stem alone, or else containment and small edits of names with the same first letter.
-
-    Everything meets in equi joins. Stems meet stems. A name that contains another has it among its substrings, of
-    which only those as long as some name on the other side are made. Near names have the same first letter, and
-    lengths of which one is six tenths of the other at least.
+    """Suggestions (raw, id, score, rank) for unresolved names: an equal stem alone, or else containment and small edits of names with the same first letter.
+
+    Spellings that are equal when normalised are compared once, with the ``top`` smallest ids of each.  Everything meets in equi joins.
+    Stems meet stems.  A name that contains another has it among its substrings, of which only those as long as some
+    name on the other side are made.  Near names are sought by growing distance: names within d edits share a string
+    that d letters at most are dropped for, so for d of 1 and 2 the names meet at these.  A name that then has its
+    ``top`` suggestions, each better than any name at a greater distance could be, is done; so names that are all alike
+    meet their close neighbours only.  The rest meets names of the same first letter, and of a length of six tenths at
+    least, and pairs are scored where they meet.
     """
-    left = raw.select("raw").distinct().withColumn("n", normalize_name(F.col("raw"))).withColumn("stem", company_stem(F.col("raw"))).filter("n <> ''")
+    spark = raw.sparkSession
+    left = raw.select("raw").distinct().select("raw", normalize_name(F.col("raw")).alias("n"), company_stem(F.col("raw")).alias("stem")).filter("n <> ''")
     right = masters.select("id", normalize_name(F.col("name")).alias("en"), company_stem(F.col("name")).alias("stem")).filter("en <> ''")
-    by_stem = left.join(right, "stem").select("raw", "id", F.lit(0.9).alias("score"))
-    rest = left.join(by_stem.select("raw").distinct(), "raw", "left_anti")
-    pair = ["raw", "n", "id", "en"]
-    within = _with_substrings(rest, "n", right, "en").join(right, F.col("piece") == F.col("en")).select(*pair)
-    around = _with_substrings(right, "en", rest, "n").join(rest, F.col("piece") == F.col("n")).select(*pair)
-    size = F.length("n")
-    lengths = F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int")))
-    first = lambda c: F.left(c, F.lit(1))
-    near = rest.withColumns({"size": lengths, "first": first("n")}).join(right.withColumns({"size": F.length("en"), "first": first("en")}), ["first", "size"]).select(*pair)
-    met = within.unionByName(around).unionByName(near).distinct()
-    longest = F.greatest(F.length("n"), F.length("en"))
-    ratio = 1 - F.levenshtein("n", "en") / longest
-    contained = F.contains(F.col("en"), F.col("n")) | F.contains(F.col("n"), F.col("en"))
-    score = F.when(contained, F.lit(0.75)).when((F.left("n", F.lit(1)) == F.left("en", F.lit(1))) & (ratio >= 0.6), F.round((ratio * 0.7).cast("decimal(12,8)"), 6).cast("double"))
-    every = by_stem.unionByName(met.withColumn("score", score).filter("score IS NOT NULL").select("raw", "id", "score"))
+    least = lambda df, by: df.select(by, "id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("id"))).filter(F.col("place") <= top).drop("place")
+    by_stem = left.join(least(right, "stem"), "stem").select("raw", "id", F.lit(0.9).alias("score"))
+    rest = _written(left.join(right.select("stem").distinct(), "stem", "left_anti").select("raw", "n"))
+    owners = _written(least(right, "en"))
+    ours, theirs = rest.select("n").distinct(), owners.select("en").distinct()
+    within = _with_substrings(ours, "n", theirs, "en").join(theirs, F.col("piece") == F.col("en")).select("n", "en")
+    around = _with_substrings(theirs, "en", ours, "n").join(ours, F.col("piece") == F.col("n")).select("n", "en")
+    found = _scored(within.unionByName(around))
+    best, open_ = spark.createDataFrame([], "n string, id string, score double"), ours
+    for d in EDITS:
+        near = _scored(_dropped(open_, "n", d).join(_dropped(theirs, "en", d), ["piece", "first"]).select("n", "en"))
+        found = near if found is None else found.unionByName(near)
+        best, found = _written(_best(best, found, owners, top)), None
+        size = F.length("n")
+        beyond = F.lit(0.7) * size / (size + d + 1)  # no name at a greater distance scores more
+        done = best.groupBy("n").agg(F.count("*").alias("held"), F.min("score").alias("worst")).filter((F.col("held") == top) & (F.col("worst") > F.round(beyond.cast("decimal(12,8)"), 6).cast("double")))
+        done = done.select("n").unionByName(open_.filter(beyond < F.lit(0.6 * 0.7 - 1e-9)).select("n"))
+        open_ = ours.join(done, "n", "left_anti")  # what is done stays so as distances grow
+        if open_.isEmpty():
+            break
+    else:
+        size, first = F.length("n"), lambda c: F.left(c, F.lit(1))
+        lengths = F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int")))
+        near = open_.withColumns({"size": lengths, "first": first("n")}).join(theirs.withColumns({"size": F.length("en"), "first": first("en")}), ["first", "size"])
+        best = _best(best, _scored(near.select("n", "en")), owners, top)
+    every = by_stem.unionByName(rest.join(best, "n").select("raw", "id", "score"))
     rank = F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+#: Distances at which near names are met by what is left when letters are dropped.
+EDITS = (1, 2)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df, worked out once and read again until the application ends."""
+    path = scratch.folder(df.sparkSession, "names")
+    df.write.parquet(path)
+    scratch.until_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """n, en and score of pairs that are suggestions, each scored before it moves."""
+    ratio = 1 - F.levenshtein("n", "en") / F.greatest(F.length("n"), F.length("en"))
+    contained = F.contains(F.col("en"), F.col("n")) | F.contains(F.col("n"), F.col("en"))
+    near = (F.left("n", F.lit(1)) == F.left("en", F.lit(1))) & (ratio >= 0.6)
+    score = F.when(contained, F.lit(0.75)).when(near, F.round((ratio * 0.7).cast("decimal(12,8)"), 6).cast("double"))
+    return pairs.withColumn("score", score).filter("score IS NOT NULL")
+
+
+def _best(before: DataFrame, pairs: DataFrame, owners: DataFrame, top: int) -> DataFrame:
+    """n, id and score: the best of those before and of new pairs."""
+    every = before.unionByName(pairs.join(owners, "en").select("n", "id", "score")).distinct()
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
+
+
+def _dropped(df: DataFrame, column: str, letters: int) -> DataFrame:
+    """df with first, the first letter, and piece: the name itself and all strings that are left when up to so many letters are dropped."""
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    safe = lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>"))
+    every = pieces = F.array(F.col(column))
+    for _ in range(letters):
+        pieces = F.array_distinct(F.flatten(F.transform(pieces, safe)))
+        every = F.concat(every, pieces)
+    return df.select(column, F.left(column, F.lit(1)).alias("first"), F.explode(F.array_distinct(every)).alias("piece"))
+
+
 def _with_substrings(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """df with piece: each substring of a name that is as long as some name of the other side. There are no more lengths than letters in a name."""
     sizes = sorted(r[0] for r in other.select(F.length(other_column)).distinct().collect())

@@ -186,8 +186,9 @@ def converted(facts: DataFrame, rates: DataFrame, to_ccy: str) -> DataFrame:
     if not needed.filter(~F.coalesce(F.col("from_sound") & F.col("to_sound"), F.lit(False))).isEmpty():
         raise Refused("FX_RATE_MISSING", to_ccy)
     joined = facts.join(rates_of, ["fin_month", "ccy"], "left")
-    ratio = F.round((F.col("from_rate").cast("double") / F.col("to_rate").cast("double")).cast("decimal(20,10)"), 8)
-    return joined.withColumn("converted", F.round(F.col("amount") * ratio, 6).cast("decimal(28,6)"))
+    # Multiplied first, and rounded once: a ratio of rates of its own would lose the digits of a small rate.
+    exact = F.col("amount").cast("double") * F.col("from_rate").cast("double") / F.col("to_rate").cast("double")
+    return joined.withColumn("converted", F.round(exact.cast("decimal(32,10)"), 6).cast("decimal(28,6)"))
 
 
 def guarded(out: DataFrame, names: list[str], cap: int, least: int = 3) -> DataFrame:
@@ -199,17 +200,28 @@ def guarded(out: DataFrame, names: list[str], cap: int, least: int = 3) -> DataF
     return shown.withColumns({n: band(F.col(n)) for n in names} | {"truncated": F.lit(len(rows) > cap)})
 
 
-def year_over_year(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), **options) -> DataFrame:
-    """(a - b) / b of the month and the same month a year before. A group without the earlier leg is refused; a zero base gives null."""
-    current = measure_query(facts, [Measure(metric, name="cur")], group_by, support=True, **options).filter("cur_support > 0")
-    before = current.withColumnRenamed("cur", "prev").withColumn("month", F.date_format(F.add_months(F.concat("month", F.lit("-01")).cast("date"), 12), "yyyy-MM"))
-    return legs(current.drop("cur_support"), before.drop("cur_support"), list(group_by))
+def year_over_year(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), since: str | None = None, **options) -> DataFrame:
+    """(a - b) / b of each month, from ``since`` on, and the same month a year before. A group without the earlier leg refuses all; a zero base gives null."""
+    current, before = _yearly(facts, metric, group_by, since, **options)
+    return legs(current, before, list(group_by), strict=True)
+
+
+def missing_legs(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), since: str | None = None, **options) -> DataFrame:
+    """The groups that refuse year_over_year."""
+    current, before = _yearly(facts, metric, group_by, since, **options)
+    return current.join(before, list(group_by), "left_anti").select(*group_by)
+
+
+def _yearly(facts: DataFrame, metric: str, group_by: tuple[str, ...], since: str | None, **options) -> tuple[DataFrame, DataFrame]:
+    every = measure_query(facts, [Measure(metric, name="cur")], group_by, support=True, **options).filter("cur_support > 0").drop("cur_support")
+    before = every.withColumnRenamed("cur", "prev").withColumn("month", F.date_format(F.add_months(F.concat("month", F.lit("-01")).cast("date"), 12), "yyyy-MM"))
+    return every if since is None else every.filter(F.col("month") >= since), before
 
 
 def legs(current: DataFrame, before: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     joined = current.join(before, keys, "left")
-    if strict and not joined.filter("prev IS NULL").isEmpty():
-        raise Refused("CALIBER_OPERAND_MISSING")
+    if strict and (lost := current.join(before, keys, "left_anti").limit(1).collect()):
+        raise Refused("CALIBER_OPERAND_MISSING", ", ".join(str(lost[0][k]) for k in keys))
     cur, prev = F.col("cur").cast("double"), F.col("prev").cast("double")
     return joined.withColumn("yoy", F.round(F.try_divide(cur - prev, F.nullif(prev, F.lit(0.0))).cast("decimal(28,10)"), 6).cast("double"))
 

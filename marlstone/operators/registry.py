@@ -37,13 +37,19 @@ def alias_list(aliases: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def metric_claims(declared: DataFrame, owners: DataFrame) -> DataFrame:
-    """declared (name, labels) with the id that their labels own: one owner is kept, none makes a new id, several are a conflict."""
-    labels = declared.select("name", F.explode("labels").alias("label")).distinct()
-    owned = labels.join(owners.select("label", "id").distinct(), "label", "left")
+    """declared (name, labels) with the id that their labels own, spelled in whatever way: one owner is kept, none makes a new id.
+
+    Several owners are a conflict, and so is an owner that several names claim. A name without labels is new.
+    """
+    labels = declared.select("name", F.explode_outer("labels").alias("label")).select("name", normalize_name(F.col("label")).alias("norm")).distinct()
+    owned = labels.join(owners.select(normalize_name(F.col("label")).alias("norm"), "id").distinct(), "norm", "left")
     found = owned.groupBy("name").agg(F.countDistinct("id").alias("n_owners"), F.min("id").alias("owner"))
-    state = F.when(F.col("n_owners") == 0, "new").when(F.col("n_owners") == 1, "kept").otherwise("conflict")
-    new_id = F.when(F.col("n_owners") == 0, F.concat(F.lit("new_"), normalize_name(F.col("name")))).when(F.col("n_owners") == 1, F.col("owner"))
-    return found.select("name", "n_owners", new_id.alias("id"), state.alias("state"))
+    single = found.withColumn("owner", F.when(F.col("n_owners") == 1, F.col("owner")))
+    claims = single.filter("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("n_claims"))
+    joined = single.join(claims, "owner", "left")
+    state = F.when(F.col("n_owners") == 0, "new").when((F.col("n_owners") == 1) & (F.col("n_claims") == 1), "kept").otherwise("conflict")
+    new_id = F.when(F.col("state") == "new", F.concat(F.lit("new_"), normalize_name(F.col("name")))).when(F.col("state") == "kept", F.col("owner"))
+    return joined.withColumn("state", state).select("name", "n_owners", new_id.alias("id"), "state")
 
 
 def refused_inputs(rows: DataFrame, definitions: DataFrame, fact: str) -> DataFrame:

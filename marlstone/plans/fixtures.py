@@ -8,10 +8,10 @@ from marlstone.sources import scratch
 
 BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 #: Views that are written once for each folder of tables, by a column, and read from there: the others build on them.
-STORED = {"fx_month": "fin_month", "fact_finance": "fin_month", "raw_cell": "file_hash", "sheet_cell": "file_hash"}
-_paths: dict[tuple[str, str], dict[str, tuple[str, list[str]]]] = {}
+STORED = {"fx_month": "fin_month", "fact_finance": "fin_month", "raw_cell": "file_hash", "sheet_cell": "file_hash", "ledger_cell": "file_hash"}
+_paths: dict[tuple[str, ...], dict[str, tuple[str, list[str]]]] = {}
 #: Tables of a session, so that a folder is listed and a footer read once.
-_frames: dict[tuple[str, str], DataFrame] = {}
+_frames: dict[tuple[str, str, str], DataFrame] = {}
 VIEWS = {
     "fx_month": """
 SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS fin_month, concat('c_', CAST(n.n_nationkey AS VARCHAR(10))) AS company_id, m.metric_id,
@@ -84,6 +84,19 @@ UNION ALL SELECT file_hash, 'sheet1', row_no, 3, 'text', metric_id, CAST(NULL AS
 UNION ALL SELECT file_hash, 'sheet1', row_no, 4, 'number', CAST(amount AS VARCHAR(30)), CASE WHEN row_no % 35=0 THEN concat('=SUM(D2:D', CAST(row_no AS VARCHAR(10)), ')') END FROM sheet_row
 UNION ALL SELECT file_hash, 'sheet1', row_no, 5, 'number', CAST(CAST(ytd AS DECIMAL(18,2)) AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM sheet_row
 UNION ALL SELECT file_hash, 'sheet1', row_no, 6, 'number', '1', CAST(NULL AS VARCHAR(30)) FROM sheet_row WHERE row_no % 2=0""",
+    "ledger_row": """
+SELECT concat('l_', CAST(year(fin_month) AS VARCHAR(4))) AS file_hash, CAST(1+row_number() OVER (PARTITION BY year(fin_month) ORDER BY fin_month, company_id, metric_id, scenario, ccy) AS INT) AS row_no,
+       name AS company, company_id, metric_id, fin_month, y0, scenario, ccy, amount, CAST(ytd AS DECIMAL(18,2)) AS ytd FROM fx_windows JOIN dim_company ON id=company_id""",
+    "ledger_cell": """
+SELECT file_hash, 'sheet1' AS sheet, 1 AS row_no, col_no, 'text' AS value_kind, raw_value, CAST(NULL AS VARCHAR(30)) AS formula FROM (SELECT DISTINCT file_hash FROM ledger_row) f
+CROSS JOIN (SELECT 6 AS col_no, 'this month' AS raw_value UNION ALL SELECT 7, 'this year') h
+UNION ALL SELECT file_hash, 'sheet1', row_no, 1, 'text', company, CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 2, 'text', concat(CAST(year(fin_month) AS VARCHAR(4)), '/', CAST(month(fin_month) AS VARCHAR(2))), CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 3, 'text', metric_id, CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 4, 'text', scenario, CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 5, 'text', ccy, CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 6, 'number', CAST(amount AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM ledger_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 7, 'number', CAST(ytd AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM ledger_row""",
     "month_sheet": """
 SELECT concat('h_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_month) AS VARCHAR(2))) AS file_hash, 'sheet1' AS sheet, row_no, col_no, raw_value FROM raw_cell JOIN
 (SELECT file_hash AS of_file, row_no AS of_row, fin_month FROM grid) g ON file_hash=of_file AND row_no=of_row""",
@@ -112,8 +125,15 @@ def with_views(sql: str, known: tuple[str, ...] = ()) -> str:
     return ("WITH " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in order) + " " if order else "") + sql
 
 
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, so that what was made of older ones isn't taken for theirs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return " ".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame:
-    key = (spark._jsparkSession.sessionUUID(), path)
+    key = (spark._jsparkSession.sessionUUID(), path, _stamp(spark, path))
     if key not in _frames:
         _frames[key] = spark.read.parquet(path)
     return _frames[key]
@@ -122,7 +142,7 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in BASE:
         _table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    made = _paths.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    made = _paths.setdefault((spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in BASE)), {})
     known: tuple[str, ...] = ()
     for stored in [n for n in _needed(f"SELECT * FROM {name}") if n in STORED]:  # what one builds on comes before it
         if stored not in made:

@@ -180,8 +180,8 @@ def support_count(s, d):
 
 
 _FX = (
-    f"SELECT f.company_id, CAST(round(CAST(SUM(CAST(round(f.amount * CAST(round(CAST(CAST(s.rate AS DOUBLE) / CAST(t.rate "
-    f"AS DOUBLE) AS DECIMAL(20,10)), 8) AS DECIMAL(14,8)), 6) AS DECIMAL(28,6))) AS DECIMAL(28,6)), 2) AS {M}) AS value FROM "
+    f"SELECT f.company_id, CAST(round(CAST(SUM(CAST(round(CAST(CAST(f.amount AS DOUBLE) * CAST(s.rate AS DOUBLE) / CAST(t.rate "
+    f"AS DOUBLE) AS DECIMAL(32,10)), 6) AS DECIMAL(28,6))) AS DECIMAL(28,6)), 2) AS {M}) AS value FROM "
     f"fact_finance f LEFT JOIN dim_fx_rate s ON s.rate_month=f.fin_month AND s.ccy=f.ccy LEFT JOIN dim_fx_rate t ON t.rate_month=f.fin_month "
     f"AND t.ccy='USD' WHERE f.scenario='actual' AND f.metric_id='m_revenue' AND f.period_from=f.fin_month GROUP BY 1"
 )
@@ -206,15 +206,15 @@ def bad_fx_total(s, d):
     return facts(s, d).join(rates, ["fin_month", "ccy"], "left").agg(F.count_if(~F.coalesce("sound", F.lit(False))).alias("bad"))
 
 
+_MONTHLY = f"(SELECT fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY 1)"
+
+
 @query(
-    f"SELECT a.company_id, strftime(a.fin_month,'%Y-%m') AS month, CAST(a.v AS {M}) AS cur, CAST(b.v AS {M}) AS prev, CAST(round(CAST((CAST(a.v "
-    f"AS DOUBLE)-CAST(b.v AS DOUBLE))/nullif(CAST(b.v AS DOUBLE),0) AS DECIMAL(28,10)),6) AS DOUBLE) AS yoy FROM (SELECT "
-    f"company_id, fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} "
-    f"GROUP BY 1,2) a LEFT JOIN (SELECT company_id, fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' "
-    f"AND {IS['month']} GROUP BY 1,2) b ON a.company_id=b.company_id AND b.fin_month = a.fin_month - INTERVAL 1 YEAR"
+    f"SELECT strftime(a.fin_month,'%Y-%m') AS month, CAST(a.v AS {M}) AS cur, CAST(b.v AS {M}) AS prev, CAST(round(CAST((CAST(a.v AS DOUBLE)-CAST(b.v AS DOUBLE))/nullif(CAST(b.v AS DOUBLE),0) "
+    f"AS DECIMAL(28,10)),6) AS DOUBLE) AS yoy FROM {_MONTHLY} a JOIN {_MONTHLY} b ON b.fin_month = a.fin_month - INTERVAL 1 YEAR"
 )
 def yoy_ratio(s, d):
-    return measures.year_over_year(facts(s, d), "m_revenue", over=("ccy",))
+    return measures.year_over_year(facts(s, d), "m_revenue", ("month",), since="1996-01", over=("ccy",))
 
 
 @query(
@@ -224,7 +224,7 @@ def yoy_ratio(s, d):
     f"- INTERVAL 1 YEAR)"
 )
 def leg_join(s, d):
-    return yoy_ratio(s, d).filter("prev IS NULL").select("company_id", "month")
+    return measures.missing_legs(facts(s, d), "m_revenue", over=("ccy",))
 
 
 @query(
@@ -453,7 +453,7 @@ def landing_summary(s, d):
 
 
 @query("""
-WITH l AS (SELECT o_orderkey % 200 AS file, o_orderkey, o_custkey, o_orderstatus, concat_ws(chr(9), CAST(o_custkey AS VARCHAR), o_orderstatus) AS line FROM orders),
+WITH l AS (SELECT o_orderkey % 200 AS file, o_orderkey, o_custkey, o_orderstatus, '["' || o_custkey || '","' || o_orderstatus || '"]' AS line FROM orders),
 f AS (SELECT file, sha256(string_agg(line, chr(10) ORDER BY o_orderkey)) AS file_hash FROM l GROUP BY 1),
 k AS (SELECT file_hash, min(file) AS file FROM f GROUP BY 1)
 SELECT k.file_hash, 'orders' AS sheet, CAST(o_orderkey AS BIGINT) AS row_no, CAST(u.k AS INTEGER) AS col_no, CASE u.k WHEN 1 THEN 'number' ELSE 'text' END AS value_kind,
@@ -605,11 +605,11 @@ def looks_empty(s, d):
 
 
 @query(
-    "SELECT file_hash, row_no, col_no, CASE WHEN value_kind='text' THEN raw_value ELSE '<' || value_kind || '>' END AS shown, truncated FROM raw_cell "
-    "JOIN (SELECT file_hash, sheet, max(row_no)>40 OR max(col_no)>4 AS truncated FROM raw_cell GROUP BY 1,2) USING (file_hash, sheet) WHERE row_no<=40 AND col_no<=4"
+    "SELECT file_hash, row_no, col_no, CASE WHEN formula IS NOT NULL THEN '<formula>' WHEN value_kind='text' THEN raw_value ELSE '<' || value_kind || '>' END AS shown, truncated FROM sheet_cell "
+    "JOIN (SELECT file_hash, sheet, max(row_no)>40 OR max(col_no)>4 AS truncated FROM sheet_cell GROUP BY 1,2) USING (file_hash, sheet) WHERE row_no<=40 AND col_no<=4"
 )
 def masked_view(s, d):
-    return ingest.masked(view(s, d, "raw_cell"), 40, 4).select("file_hash", "row_no", "col_no", "shown", "truncated")
+    return ingest.masked(view(s, d, "sheet_cell"), 40, 4).select("file_hash", "row_no", "col_no", "shown", "truncated")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 10000")
@@ -751,31 +751,11 @@ def upsert_replace(s, d):
     return loading.upserted(facts(s, d), view(s, d, "batch"))
 
 
-@query("SELECT batch_id, CAST(count(*) AS BIGINT) AS n_stored, CAST(1 AS BIGINT) AS n_expected FROM batch GROUP BY 1")
-def load_reconcile(s, d):
-    b = view(s, d, "batch")
-    return loading.reconciled(b, b.select("batch_id").distinct().withColumn("n_expected", F.lit(1).cast("long")))
-
-
 @query("SELECT batch_id, CAST(count(*) AS BIGINT) AS n FROM batch GROUP BY 1")
 def count_per_batch(s, d):
     return view(s, d, "batch").groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT fin_month, company_id, '{"ccy":"' || ccy || '","scenario":"' || scenario || '"}' AS degenerate FROM fx_month""")
-def stage_rows(s, d):
-    return loading.staged(view(s, d, "fx_month"), ["scenario", "ccy"]).select("fin_month", "company_id", "degenerate")
-
-
-@query(
-    "SELECT fin_month, period_from, company_id, metric_id, scenario, ccy, 'amount' AS what FROM fact_finance WHERE year(fin_month) "
-    "IN (1997,1998) AND month(fin_month)=3"
-)
-def replay_diff(s, d):
-    old = facts(s, d).filter("year(fin_month) IN (1997, 1998)")
-    return loading.replay_diff(old, view(s, d, "batch"), loading.COORDINATE, ["amount"])
-
-
 @query("SELECT DISTINCT fin_month FROM batch WHERE year(fin_month)=1998")
 def period_upsert(s, d):
     known = facts(s, d).filter("year(fin_month) < 1998").select("fin_month").distinct()

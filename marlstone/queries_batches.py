@@ -200,10 +200,10 @@ def alias_list(s, d):
 
 
 @query(
-    "SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, CASE count(DISTINCT id) WHEN 0 THEN 'new_' || lower(name) "
-    "WHEN 1 THEN min(id) END AS id, CASE count(DISTINCT id) WHEN 0 THEN 'new' WHEN 1 THEN 'kept' ELSE 'conflict' END AS "
-    "state FROM (SELECT a.s_name AS name, CASE WHEN o.s_suppkey % 3 <> 0 THEN 'm_' || o.s_suppkey END AS id FROM supplier "
-    "a JOIN supplier o ON o.s_suppkey=a.s_suppkey OR (a.s_suppkey % 5=0 AND o.s_suppkey=a.s_suppkey+1)) GROUP BY 1"
+    "SELECT name, n_owners, CASE WHEN n_owners=0 THEN 'new_' || lower(name) WHEN n_owners=1 AND n_claims=1 THEN owner END AS id, CASE WHEN n_owners=0 THEN 'new' WHEN n_owners=1 AND n_claims=1 THEN 'kept' ELSE 'conflict' END AS "
+    "state FROM (SELECT *, count(*) FILTER (n_owners=1) OVER (PARTITION BY owner) AS n_claims FROM (SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_owners, CASE WHEN count(DISTINCT id)=1 THEN min(id) END AS owner "
+    "FROM (SELECT a.s_name AS name, CASE WHEN o.s_suppkey % 3 <> 0 THEN 'm_' || o.s_suppkey END AS id FROM supplier "
+    "a JOIN supplier o ON o.s_suppkey=a.s_suppkey OR (a.s_suppkey % 5=0 AND o.s_suppkey=a.s_suppkey+1)) GROUP BY 1))"
 )
 def metric_sync(s, d):
     every = base(s, d, "supplier").select("s_suppkey", "s_name")
@@ -258,11 +258,6 @@ def batch_search(s, d):
     return registry.search(view(s, d, "load_log"), "in", "SHEET-1997").select("batch_id", "origin", "direction")
 
 
-@query("""SELECT batch_id, '{"n_rows":' || n_rows || ',"origin":"' || origin || '","spec_id":"' || spec_id || '"}' AS frozen FROM load_log""")
-def batch_snapshot(s, d):
-    return registry.frozen(view(s, d, "load_log"), ["spec_id", "origin", "n_rows"])
-
-
 _PER_BATCH = "SELECT batch_id, CAST(count(*) AS BIGINT) AS n, CAST(SUM(amount) AS DECIMAL(28,2)) AS total FROM batch GROUP BY 1"
 
 

@@ -67,12 +67,12 @@ def schema_drift(df: DataFrame, declared: T.StructType) -> DataFrame:
 
 
 def landed_sheets(df: DataFrame, file_col: str, row_col: str, sheet: str) -> DataFrame:
-    """Cells of many files, each known by the digest of its content: its rows as lines, in order. Files of equal content are one.
+    """Cells of many files, each known by the digest of its content: its rows as JSON arrays, in order, so that no two contents are written alike. Files of equal content are one.
 
     A sheet is bounded by the scan limits, so the lines of one are gathered; files are many and meet by their name.
     """
     columns = [c for c in df.columns if c not in (file_col, row_col)]
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    line = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_col).cast("long").alias("row"), line.alias("line")))), lambda x: x["line"]), "\n")
     files = df.groupBy(file_col).agg(F.sha2(text, 256).alias("file_hash"))
     first = files.groupBy("file_hash").agg(F.min(file_col).alias(file_col))

@@ -42,6 +42,29 @@ def test_candidates_against_every_pair(spark):
     assert got == {x: expected(x, known) for x in raws}
 
 
+def test_alike_names_meet_their_neighbours_only(spark, monkeypatch):
+    pairs, scored = [], masters._scored
+    monkeypatch.setattr(masters, "_scored", lambda df: (pairs.append(df.count()), scored(df))[1])
+
+    def ask(n):
+        known = [(f"k{i:05d}", f"supplier number {i:05d}") for i in range(n)]
+        raws = [f"supplier number {i:05d}s" if i % 2 else f"suppliar number {i:05d}" for i in range(0, n, 5)]
+        pairs.clear()
+        rows = masters.candidates(spark.createDataFrame([(x,) for x in raws], "raw string"), spark.createDataFrame(known, "id string, name string")).collect()
+        return raws, known, rows, sum(pairs)
+
+    raws, known, rows, few = ask(100)
+    plain = [(i, n.replace(" ", "")) for i, n in known]
+    assert {x: [(y.id, y.score) for y in sorted(rows, key=lambda z: z["rank"]) if y.raw == x] for x in raws} == {x: expected(x.replace(" ", ""), plain) for x in raws}
+    assert ask(1000)[3] < 20 * few  # ten times the names; all pairs would be a hundred times as many
+
+
+def test_equal_spellings_are_compared_once(spark):
+    known = [(f"k{i:04d}", "same  name" if i % 2 else "SAME_NAME") for i in range(3000)] + [("a", "same nome"), ("b", "sane name")]
+    rows = masters.candidates(spark.createDataFrame([("same namee",), ("Same Namee",)], "raw string"), spark.createDataFrame(known, "id string, name string")).collect()
+    assert sorted((r.raw, r.id, r.score, r["rank"]) for r in rows) == [(x, f"k{i:04d}", 0.75, i + 1) for x in ("Same Namee", "same namee") for i in range(3)]
+
+
 def test_a_shared_stem_is_enough(spark):
     known = spark.createDataFrame([("1", "华东有限公司"), ("2", "华南子公司")], "id string, name string")
     got = masters.candidates(spark.createDataFrame([("华东分公司",)], "raw string"), known).collect()

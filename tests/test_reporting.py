@@ -10,6 +10,7 @@ from marlstone.functions import exprs
 from marlstone.model import Metric, Refused
 from marlstone.operators import history, ingest, loading, measures
 from marlstone.operators.measures import Measure, measure_query
+from marlstone.plans import fixtures
 from marlstone.sources import landing
 from marlstone.streaming.incremental import incremental_landing
 
@@ -161,3 +162,49 @@ def test_equal_rows_of_new_files_all_land(spark, tmp_path):
 def test_derived_metrics_can_not_be_filtered_by_metric(micro):
     with pytest.raises(Refused):
         measure_query(micro, [Measure("m_margin")], ("metric_id",), {"ccy": "CNY"}, measures.GROSS)
+
+
+def test_small_rates_keep_their_digits(spark):
+    facts = spark.createDataFrame([(date(2026, 1, 1), "IRR", Decimal(10**12))], "fin_month date, ccy string, amount decimal(18,2)")
+    rates = spark.createDataFrame([(date(2026, 1, 1), "IRR", Decimal("0.00029")), (date(2026, 1, 1), "USD", Decimal("7.1234"))], "rate_month date, ccy string, rate decimal(12,6)")
+    got = measures.converted(facts, rates, "USD").first().converted
+    assert round(got, 2) == round(Decimal(10**12) * Decimal("0.00029") / Decimal("7.1234"), 2)
+
+
+def test_a_missing_earlier_leg_refuses(spark):
+    shape = "fin_month date, period_from date, company_id string, metric_id string, scenario string, ccy string, amount decimal(18,2)"
+    rows = spark.createDataFrame([(d, d, c, "m", "actual", "CNY", Decimal(v)) for d, c, v in ((date(2025, 1, 1), "a", 2), (date(2026, 1, 1), "a", 3), (date(2026, 1, 1), "b", 1))], shape)
+    with pytest.raises(Refused) as e:
+        measures.year_over_year(rows, "m", since="2026-01", over=("ccy",))
+    assert e.value.reason == "CALIBER_OPERAND_MISSING"
+    assert [(r.company_id, r.month) for r in measures.missing_legs(rows, "m", since="2026-01", over=("ccy",)).collect()] == [("b", "2026-01")]
+    whole = measures.year_over_year(rows.filter("company_id = 'a'"), "m", since="2026-01", over=("ccy",)).collect()
+    assert [(r.company_id, r.month, r.prev, r.cur, r.yoy) for r in whole] == [("a", "2026-01", 2, 3, 0.5)]
+
+
+def test_several_changes_of_a_member_are_refused(spark):
+    past = spark.createDataFrame([("a", "x")], "id string, g string")
+    start = history.first_versions(past, spark.createDataFrame([], "id string"), "2020-01-01", ["g"])
+    with pytest.raises(Refused) as e:
+        history.apply_changes(start, spark.createDataFrame([("a", "y"), ("a", "z")], "id string, g string"), ["g"], "2021-01-01")
+    assert e.value.reason == "SEVERAL_CHANGES"
+
+
+def test_sheets_of_different_cells_are_different_files(spark):
+    rows = [("1", 1, "a\tb", "c"), ("2", 1, "a", "b\tc"), ("3", 1, None, "x"), ("4", 1, "", "x"), ("5", 1, "x\ny", None), ("6", 1, "x", None), ("6", 2, "y", None)]
+    cells = landing.landed_sheets(spark.createDataFrame(rows, "file string, row int, v string, w string"), "file", "row", "s")
+    assert cells.select("file_hash").distinct().count() == 6
+
+
+def test_formulas_are_masked(spark):
+    cells = spark.createDataFrame([("f", "s", 1, 1, "text", "secret 99", "=A2"), ("f", "s", 1, 2, "text", "open", None)], "file_hash string, sheet string, row_no int, col_no int, value_kind string, raw_value string, formula string")
+    assert {r.shown for r in ingest.masked(cells, 9, 9).collect()} == {"<formula>", "open"}
+
+
+def test_views_follow_their_files(spark, tmp_path):
+    for t in fixtures.BASE:
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    count = lambda: fixtures.view(spark, str(tmp_path), "master").count()
+    before = count()
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 1000).write.mode("append").parquet(str(tmp_path / "supplier.parquet"))
+    assert count() == 2 * before

@@ -53,6 +53,13 @@ def test_several_owners_conflict(spark):
     assert got == {"A": (None, "conflict"), "C": ("new_c", "new"), "D": ("m1", "kept")}
 
 
+def test_an_id_that_two_names_claim_is_a_conflict(spark):
+    declared = spark.createDataFrame([("A", ["Sales "]), ("B", ["s_a_l_e_s"]), ("C", None), ("D", ["d"])], "name string, labels array<string>")
+    owners = spark.createDataFrame([("SALES", "m1"), ("D", "m2")], "label string, id string")
+    got = {r.name: (r.id, r.state) for r in registry.metric_claims(declared, owners).collect()}
+    assert got == {"A": (None, "conflict"), "B": (None, "conflict"), "C": ("new_c", "new"), "D": ("m2", "kept")}
+
+
 def test_an_unknown_name_refuses_the_whole_sync(spark):
     members, bridge = spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([("a", 1), ("b", 2)], "member string, w int")
     with pytest.raises(Refused) as e:
