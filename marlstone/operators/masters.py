@@ -33,7 +33,7 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     Spellings that are equal when normalised are compared once, with the ``top`` smallest ids of each.  Everything meets in equi joins.
     Stems meet stems.  A name that contains another has it among its substrings, of which only those as long as some
     name on the other side are made.  Near names are sought by growing distance: names within d edits share a string
-    that d letters at most are dropped for, so for d of 1 and 2 the names meet at these.  A name that then has its
+    that d letters at most are dropped for, so for the distances in EDITS the names meet at these.  A name that then has its
     ``top`` suggestions, each better than any name at a greater distance could be, is done; so names that are all alike
     meet their close neighbours only.  The rest meets names of the same first letter, and of a length of six tenths at
     least, and pairs are scored where they meet.
@@ -72,7 +72,7 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
 
 
 #: Distances at which near names are met by what is left when letters are dropped.
-EDITS = (1, 2)
+EDITS = (2,)
 
 
 def _written(df: DataFrame) -> DataFrame:
