@@ -1,11 +1,11 @@
-"""Loading of a batch: windows, coordinates, conflicts, replacement, staging, replay and archives."""
+"""Loading of a batch: windows, coordinates, conflicts, replacement, staging and replay."""
 
 from __future__ import annotations
 
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import window_start
@@ -111,22 +111,3 @@ def replay_diff(again: DataFrame, stored: DataFrame, keys: list[str], fields: li
 
 def missing_periods(batch: DataFrame, periods: DataFrame) -> DataFrame:
     return batch.select("fin_month").distinct().join(periods.select("fin_month"), "fin_month", "left_anti")
-
-
-def archive(batch: DataFrame, path: str) -> int:
-    """Writes a batch as Parquet under its id, and checks the count that can be read back. Archived again, a batch replaces itself."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    expected = batch.groupBy("batch_id").agg(F.count("*").alias("n_expected"))
-    back = batch.sparkSession.read.schema(batch.schema).parquet(path).join(expected.select("batch_id"), "batch_id", "left_semi")
-    if not reconciled(back, expected).isEmpty():
-        raise Refused("ARCHIVE_INCOMPLETE", path)
-    return back.count()
-
-
-def compacted(spark: SparkSession, path: str, target: str, file_mb: int = 128) -> DataFrame:
-    """Rewrites an archive into few files under a new path; returns the per-batch counts that differ, empty if the old path may go."""
-    source = spark.read.parquet(path)
-    # Rebalancing joins small partitions of a batch and splits large ones, by the sizes seen at run time.
-    source.hint("rebalance", "batch_id").write.partitionBy("batch_id").option("maxRecordsPerFile", file_mb * 40_000).parquet(target)
-    count = lambda p, c: spark.read.parquet(p).groupBy("batch_id").agg(F.count("*").alias(c))
-    return count(path, "n_before").join(count(target, "n_after"), "batch_id", "full").filter("NOT (n_before <=> n_after)")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import entity_id, normalize_name
 from marlstone.model import Refused
-from marlstone.operators import admission, loading, measures
+from marlstone.operators import admission, archives, loading, measures
 
 CELL = ["file_hash", "sheet", "block", "row_no", "col_no"]
 STAGED = "file_hash string, sheet string, block int, row_no long, col_no int, company string, metric string, company_id string, metric_id string, fin_month date, caliber string, amount decimal(18,2), degenerate string"
@@ -265,7 +265,7 @@ def load(
     archived = True
     try:
         before("archive")
-        loading.archive(one, f"{store.root}/archive")
+        archives.archive(one, f"{store.root}/archive")
     except Exception:  # what is published stays so; the archive can be written again from the facts
         archived = False
     for aside in ("expanded", "resolved", "coordinates"):

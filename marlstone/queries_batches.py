@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import exprs
 from marlstone.model import CALIBERS
-from marlstone.operators import admission, ingest, loading, registry, sheets
+from marlstone.operators import admission, archives, history, ingest, loading, registry, sheets
 from marlstone.plans.fixtures import view
 from marlstone.queries import ORACLES, base, entity_sql, facts, query
 from marlstone.queries import alias_upsert as registered_aliases
@@ -267,26 +267,25 @@ def _per_batch(df):
 
 def _archived(s, d):
     path = scratch.folder(s, "archive")
-    loading.archive(view(s, d, "batch"), path)
+    archives.archive(view(s, d, "batch"), path)
     return path
 
 
 @query(_PER_BATCH)
 def archive_batch(s, d):
-    return _per_batch(s.read.parquet(_archived(s, d)))
+    return _per_batch(archives.read_archive(s, _archived(s, d)))
 
 
 @query("SELECT batch_id, fin_month, period_from, company_id, metric_id, scenario, ccy, amount FROM batch WHERE batch_id='b_1997'")
 def read_archive(s, d):
-    return s.read.parquet(_archived(s, d)).filter("batch_id = 'b_1997'").select("batch_id", *loading.COORDINATE, "amount")
+    return archives.read_archive(s, _archived(s, d), "b_1997").select("batch_id", *loading.COORDINATE, "amount")
 
 
 @query(_PER_BATCH)
 def compact_archive(s, d):
-    old, new = _archived(s, d), scratch.folder(s, "compacted")
-    if not loading.compacted(s, old, new).isEmpty():
-        raise RuntimeError("the rewritten archive differs")
-    return _per_batch(s.read.parquet(new))
+    path = _archived(s, d)
+    archives.compact(s, path)
+    return _per_batch(archives.read_archive(s, path))
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.model import FACTS, Fact, Metric, Refused
-from marlstone.operators import admission, loading, measures, registry, reports
+from marlstone.operators import admission, archives, loading, measures, registry, reports
 from marlstone.operators.measures import Measure, measure_query
 
 FACT = "fin_month date, period_from date, company_id string, metric_id string, scenario string, ccy string, amount decimal(18,2)"
@@ -168,8 +168,8 @@ def test_a_load_is_all_or_nothing(spark, tmp_path, rows):
 def test_archiving_twice_replaces(spark, tmp_path):
     batch = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 3)], "batch_id string, v int")
     for _ in range(2):
-        assert loading.archive(batch, str(tmp_path / "a")) == 3
-    loading.archive(batch.filter("batch_id = 'b2'"), str(tmp_path / "a"))
+        assert archives.archive(batch, str(tmp_path / "a")) == 3
+    archives.archive(batch.filter("batch_id = 'b2'"), str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a")).count() == 3
 
 

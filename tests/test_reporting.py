@@ -122,10 +122,8 @@ def test_blank_rows_end_the_grid(spark):
     assert sorted(r.row_no for r in ingest.extent(cells, 2, [1]).collect()) == [2, 3]
 
 
-def test_archive_and_compaction(spark, tmp_path):
+def test_drift_of_a_table(spark):
     batch = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 3)], "batch_id string, v int")
-    assert loading.archive(batch, str(tmp_path / "a")) == 3
-    assert loading.compacted(spark, str(tmp_path / "a"), str(tmp_path / "b")).isEmpty()
     drift = landing.schema_drift(batch, spark.createDataFrame([], "batch_id string, v long, w int").schema)
     assert {(r.column, r.state) for r in drift.collect()} == {("v", "type changed"), ("w", "missing")}
 
