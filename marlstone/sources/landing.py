@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import codecs
+import re
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.model import Refused
+
 
 def _kind(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "bool" if isinstance(t, T.BooleanType) else "date" if isinstance(t, (T.DateType, T.TimestampType)) else "text"
@@ -25,23 +31,115 @@ def land_cells(df: DataFrame, file_hash: str | None, sheet: str, row_no: str) ->
     return rows.withColumn("sheet", F.lit(sheet)).select("file_hash", "sheet", "row_no", "c.*").filter("raw_value IS NOT NULL")
 
 
-_FIELD = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
-
-
-def land_files(spark: SparkSession, path: str, sheet: str = "sheet1") -> DataFrame:
+#: The scan limits of a worksheet, and the bytes beyond which a file isn't read at all.
+MAX_ROWS, MAX_COLUMNS, MAX_BYTES = 20_000, 512, 64 * 1024 * 1024
+_PARSED = "path string, row_no long, col_no int, value_kind string, raw_value string, formula string, refused string"
+_NUMBER = re.compile(r"-?\d+(\.\d+)?")
+
+
+def _text(content: bytes, encoding: str | None) -> str:
+    """The text of a file: in the declared encoding, or else by its byte order mark, as UTF-8, or in the national standard that holds GBK."""
+    if encoding:
+        return content.decode(encoding)
+    if content.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+        return content.decode("utf-16")
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode("gb18030")
+
+
+def _records(text: str, most: int = MAX_ROWS) -> Iterator[list[tuple[str, bool]]]:
+    """Records of (field, quoted). A quoted field holds delimiters, doubled quotes and line breaks. Stops one beyond ``most`` records."""
+    record: list[tuple[str, bool]] = []
+    at, n, end = 0, 0, len(text)
+    while at < end and n <= most:
+        if quoted := text[at] == '"':
+            parts, at = [], at + 1
+            while True:
+                close = text.find('"', at)
+                if close < 0:
+                    raise ValueError("a quote is not closed")
+                parts.append(text[at:close])
+                at = close + 1
+                if at < end and text[at] == '"':
+                    parts.append('"')
+                    at += 1
+                else:
+                    break
+            field = "".join(parts)
+            if at < end and text[at] not in ",\r\n":
+                raise ValueError("text after a closing quote")
+        else:
+            stop = _STOP.search(text, at)
+            close = stop.start() if stop else end
+            field, at = text[at:close], close
+        record.append((field, quoted))
+        if at < end and text[at] == ",":
+            at += 1
+            if at < end:
+                continue
+            record.append(("", False))  # a delimiter ends the file: an empty field follows it
+        else:
+            at += 2 if text.startswith("\r\n", at) else 1
+        yield record
+        record, n = [], n + 1
+    if record and at >= end:
+        yield record
+
+
+_STOP = re.compile(r"[,\r\n]")
+
+
+def _parse(frames: Iterator[pd.DataFrame], encoding: str | None) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _PARSED.split(", ")]
+    for frame in frames:
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            cells, why = [], None
+            try:
+                for r, record in enumerate(_records(_text(bytes(content), encoding)), 1):
+                    if r > MAX_ROWS or len(record) > MAX_COLUMNS:
+                        why = "SHEET_TOO_LARGE"
+                        break
+                    for c, (field, quoted) in enumerate(record, 1):
+                        if field:
+                            kind = "number" if not quoted and _NUMBER.fullmatch(field) else "text"
+                            cells.append((path, r, c, kind, field, field if field.startswith("=") else None, None))
+            except UnicodeDecodeError:
+                why = "ENCODING_UNKNOWN"
+            except ValueError:
+                why = "FILE_MALFORMED"
+            yield pd.DataFrame([(path, None, None, None, None, None, why)] if why else cells, columns=columns).astype({"row_no": "Int64", "col_no": "Int32"})
+
+
+def _read_files(spark: SparkSession, path: str, encoding: str | None) -> tuple[DataFrame, DataFrame]:
+    """Every file (path, file_hash, refused), and what is in one file of each content. Contents of files beyond MAX_BYTES are not read."""
+    if encoding:
+        codecs.lookup(encoding)  # a name that no codec has is the caller's mistake, not a file's
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    read = files.filter(F.col("length") <= MAX_BYTES)
+    seen = read.select("path", F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("refused"))
+    large = files.filter(F.col("length") > MAX_BYTES).select("path", F.lit(None).cast("string").alias("file_hash"), F.lit("FILE_TOO_LARGE").alias("refused"))
+    first = seen.groupBy("file_hash").agg(F.min("path").alias("path"))
+    return seen.unionByName(large), read.select("path", "content").mapInPandas(partial(_parse, encoding=encoding), _PARSED).join(first, "path")
+
+
+def land_files(spark: SparkSession, path: str, sheet: str = "sheet1", encoding: str | None = None) -> DataFrame:
     """Cells (file_hash, sheet, row_no, col_no, value_kind, raw_value, formula) of comma-separated text files, each known by the SHA-256 of its bytes.
 
-    A file seen twice, under whatever name, is one. A worksheet is bounded by the scan limits, so a file is a row here; files are dealt to tasks.
-    Empty cells are absent and texts are not trimmed. A field that begins with an equals sign is a formula.
+    A file seen twice, under whatever name, is one.  Files are dealt to tasks; within one, quoted fields may hold delimiters, quotes and line breaks.
+    Empty cells are absent and texts are not trimmed.  A field that begins with an equals sign is a formula.  encoding: declared, or detected.
+    Files that can't land have no cell at all, and don't keep others from landing; refused_files names them.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("text")).dropDuplicates(["file_hash"])
-    lines = files.select("file_hash", F.posexplode(F.split("text", "\r?\n", -1)).alias("row", "line"))
-    fields = lines.select("file_hash", "row", F.posexplode(F.regexp_extract_all("line", F.lit(_FIELD), F.lit(1))).alias("col", "field"))
-    quoted = F.col("field").startswith('"') & (F.length("field") > 1)
-    value = F.when(quoted, F.replace(F.substr("field", F.lit(2), F.length("field") - 2), F.lit('""'), F.lit('"'))).otherwise(F.col("field"))
-    kind = F.when(~quoted & F.col("field").rlike(r"^-?\d+(\.\d+)?$"), "number").otherwise("text")
-    cells = fields.select("file_hash", F.lit(sheet).alias("sheet"), (F.col("row") + 1).cast("long").alias("row_no"), (F.col("col") + 1).alias("col_no"), kind.alias("value_kind"), value.alias("raw_value"))
-    return cells.filter("raw_value <> ''").withColumn("formula", F.when(F.col("raw_value").startswith("="), F.col("raw_value")))
+    cells = _read_files(spark, path, encoding)[1].filter("refused IS NULL")
+    return cells.select("file_hash", F.lit(sheet).alias("sheet"), "row_no", "col_no", "value_kind", "raw_value", "formula")
+
+
+def refused_files(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(path, file_hash, refused) of files that don't land: ENCODING_UNKNOWN, FILE_MALFORMED, SHEET_TOO_LARGE or FILE_TOO_LARGE. Copies are named each."""
+    files, parsed = _read_files(spark, path, encoding)
+    bad = parsed.filter("refused IS NOT NULL").select("file_hash", F.col("refused").alias("why"))
+    return files.join(bad, "file_hash", "left").select("path", "file_hash", F.coalesce("refused", "why").alias("refused")).filter("refused IS NOT NULL")
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
@@ -66,6 +164,79 @@ def schema_drift(df: DataFrame, declared: T.StructType) -> DataFrame:
     return df.agg(*lost).select(F.inline(F.array(*values)))
 
 
+_FOOTER = "file string, n_rows long, column string, found string, n_null long, unreadable string"
+
+
+def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each column of each file: its type and, from the statistics of the row groups, how many nulls it has (-1: not told)."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    def columns(file: str) -> Iterator[tuple]:
+        filesystem, path = fs.FileSystem.from_uri(file)
+        with filesystem.open_input_file(path) as opened:
+            meta = pq.ParquetFile(opened).metadata
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        nulls: dict[str, int] = {}
+        for i in range(meta.num_columns):
+            told = [g.column(i).statistics for g in groups]
+            whole = all(t is not None and t.has_null_count for t in told)
+            nulls[meta.schema.column(i).path] = sum(t.null_count for t in told) if whole else -1
+        for field in meta.schema.to_arrow_schema():
+            try:
+                found = from_arrow_type(field.type).simpleString()
+            except Exception:  # a type that Spark doesn't have: told by its own name
+                found = str(field.type)
+            yield file, meta.num_rows, field.name, found, nulls.get(field.name, -1), None
+
+    for frame in frames:
+        for file in frame["file"]:
+            try:
+                rows = list(columns(file))
+            except Exception as e:  # the file is told as unreadable, whatever is wrong with it
+                rows = [(file, None, None, None, None, type(e).__name__)]
+            out = pd.DataFrame([(file, *r[1:]) for r in rows], columns=[c.split()[0] for c in _FOOTER.split(", ")])
+            yield out.astype({"n_rows": "Int64", "n_null": "Int64"})
+
+
+def file_schemas(spark: SparkSession, path: str, files_per_task: int = 200) -> DataFrame:
+    """(file, n_rows, column, found, n_null, unreadable) from the footers of all Parquet files under a path, which executors read; no data is.
+
+    n_null is null where statistics don't tell it, as for nested columns.  A file without columns has no row.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    paths = listed.select(F.col("_metadata.file_path").alias("file"))
+    dealt = paths.repartition(max(1, min(4096, paths.count() // files_per_task)), "file")
+    return dealt.mapInPandas(_footers, _FOOTER).withColumn("n_null", F.when(F.col("n_null") >= 0, F.col("n_null")))
+
+
+def file_drift(schemas: DataFrame, declared: T.StructType, defaults: tuple[str, ...] = ()) -> DataFrame:
+    """(file, column, declared, found, n_rows, n_null, state, blocking): where a file differs from the declaration.
+
+    States: ``missing`` (readable as null or default), ``missing, not null`` (declared NOT NULL, without default, and the file has rows),
+    ``extra``, ``type changed``, ``null values`` (in a column declared NOT NULL), ``nulls not told``, ``unreadable``.  All but the first
+    block a load: columns are never dropped or cast silently.  schemas: as file_schemas gives them.
+    """
+    wanted = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("declared"), F.lit(f.nullable).alias("nullable"), F.lit(f.name in defaults).alias("default")) for f in declared])
+    good = schemas.filter("unreadable IS NULL")
+    files = good.groupBy("file").agg(F.max("n_rows").alias("rows"))
+    want = files.select("file", "rows", F.inline(wanted)) if len(declared) else files.select("file", "rows", *[F.lit(None).cast(t).alias(c) for c, t in (("column", "string"), ("declared", "string"), ("nullable", "boolean"), ("default", "boolean"))]).limit(0)
+    both = want.join(good.select("file", "column", "found", "n_rows", "n_null"), ["file", "column"], "full")
+    strict, rows = ~F.col("nullable"), F.coalesce("n_rows", "rows")
+    state = F.when(F.col("declared").isNull(), "extra").when(F.col("found").isNull(), F.when(strict & ~F.col("default") & (rows > 0), "missing, not null").otherwise("missing"))
+    state = state.when(F.col("found") != F.col("declared"), "type changed").when(strict & (F.col("n_null") > 0), "null values").when(strict & F.col("n_null").isNull(), "nulls not told")
+    told = both.select("file", "column", "declared", "found", rows.alias("n_rows"), "n_null", state.alias("state"))
+    broken = schemas.filter("unreadable IS NOT NULL").select("file", "column", F.lit(None).cast("string").alias("declared"), "found", "n_rows", "n_null", F.lit("unreadable").alias("state"))
+    return told.filter("state IS NOT NULL").unionByName(broken).withColumn("blocking", F.col("state") != "missing")
+
+
+def accepted_files(spark: SparkSession, path: str, declared: T.StructType, defaults: tuple[str, ...] = ()) -> None:
+    """Refuses (SCHEMA_DRIFT) a load from a path of which some file blocks it."""
+    if blocked := file_drift(file_schemas(spark, path), declared, defaults).filter("blocking").orderBy("file", "column").limit(1).collect():
+        raise Refused("SCHEMA_DRIFT", f"{blocked[0].state}: {blocked[0].column} in {blocked[0].file}")
+
+
 def landed_sheets(df: DataFrame, file_col: str, row_col: str, sheet: str) -> DataFrame:
     """Cells of many files, each known by the digest of its content: its rows as JSON arrays, in order, so that no two contents are written alike. Files of equal content are one.
 
