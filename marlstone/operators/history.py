@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.model import Refused
 
 
-def as_of_join(facts: DataFrame, history: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
-    """facts with the attributes in force at each row's date; the id is an equality, so the join stays a hash join."""
-    v = history.select(F.col("id").alias(key), "valid_from", "valid_to", *columns)
-    held = facts.join(v, (facts[key] == v[key]) & (facts[at] >= v["valid_from"]) & (v["valid_to"].isNull() | (facts[at] < v["valid_to"])))
-    return held.drop(v[key]).drop("valid_from", "valid_to")
+def as_of_join(facts: DataFrame, history: DataFrame, key: str, at: str, columns: list[str], block: str = "year") -> DataFrame:
+    """facts with the attributes in force at each row's date. Rows without a key or date, or with none in force, are left out.
+
+    The distinct (key, date) pairs of the facts and the versions' beginnings make one stream, in which the last version is carried
+    forward; no row meets more than one version.  The stream is cut by key and block of time, so a key of many dates is several
+    windows, and each block takes over what was in force at its beginning.  Versions of a key don't overlap; problems() tells those that do.
+    """
+    when, held = facts.schema[at].dataType, F.struct("valid_from", "valid_to", *columns)
+    points = facts.select(F.col(key).alias("id"), F.col(at).alias("day")).dropna().distinct().withColumn("kind", F.lit(1))
+    begins = history.filter("valid_from IS NOT NULL").select("id", F.col("valid_from").cast(when).alias("day"), F.lit(0).alias("kind"), held.alias("version"))
+    stream = points.unionByName(begins, allowMissingColumns=True).withColumn("block", F.date_trunc(block, "day"))
+    ends = stream.groupBy("id", "block").agg(F.max_by("version", F.when(F.col("kind") == 0, F.col("day"))).alias("end"))
+    before = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("id", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("id", "block").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = stream.withColumn("version", F.last("version", ignorenulls=True).over(within)).filter("kind = 1").join(carried, ["id", "block"])
+    found = last.select(F.col("id").alias("_key"), F.col("day").alias("_day"), F.coalesce("version", "carried").alias("_version"))
+    good = found.filter(F.col("_version").isNotNull() & (F.col("_version.valid_to").isNull() | (F.col("_day") < F.col("_version.valid_to"))))
+    return facts.join(good, (facts[key] == good["_key"]) & (facts[at] == good["_day"])).select(*[facts[c] for c in facts.columns], *[good[f"_version.{c}"].alias(c) for c in columns])
 
 
 def as_of_point(history: DataFrame, day: str) -> DataFrame:

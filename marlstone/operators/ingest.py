@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import parse_period
@@ -107,18 +107,34 @@ def masked(cells: DataFrame, max_row: int, max_col: int) -> DataFrame:
     return cells.filter(within).withColumn("shown", shown).join(beyond, SHEET)
 
 
-def leak_scan(df: DataFrame, texts: Column, limit: int = 10_000) -> DataFrame:
-    """Rows whose text holds a number from the limit on."""
-    digits = F.transform(F.regexp_extract_all(F.regexp_replace(texts, r"(\d),(?=\d{3})", "$1"), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
-    return df.filter(F.exists(digits, lambda x: x >= limit))
-
+# Currency signs before an amount, and units after it.
+_SIGNS, _UNITS = "¥￥$€£", ("%", "％", "元", "万元", "亿元", "千元", "人民币")
+#: A text that is nothing but an amount: brackets, a sign, a currency, a plain or grouped number, a unit.
+_AMOUNT = rf"^[（(]?\s*[-+−]?\s*[{_SIGNS}]?\s*(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?\s*(?:{'|'.join(_UNITS)})?\s*[)）]?$"
+_DATE = r"(?<!\d)\d{4}([-/.])\d{1,2}\1\d{1,2}(?!\d)|(?<!\d)(?:19|20|21)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?!\d)"
 
-def header_runs(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """The longest horizontal run of known labels of each sheet; the topmost wins ties."""
-    from pyspark.sql import Window
 
-    hits = cells.filter("value_kind = 'text'").join(known, cells["raw_value"] == known["label"], "left_semi")
-    island = F.col("col_no") - F.row_number().over(Window.partitionBy(*ROW).orderBy("col_no"))
-    runs = hits.withColumn("island", island).groupBy(*ROW, "island").agg(F.count("*").alias("width"), F.min("col_no").alias("first_col"))
+def leak_scan(df: DataFrame, texts: Column, limit: int = 10_000) -> DataFrame:
+    """Rows whose text is nothing but an amount, however small, or holds a number from the limit on. A date, also one in eight digits, is no such number within a text."""
+    spaced = F.trim(F.translate(texts, "\u00a0\u2007\u202f", "   "))
+    plain = F.regexp_replace(F.regexp_replace(spaced, _DATE, " "), r"(\d),(?=\d{3})", "$1")
+    digits = F.transform(F.regexp_extract_all(plain, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
+    return df.filter(spaced.rlike(_AMOUNT) | F.exists(digits, lambda x: x >= limit))
+
+
+def header_runs(cells: DataFrame, known: DataFrame, axis_names: tuple[str, ...] = ()) -> DataFrame:
+    """The longest horizontal run of known labels of each sheet; the topmost, then the leftmost, wins ties.
+
+    What is left of a run's first label must be no text, or the name of an axis: texts that go on to the left make it part of something else.
+    A run may begin within a longer one, after a label that is an axis's name too.
+    """
+    texts = cells.filter("value_kind = 'text' AND trim(raw_value) <> ''").select(*ROW, "col_no", F.trim("raw_value").alias("label"))
+    marked = texts.join(known.select("label", F.lit(True).alias("known")).distinct(), "label", "left")
+    order = Window.partitionBy(*ROW).orderBy("col_no")
+    beside = F.lag(F.col("label")).over(order)
+    free = F.when(F.lag("col_no").over(order) == F.col("col_no") - 1, beside.isin(*axis_names) if axis_names else F.lit(False)).otherwise(F.lit(True))
+    placed = marked.withColumn("free", F.coalesce(free, F.lit(True))).filter("known").withColumn("island", F.col("col_no") - F.row_number().over(order))
+    ends = placed.withColumn("last", F.max("col_no").over(Window.partitionBy(*ROW, "island"))).filter("free")
+    runs = ends.select(*ROW, F.col("col_no").alias("first_col"), (F.col("last") - F.col("col_no") + 1).cast("long").alias("width"))
     best = F.max_by(F.struct("row_no", "first_col", "width"), F.struct("width", -F.col("row_no"), -F.col("first_col")))
     return runs.groupBy(*SHEET).agg(best.alias("b")).select(*SHEET, "b.*")

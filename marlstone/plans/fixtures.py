@@ -97,6 +97,20 @@ UNION ALL SELECT file_hash, 'sheet1', row_no, 4, 'text', scenario, CAST(NULL AS
 UNION ALL SELECT file_hash, 'sheet1', row_no, 5, 'text', ccy, CAST(NULL AS VARCHAR(30)) FROM ledger_row
 UNION ALL SELECT file_hash, 'sheet1', row_no, 6, 'number', CAST(amount AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM ledger_row
 UNION ALL SELECT file_hash, 'sheet1', row_no, 7, 'number', CAST(ytd AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM ledger_row""",
+    "dated_row": """
+SELECT concat('d_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_month) AS VARCHAR(2))) AS file_hash, CAST(1+row_number() OVER (PARTITION BY fin_month ORDER BY company_id, metric_id) AS INT) AS row_no,
+       company_id, fin_month, month(fin_month) % 2=0 AS apart, amount FROM fx_month WHERE scenario='actual'""",
+    "dated_cell": """
+SELECT file_hash, 'sheet1' AS sheet, 1 AS row_no, col_no, 'text' AS value_kind, CASE col_no WHEN 4 THEN 'this month' WHEN 1 THEN CASE WHEN apart THEN '年份' ELSE '期间' END ELSE CASE WHEN apart THEN '月份' ELSE 'note' END END AS raw_value,
+       CAST(NULL AS VARCHAR(30)) AS formula FROM (SELECT DISTINCT file_hash, apart FROM dated_row) f CROSS JOIN (SELECT 1 AS col_no UNION ALL SELECT 2 UNION ALL SELECT 4) h
+UNION ALL SELECT file_hash, 'sheet1', row_no, 1, 'text', CASE WHEN apart THEN CAST(year(fin_month) AS VARCHAR(4)) ELSE concat(CAST(year(fin_month) AS VARCHAR(4)), '/', CAST(month(fin_month) AS VARCHAR(2))) END, CAST(NULL AS VARCHAR(30)) FROM dated_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 2, 'text', CASE WHEN apart THEN CAST(month(fin_month) AS VARCHAR(2)) ELSE company_id END, CAST(NULL AS VARCHAR(30)) FROM dated_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 3, 'text', company_id, CAST(NULL AS VARCHAR(30)) FROM dated_row
+UNION ALL SELECT file_hash, 'sheet1', row_no, 4, 'number', CAST(amount AS VARCHAR(30)), CAST(NULL AS VARCHAR(30)) FROM dated_row""",
+    "customer_year": """
+SELECT o_custkey AS id, CAST(min(o_orderdate) AS DATE) AS valid_from, CASE WHEN count(*) > 2 THEN 'frequent' ELSE 'seldom' END AS band FROM orders GROUP BY o_custkey, year(o_orderdate)""",
+    "dim_customer_hist": """
+SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) AS valid_to, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) IS NULL AS is_current, band FROM customer_year""",
     "month_sheet": """
 SELECT concat('h_', CAST(year(fin_month) AS VARCHAR(4)), '_', CAST(month(fin_month) AS VARCHAR(2))) AS file_hash, 'sheet1' AS sheet, row_no, col_no, raw_value FROM raw_cell JOIN
 (SELECT file_hash AS of_file, row_no AS of_row, fin_month FROM grid) g ON file_hash=of_file AND row_no=of_row""",

@@ -612,9 +612,11 @@ def masked_view(s, d):
     return ingest.masked(view(s, d, "sheet_cell"), 40, 4).select("file_hash", "row_no", "col_no", "shown", "truncated")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 10000")
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 10000 OR o_orderkey % 10=0")
 def numeric_leak_scan(s, d):
-    return ingest.leak_scan(base(s, d, "orders"), F.format_number("o_totalprice", 2)).select("o_orderkey")
+    amount = F.format_number("o_totalprice", 2)
+    text = F.when(F.col("o_orderkey") % 10 == 0, F.concat(amount, F.lit(" 元"))).otherwise(F.concat(F.lit("total "), amount, F.lit(" on "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return ingest.leak_scan(base(s, d, "orders"), text).select("o_orderkey")
 
 
 @query(
@@ -623,7 +625,7 @@ def numeric_leak_scan(s, d):
     "END)='c_1' THEN 1 ELSE 0 END + 0 AS w FROM raw_cell GROUP BY 1,2,3) WHERE w>0 GROUP BY 1,2"
 )
 def header_locate(s, d):
-    known = s.createDataFrame([("c_1",)], "label string")
+    known = s.createDataFrame([("c_1",), ("m_revenue",)], "label string")  # the latter has a period to its left
     return ingest.header_runs(view(s, d, "raw_cell"), known)
 
 

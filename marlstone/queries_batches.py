@@ -123,20 +123,25 @@ def non_text_period_cells(s, d):
     return _body(s, d).filter("col_no = 2 AND value_kind <> 'text' AND raw_value <> ''").select("file_hash", "row_no", "value_kind")
 
 
-@query((
-    "SELECT file_hash, 'column' AS axis, CAST(col_no AS INTEGER) AS position, raw_value AS label, FALSE AS computed FROM "
-    "sheet_cell WHERE row_no=1 AND col_no>=4 UNION ALL SELECT file_hash, 'row', row_no, company, row_no % 35=0 FROM "
-) + _ROWS + " WHERE row_no < 90")
+@query(
+    "SELECT file_hash, 'column' AS axis, CAST(col_no AS INTEGER) AS position, raw_value AS label, FALSE AS computed FROM sheet_cell WHERE row_no=1 AND col_no>=2 "
+    "UNION ALL SELECT file_hash, 'row', row_no, CASE WHEN row_no % 90<>0 THEN company_id END, row_no % 35=0 FROM sheet_row"
+)
 def region_labels(s, d):
-    return sheets.region_labels(view(s, d, "sheet_cell"), 2, 4).drop("sheet")
+    return sheets.region_labels(view(s, d, "sheet_cell"), 2, 2).drop("sheet")
 
 
 @query(
-    "SELECT DISTINCT file_hash, CAST(2 AS INTEGER) AS col_no, make_date(CAST(split_part(raw_value,'/',1) AS INTEGER), CAST(split_part(raw_value,'/',2) "
-    "AS INTEGER), 1) AS fin_month FROM month_sheet WHERE col_no=2"
+    "SELECT file_hash, row_no, CAST(col_no AS INTEGER) AS col_no, n_strays FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY row_no, col_no) AS place, count(*) OVER (PARTITION BY file_hash) AS n_strays "
+    "FROM sheet_cell WHERE row_no>=2 AND col_no>=2 AND value_kind<>'text') WHERE place<=20"
 )
+def stray_cells(s, d):
+    return sheets.stray_cells(view(s, d, "sheet_cell"), 2, 2).drop("sheet")
+
+
+@query("SELECT DISTINCT file_hash, CAST(1 AS INTEGER) AS col_no, CAST(CASE WHEN month(fin_month) % 2=0 THEN 2 END AS INTEGER) AS month_col, fin_month FROM dated_row")
 def period_hint(s, d):
-    return sheets.period_hint(view(s, d, "month_sheet"), 4).drop("sheet")
+    return sheets.period_hint(view(s, d, "dated_cell"), 2, 4).drop("sheet")
 
 
 @query(
@@ -312,6 +317,52 @@ def land_files(s, d):
     return landing.land_files(s, path).select("col_no", "value_kind", "raw_value")
 
 
+@query(
+    "SELECT CAST(c_custkey AS BIGINT) AS row_no, CAST(u.k AS INTEGER) AS col_no, CASE u.k WHEN 1 THEN c_name || chr(10) || '\"' || c_mktsegment || '\", ' ELSE CAST(c_custkey AS VARCHAR) END AS raw_value "
+    "FROM customer CROSS JOIN (VALUES (1),(2)) u(k)"
+)
+def land_broken_lines(s, d):
+    """Fields that hold line breaks, quotes and delimiters; the second column tells the row that they came from."""
+    path, quote = scratch.folder(s, "broken"), F.lit('"')
+    text = F.concat("c_name", F.lit("\n"), quote, F.col("c_mktsegment"), quote, F.lit(", "))
+    base(s, d, "customer").select(text.alias("t"), "c_custkey").write.option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    scratch.until_exit(s, path)
+    cells = landing.land_files(s, path)
+    key = cells.filter("col_no = 2").select("file_hash", "row_no", F.col("raw_value").cast("long").alias("key"))
+    return cells.join(key, ["file_hash", "row_no"]).select(F.col("key").alias("row_no"), "col_no", "raw_value")
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_DRIFT = (
+    "SELECT '{p}' AS folder, '{c}' AS column, {want} AS declared, {have} AS found, '{state}' AS state, {blocking} AS blocking, CAST(count(*) AS BIGINT) AS n_rows, "
+    "CAST({nulls} AS BIGINT) AS n_null FROM orders WHERE o_orderpriority='{p}' HAVING count(*) > 0"
+)
+
+
+@query(" UNION ALL ".join(
+    _DRIFT.format(p=p, c=c, want=want, have=have, state=state, blocking=state != "missing", nulls=nulls) for p, c, want, have, state, nulls in (
+        (_PRIORITIES[1], "price", "'double'", "NULL", "missing", "NULL"), (_PRIORITIES[2], "customer", "'bigint'", "NULL", "missing, not null", "NULL"),
+        (_PRIORITIES[3], "status", "NULL", "'string'", "extra", "0"), (_PRIORITIES[4], "day", "'date'", "'string'", "type changed", "0"),
+        (_PRIORITIES[4], "customer", "'bigint'", "'bigint'", "null values", "count(*) FILTER (o_custkey % 10=0)"),
+    )
+))
+def schema_drift_by_file(s, d):
+    """An archive of orders whose folders drift each in its own way."""
+    path, orders = scratch.folder(s, "drifting"), base(s, d, "orders")
+    key, price, day = F.col("o_orderkey").cast("long").alias("key"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderdate").cast("date").alias("day")
+    customer = F.col("o_custkey").cast("long").alias("customer")
+    shapes = ([key, customer, price, day], [key, customer, day], [key, price, day], [key, customer, price, day, F.col("o_orderstatus").alias("status")],
+              [key, F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey").cast("long")).alias("customer"), price, F.col("o_orderdate").cast("string").alias("day")])
+    for n, (priority, columns) in enumerate(zip(_PRIORITIES, shapes, strict=True)):
+        orders.filter(F.col("o_orderpriority") == priority).select(*columns).write.parquet(f"{path}/folder={n}")
+    scratch.until_exit(s, path)
+    declared = s.createDataFrame([], "key long NOT NULL, customer long NOT NULL, price double, day date").schema
+    drift = landing.file_drift(landing.file_schemas(s, path), declared)
+    names = F.array(*[F.lit(p) for p in _PRIORITIES])
+    folder = F.element_at(names, F.regexp_extract("file", r"folder=(\d)/", 1).cast("int") + 1)
+    return drift.groupBy(folder.alias("folder"), "column", "declared", "found", "state", "blocking").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null")).filter("n_rows > 0")
+
+
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def incremental_landing(s, d):
     files, events = scratch.folder(s, "incoming"), base(s, d, "events")
@@ -337,3 +388,15 @@ def schema_drift(s, d):
 def scd2_history(s, d):
     shown = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("")).alias(c)
     return view(s, d, "dim_company_hist").orderBy("id", "valid_from").select("id", shown("valid_from"), shown("valid_to"), "group_name")
+
+
+@query("SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, band FROM orders JOIN dim_customer_hist ON id=o_custkey AND o_orderdate>=valid_from AND (valid_to IS NULL OR o_orderdate<valid_to)")
+def customer_as_of_join(s, d):
+    """Each order with its customer's band at the time, from a history that grows with customers and years."""
+    orders = base(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return history.as_of_join(orders, view(s, d, "dim_customer_hist"), "o_custkey", "day", ["band"])
+
+
+@query("SELECT id, valid_from, valid_to, is_current, band FROM dim_customer_hist WHERE valid_from<=DATE '1997-12-31' AND (valid_to IS NULL OR DATE '1997-12-31'<valid_to)")
+def customer_as_of_point(s, d):
+    return history.as_of_point(view(s, d, "dim_customer_hist"), "1997-12-31")

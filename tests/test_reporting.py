@@ -1,6 +1,7 @@
 """Known answers and invariants of the reporting operators."""
 
-from datetime import date
+import random
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -137,6 +138,37 @@ def test_a_file_lands_once(spark, tmp_path):
     assert incremental_landing(spark, source, df.schema, target, mark).count() == 2
 
 
+def test_an_empty_folder_lands_nothing(spark, tmp_path):
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], "i int, t string").schema
+    landed = incremental_landing(spark, source, schema, target, mark)
+    assert landed.columns == ["i", "t", "file_hash"] and landed.isEmpty()
+
+
+def test_a_batch_reads_its_buckets_of_the_ledger_only(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a")], "i int, t string").coalesce(1)
+    df.write.parquet(source)
+    digest = incremental_landing(spark, source, df.schema, target, str(tmp_path / "m1")).collect()[0].file_hash
+    other = tmp_path / "out" / "_ledger" / f"prefix={'00' if digest[:2] != '00' else '01'}"
+    other.mkdir()
+    (other / "x.parquet").write_bytes(b"not a ledger")  # reading it would fail
+    for part in (tmp_path / "out").glob("_marlstone_batch=*/*.parquet"):
+        part.write_bytes(b"not rows")  # neither are the rows read, to know what has landed
+    again = incremental_landing(spark, source, df.schema, target, str(tmp_path / "m2"))  # another stream over the same file
+    assert again.columns == ["i", "t", "file_hash"] and len(list((tmp_path / "out").glob("_marlstone_batch=*"))) == 1
+
+
+def test_a_target_without_a_ledger_gets_one(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a")], "i int, t string").coalesce(1)
+    df.write.parquet(source)
+    incremental_landing(spark, source, df.schema, target, str(tmp_path / "m1"))
+    (tmp_path / "out" / "_ledger").rename(tmp_path / "old")
+    assert incremental_landing(spark, source, df.schema, target, str(tmp_path / "m2")).count() == 1
+
+
 def test_equal_rows_of_new_files_all_land(spark, tmp_path):
     source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     schema = "i int, t string"
@@ -206,3 +238,24 @@ def test_views_follow_their_files(spark, tmp_path):
     before = count()
     spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 1000).write.mode("append").parquet(str(tmp_path / "supplier.parquet"))
     assert count() == 2 * before
+
+
+@pytest.mark.parametrize("block", ["month", "year"])
+def test_the_as_of_merge_is_the_range_join(spark, block):
+    rng = random.Random(5)
+    day = lambda n: date(2020, 1, 1) + timedelta(days=n)
+    versions = []
+    for i in range(20):
+        cuts = sorted(rng.sample(range(1500), rng.randint(1, 12)))
+        for a, b in zip(cuts, [*cuts[1:], None], strict=True):  # some end before the next begins, so that there are gaps
+            end = None if b is None else rng.choice([b, (a + b) // 2 if (a + b) // 2 > a else b])
+            versions.append((str(i), day(a), None if end is None else day(end), f"g{a}", None if a % 5 == 0 else a))
+    hot = [("0", day(rng.randrange(1600)), n) for n in range(1500)]
+    rows = hot + [(str(rng.randrange(25)), day(rng.randrange(1600)), n) for n in range(600)] + [(None, day(9), -1), ("1", None, -2)]
+    facts = spark.createDataFrame(rows, "id string, day date, version int")
+    known = spark.createDataFrame(versions, "id string, valid_from date, valid_to date, g string, v int")
+    got = history.as_of_join(facts, known, "id", "day", ["g", "v"], block)
+    assert got.columns == ["id", "day", "version", "g", "v"]
+    k = known.withColumnRenamed("id", "k")
+    want = facts.join(k, (facts.id == k.k) & (facts.day >= k.valid_from) & (k.valid_to.isNull() | (facts.day < k.valid_to))).select("id", "day", "version", "g", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 1000
