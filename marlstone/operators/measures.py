@@ -91,11 +91,13 @@ def _check(measures: list[Measure], group_by: tuple[str, ...], filters: dict, me
 
 def measure_query(
     facts: DataFrame, measures: list[Measure], group_by: tuple[str, ...] = (), filters: dict | None = None, metrics: dict[str, Metric] | None = None,
-    rates: DataFrame | None = None, to_ccy: str | None = None, audience: str = "human", limit: int | None = None, support: bool = False, over: tuple[str, ...] = (),
+    rates: DataFrame | None = None, to_ccy: str | None = None, audience: str | None = None, limit: int | None = None, support: bool = False, over: tuple[str, ...] = (),
     fact: str | None = None, declared: dict[str, Fact] | None = FACTS,
 ) -> DataFrame:
-    """Group keys and one column a measure, of the rows ``facts`` of a declared fact table. With a limit, or for agents, a column truncated
-    tells whether groups were left out.
+    """Group keys and one column a measure, of the rows ``facts`` of a declared fact table.
+
+    Without an audience the result is whole, as a step of a larger plan needs it. For one (human: 5000 groups, agent: 200), or with a
+    limit, a column truncated tells whether groups were left out.
 
     over: dimensions that may be summed across although they have a default or
     need one member. With rates and to_ccy amounts are converted at their own
@@ -139,12 +141,13 @@ def measure_query(
         ns = [F.col(f"_{m.name}_{i}_n") for i in _inputs(m.metric, metrics)]
         columns.append((F.least(*ns) if len(ns) > 1 else ns[0]).alias(f"{m.name}_support"))
     out = out.select(*group_by, *columns)
-    cap = min(limit or LIMITS[audience], LIMITS[audience])
-    if group_by and (limit is not None or audience == "agent"):
+    most = LIMITS[audience or "human"]
+    cap = min(limit or most, most)
+    if group_by and (limit is not None or audience):
         out = out.orderBy(*group_by).limit(cap + 1)  # one group more than is shown tells whether there are more
     if audience == "agent":
         out = guarded(out, [m.name for m in measures], cap)
-    elif group_by and limit is not None:
+    elif group_by and (limit is not None or audience):
         place = F.row_number().over(Window.orderBy(*group_by))  # over no more than those
         out = out.withColumns({"place": place, "truncated": F.count("*").over(Window.partitionBy()) > cap}).filter(F.col("place") <= cap).drop("place")
     return out if support else out.drop(*[f"{m.name}_support" for m in measures])

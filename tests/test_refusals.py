@@ -165,6 +165,22 @@ def test_a_load_is_all_or_nothing(spark, tmp_path, rows):
     assert kept == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "fact" / "fin_month=2026-01-01").iterdir()}  # other months aren't rewritten
 
 
+def test_reports_refuse_what_the_lint_finds(spark):
+    facts = spark.createDataFrame([], "fin_month date, period_from date, company_id string, metric_id string, scenario string, ccy string, amount decimal(18,2)")
+    assert refused(lambda: reports.by_caliber(facts, "company_id", ["c"], ["ytd"], "2026-06")) == "UNCONSTRAINED_DIM"
+    assert refused(lambda: reports.pivot(facts, "company_id", "scenario", ["actual"], "ytd", "2026-06")) == "UNCONSTRAINED_DIM"
+    assert refused(lambda: reports.pivot(facts, "company_id", "metric_id", ["m"], "", "2026-06")) == "UNCONSTRAINED_DIM"
+    assert refused(lambda: reports.by_metric(facts, "caliber", ["ytd"], ["m"], "ytd", "2026-06")) == "CALIBER_AXIS_COLS_ONLY"
+
+
+def test_what_is_shown_to_a_human_is_capped_and_says_so(spark):
+    rows = spark.range(6000).selectExpr("DATE '2026-01-01' AS fin_month", "DATE '2026-01-01' AS period_from", "format_string('c%04d', id) AS company_id", "'m' AS metric_id", "'actual' AS scenario", "'CNY' AS ccy", "CAST(1 AS decimal(18,2)) AS amount")
+    ask = lambda **more: measures.measure_query(rows, [measures.Measure("m")], ("company_id",), {"ccy": "CNY"}, **more)
+    shown = ask(audience="human").collect()
+    assert len(shown) == 5000 and all(r.truncated for r in shown) and {r.company_id for r in shown} == {f"c{n:04d}" for n in range(5000)}
+    assert ask().count() == 6000  # a step of a larger plan is whole
+
+
 def test_archiving_twice_replaces(spark, tmp_path):
     batch = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 3)], "batch_id string, v int")
     for _ in range(2):
