@@ -12,9 +12,11 @@ Label model.  A generative model of the votes: each voter has its own rate of
               noisy vote.  Expectation maximisation estimates rates and posteriors;
               in each round the correlation left between voters given the class is
               estimated anew and shrinks their weight, so that near copies don't count
-              as independent.
-Classifier.   A logistic regression on the voters' evidence, trained on the
-              posterior labels, scores every document.
+              as independent.  It is cross-fitted: the sample is halved by a hash of
+              the text, and voters that one half chose (entries, times, cuts) are
+              judged on the other, whose labels had no part in choosing them.
+Classifier.   A logistic regression on the evidence of voters chosen from the whole
+              sample, trained on the posterior labels, scores every document.
 
 The fit takes at most FIT_ROWS labelled rows (a documented bound).  Equal texts among
 them count once, as toxic if any copy is, and so do near copies, by MinHash
@@ -101,10 +103,12 @@ class Lexicon:
 class ToxicityModel:
     lexicon: Lexicon
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Rate of firing in toxic and in clean texts, of each voter.
+    #: Rate of firing in toxic and in clean texts, of each voter, on the half of the sample that didn't choose it.
     rates: dict[str, tuple[float, float]] = field(default_factory=dict)
     correlated: list[tuple[str, str]] = field(default_factory=list)
     prior: float = PRIOR
+    #: Rows of the sample whose posterior contradicts their label.
+    moved: int = 0
 
 
 def _evidence(chunk: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -241,29 +245,54 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = FIT_RO
         only = known["doc_id"][first_of_copies(np.stack([np.frombuffer(x, np.uint16) for x in known["signature"]]))]
         sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(only.to_frame())), "doc_id", "left_semi")
     lexicon = Lexicon(*mine(sample))
-    names = [*lexicon.entries, *PATTERNS]
-    times = np.array(lexicon.times, float)
+    sample = sample.withColumn("half", F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int"))
+    lexicons = [lexicon, *(Lexicon(*mine(sample.filter(F.col("half") != h))) for h in (0, 1))]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                rows = np.concatenate(_evidence(chunk, lexicon), axis=1)
-                yield pa.RecordBatch.from_arrays([chunk.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "rows"])
+                rows = np.concatenate([x for one in lexicons for x in _evidence(chunk, one)], axis=1)
+                yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("half"), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "half", "rows"])
 
-    rows = sample.mapInArrow(gather, "label int, rows array<double>").toPandas()  # a row for each text of the bounded sample
+    rows = sample.mapInArrow(gather, "label int, half int, rows array<double>").toPandas()  # a row for each text of the bounded sample
+    times = np.array(lexicon.times, float)
     if not len(rows):
         weights = np.zeros(_features(np.zeros((1, len(times))), np.zeros((1, len(PATTERNS))), times).shape[1])
         weights[0] = np.log(PRIOR / (1 - PRIOR))
         return ToxicityModel(lexicon, weights)
-    y, values = rows["label"].to_numpy(float), np.stack(rows["rows"].to_numpy())
-    order = np.lexsort([*values.T, y])  # the order rows came in doesn't count
-    y, values = y[order], values[order]
-    hits, patterns = values[:, : len(times)], values[:, len(times) :]
+    y, half, values = rows["label"].to_numpy(float), rows["half"].to_numpy(), np.stack(rows["rows"].to_numpy())
+    order = np.lexsort([*values.T, half, y])  # the order rows came in doesn't count
+    y, half, values = y[order], half[order], values[order]
     prior = float(np.clip(y.mean(), 0.01, 0.99))
-    votes = np.concatenate([hits >= times, patterns >= cuts(patterns, y)], axis=1)
-    posterior, rates, _, pairs = label_model(votes, y, prior)
-    weights = logistic(_features(hits, patterns, times), posterior)
-    return ToxicityModel(lexicon, weights, {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)}, [(names[i], names[j]) for i, j in pairs], prior)
+    ends = np.cumsum([len(one.times) + len(PATTERNS) for one in lexicons])
+    evidence = [(v[:, : len(one.times)], v[:, len(one.times) :]) for v, one in zip(np.split(values, ends[:-1], axis=1), lexicons, strict=True)]
+    posterior, rates, pairs = crossed(evidence[1:], lexicons[1:], half, y, prior)
+    weights = logistic(_features(*evidence[0], times), posterior)
+    return ToxicityModel(lexicon, weights, rates, pairs, prior, int(((posterior >= 0.5) != (y > 0.5)).sum()))
+
+
+def crossed(
+    evidence: list[tuple[np.ndarray, np.ndarray]], lexicons: list[Lexicon], half: np.ndarray, labels: np.ndarray, prior: float
+) -> tuple[np.ndarray, dict[str, tuple[float, float]], list[tuple[str, str]]]:
+    """Posterior of each row, rates of firing and correlated pairs of voters, by name. lexicons[h] is what the half other than h chose.
+
+    A half is judged by the other's voters; if either is empty, there is nothing to judge by and a label stands as far as a label is believed.
+    """
+    posterior = np.where(labels > 0.5, 1, -1) * LABEL_ODDS
+    posterior = 1 / (1 + np.exp(-posterior))
+    seen: dict[str, list[tuple[float, float]]] = {}
+    correlated: set[tuple[str, str]] = set()
+    for h, (hits, patterns) in enumerate(evidence):
+        own = half == h
+        if own.all() or not own.any():
+            continue
+        names = [*lexicons[h].entries, *PATTERNS]
+        fired = np.concatenate([hits >= np.array(lexicons[h].times, float), patterns >= cuts(patterns[~own], labels[~own])], axis=1)
+        posterior[own], rates, _, pairs = label_model(fired[own], labels[own], prior)
+        for i, name in enumerate(names):
+            seen.setdefault(name, []).append((float(rates[1, i]), float(rates[0, i])))
+        correlated.update((names[i], names[j]) for i, j in pairs)
+    return posterior, {name: tuple(np.mean(found, axis=0).tolist()) for name, found in seen.items()}, sorted(correlated)
 
 
 def _scores(model: ToxicityModel):

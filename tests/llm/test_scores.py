@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,29 @@ def test_a_set_longer_than_a_tile_is_compared(spark, monkeypatch):
     rows = [(1, " ".join(long)), (2, " ".join(long[:-3] + ["x"])), (3, " ".join(long[200:])), (4, "short text here")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_voters_are_judged_where_they_were_not_chosen():
+    r = np.random.default_rng(4)
+    n = 1200
+    half, labels = np.arange(n) % 2, (r.random(n) < 0.3).astype(float)
+    real = (r.random(n) < np.where(labels == 1, 0.8, 0.05)).astype(float)
+    luck = np.where(half == 0, labels, r.random(n) < 0.2).astype(float)  # says in one half what the label says, and nothing in the other
+    patterns = r.random((n, len(toxicity.PATTERNS)))
+    words = toxicity.Lexicon(["real", "luck"], [1, 1])
+    hits = np.stack([real, luck], axis=1)
+    posterior, rates, pairs = toxicity.crossed([(hits, patterns)] * 2, [words, words], half, labels, 0.3)
+    for h in (0, 1):
+        own = half == h
+        cut = toxicity.cuts(patterns[~own], labels[~own])
+        votes = np.concatenate([hits >= 1, patterns >= cut], axis=1)[own]
+        q, got, _, _ = toxicity.label_model(votes, labels[own], 0.3)
+        assert np.allclose(posterior[own], q)
+        if h == 1:
+            assert abs(got[1, 1] - got[0, 1]) < 0.15 and got[1, 0] - got[0, 0] > 0.6
+    chosen_in_0 = [toxicity.Lexicon(["real"], [1]), words]  # "luck" was chosen by half 0 only, so half 1 alone judges it
+    _, rates, _ = toxicity.crossed([(hits[:, :1], patterns), (hits, patterns)], chosen_in_0, half, labels, 0.3)
+    assert abs(rates["luck"][0] - rates["luck"][1]) < 0.15 and rates["real"][0] - rates["real"][1] > 0.6
+    # With one half empty there is nobody to judge, and a label stands as far as it is believed.
+    posterior, rates, pairs = toxicity.crossed([(hits, patterns)] * 2, [words, words], np.zeros(n, int), labels, 0.3)
+    assert np.allclose(posterior, np.where(labels == 1, 0.98, 0.02)) and rates == {} and pairs == []
