@@ -203,10 +203,15 @@ def guarded(out: DataFrame, names: list[str], cap: int, least: int = 3) -> DataF
     return shown.withColumns({n: band(F.col(n)) for n in names} | {"truncated": F.lit(len(rows) > cap)})
 
 
-def year_over_year(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), since: str | None = None, **options) -> DataFrame:
-    """(a - b) / b of each month, from ``since`` on, and the same month a year before. A group without the earlier leg refuses all; a zero base gives null."""
+def year_over_year(
+    facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), since: str | None = None, strict: bool = True, **options
+) -> DataFrame:
+    """(a - b) / b of each month, from ``since`` on, and the same month a year before. A zero base gives null.
+
+    A group without the earlier leg refuses all; where not strict, it is listed without prev and yoy.
+    """
     current, before = _yearly(facts, metric, group_by, since, **options)
-    return legs(current, before, list(group_by), strict=True)
+    return legs(current, before, list(group_by), strict)
 
 
 def missing_legs(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("company_id", "month"), since: str | None = None, **options) -> DataFrame:
@@ -216,7 +221,10 @@ def missing_legs(facts: DataFrame, metric: str, group_by: tuple[str, ...] = ("co
 
 
 def _yearly(facts: DataFrame, metric: str, group_by: tuple[str, ...], since: str | None, **options) -> tuple[DataFrame, DataFrame]:
-    every = measure_query(facts, [Measure(metric, name="cur")], group_by, support=True, **options).filter("cur_support > 0").drop("cur_support")
+    leg = Measure(metric, name="cur")
+    _caliber_fits(leg, declared_fact(options.get("fact"), options.get("declared", FACTS)))
+    rows = facts.filter(in_window(CALIBERS[leg.caliber]))  # a group is there if it has rows, be their amounts null or not
+    every = measure_query(rows, [leg], group_by, **options)
     before = every.withColumnRenamed("cur", "prev").withColumn("month", F.date_format(F.add_months(F.concat("month", F.lit("-01")).cast("date"), 12), "yyyy-MM"))
     return every if since is None else every.filter(F.col("month") >= since), before
 

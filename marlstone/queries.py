@@ -206,15 +206,15 @@ def bad_fx_total(s, d):
     return facts(s, d).join(rates, ["fin_month", "ccy"], "left").agg(F.count_if(~F.coalesce("sound", F.lit(False))).alias("bad"))
 
 
-_MONTHLY = f"(SELECT fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} GROUP BY 1)"
-
-
 @query(
-    f"SELECT strftime(a.fin_month,'%Y-%m') AS month, CAST(a.v AS {M}) AS cur, CAST(b.v AS {M}) AS prev, CAST(round(CAST((CAST(a.v AS DOUBLE)-CAST(b.v AS DOUBLE))/nullif(CAST(b.v AS DOUBLE),0) "
-    f"AS DECIMAL(28,10)),6) AS DOUBLE) AS yoy FROM {_MONTHLY} a JOIN {_MONTHLY} b ON b.fin_month = a.fin_month - INTERVAL 1 YEAR"
+    f"SELECT a.company_id, strftime(a.fin_month,'%Y-%m') AS month, CAST(a.v AS {M}) AS cur, CAST(b.v AS {M}) AS prev, CAST(round(CAST((CAST(a.v "
+    f"AS DOUBLE)-CAST(b.v AS DOUBLE))/nullif(CAST(b.v AS DOUBLE),0) AS DECIMAL(28,10)),6) AS DOUBLE) AS yoy FROM (SELECT "
+    f"company_id, fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' AND {IS['month']} "
+    f"GROUP BY 1,2) a LEFT JOIN (SELECT company_id, fin_month, SUM(amount) AS v FROM fact_finance WHERE {ACTUAL} AND metric_id='m_revenue' "
+    f"AND {IS['month']} GROUP BY 1,2) b ON a.company_id=b.company_id AND b.fin_month = a.fin_month - INTERVAL 1 YEAR"
 )
 def yoy_ratio(s, d):
-    return measures.year_over_year(facts(s, d), "m_revenue", ("month",), since="1996-01", over=("ccy",))
+    return measures.year_over_year(facts(s, d), "m_revenue", over=("ccy",), strict=False)
 
 
 @query(

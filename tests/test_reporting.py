@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import catalog
 from marlstone.functions import exprs
 from marlstone.model import Metric, Refused
 from marlstone.operators import history, ingest, loading, measures
@@ -212,6 +213,38 @@ def test_a_missing_earlier_leg_refuses(spark):
     assert [(r.company_id, r.month, r.prev, r.cur, r.yoy) for r in whole] == [("a", "2026-01", 2, 3, 0.5)]
 
 
+def test_year_over_year_lists_every_company_and_month(spark):
+    d = "/root/testdata/sf0.001"
+    rows = fixtures.view(spark, d, "fact_finance").filter("scenario = 'actual' AND metric_id = 'm_revenue' AND period_from = fin_month").collect()
+    sums = {}
+    for r in rows:
+        key = r.company_id, r.fin_month.year, r.fin_month.month
+        sums[key] = sums.get(key, 0) + r.amount
+    want = {}
+    for (c, y, m), cur in sums.items():
+        prev = sums.get((c, y - 1, m))
+        want[c, f"{y}-{m:02}"] = cur, prev, None if not prev else float(cur - prev) / float(prev)
+    got = {(r.company_id, r.month): (r.cur, r.prev, r.yoy) for r in catalog.QUERIES["yoy_ratio"](spark, d).collect()}
+    assert got.keys() == want.keys() and len({m for _, m in got}) < len(got)
+    for key, (cur, prev, ratio) in want.items():
+        assert got[key][:2] == (cur, prev)
+        assert got[key][2] is None if ratio is None else abs(got[key][2] - ratio) < 1e-6
+    lost = {(r.company_id, r.month) for r in catalog.QUERIES["leg_join"](spark, d).collect()}
+    assert lost == {k for k, v in got.items() if v[1] is None} and 0 < len(lost) < len(got)
+
+
+def test_a_leg_of_null_amounts_is_a_leg(spark):
+    old, new = date(2025, 1, 1), date(2026, 1, 1)
+    legs = [(old, old, "a", None), (new, new, "a", Decimal(3)), (old, old, "b", Decimal(0)), (new, new, "b", None), (new, old, "c", Decimal(5))]
+    rows = spark.createDataFrame([(m, p, c, "m", "actual", "CNY", a) for m, p, c, a in legs], FACT)
+    assert sorted((r.company_id, r.month) for r in measures.missing_legs(rows, "m", over=("ccy",)).collect()) == [("a", "2025-01"), ("b", "2025-01")]
+    got = measures.year_over_year(rows, "m", over=("ccy",), strict=False).collect()
+    assert sorted((r.company_id, r.month, r.cur, r.prev, r.yoy) for r in got) == [
+        ("a", "2025-01", None, None, None), ("a", "2026-01", 3, None, None), ("b", "2025-01", 0, None, None), ("b", "2026-01", None, 0, None),
+    ]
+    assert len(measures.year_over_year(rows, "m", since="2026-01", over=("ccy",)).collect()) == 2
+
+
 def test_several_changes_of_a_member_are_refused(spark):
     past = spark.createDataFrame([("a", "x")], "id string, g string")
     start = history.first_versions(past, spark.createDataFrame([], "id string"), "2020-01-01", ["g"])
