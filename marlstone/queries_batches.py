@@ -322,10 +322,10 @@ def land_files(s, d):
     "FROM customer CROSS JOIN (VALUES (1),(2)) u(k)"
 )
 def land_broken_lines(s, d):
-    """Fields that hold line breaks, quotes and delimiters; the second column tells the row that they came from."""
+    """Fields that hold line breaks, quotes and delimiters; the second column tells the row that they came from. A file has no more rows than a sheet may have."""
     path, quote = scratch.folder(s, "broken"), F.lit('"')
     text = F.concat("c_name", F.lit("\n"), quote, F.col("c_mktsegment"), quote, F.lit(", "))
-    base(s, d, "customer").select(text.alias("t"), "c_custkey").write.option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    base(s, d, "customer").select(text.alias("t"), "c_custkey").write.option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", landing.MAX_ROWS).csv(path)
     scratch.until_exit(s, path)
     cells = landing.land_files(s, path)
     key = cells.filter("col_no = 2").select("file_hash", "row_no", F.col("raw_value").cast("long").alias("key"))

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marlstone import catalog
 from marlstone.model import Refused
 from marlstone.sources import landing
 
@@ -92,3 +93,16 @@ def test_files_drift_each_in_its_way(spark, tmp_path):
     assert e.value.reason == "SCHEMA_DRIFT"
     for name in ("good", "no_v"):
         landing.accepted_files(spark, str(tmp_path / f"k=a b%{name}"), declared)
+
+
+def customers(spark, path, n, tasks):
+    rows = spark.range(0, n, 1, tasks).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    rows.write.parquet(f"{path}/customer.parquet")
+
+
+def test_broken_lines_of_more_rows_than_a_sheet_holds_land_whole(spark, tmp_path):
+    customers(spark, tmp_path, landing.MAX_ROWS + 5, 1)
+    cells = catalog.QUERIES["land_broken_lines"](spark, str(tmp_path))
+    want = spark.range(landing.MAX_ROWS + 5).selectExpr("id AS row_no", "inline(array(struct(1 AS col_no, concat('Customer#', id, '\n\"BUILDING\", ') AS raw_value), struct(2 AS col_no, CAST(id AS STRING) AS raw_value)))")
+    assert cells.count() == 2 * (landing.MAX_ROWS + 5)
+    assert cells.exceptAll(want).isEmpty() and want.exceptAll(cells).isEmpty()
