@@ -312,7 +312,7 @@ def csv_export(s, d):
 def land_files(s, d):
     path, quote = scratch.folder(s, "sheets"), F.lit('"')
     third = F.concat("c_mktsegment", F.lit(", "), quote, F.col("c_nationkey").cast("string"), quote)
-    base(s, d, "customer").repartition(8, "c_custkey").select("c_custkey", "c_name", third.alias("segment")).write.option("escape", '"').csv(path)
+    base(s, d, "customer").repartition(8, "c_custkey").select("c_custkey", "c_name", third.alias("segment")).write.option("escape", '"').option("maxRecordsPerFile", landing.MAX_ROWS).csv(path)
     scratch.until_exit(s, path)
     return landing.land_files(s, path).select("col_no", "value_kind", "raw_value")
 

@@ -8,6 +8,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marlstone import catalog
 from marlstone.model import Refused
@@ -106,3 +107,10 @@ def test_broken_lines_of_more_rows_than_a_sheet_holds_land_whole(spark, tmp_path
     want = spark.range(landing.MAX_ROWS + 5).selectExpr("id AS row_no", "inline(array(struct(1 AS col_no, concat('Customer#', id, '\n\"BUILDING\", ') AS raw_value), struct(2 AS col_no, CAST(id AS STRING) AS raw_value)))")
     assert cells.count() == 2 * (landing.MAX_ROWS + 5)
     assert cells.exceptAll(want).isEmpty() and want.exceptAll(cells).isEmpty()
+
+
+def test_more_rows_than_eight_sheets_hold_land_whole(spark, tmp_path):
+    n = 8 * landing.MAX_ROWS + 5
+    customers(spark, tmp_path, n, 4)
+    got = catalog.QUERIES["land_files"](spark, str(tmp_path)).groupBy("col_no", "value_kind").agg(F.count("*").alias("n"), F.countDistinct("raw_value").alias("texts")).collect()
+    assert {tuple(r) for r in got} == {(1, "number", n, n), (2, "text", n, n), (3, "text", n, 25)}
