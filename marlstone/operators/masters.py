@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import company_stem, normalize_name
@@ -36,9 +36,8 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     that d letters at most are dropped for, so for the distances in EDITS the names meet at these.  A name that then has its
     ``top`` suggestions, each better than any name at a greater distance could be, is done; so names that are all alike
     meet their close neighbours only.  The rest meets names of the same first letter, and of a length of six tenths at
-    least, and pairs are scored where they meet.
+    least, in tiles.  Strings made of names are many times the names, which their sizes don't tell Spark: they are never broadcast.
     """
-    spark = raw.sparkSession
     left = raw.select("raw").distinct().select("raw", normalize_name(F.col("raw")).alias("n"), company_stem(F.col("raw")).alias("stem")).filter("n <> ''")
     right = masters.select("id", normalize_name(F.col("name")).alias("en"), company_stem(F.col("name")).alias("stem")).filter("en <> ''")
     least = lambda df, by: df.select(by, "id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("id"))).filter(F.col("place") <= top).drop("place")
@@ -46,14 +45,15 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     rest = _written(left.join(right.select("stem").distinct(), "stem", "left_anti").select("raw", "n"))
     owners = _written(least(right, "en"))
     ours, theirs = rest.select("n").distinct(), owners.select("en").distinct()
-    within = _with_substrings(ours, "n", theirs, "en").join(theirs, F.col("piece") == F.col("en")).select("n", "en")
-    around = _with_substrings(theirs, "en", ours, "n").join(ours, F.col("piece") == F.col("n")).select("n", "en")
-    found = _scored(within.unionByName(around))
-    best, open_ = spark.createDataFrame([], "n string, id string, score double"), ours
+    our_sizes, their_sizes = _sizes(ours, "n"), _sizes(theirs, "en")
+    within = _with_substrings(ours, "n", their_sizes).hint("merge").join(theirs, F.col("piece") == F.col("en")).select("n", "en")
+    around = _with_substrings(theirs, "en", our_sizes).hint("merge").join(ours, F.col("piece") == F.col("n")).select("n", "en")
+    owned = lambda pairs: _scored(pairs).join(owners, "en").select("n", "id", "score")
+    found, open_ = owned(within.unionByName(around)), ours
     for d in EDITS:
-        near = _scored(_dropped(open_, "n", d).join(_dropped(theirs, "en", d), ["piece", "first"]).select("n", "en"))
-        found = near if found is None else found.unionByName(near)
-        best, found = _written(_best(best, found, owners, top)), None
+        met = _dropped(open_, "n", d, their_sizes).hint("merge").join(_dropped(theirs, "en", d, our_sizes), "key").select("n", "en")
+        near = met.filter(F.levenshtein("n", "en", d) >= 0)  # further ones may meet too, but not all of them
+        best = found = _written(_best(found.unionByName(owned(near)), top))
         size = F.length("n")
         beyond = F.lit(0.7) * size / (size + d + 1)  # no name at a greater distance scores more
         done = best.groupBy("n").agg(F.count("*").alias("held"), F.min("score").alias("worst")).filter((F.col("held") == top) & (F.col("worst") > F.round(beyond.cast("decimal(12,8)"), 6).cast("double")))
@@ -62,10 +62,7 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        size, first = F.length("n"), lambda c: F.left(c, F.lit(1))
-        lengths = F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int")))
-        near = open_.withColumns({"size": lengths, "first": first("n")}).join(theirs.withColumns({"size": F.length("en"), "first": first("en")}), ["first", "size"])
-        best = _best(best, _scored(near.select("n", "en")), owners, top)
+        best = _best(best.unionByName(_compared(open_, owners, top)), top)
     every = by_stem.unionByName(rest.join(best, "n").select("raw", "id", "score"))
     rank = F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -73,6 +70,8 @@ def candidates(raw: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
 
 #: Distances at which near names are met by what is left when letters are dropped.
 EDITS = (2,)
+#: Names of one first letter and length that a row of the last comparison holds, and open names that meet them in one task.
+TILE, SHARE = 2_000, 20_000
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -83,36 +82,72 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _score(n: Column, en: Column, distance: Column) -> Column:
+    """The score of two names that are so many edits apart, or null."""
+    ratio = 1 - distance / F.greatest(F.length(n), F.length(en))
+    near = (F.left(n, F.lit(1)) == F.left(en, F.lit(1))) & (ratio >= 0.6)
+    return F.when(F.contains(en, n) | F.contains(n, en), F.lit(0.75)).when(near, F.round((ratio * 0.7).cast("decimal(12,8)"), 6).cast("double"))
+
+
 def _scored(pairs: DataFrame) -> DataFrame:
     """n, en and score of pairs that are suggestions, each scored before it moves."""
-    ratio = 1 - F.levenshtein("n", "en") / F.greatest(F.length("n"), F.length("en"))
-    contained = F.contains(F.col("en"), F.col("n")) | F.contains(F.col("n"), F.col("en"))
-    near = (F.left("n", F.lit(1)) == F.left("en", F.lit(1))) & (ratio >= 0.6)
-    score = F.when(contained, F.lit(0.75)).when(near, F.round((ratio * 0.7).cast("decimal(12,8)"), 6).cast("double"))
-    return pairs.withColumn("score", score).filter("score IS NOT NULL")
+    return pairs.withColumn("score", _score(F.col("n"), F.col("en"), F.levenshtein("n", "en"))).filter("score IS NOT NULL")
 
 
-def _best(before: DataFrame, pairs: DataFrame, owners: DataFrame, top: int) -> DataFrame:
-    """n, id and score: the best of those before and of new pairs."""
-    every = before.unionByName(pairs.join(owners, "en").select("n", "id", "score")).distinct()
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
+def _best(rows: DataFrame, top: int) -> DataFrame:
+    """The best of n, id and score for each n, every row once. Ties have one rank, so that rows are few before they move and equal ones go afterwards."""
+    rank = F.dense_rank().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank").distinct()
 
 
-def _dropped(df: DataFrame, column: str, letters: int) -> DataFrame:
-    """df with first, the first letter, and piece: the name itself and all strings that are left when up to so many letters are dropped."""
+def _compared(open_: DataFrame, owners: DataFrame, top: int) -> DataFrame:
+    """n, id and score: the best of every tile of names that an open name is compared with one by one.
+
+    The names of a first letter and length are dealt to tiles, one row each, and the open names to shares; each share meets each tile.
+    So pairs are never rows, and a task's work is bounded, though there are as many comparisons as pairs.
+    """
+    block, first = ["first", "size"], lambda c: F.left(c, F.lit(1)).alias("first")
+    theirs, size = owners.select("id", "en", first("en"), F.length("en").alias("size")), F.length("n")
+    ours = open_.select("n", first("n"), F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int"))).alias("size"))
+    count = lambda df, most, name: df.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = count(theirs, TILE, "tiles").join(count(ours, SHARE, "shares"), block)
+    dealt, all_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tiles = theirs.join(blocks, block).withColumn("tile", dealt("en", "tiles")).groupBy(*block, "shares", "tile").agg(F.collect_list(F.struct("id", "en")).alias("names"))
+    shared = ours.join(blocks, block).select("n", *block, dealt("n", "shares").alias("share"), all_of("tiles").alias("tile"))
+    met = shared.hint("merge").join(tiles.withColumn("share", all_of("shares")).drop("shares"), [*block, "tile", "share"])
+    apart = F.transform("names", lambda x: F.struct(x["id"].alias("id"), x["en"].alias("en"), F.levenshtein("n", x["en"]).alias("d")))
+    scores = F.transform(apart, lambda x: F.struct((-_score(F.col("n"), x["en"], x["d"])).alias("less"), x["id"].alias("id")))
+    ranked = met.select("n", F.array_sort(F.filter(scores, lambda x: x["less"].isNotNull())).alias("ranked"))
+    once = F.filter("ranked", lambda x, i: (i == 0) | (x != F.get("ranked", i - 1)))  # an id of several names may have a score twice
+    return ranked.select("n", F.inline(F.slice(once, 1, top))).select("n", "id", (-F.col("less")).alias("score"))
+
+
+def _sizes(df: DataFrame, column: str) -> list[int]:
+    """The lengths of names. There are no more than letters in a name."""
+    return sorted(r[0] for r in df.select(F.length(column)).distinct().collect())
+
+
+def _dropped(df: DataFrame, column: str, letters: int, other_sizes: list[int]) -> DataFrame:
+    """df with key: the hash of the first letter and of each string that is left when up to so many letters are dropped.
+
+    A name that is k letters longer than the other drops k more, or neither is within so many edits; so as many are dropped
+    as the lengths of the other side call for.  Names that share a hash by chance are scored like all others.
+    """
     less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
     safe = lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>"))
-    every = pieces = F.array(F.col(column))
-    for _ in range(letters):
-        pieces = F.array_distinct(F.flatten(F.transform(pieces, safe)))
-        every = F.concat(every, pieces)
-    return df.select(column, F.left(column, F.lit(1)).alias("first"), F.explode(F.array_distinct(every)).alias("piece"))
-
-
-def _with_substrings(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
-    """df with piece: each substring of a name that is as long as some name of the other side. There are no more lengths than letters in a name."""
-    sizes = sorted(r[0] for r in other.select(F.length(other_column)).distinct().collect())
+    size, none = F.length(column), F.array().cast("array<string>")
+    longer = F.transform(F.filter(F.array(*[F.lit(k) for k in other_sizes]).cast("array<int>"), lambda k: F.abs(size - k) <= letters), lambda k: size - k)
+    fewest, most = F.greatest(F.lit(0), F.array_min(longer)), F.when(F.size(longer) > 0, F.least(F.lit(letters), letters + F.array_max(longer))).otherwise(-1)
+    every, pieces = none, F.array(F.col(column))
+    for n in range(letters + 1):
+        pieces = pieces if n == 0 else F.array_distinct(F.flatten(F.transform(pieces, safe)))
+        every = F.concat(every, F.when((F.lit(n) >= fewest) & (F.lit(n) <= most), pieces).otherwise(none))
+    dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism, column)  # a small table is read by a task or two
+    return dealt.select(column, F.explode(every).alias("piece")).select(column, F.xxhash64(F.left(column, F.lit(1)), "piece").alias("key"))
+
+
+def _with_substrings(df: DataFrame, column: str, sizes: list[int]) -> DataFrame:
+    """df with piece: each substring of a name that is as long as some name of the other side."""
     starts = lambda k: F.when(F.length(column) >= k, F.transform(F.sequence(F.lit(1), F.length(column) - k + 1), lambda i: F.substring(F.col(column), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     pieces = F.flatten(F.array(*[starts(k) for k in sizes])) if sizes else F.array().cast("array<string>")
     return df.withColumn("piece", F.explode(F.array_distinct(pieces)))

@@ -123,3 +123,48 @@ def test_files_land_by_their_bytes(spark, tmp_path):
         (1, 1, "text", "x", None), (1, 2, "text", 'a, "b"', None), (2, 2, "number", "12.5", None), (2, 3, "text", "=A1+1", "=A1+1")
     }
     assert {c.file_hash for c in cells} == {hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()} and len(cells) == 4
+
+
+def largest_broadcast(spark, run):
+    """The most rows that a broadcast holds while run works."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = max((e.executionId() for e in each(store.executionsList())), default=-1)
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for e in [e.executionId() for e in each(store.executionsList()) if e.executionId() > last]:
+        values = store.executionMetrics(e)
+        for node in each(store.planGraph(e).allNodes()):
+            for m in each(node.metrics()):
+                if node.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    most = max(most, int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return most
+
+
+def test_strings_made_of_names_are_not_broadcast(spark):
+    known = spark.createDataFrame([(f"k{i:04d}", f"supplier number {i:05d}") for i in range(300)], "id string, name string")
+    raws = spark.createDataFrame([(f"supplier number {i:05d}s",) for i in range(300)], "raw string")
+    assert largest_broadcast(spark, lambda: masters.candidates(raws, known).collect()) <= 300
+
+
+def test_open_names_meet_all_tiles(spark, monkeypatch):
+    monkeypatch.setattr(masters, "TILE", 7)
+    monkeypatch.setattr(masters, "SHARE", 5)
+    tiled, met = masters._compared, []
+    monkeypatch.setattr(masters, "_compared", lambda open_, owners, top: (met.append(open_.count()), tiled(open_, owners, top))[1])
+    r = random.Random(5)
+    known = [(f"k{i:03d}", "a" + "".join(r.choice("abcdefgh") for _ in range(r.randint(6, 12)))) for i in range(200)]
+    known += [(i, n + "bb") for i, n in known[::10]]  # ids of two names
+    raws = sorted({"a" + "".join(r.choice("abcdefgh") for _ in range(r.randint(6, 12))) for _ in range(40)})
+    rows = masters.candidates(spark.createDataFrame([(x,) for x in raws], "raw string"), spark.createDataFrame(known, "id string, name string"), 5).collect()
+    ranked = lambda x: sorted({(-s, i) for k in known for i, s in expected(x, [k])})[:5]
+    assert {x: [(-y.score, y.id) for y in sorted(rows, key=lambda z: z["rank"]) if y.raw == x] for x in raws} == {x: ranked(x) for x in raws}
+    assert met[0] > 20
+
+
+def test_as_many_letters_are_dropped_as_lengths_call_for(spark):
+    names = spark.createDataFrame([("abcdef",)], "n string")
+    count = lambda *sizes: masters._dropped(names, "n", 2, list(sizes)).count()
+    assert [count(6), count(5), count(4), count(7), count(8), count(9), count(5, 7)] == [1 + 6 + 15, 6 + 15, 15, 1 + 6, 1, 0, 1 + 6 + 15]
