@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from marlstone import catalog
 from marlstone.functions import exprs
 from marlstone.operators import history, ingest, masters
 from marlstone.sources import landing
@@ -168,3 +169,10 @@ def test_as_many_letters_are_dropped_as_lengths_call_for(spark):
     names = spark.createDataFrame([("abcdef",)], "n string")
     count = lambda *sizes: masters._dropped(names, "n", 2, list(sizes)).count()
     assert [count(6), count(5), count(4), count(7), count(8), count(9), count(5, 7)] == [1 + 6 + 15, 6 + 15, 15, 1 + 6, 1, 0, 1 + 6 + 15]
+
+
+def test_best_candidates_pass_no_strings_made_of_names_through_the_driver(spark):
+    rows, d = [], "/root/testdata/sf0.01"
+    assert largest_broadcast(spark, lambda: rows.extend(catalog.QUERIES["top3_candidates"](spark, d).collect())) <= 100
+    keys = range(spark.read.parquet(f"{d}/supplier.parquet").count())
+    assert {(r.raw, r.n, r.best) for r in rows} == {(f"Supplier#{i:09d}" + (" (X)" if i % 4 == 1 else "S"), 3, f"s_{i}") for i in keys if i % 2}
