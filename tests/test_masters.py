@@ -176,3 +176,11 @@ def test_best_candidates_pass_no_strings_made_of_names_through_the_driver(spark)
     assert largest_broadcast(spark, lambda: rows.extend(catalog.QUERIES["top3_candidates"](spark, d).collect())) <= 100
     keys = range(spark.read.parquet(f"{d}/supplier.parquet").count())
     assert {(r.raw, r.n, r.best) for r in rows} == {(f"Supplier#{i:09d}" + (" (X)" if i % 4 == 1 else "S"), 3, f"s_{i}") for i in keys if i % 2}
+
+
+def test_the_unresolved_report_passes_no_strings_made_of_names_through_the_driver(spark):
+    rows, d = [], "/root/testdata/sf0.01"
+    assert largest_broadcast(spark, lambda: rows.extend(catalog.QUERIES["unresolved_report"](spark, d).collect())) <= 100
+    keys = [i for i in range(spark.read.parquet(f"{d}/supplier.parquet").count()) if i % 2]
+    want = sorted((-(i % 25 + 1), f"Supplier#{i:09d}" + (" (X)" if i % 4 == 1 else "S"), f"s_{i}") for i in keys)
+    assert [(-r.n_rows, r.raw, r.candidates.split(",")[0]) for r in rows] == want and {r.candidates.count(",") for r in rows} == {2}
