@@ -107,19 +107,22 @@ def _compared(open_: DataFrame, owners: DataFrame, top: int) -> DataFrame:
     So pairs are never rows, and a task's work is bounded, though there are as many comparisons as pairs.
     """
     block, first = ["first", "size"], lambda c: F.left(c, F.lit(1)).alias("first")
-    theirs, size = owners.select("id", "en", first("en"), F.length("en").alias("size")), F.length("n")
+    size = F.length("n")
+    copy = F.row_number().over(Window.partitionBy(*block, "id").orderBy("en")).alias("copy")  # a tile holds one name of an id, so that its best are as many ids
+    theirs = owners.select("id", "en", first("en"), F.length("en").alias("size")).select("*", copy)
     ours = open_.select("n", first("n"), F.explode(F.sequence(F.ceil(size * 6 / 10).cast("int"), F.floor(size * 10 / 6).cast("int"))).alias("size"))
-    count = lambda df, most, name: df.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    blocks = count(theirs, TILE, "tiles").join(count(ours, SHARE, "shares"), block)
+    parts = lambda most: F.ceil(F.count("*") / most).cast("int")
+    blocks = theirs.groupBy(*block, "copy").agg(parts(TILE).alias("tiles")).join(ours.groupBy(*block).agg(parts(SHARE).alias("shares")), block)
     dealt, all_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tiles = theirs.join(blocks, block).withColumn("tile", dealt("en", "tiles")).groupBy(*block, "shares", "tile").agg(F.collect_list(F.struct("id", "en")).alias("names"))
-    shared = ours.join(blocks, block).select("n", *block, dealt("n", "shares").alias("share"), all_of("tiles").alias("tile"))
-    met = shared.hint("merge").join(tiles.withColumn("share", all_of("shares")).drop("shares"), [*block, "tile", "share"])
-    apart = F.transform("names", lambda x: F.struct(x["id"].alias("id"), x["en"].alias("en"), F.levenshtein("n", x["en"]).alias("d")))
-    scores = F.transform(apart, lambda x: F.struct((-_score(F.col("n"), x["en"], x["d"])).alias("less"), x["id"].alias("id")))
-    ranked = met.select("n", F.array_sort(F.filter(scores, lambda x: x["less"].isNotNull())).alias("ranked"))
-    once = F.filter("ranked", lambda x, i: (i == 0) | (x != F.get("ranked", i - 1)))  # an id of several names may have a score twice
-    return ranked.select("n", F.inline(F.slice(once, 1, top))).select("n", "id", (-F.col("less")).alias("score"))
+    tiles = theirs.join(blocks, [*block, "copy"]).withColumn("tile", dealt("en", "tiles")).groupBy(*block, "copy", "shares", "tile").agg(F.collect_list(F.struct("id", "en")).alias("names"))
+    shared = ours.join(blocks, block).select("n", *block, "copy", dealt("n", "shares").alias("share"), all_of("tiles").alias("tile"))
+    key = [*block, "copy", "tile", "share"]
+    spread = shared.repartition(4 * open_.sparkSession.sparkContext.defaultParallelism, *key)  # by comparisons there are few bytes
+    met = spread.hint("merge").join(tiles.withColumn("share", all_of("shares")).drop("shares"), key)
+    # In a tile all names are as long, so fewer edits are a better score; what is contained has been found before and leads anyway.
+    apart = F.transform("names", lambda x: F.struct(F.levenshtein("n", x["en"]).alias("d"), x["id"].alias("id"), x["en"].alias("en")))
+    ranked = F.sort_array(F.filter(apart, lambda x: x["d"] * 10 <= F.greatest(size, F.col("size")) * 4))
+    return _scored(met.select("n", F.inline(F.slice(ranked, 1, top))).select("n", "en", "id")).select("n", "id", "score")
 
 
 def _sizes(df: DataFrame, column: str) -> list[int]:
